@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from textveil.functions.rules import CATALOGUE, RULE_NAMES, Rule
 from textveil.functions.sqltext import barrier, ident, let, lit, running_sum
+from textveil.functions.workers import once_per_worker
 from textveil.operators.fields import extract_text_fields, leaves_sql, text_columns
 from textveil.operators.merge import (
     SPAN_TYPE,
@@ -180,9 +181,6 @@ def external_detections(detections: DataFrame) -> DataFrame:
     )
 
 
-_LOADED: dict[str, Callable] = {}
-
-
 def detect_with(
     df: DataFrame,
     key: str,
@@ -198,21 +196,18 @@ def detect_with(
     """
     texts = extract_text_fields(df, key, columns)
     key_type = texts.schema["record_id"].dataType.simpleString()
+    names = ["record_id", *(field.split()[0] for field in DETECTION_SCHEMA.split(", "))]
+    first = len(CATALOGUE) + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _LOADED:
-            _LOADED[name] = factory()
-        detector = _LOADED[name]
+        detector = once_per_worker(name, factory)
         for batch in batches:
             rows = [
-                (rid, path, len(CATALOGUE) + 1 + n, e["label"], e["text"], e["start"], e["end"], e["score"])
+                (rid, path, first + n, e["label"], e["text"], e["start"], e["end"], e["score"])
                 for rid, path, text in zip(batch["record_id"], batch["field_path"], batch["text"])
                 for n, e in enumerate(detector(text))
             ]
-            yield pd.DataFrame(
-                rows,
-                columns=["record_id", "field_path", "rule_ord", "pattern", "match", "start", "end", "score"],
-            )
+            yield pd.DataFrame(rows, columns=names)
 
     return texts.select("record_id", "field_path", "text").mapInPandas(
         run, f"record_id {key_type}, {DETECTION_SCHEMA}"

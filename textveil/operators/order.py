@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textveil.functions.sqltext import ident
@@ -18,24 +18,14 @@ def ensure_checkpoint_dir(df: DataFrame) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="textveil-"))
 
 
-def with_position(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
-    """Add the 0-based position of each row in the order of ``order``.
-
-    The columns should identify a row, or equal rows may end up in one range.
-    Rows are split into ranges and sorted inside them; the result is written once,
-    so that lost executors cannot move a row to another range, and the row counts
-    of the ranges before give each range its first position.
-    """
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Number rows in partition order. The rows are written once first, so that
+    lost executors cannot change which partition a row is in."""
     ensure_checkpoint_dir(df)
-    ranged = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("__local", F.monotonically_increasing_id())
-        .checkpoint()
-    )
+    stored = df.withColumn("__local", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("__local", 33)
-    counts = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
-    # One row per range, a number fixed by the session's settings.
+    counts = stored.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
+    # One row per partition, a number that the session's settings bound.
     firsts, total = [], 0
     for row in sorted(counts.collect(), key=lambda r: r["__part"]):
         firsts.append((row["__part"], total))
@@ -43,23 +33,36 @@ def with_position(df: DataFrame, *order: str | Column, name: str = "position") -
     offsets = df.sparkSession.createDataFrame(firsts, "__part long, __first long")
     local = F.col("__local").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        ranged.withColumn("__part", part)
+        stored.withColumn("__part", part)
         .join(F.broadcast(offsets), "__part")
         .withColumn(name, F.col("__first") + local)
         .drop("__part", "__first", "__local")
     )
 
 
+def with_file_order(df: DataFrame, name: str = "record_id") -> DataFrame:
+    """Number the records of a dataset without a key in the order they are read."""
+    return _numbered(df, name)
+
+
+def with_position(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
+    """Add the 0-based position of each row in the order of ``order``.
+
+    The columns should identify a row, or equal rows may end up in one range.
+    Rows are split into ranges and sorted inside them; row counts of the ranges
+    before give each range its first position.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _numbered(ranged, name)
+
+
 def running_total(df: DataFrame, order: str, value: str, name: str, group: int = 65536) -> DataFrame:
     """Inclusive running total of ``value`` in the order of a whole number.
 
     Two levels: inside groups of ``group`` consecutive numbers, then over the
     groups. No window ever covers all rows.
     """
-    from pyspark.sql import Window
-
-    block = F.floor(F.col(ident(order)) / group).alias("__block")
-    rows = df.withColumn("__block", block)
+    rows = df.withColumn("__block", F.expr(f"{ident(order)} div {group}"))
     blocks = rows.groupBy("__block").agg(F.sum(value).alias("__sum"))
     before = blocks.withColumn(
         "__before",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textveil.operators.order import with_position
@@ -31,8 +31,6 @@ def review_queue(
             "__rank", "__score"
         )
     total = uncertain.agg(F.count(F.lit(1)).alias("n")).scalar()
-    from pyspark.sql import Window
-
     return (
         ranked.orderBy(*order)
         .limit(int(max_n))
