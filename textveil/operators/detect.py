@@ -31,15 +31,13 @@ from textveil.operators.merge import (
 MARKER = "\0"
 
 # A plain word: at most one capital, at its start, then letters and sentence
-# punctuation. No digit, no second ASCII capital, none of @ < + - = / ~ : \ _ and
-# at most 31 characters, so no condensed-text rule can touch it. The one rule
-# with letters apart from its digits needs them one blank away, which is what the
-# look-arounds keep. Quantifiers are possessive, so a run of words of any length
-# is matched without recursion.
-_PLAIN = (
-    r"""[A-ZÀ-ÖØ-Þ]?+[a-zß-öø-ɏͰ-ͽΆΈ-ҁҊ-ԯא-תؠ-يऄ-हぁ-ゖァ-ヺ一-鿿가-힣.,;!?'"()«»‘’“”„…]{1,30}+(?!\S)(?!\s\d)"""
-)
-PLAIN_RUN = rf"(?U)(?<!\S)(?<!\d\s)(?:{_PLAIN})(?:\s++{_PLAIN})*+"
+# punctuation, between blanks. No digit, no second capital, none of @ < + - = / ~ :
+# \ _ and at most 31 characters, so no condensed-text rule can touch it. The one
+# rule with letters apart from its digits needs them one blank away, which is what
+# the look-arounds keep. Quantifiers are possessive, so a run of words of any
+# length is matched without recursion.
+_PLAIN = r"""\p{Lu}?+[\p{Ll}\p{Lo}\p{M}.,;!?'"()«»‘’“”„…]{1,30}+(?!\S)(?!\s\p{Nd})"""
+PLAIN_RUN = rf"(?<!\S)(?<!\p{{Nd}}\s){_PLAIN}(?:\s++{_PLAIN})*+"
 
 DETECTION_SCHEMA = (
     "field_path string, rule_ord int, pattern string, match string, start int, end int, score double"

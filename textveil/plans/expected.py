@@ -125,6 +125,13 @@ def category_case(column: str, generator: bool = False) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
+def token_pattern(codec: Codec) -> str:
+    """The codec's pattern with every character class spelled out."""
+    signs = r"!-/:;=>?@\[-`{-~"
+    word = rf" ?[^ \t\n\r\f\x0B<{signs}]+"
+    return "|".join([word, rf" ?[{signs}]", *codec.named, r"\n\n|\n|<", r"[ \t\r\f\x0B]+"])
+
+
 def token_ids(text: str, codec: Codec = Codec()) -> str:
     """``INTEGER[]`` of the built-in codec."""
     fixed = " ".join(
@@ -133,7 +140,7 @@ def token_ids(text: str, codec: Codec = Codec()) -> str:
     )
     spread = codec.vocabulary - codec.first_id
     return (
-        f"list_transform(regexp_extract_all({text}, {quoted(codec.pattern)}), lambda p: "
+        f"list_transform(regexp_extract_all({text}, {quoted(token_pattern(codec))}), lambda p: "
         f"CAST(CASE p {fixed} ELSE {codec.first_id} + "
         f"CAST('0x' || substr(md5(p), 1, 8) AS BIGINT) % {spread} END AS INTEGER))"
     )
@@ -194,11 +201,17 @@ framed AS (
 
 
 def windows(length: int, overlap: float) -> str:
-    """CTE ``packed(batch, window, ids)`` from ``framed``."""
+    """CTE ``packed(batch, window, ids)`` from ``framed``: every token goes to each
+    window that covers its position."""
     step = length - int(length * overlap)
-    return f"""joined AS (SELECT batch, flatten(list(ids ORDER BY in_batch)) AS ids FROM framed GROUP BY batch),
-cuts AS (SELECT batch, ids, unnest(range(0, (len(ids) // {length}) * {length}, {step})) AS cut FROM joined),
-packed AS (SELECT batch, cut // {step} AS "window", ids[cut + 1:cut + {length}] AS ids FROM cuts)"""
+    return f"""sized AS (
+  SELECT batch, in_batch, ids, sum(len(ids)) OVER (PARTITION BY batch ORDER BY in_batch) - len(ids) AS start,
+         (sum(len(ids)) OVER (PARTITION BY batch) // {length}) * {length} AS top FROM framed),
+placed_ids AS (SELECT batch, top, unnest(ids) AS id, start + unnest(range(0, len(ids))) AS pos FROM sized),
+members AS (
+  SELECT batch, pos, id, unnest(range(CAST(CASE WHEN pos < {length} THEN 0 ELSE (pos - {length}) // {step} + 1 END AS BIGINT),
+    CAST(least(pos // {step}, (top - 1) // {step}) AS BIGINT) + 1)) AS "window" FROM placed_ids WHERE top > 0),
+packed AS (SELECT batch, "window", list(id ORDER BY pos) AS ids FROM members GROUP BY 1, 2)"""
 
 
 def draw(key: str, seed: int = 42) -> str:

@@ -144,7 +144,8 @@ EXPECTED: dict[str, str] = {
     # sources and sinks
     "read_json_array": ALL_DOCUMENT_COLUMNS,
     "read_json_lines": ALL_DOCUMENT_COLUMNS,
-    "read_csv_typed": ALL_DOCUMENT_COLUMNS,
+    "read_csv_typed": "SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang, source, "
+    "CAST(n_chars AS INTEGER) AS n_chars FROM documents",
     "read_csv_strings": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality AS VARCHAR) AS quality, "
     "CAST(toxic AS VARCHAR) AS toxic FROM labels",
     "read_zip_archives": r"""SELECT 'part' || (doc_id // 200) || '/' || doc_id || '.txt' AS member,

@@ -21,10 +21,9 @@ def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
     An array can only be read by one task per file; line files split.
     """
-    head = spark.read.text(path).filter("trim(value) != ''").select(
-        F.substring(F.ltrim("value"), 1, 1).alias("c")
-    ).head()
-    array = head is not None and head["c"] == "["
+    # Only what comes before the first record is read here, however long the lines.
+    head = spark.read.option("lineSep", "{").text(path).head()
+    array = head is not None and head["value"].lstrip("\ufeff \t\r\n").startswith("[")
     reader = spark.read.option("multiLine", array).option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
 
