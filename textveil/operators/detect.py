@@ -45,7 +45,13 @@ DETECTION_SCHEMA = (
 
 
 def java_regex(regex: str) -> str:
-    """The rule with Unicode character classes, as its authors' engine has them."""
+    """The rule with Unicode character classes.
+
+    Ranges that ignore case must also take in the dotted capital I and the Kelvin
+    sign, which Java leaves out.
+    """
+    if regex.startswith("(?i)"):
+        regex = regex.replace("A-Z", r"A-Z\u0130\u212A").replace("J-P", r"J-P\u212A")
     return "(?U)" + regex
 
 
