@@ -1,7 +1,7 @@
 import pytest
 
 from textveil.operators.review import IDENTITY, apply_verdicts, final_detections, review_queue
-from textveil.plans.sanitize import sanitize_reviewed
+from textveil.plans.sanitize import sanitize_hybrid, sanitize_reviewed
 from textveil.sources.writers import write_detections
 
 SCHEMA = (
@@ -61,3 +61,25 @@ def test_two_halves_of_a_reviewed_run(spark, tmp_path):
     assert out == {1: "[PERSON] and [EMAIL]", 2: "Ann alone", 3: "nothing"}
     out = {r.id: r.text for r in sanitize_reviewed(df, "id", stored, action="mask").collect()}
     assert out == {1: "Ann and [EMAIL]", 2: "Ann alone", 3: "nothing"}
+
+
+def test_hybrid_run_with_a_reviewer(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Ann and a@b.co"), (2, "Ann alone"), (3, "Bob")], "id int, text string")
+    names = spark.createDataFrame(
+        [(1, "text", "person", "Ann", 0, 3, 0.6), (2, "text", "person", "Ann", 0, 3, 0.8),
+         (3, "text", "person", "Bob", 0, 3, 0.4)],
+        "record_id int, field_path string, pattern string, match string, start int, end int, score double",
+    )
+
+    def reviewer(queue):
+        return queue.selectExpr(*IDENTITY, "score > 0.7 as discard")
+
+    def run(path, **options):
+        out = sanitize_hybrid(df, "id", str(tmp_path / path), external=names, action="mask", **options)
+        return {r.id: r.text for r in out.collect()}
+
+    assert run("a", reviewer=reviewer) == {1: "[PERSON] and [EMAIL]", 2: "Ann alone", 3: "Bob"}
+    assert run("b") == {1: "Ann and [EMAIL]", 2: "Ann alone", 3: "Bob"}
+    # Only the surest is looked at; what nobody looked at stays as it is.
+    assert run("c", reviewer=reviewer, max_n=1) == {1: "Ann and [EMAIL]", 2: "Ann alone", 3: "Bob"}
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 4

@@ -314,6 +314,51 @@ REQUIRED_LITERALS: dict[str, tuple[str, ...]] = {
 # the condensed one (see operators/detect.py).
 WHOLE_TEXT_RULES = {"dob_generic", "env_var_secrets_regex"}
 
+# What else a text needs, tested once for a group of rules: a run of at least
+# seven capitals, digits, hyphens or angle brackets; or a run of at least 32
+# visible ASCII characters. Rules in no set here need a digit.
+CAPITAL_RUN_RULES = {
+    "national_ids_passport_generic_passport",
+    "driving_license_us_generic",
+    "bank_account_swift_bic",
+    "medical_insurance_policy_generic",
+    "vehicle_vin_regex",
+}
+LONG_RUN_RULES = {
+    "api_keys_generic_alphanumeric",
+    "api_keys_aws_secret_access_key",
+    "oauth_token",
+    "gcp_private_key_id",
+    "azure_client_secret",
+    "azure_storage_account_key",
+}
+FREE_RULES = {
+    "email",
+    "payment_tokens_stripe_token",
+    "ip_ipv6",
+    "mac_address_regex",
+    "passport_mrz_regex",
+    "dob_generic",
+    "api_keys_google_api",
+    "api_keys_aws_access_key_id",
+    "api_keys_stripe_secret_key",
+    "api_keys_stripe_publishable_key",
+    "jwt_token",
+    "db_credentials_mongo_uri",
+    "db_credentials_redis_uri",
+    "crypto_keys_ssh_public_key",
+    "crypto_keys_rsa_private_key",
+    "crypto_keys_ssh_private_key",
+    "gcp_client_email",
+    "github_token",
+    "gitlab_token",
+    "npm_token",
+    "terraform_cloud_token",
+    "docker_hub_token",
+    "slack_webhook_url",
+    "env_var_secrets_regex",
+}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -331,6 +376,15 @@ class Rule:
     def whole_text(self) -> bool:
         return self.name in WHOLE_TEXT_RULES
 
+    @property
+    def gate(self) -> str | None:
+        """Name of the group test that must hold before the rule can match."""
+        if self.name in FREE_RULES:
+            return None
+        if self.name in CAPITAL_RUN_RULES:
+            return "capitals"
+        return "lengthy" if self.name in LONG_RUN_RULES else "digits"
+
 
 CATALOGUE: list[Rule] = [
     Rule(i, name, regex) for i, (name, regex) in enumerate(RULE_PATTERNS, start=1)

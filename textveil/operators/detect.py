@@ -39,6 +39,13 @@ MARKER = "\0"
 _PLAIN = r"""\p{Lu}?+[\p{Ll}\p{Lo}\p{M}.,;!?'"()«»‘’“”„…]{1,30}+(?!\S)(?!\s\p{Nd})"""
 PLAIN_RUN = rf"(?<!\S)(?<!\p{{Nd}}\s){_PLAIN}(?:\s++{_PLAIN})*+"
 
+# Group tests on the condensed text; each rule names at most one of them.
+GATES = {
+    "digits": r"\p{Nd}",
+    "capitals": r"[A-Z\p{Nd}<\-]{7}",
+    "lengthy": r"[!-~]{32}",
+}
+
 DETECTION_SCHEMA = (
     "field_path string, rule_ord int, pattern string, match string, start int, end int, score double"
 )
@@ -65,6 +72,8 @@ def _matches(rules: list[Rule], whole: str, condensed: str) -> str:
         if rule.literals:
             needed = " OR ".join(f"contains({text}, {lit(x)})" for x in rule.literals)
             test = f"({needed}) AND {test}"
+        if rule.gate:
+            test = f"{rule.gate} AND {test}"
         cases.append(
             f"CASE WHEN {test} THEN named_struct('rule_ord', {rule.order}, "
             f"'whole', {str(rule.whole_text).lower()}, "
@@ -130,7 +139,10 @@ def hits_sql(leaves: str, rules: list[Rule], merge: bool, condense: bool = True)
         )
         + " END"
     )
-    found = let("ok", may_condense, let("c", short, let("raw", _matches(rules, "l.text", "c"), hit)))
+    body = let("raw", _matches(rules, "l.text", "c"), hit)
+    for gate, regex in GATES.items():
+        body = let(gate, f"c rlike {lit(regex)}", body)
+    found = let("ok", may_condense, let("c", short, body))
     return f"filter(transform({leaves}, l -> {found}), h -> h IS NOT NULL)"
 
 

@@ -7,7 +7,6 @@ import re
 import zipfile
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +53,7 @@ from textveil.plans.sanitize import (
     rule_map,
     rule_table,
     sanitize,
+    sanitize_hybrid,
     sanitize_reviewed,
     summary,
     with_category,
@@ -67,7 +67,7 @@ from textveil.sources.readers import (
     read_zip_text,
     spread,
 )
-from textveil.sources.scratch import scratch_path
+from textveil.sources.scratch import arrow_target, scratch_path
 from textveil.sources.writers import write_detections, write_records, write_tokenized
 from textveil.streaming.sanitizing import sanitize_stream
 
@@ -137,7 +137,7 @@ def read_zip_archives(spark, sf_dir):
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 archive.writestr(f"{name}/{doc_id}.txt", text)
-        target, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        target, folder = arrow_target(path)
         target.create_dir(folder, recursive=True)
         with target.open_output_stream(f"{folder}/{name}.zip") as out:
             out.write(buffer.getvalue())
@@ -508,10 +508,14 @@ def review_final(spark, sf_dir):
 
 
 def sanitize_with_review(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    stored = write_detections(_hybrid(spark, sf_dir), scratch_path(spark, "hybrid"))
-    queue = review_queue(split_by_confidence(stored)[1], ratio=1.0, max_n=50)
-    return sanitize_reviewed(docs, "doc_id", stored, _verdicts(queue), queue, "mask")
+    return sanitize_hybrid(
+        documents(spark, sf_dir).select("doc_id", "text"),
+        "doc_id",
+        scratch_path(spark, "hybrid"),
+        external=_named_entities(spark, sf_dir),
+        reviewer=_verdicts,
+        action="mask",
+    )
 
 
 def sanitize_unreviewed(spark, sf_dir):
@@ -700,7 +704,11 @@ def redact_stream(spark, sf_dir):
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parque[t]")
     target = scratch_path(spark, "clean")
     query = sanitize_stream(
-        stream.select("doc_id", "text"), target, scratch_path(spark, "progress"), key="doc_id"
+        stream.select("doc_id", "text"),
+        target,
+        scratch_path(spark, "progress"),
+        tasks=spark.sparkContext.defaultParallelism,
+        key="doc_id",
     )
     query.awaitTermination()
     return spark.read.schema("doc_id long, text string").parquet(target)

@@ -8,16 +8,24 @@ detection table between them; only that table is shuffled until it is joined bac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.functions.rules import CATALOGUE, CATEGORY_SOURCES, Rule
+from textveil.functions.rules import (
+    CATALOGUE,
+    CATEGORY_SOURCES,
+    Rule,
+    source_categories,
+    source_generators,
+)
 from textveil.functions.sqltext import barrier, ident, lit
 from textveil.operators.actions import check_action, spliced_sql
-from textveil.operators.detect import hits_sql, split_by_confidence
+from textveil.operators.detect import detect_pii, hits_sql, split_by_confidence
 from textveil.operators.fields import leaves_sql, text_columns, write_back
-from textveil.operators.merge import SPAN_TYPE
-from textveil.operators.review import final_detections
+from textveil.operators.review import final_detections, review_queue
+from textveil.sources.writers import write_detections
 
 # Words the actions themselves write; a second pass would otherwise find them.
 PLACEHOLDER_WORDS = ("REDACTED", "PSEUDONYMIZED")
@@ -117,6 +125,34 @@ def sanitize_reviewed(
     return apply_detections(df, key, final, action, columns, salt)
 
 
+def sanitize_hybrid(
+    df: DataFrame,
+    key: str,
+    audit_path: str,
+    external: DataFrame | None = None,
+    reviewer: Callable[[DataFrame], DataFrame] | None = None,
+    ratio: float = 1.0,
+    max_n: int | None = 50,
+    action: str = "redact",
+    columns: list[str] | None = None,
+    rules: list[Rule] | None = None,
+    salt: str = "",
+    protect_certain: bool = False,
+) -> DataFrame:
+    """Both halves of a run with external detections and review.
+
+    The merged detections are written to ``audit_path`` first and read from there
+    afterwards. ``reviewer`` gets the queue and returns verdicts (the identity of
+    a detection and ``discard``); without one only certain hits are replaced.
+    """
+    check_action(action)
+    found = detect_pii(df, key, columns, rules, external, protect_certain)
+    stored = write_detections(found, audit_path)
+    queue = review_queue(split_by_confidence(stored)[1], ratio, max_n)
+    verdicts = reviewer(queue) if reviewer else None
+    return sanitize_reviewed(df, key, stored, verdicts, queue, action, columns, salt)
+
+
 def organize(df: DataFrame, key: str, detections: DataFrame) -> DataFrame:
     """Detections grouped by record, then by field; records without hits stay,
     with an empty map."""
@@ -129,23 +165,22 @@ def organize(df: DataFrame, key: str, detections: DataFrame) -> DataFrame:
     records = fields.groupBy("record_id").agg(
         F.map_from_entries(F.collect_list(F.struct("field_path", "hits"))).alias("fields")
     )
+    kind = records.schema["fields"].dataType.simpleString()
     ids = df.select(F.col(ident(key)).alias("record_id"))
     return ids.join(records, "record_id", "left").select(
         "record_id",
-        F.coalesce(F.col("fields"), F.expr(f"cast(map() as {records.schema['fields'].dataType.simpleString()})")).alias("fields"),
+        F.coalesce("fields", F.expr(f"cast(map() as {kind})")).alias("fields"),
     )
 
 
-def rule_map(spark) -> DataFrame:
+def rule_map(spark: SparkSession) -> DataFrame:
     """``(source, category, generator)`` for every known detection name."""
     rows = [(s, c, g) for c, (g, sources) in CATEGORY_SOURCES.items() for s in sources]
     return spark.createDataFrame(rows, "source string, category string, generator string")
 
 
-def rule_table(spark) -> DataFrame:
+def rule_table(spark: SparkSession) -> DataFrame:
     """The catalogue as a small table."""
-    from textveil.functions.rules import source_categories, source_generators
-
     categories, generators = source_categories(), source_generators()
     rows = [
         (r.order, r.name, r.regex, categories.get(r.name), generators.get(r.name)) for r in CATALOGUE

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +14,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     ``spark.checkpoint.dir``; a private one only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return f"{base or tempfile.mkdtemp(prefix='textveil-')}/{name}-{uuid.uuid4().hex}"
+
+
+def arrow_target(path: str) -> tuple[FileSystem, str]:
+    """File system and path for writing one file from inside a task."""
+    if path.startswith("file:/"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return FileSystem.from_uri(path if "://" in path else f"file://{path}")

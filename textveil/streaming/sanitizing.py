@@ -19,15 +19,18 @@ def sanitize_stream(
     action: str = "redact",
     fmt: str = "parquet",
     continuous: bool = False,
+    tasks: int | None = None,
     **options,
 ) -> StreamingQuery:
     """Write the sanitised stream to files, each input record exactly once.
 
     By default the query handles all that is there and stops; ``continuous`` lets
-    it go on. The checkpoint must lie on storage that all nodes share.
+    it go on. ``tasks`` deals the rows of a source with few files or partitions out
+    to more tasks. The checkpoint must lie on storage that all nodes share.
     """
+    rows = stream if tasks is None else stream.repartition(tasks)
     writer = (
-        sanitize(stream, action, **options)
+        sanitize(rows, action, **options)
         .writeStream.format(fmt)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
