@@ -94,3 +94,42 @@ def test_organize_and_summary(spark):
     ]
     assert grouped[7]["text"][0].match == "a@b.co"
     assert [tuple(r) for r in summary(found).collect()] == [("CONTACT_EMAIL", "email", 6, 1)]
+
+
+def test_leaves_behind_values_of_changing_size(spark):
+    schema = (
+        "id int, a array<struct<xs:array<string>, y:string>>, m map<string, array<string>>, "
+        "z struct<q:array<string>, r:string>, last string"
+    )
+    rows = [
+        (1, [(["p", "a@b.co"], "y0"), (None, "c@d.co"), ([], None), (["e@f.co"], "y3")],
+         {"k": ["g@h.co", "v"]}, (["w", "i@j.co"], "r"), "k@l.co"),
+        (2, None, {"k": None, "l": ["m@n.co"]}, None, "plain"),
+        (3, [], {}, (None, "o@p.co"), "q@r.co"),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    emails = select_rules(include=["email"])
+    out = {r.id: r.asDict(True) for r in sanitize(df, "redact", "id", rules=emails).collect()}
+    before = {r.id: r.asDict(True) for r in df.collect()}
+
+    def clean(value):
+        if isinstance(value, str):
+            return "[REDACTED]" if "@" in value else value
+        if isinstance(value, dict):
+            return {k: clean(v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [clean(v) for v in value]
+        return value
+
+    assert out == {k: clean(v) for k, v in before.items()}
+
+
+def test_one_very_long_conversation(spark):
+    turns = spark.range(30000).selectExpr("id", "concat('turn ', id, ' by a', id, '@b.co') as text")
+    df = turns.groupBy(F.lit(1).alias("id")).agg(
+        F.expr("transform(array_sort(collect_list(struct(id, text))), t -> struct('user' as role, t.text as content))").alias("messages")
+    )
+    out = sanitize(df, "redact", "id", rules=select_rules(include=["email"]))
+    row = out.select(F.expr("exists(messages, m -> m.content LIKE '%@%')"), F.expr("size(messages)"),
+                     F.expr("messages[29999].content")).collect()[0]
+    assert tuple(row) == (False, 30000, "turn 29999 by [REDACTED]")

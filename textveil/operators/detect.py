@@ -108,42 +108,31 @@ def _located(rule_hit: str, condensed: str, shifts: str) -> str:
     return f"zip_with({shifted}, {r}.found, (s, m) -> {span})"
 
 
-def hits_sql(leaves: str, rules: list[Rule], merge: bool, condense: bool = True) -> str:
-    """SQL for ``array<struct<path, slot, text, spans>>``: the leaves with hits."""
+def spans_sql(text: str, rules: list[Rule], merge: bool, condense: bool = True) -> str:
+    """SQL for the ``array<SPAN_TYPE>`` of a string's hits; null where there are none."""
     if not rules:
-        return (
-            f"cast(array() as array<struct<path:string,slot:string,text:string,"
-            f"spans:array<{SPAN_TYPE}>>>)"
-        )
+        return f"cast(NULL as array<{SPAN_TYPE}>)"
     if merge:
         # Of two rules with one pattern the later can never win.
         seen: set[str] = set()
         rules = [r for r in rules if not (r.regex in seen or seen.add(r.regex))]
     run = lit(PLAIN_RUN)
-    may_condense = f"NOT contains(l.text, {lit(MARKER)})" if condense else "false"
-    short = f"CASE WHEN ok THEN regexp_replace(l.text, {run}, {lit(MARKER)}) ELSE l.text END"
+    may_condense = f"NOT contains(t, {lit(MARKER)})" if condense else "false"
+    short = f"CASE WHEN ok THEN regexp_replace(t, {run}, {lit(MARKER)}) ELSE t END"
+    lost = running_sum(f"transform(regexp_extract_all(t, {run}, 0), w -> length(w) - 1)")
     shifts = (
-        f"CASE WHEN ok AND exists(raw, r -> NOT r.whole) THEN concat(array(0), "
-        + running_sum(f"transform(regexp_extract_all(l.text, {run}, 0), w -> length(w) - 1)")
-        + ") ELSE array(0) END"
+        "CASE WHEN ok AND exists(raw, r -> NOT r.whole) "
+        f"THEN concat(array(0), {lost}) ELSE array(0) END"
     )
     spans = f"flatten(transform(raw, r -> {_located('r', 'ok', 'shifts')}))"
     if merge:
         spans = resolve_overlaps(spans)
-    hit = (
-        "CASE WHEN size(raw) > 0 THEN "
-        + let(
-            "shifts",
-            shifts,
-            f"named_struct('path', l.path, 'slot', l.slot, 'text', l.text, 'spans', {spans})",
-        )
-        + " END"
-    )
-    body = let("raw", _matches(rules, "l.text", "c"), hit)
+    body = f"CASE WHEN size(raw) > 0 THEN {let('shifts', shifts, spans)} END"
+    body = let("raw", _matches(rules, "t", "c"), body)
     for gate, regex in GATES.items():
         body = let(gate, f"c rlike {lit(regex)}", body)
-    found = let("ok", may_condense, let("c", short, body))
-    return f"filter(transform({leaves}, l -> {found}), h -> h IS NOT NULL)"
+    body = let("ok", may_condense, let("c", short, body))
+    return let("t", text, f"CASE WHEN t != '' THEN {body} END")
 
 
 def _rule_hits(
@@ -154,12 +143,12 @@ def _rule_hits(
     merge: bool,
     condense: bool,
 ) -> DataFrame:
-    chosen = text_columns(df, key, columns)
+    leaves = leaves_sql(df, text_columns(df, key, columns))
+    spans = spans_sql("leaf.text", CATALOGUE if rules is None else rules, merge, condense)
+    listed = f"transform({leaves}, leaf -> named_struct('path', leaf.path, 'spans', {spans}))"
     hits = df.select(
         F.col(ident(key)).alias("record_id"),
-        F.expr(
-            hits_sql(leaves_sql(df, chosen), CATALOGUE if rules is None else rules, merge, condense)
-        ).alias("hits"),
+        F.expr(f"filter({listed}, h -> h.spans IS NOT NULL)").alias("hits"),
     )
     return explode_spans(
         barrier(hits, "hits")

@@ -1,7 +1,7 @@
 """String fields of arbitrarily nested records.
 
-Both directions follow the DataFrame schema: reading lists every string leaf
-with its path, writing puts new strings back at the same paths. Neither needs a
+Both directions follow the DataFrame schema: reading lists every string leaf in
+schema order, writing puts new strings back at the same positions. Neither needs a
 shuffle, because a record stays in its row.
 """
 
@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textveil.functions.sqltext import barrier, ident, let, lit
-
-LEAF_TYPE = "array<struct<path:string,slot:string,text:string>>"
+from textveil.functions.sqltext import barrier, ident, let, lit, running_sum
 
 
 def holds_strings(dtype: T.DataType) -> bool:
@@ -42,123 +40,133 @@ def text_columns(df: DataFrame, key: str | None = None, columns: list[str] | Non
     ]
 
 
-class _Walk:
-    """SQL text for reading and writing the leaves of one schema.
+def _fixed_count(dtype: T.DataType) -> int | None:
+    """Leaves of a value of this type, or None where it depends on the value."""
+    if not holds_strings(dtype):
+        return 0
+    if isinstance(dtype, T.StringType):
+        return 1
+    if isinstance(dtype, T.StructType):
+        counts = [_fixed_count(f.dataType) for f in dtype.fields]
+        return None if None in counts else sum(counts)
+    return None
 
-    A leaf has two names: ``path`` is what people read (``messages[0].content``),
-    ``slot`` is the same route with length-prefixed names, so that a map key with
-    a dot in it can never be taken for a nested field.
-    """
 
-    def leaves(self, expr: str, dtype: T.DataType, path: str, slot: str, depth: int = 0) -> str:
-        if isinstance(dtype, T.StringType):
-            return f"array(named_struct('path', {path}, 'slot', {slot}, 'text', {expr}))"
-        if isinstance(dtype, T.StructType):
-            parts = [
-                self.leaves(
-                    f"{expr}.{ident(f.name)}",
-                    f.dataType,
-                    f"concat({path}, {lit('.' + f.name)})",
-                    f"concat({slot}, {lit(_slot(f.name))})",
-                    depth,
-                )
-                for f in dtype.fields
-                if holds_strings(f.dataType)
-            ]
-            return f"concat({', '.join(parts)})"
-        x, i = f"x{depth}", f"i{depth}"
-        if isinstance(dtype, T.ArrayType):
-            inner = self.leaves(
-                x,
-                dtype.elementType,
-                f"concat({path}, '[', {i}, ']')",
-                f"concat({slot}, '[', {i}, ']')",
-                depth + 1,
-            )
-            listed = f"transform({expr}, ({x}, {i}) -> {inner})"
-        else:
-            inner = self.leaves(
-                f"{x}.value",
-                dtype.valueType,
-                f"concat({path}, '.', {x}.key)",
-                f"concat({slot}, length({x}.key), ':', {x}.key)",
-                depth + 1,
-            )
-            listed = f"transform(map_entries({expr}), {x} -> {inner})"
-        return f"coalesce(flatten({listed}), cast(array() as {LEAF_TYPE}))"
-
-    def rebuilt(self, expr: str, dtype: T.DataType, slot: str, lookup, depth: int = 0) -> str:
-        if not holds_strings(dtype):
-            return expr
-        if isinstance(dtype, T.StringType):
-            return f"coalesce({lookup(slot)}, {expr})"
-        if isinstance(dtype, T.StructType):
-            parts = ", ".join(
-                lit(f.name)
-                + ", "
-                + self.rebuilt(
-                    f"{expr}.{ident(f.name)}",
-                    f.dataType,
-                    f"concat({slot}, {lit(_slot(f.name))})",
-                    lookup,
-                    depth,
-                )
-                for f in dtype.fields
-            )
-            return f"CASE WHEN {expr} IS NOT NULL THEN named_struct({parts}) END"
-        x, i = f"x{depth}", f"i{depth}"
-        if isinstance(dtype, T.ArrayType):
-            inner = self.rebuilt(
-                x, dtype.elementType, f"concat({slot}, '[', {i}, ']')", lookup, depth + 1
+def _items(dtype: T.DataType) -> T.DataType:
+    return dtype.elementType if isinstance(dtype, T.ArrayType) else dtype.valueType
+
+
+def _count(expr: str, dtype: T.DataType, depth: int) -> str:
+    """SQL for the number of leaves of a value."""
+    fixed = _fixed_count(dtype)
+    if fixed is not None:
+        return str(fixed)
+    if isinstance(dtype, T.StructType):
+        parts = [_count(f"{expr}.{ident(f.name)}", f.dataType, depth) for f in dtype.fields]
+        return f"({' + '.join(parts)})"
+    each = _fixed_count(_items(dtype))
+    if each is not None:
+        total = f"size({expr}) * {each}"
+    else:
+        x = f"n{depth}"
+        values = expr if isinstance(dtype, T.ArrayType) else f"map_values({expr})"
+        total = f"aggregate({values}, 0, (t{depth}, {x}) -> t{depth} + {_count(x, _items(dtype), depth + 1)})"
+    return f"CASE WHEN {expr} IS NULL THEN 0 ELSE {total} END"
+
+
+def _leaves(expr: str, dtype: T.DataType, path: str | None, depth: int = 0) -> str:
+    """SQL for the leaves of a value: strings, or with ``path`` structs of both."""
+    if isinstance(dtype, T.StringType):
+        return f"array({expr if path is None else leaf(path, expr)})"
+    if isinstance(dtype, T.StructType):
+        parts = [
+            _leaves(
+                f"{expr}.{ident(f.name)}",
+                f.dataType,
+                path and f"concat({path}, {lit('.' + f.name)})",
+                depth,
             )
-            return f"transform({expr}, ({x}, {i}) -> {inner})"
-        inner = self.rebuilt(
-            x, dtype.valueType, f"concat({slot}, length({i}), ':', {i})", lookup, depth + 1
+            for f in dtype.fields
+            if holds_strings(f.dataType)
+        ]
+        return f"concat({', '.join(parts)})"
+    x, i = f"x{depth}", f"i{depth}"
+    if isinstance(dtype, T.ArrayType):
+        inner = _leaves(x, dtype.elementType, path and f"concat({path}, '[', {i}, ']')", depth + 1)
+        listed = f"transform({expr}, ({x}, {i}) -> {inner})"
+    else:
+        inner = _leaves(
+            f"{x}.value", dtype.valueType, path and f"concat({path}, '.', {x}.key)", depth + 1
         )
-        return f"transform_values({expr}, ({i}, {x}) -> {inner})"
+        listed = f"transform(map_entries({expr}), {x} -> {inner})"
+    kind = "string" if path is None else "struct<path:string,text:string>"
+    return f"coalesce(flatten({listed}), cast(array() as array<{kind}>))"
+
 
+def leaf(path: str, text: str) -> str:
+    return f"named_struct('path', {path}, 'text', {text})"
 
-def _slot(name: str) -> str:
-    return f"{len(name)}:{name}"
+
+def texts_sql(df: DataFrame, columns: list[str]) -> str:
+    """``array<string>`` of every string leaf of a row, null and empty ones too."""
+    parts = [_leaves(ident(c), df.schema[c].dataType, None) for c in columns]
+    return f"concat({', '.join(parts)})" if parts else "cast(array() as array<string>)"
 
 
 def leaves_sql(df: DataFrame, columns: list[str]) -> str:
-    """``array<struct<path, slot, text>>`` of the non-empty strings of a row."""
-    walk = _Walk()
-    parts = [
-        walk.leaves(ident(c), df.schema[c].dataType, lit(c), lit(_slot(c))) for c in columns
-    ]
-    if not parts:
-        return f"cast(array() as {LEAF_TYPE})"
-    return f"filter(concat({', '.join(parts)}), leaf -> leaf.text != '')"
+    """``array<struct<path, text>>`` of the same leaves in the same order."""
+    parts = [_leaves(ident(c), df.schema[c].dataType, lit(c)) for c in columns]
+    kind = "array<struct<path:string,text:string>>"
+    return f"concat({', '.join(parts)})" if parts else f"cast(array() as {kind})"
+
+
+def _rebuilt(expr: str, dtype: T.DataType, place: str, changed: str, depth: int = 0) -> str:
+    """SQL for a value whose leaves start at position ``place`` of ``changed``."""
+    if not holds_strings(dtype):
+        return expr
+    if isinstance(dtype, T.StringType):
+        return f"coalesce({changed}[{place}], {expr})"
+    if isinstance(dtype, T.StructType):
+        parts = []
+        for f in dtype.fields:
+            value = f"{expr}.{ident(f.name)}"
+            parts.append(f"{lit(f.name)}, {_rebuilt(value, f.dataType, place, changed, depth)}")
+            place = f"{place} + {_count(value, f.dataType, depth)}"
+        return f"CASE WHEN {expr} IS NOT NULL THEN named_struct({', '.join(parts)}) END"
+    x, i, starts = f"x{depth}", f"i{depth}", f"s{depth}"
+    is_array = isinstance(dtype, T.ArrayType)
+    each = _fixed_count(_items(dtype))
+    first = f"{place} + {i} * {each}" if each is not None else f"{place} + {starts}[{i}]"
+    item = _rebuilt(x if is_array else f"{x}.value", _items(dtype), first, changed, depth + 1)
+    if is_array:
+        built = f"transform({expr}, ({x}, {i}) -> {item})"
+    else:
+        entry = f"named_struct('key', {x}.key, 'value', {item})"
+        built = f"map_from_entries(transform(map_entries({expr}), ({x}, {i}) -> {entry}))"
+    if each is None:
+        values = expr if is_array else f"map_values({expr})"
+        counts = f"transform({values}, {x} -> {_count(x, _items(dtype), depth + 1)})"
+        built = let(starts, f"concat(array(0), {running_sum(counts)})", built)
+    return f"CASE WHEN {expr} IS NOT NULL THEN {built} END"
 
 
 def write_back(df: DataFrame, columns: list[str], changed: str) -> DataFrame:
     """Put new strings into ``columns``.
 
-    ``changed`` names an ``array<struct<slot, text>>`` column with the leaves that
-    differ; rows where it is empty keep their values untouched. It is dropped.
+    ``changed`` names an ``array<string>`` column that lies alongside
+    ``texts_sql`` with null where a leaf stays; rows without any new string keep
+    their values untouched. The column is dropped.
     """
-    walk = _Walk()
     source = ident(changed)
-
-    def lookup(slot: str) -> str:
-        wanted = f"try_element_at(filter({source}, f -> f.slot = wanted), 1).text"
-        return let("wanted", slot, wanted)
-
-    out = []
-    for field in df.schema.fields:
-        if field.name == changed:
-            continue
-        name = ident(field.name)
-        if field.name in columns:
-            new = walk.rebuilt(name, field.dataType, lit(_slot(field.name)), lookup)
-            out.append(
-                F.expr(f"CASE WHEN size({source}) > 0 THEN {new} ELSE {name} END").alias(field.name)
-            )
-        else:
-            out.append(F.col(name))
-    return df.select(*out)
+    place, out = "0", {}
+    for name in columns:
+        dtype = df.schema[name].dataType
+        new = _rebuilt(ident(name), dtype, place, source)
+        out[name] = F.expr(
+            f"CASE WHEN exists({source}, s -> s IS NOT NULL) THEN {new} ELSE {ident(name)} END"
+        ).alias(name)
+        place = f"{place} + {_count(ident(name), dtype, 0)}"
+    return df.select(*[out.get(c, F.col(ident(c))) for c in df.columns if c != changed])
 
 
 def extract_text_fields(
@@ -167,7 +175,8 @@ def extract_text_fields(
     """One row per non-empty string leaf: ``record_id, field_ord, field_path, text``."""
     chosen = text_columns(df, key, columns)
     leaves = df.select(
-        F.col(ident(key)).alias("record_id"), F.expr(leaves_sql(df, chosen)).alias("leaves")
+        F.col(ident(key)).alias("record_id"),
+        F.expr(f"filter({leaves_sql(df, chosen)}, leaf -> leaf.text != '')").alias("leaves"),
     )
     return leaves.select(
         "record_id", F.expr("posexplode(leaves)").alias("field_ord", "leaf")
@@ -190,12 +199,10 @@ def set_text_fields(
         F.collect_list(F.struct("field_path", "text")).alias("__given")
     )
     joined = df.join(grouped, F.col(ident(key)) == F.col("__record"), "left").drop("__record")
-    # Paths become slots through the record's own leaves.
+    given = "try_element_at(filter(__given, g -> g.field_path = leaf.path), 1).text"
     changed = (
-        f"CASE WHEN __given IS NULL THEN cast(array() as array<struct<slot:string,text:string>>) "
-        f"ELSE filter(transform({leaves_sql(df, chosen)}, leaf -> named_struct('slot', leaf.slot, "
-        f"'text', try_element_at(filter(__given, g -> g.field_path = leaf.path), 1).text)), "
-        f"leaf -> leaf.text IS NOT NULL) END"
+        "CASE WHEN __given IS NULL THEN cast(array() as array<string>) "
+        f"ELSE transform({leaves_sql(df, chosen)}, leaf -> {given}) END"
     )
     staged = barrier(joined.withColumn("__changed", F.expr(changed)).drop("__given"), "__changed")
     return write_back(staged, chosen, "__changed").select(*[F.col(ident(c)) for c in df.columns])

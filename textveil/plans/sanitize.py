@@ -20,10 +20,10 @@ from textveil.functions.rules import (
     source_categories,
     source_generators,
 )
-from textveil.functions.sqltext import barrier, ident, lit
+from textveil.functions.sqltext import barrier, ident, let, lit
 from textveil.operators.actions import check_action, spliced_sql
-from textveil.operators.detect import detect_pii, hits_sql, split_by_confidence
-from textveil.operators.fields import leaves_sql, text_columns, write_back
+from textveil.operators.detect import detect_pii, spans_sql, split_by_confidence
+from textveil.operators.fields import leaves_sql, text_columns, texts_sql, write_back
 from textveil.operators.review import final_detections, review_queue
 from textveil.sources.writers import write_detections
 
@@ -52,20 +52,26 @@ def sanitize(
     chosen = text_columns(df, key, columns)
     if not chosen:
         return df
-    hits = hits_sql(leaves_sql(df, chosen), CATALOGUE if rules is None else rules, True, condense)
-    spans = "h.spans"
+    found = spans_sql("leaf", CATALOGUE if rules is None else rules, True, condense)
+    spans = "spans"
     if skip_placeholders:
         words = ", ".join(lit(w) for w in PLACEHOLDER_WORDS)
         spans = f"filter({spans}, s -> s.match NOT IN ({words}))"
     if luhn:
         digits = "regexp_replace(s.match, '[ -]', '')"
         spans = f"filter({spans}, s -> s.pattern != 'credit_card_generic' OR luhn_check({digits}))"
-    changed = (
-        f"transform({hits}, h -> named_struct('slot', h.slot, "
-        f"'text', {spliced_sql('h.text', spans, action, salt)}))"
+    new = let(
+        "spans",
+        found,
+        f"CASE WHEN spans IS NOT NULL THEN {spliced_sql('leaf', spans, action, salt)} END",
     )
-    staged = barrier(df.withColumn("__changed", F.expr(changed)), "__changed")
-    return write_back(staged, chosen, "__changed").select(*[F.col(ident(c)) for c in df.columns])
+    return _replaced(df, df, chosen, f"transform({texts_sql(df, chosen)}, leaf -> {new})")
+
+
+def _replaced(df: DataFrame, staged: DataFrame, columns: list[str], changed: str) -> DataFrame:
+    """``df`` with the strings that ``changed`` works out over ``staged``."""
+    held = barrier(staged.withColumn("__changed", F.expr(changed)), "__changed")
+    return write_back(held, columns, "__changed").select(*[F.col(ident(c)) for c in df.columns])
 
 
 def apply_detections(
@@ -91,18 +97,17 @@ def apply_detections(
         F.expr(f"collect_list(named_struct('path', field_path, 'span', {span}))").alias("__spans")
     )
     joined = df.join(grouped, F.col(ident(key)) == F.col("__record"), "left").drop("__record")
-    own = "transform(filter(__spans, d -> d.path = leaf.path), d -> d.span)"
-    hits = (
-        f"filter(transform({leaves_sql(df, chosen)}, leaf -> named_struct('slot', leaf.slot, "
-        f"'text', leaf.text, 'spans', array_sort({own}))), h -> size(h.spans) > 0)"
+    own = "array_sort(transform(filter(__spans, d -> d.path = leaf.path), d -> d.span))"
+    new = let(
+        "own",
+        own,
+        f"CASE WHEN size(own) > 0 THEN {spliced_sql('leaf.text', 'own', action, salt)} END",
     )
     changed = (
-        "CASE WHEN __spans IS NULL THEN cast(array() as array<struct<slot:string,text:string>>) "
-        f"ELSE transform({hits}, h -> named_struct('slot', h.slot, "
-        f"'text', {spliced_sql('h.text', 'h.spans', action, salt)})) END"
+        "CASE WHEN __spans IS NULL THEN cast(array() as array<string>) "
+        f"ELSE transform({leaves_sql(df, chosen)}, leaf -> {new}) END"
     )
-    staged = barrier(joined.withColumn("__changed", F.expr(changed)).drop("__spans"), "__changed")
-    return write_back(staged, chosen, "__changed").select(*[F.col(ident(c)) for c in df.columns])
+    return _replaced(df, joined, chosen, changed)
 
 
 def sanitize_reviewed(
