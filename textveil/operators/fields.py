@@ -191,18 +191,17 @@ def set_text_fields(
 ) -> DataFrame:
     """Write ``new_texts(record_id, field_path, text)`` back into the records.
 
-    Only changed fields need a row. A record without any keeps its values. The
-    group per record is as large as the record itself at most.
+    Only changed fields need a row, and each at most one. A record without any
+    keeps its values. A group is never larger than the record itself.
     """
     chosen = text_columns(df, key, columns)
     grouped = new_texts.groupBy(F.col("record_id").alias("__record")).agg(
-        F.collect_list(F.struct("field_path", "text")).alias("__given")
+        F.map_from_entries(F.collect_list(F.struct("field_path", "text"))).alias("__given")
     )
     joined = df.join(grouped, F.col(ident(key)) == F.col("__record"), "left").drop("__record")
-    given = "try_element_at(filter(__given, g -> g.field_path = leaf.path), 1).text"
     changed = (
         "CASE WHEN __given IS NULL THEN cast(array() as array<string>) "
-        f"ELSE transform({leaves_sql(df, chosen)}, leaf -> {given}) END"
+        f"ELSE transform({leaves_sql(df, chosen)}, leaf -> try_element_at(__given, leaf.path)) END"
     )
     staged = barrier(joined.withColumn("__changed", F.expr(changed)).drop("__given"), "__changed")
     return write_back(staged, chosen, "__changed").select(*[F.col(ident(c)) for c in df.columns])

@@ -9,6 +9,11 @@ from textveil.functions.sqltext import BLOCK, let
 
 # Field order is the sort order: leftmost first, then longest, then earliest rule.
 SPAN_TYPE = "struct<start:int,shorter:int,rule_ord:int,end:int,match:string,score:double,pattern:string>"
+# The same as an expression over the columns of a long detection table.
+SPAN = (
+    "named_struct('start', start, 'shorter', start - end, 'rule_ord', rule_ord, 'end', end, "
+    "'match', match, 'score', coalesce(score, 1.0D), 'pattern', pattern)"
+)
 CERTAIN = 0.9
 UNCERTAIN = 0.5
 
@@ -54,15 +59,11 @@ def merge_detections(detections: DataFrame, protect_certain: bool = False) -> Da
     uncertain hit cannot displace a certain one that it overlaps.
     """
     grouped = detections.groupBy("record_id", "field_path").agg(
-        F.expr(
-            "collect_list(named_struct('start', start, 'shorter', start - end, "
-            "'rule_ord', rule_ord, 'end', end, 'match', match, "
-            "'score', coalesce(score, 1.0D), 'pattern', pattern))"
-        ).alias("spans")
+        F.expr(f"collect_list({SPAN})").alias("spans")
     )
     spans = "spans"
     if protect_certain:
-        clash = f"exists(sure, y -> x.start < y.end AND y.start < x.end)"
+        clash = "exists(sure, y -> x.start < y.end AND y.start < x.end)"
         spans = let(
             "sure",
             f"filter(spans, x -> x.score >= {CERTAIN}D)",

@@ -179,23 +179,22 @@ def pack(
         .filter("n > 0")
     )
     limit = "total" if keep_tail else f"(total div {length}) * {length}"
+    first = f"CASE WHEN start < {length} THEN 0L ELSE (start - {length}) div {step} + 1 END"
+    last = f"least((start + n - 1) div {step}, ({limit} - 1) div {step})"
+    # The pieces are cut inside the row, so that a long document is not copied
+    # along with each of its windows.
+    low, high = f"greatest(start, w * {step})", f"least(start + n, w * {step} + {length})"
+    piece = (
+        f"named_struct('window', w, 'low', {low}, 'ids', "
+        f"slice(input_ids, cast({low} - start + 1 as int), cast({high} - {low} as int)))"
+    )
     pieces = (
-        placed.withColumn("limit", F.expr(limit))
-        .filter("limit > 0")
-        .withColumn("first", F.expr(f"greatest(0L, floor((start - {length}) / {step}) + 1)"))
-        .withColumn("last", F.expr(f"least((start + n - 1) div {step}, (limit - 1) div {step})"))
+        placed.filter(f"{limit} > 0")
+        .withColumn("first", F.expr(first))
+        .withColumn("last", F.expr(last))
         .filter("first <= last")
-        .withColumn("window", F.expr("explode(sequence(first, last))"))
-        .withColumn("low", F.expr(f"greatest(start, window * {step})"))
-        .withColumn("high", F.expr(f"least(start + n, window * {step} + {length})"))
-        .select(
-            "batch",
-            "window",
-            F.expr(
-                "named_struct('low', low, 'ids', "
-                "slice(input_ids, cast(low - start + 1 as int), cast(high - low as int)))"
-            ).alias("piece"),
-        )
+        .select("batch", F.expr(f"explode(transform(sequence(first, last), w -> {piece}))").alias("cut"))
+        .select("batch", "cut.window", F.struct("cut.low", "cut.ids").alias("piece"))
     )
     joined = F.expr("flatten(transform(array_sort(collect_list(piece)), p -> p.ids))")
     return (

@@ -24,6 +24,7 @@ from textveil.functions.sqltext import barrier, ident, let, lit
 from textveil.operators.actions import check_action, spliced_sql
 from textveil.operators.detect import detect_pii, spans_sql, split_by_confidence
 from textveil.operators.fields import leaves_sql, text_columns, texts_sql, write_back
+from textveil.operators.merge import SPAN
 from textveil.operators.review import final_detections, review_queue
 from textveil.sources.writers import write_detections
 
@@ -89,19 +90,17 @@ def apply_detections(
     """
     check_action(action)
     chosen = text_columns(df, key, columns)
-    span = (
-        "named_struct('start', start, 'shorter', start - end, 'rule_ord', rule_ord, "
-        "'end', end, 'match', match, 'score', coalesce(score, 1.0D), 'pattern', pattern)"
+    fields = detections.groupBy("record_id", "field_path").agg(
+        F.expr(f"array_sort(collect_list({SPAN}))").alias("spans")
     )
-    grouped = detections.groupBy(F.col("record_id").alias("__record")).agg(
-        F.expr(f"collect_list(named_struct('path', field_path, 'span', {span}))").alias("__spans")
+    records = fields.groupBy(F.col("record_id").alias("__record")).agg(
+        F.map_from_entries(F.collect_list(F.struct("field_path", "spans"))).alias("__spans")
     )
-    joined = df.join(grouped, F.col(ident(key)) == F.col("__record"), "left").drop("__record")
-    own = "array_sort(transform(filter(__spans, d -> d.path = leaf.path), d -> d.span))"
+    joined = df.join(records, F.col(ident(key)) == F.col("__record"), "left").drop("__record")
     new = let(
         "own",
-        own,
-        f"CASE WHEN size(own) > 0 THEN {spliced_sql('leaf.text', 'own', action, salt)} END",
+        "try_element_at(__spans, leaf.path)",
+        f"CASE WHEN own IS NOT NULL THEN {spliced_sql('leaf.text', 'own', action, salt)} END",
     )
     changed = (
         "CASE WHEN __spans IS NULL THEN cast(array() as array<string>) "
