@@ -53,6 +53,7 @@ KEPT_OPENING = {
     "slack_webhook_url": r"^https://hooks\.slack\.com/services/",
     "env_var_secrets_regex": r"(?i)^(?:API_KEY|SECRET|TOKEN|PASSWORD|PRIVATE_KEY)",
 }
+KEY_KINDS = ["RSA", "DSA", "EC", "OPENSSH"]
 # Rules with a literal ending, kept as matched.
 KEPT_ENDING = {
     "gcp_client_email": ".iam.gserviceaccount.com",
@@ -62,7 +63,8 @@ KEPT_ENDING = {
 
 def _pick(seed: str, part: str, n: int) -> str:
     """An integer in ``[0, n)`` for one part of a value."""
-    return f"cast(pmod(xxhash64({seed}, '{part}'), {n}) as int)"
+    head = f"substring(sha2(concat({seed}, '|{part}'), 256), 1, 8)"
+    return f"cast(cast(conv({head}, 16, 10) as bigint) % {n} as int)"
 
 
 def _choice(seed: str, part: str, values: list[str]) -> str:
@@ -70,20 +72,22 @@ def _choice(seed: str, part: str, values: list[str]) -> str:
     return f"element_at(array({listed}), {_pick(seed, part, len(values))} + 1)"
 
 
+def _drawn(alphabet: str) -> str:
+    """A character of ``alphabet``, by the ``k``-th pair of digits of ``stream``."""
+    byte = "cast(conv(substring(stream, 2 * k + 1, 2), 16, 10) as int)"
+    return let("abc", alphabet, f"substring(abc, 1 + {byte} % length(abc), 1)")
+
+
 def _shape(seed: str, shape: str, part: str) -> str:
-    """Fill a shape string: '#' digit, 'N' 2-9, 'M' 6-9, '?' capital, 'x' hex,
-    '*' capital or digit."""
+    """Fill a shape of at most 32 characters: '#' digit, 'N' 2-9, 'M' 6-9,
+    '?' capital, 'x' hex, '*' capital or digit."""
     alphabet = (
         "CASE WHEN h = '#' THEN '0123456789' WHEN h = 'N' THEN '23456789' WHEN h = 'M' THEN '6789' "
         "WHEN h = '?' THEN 'ABCDEFGHJKLMNPRSTUWXYZ' WHEN h = 'x' THEN '0123456789abcdef' "
         "WHEN h = '*' THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789' ELSE h END"
     )
-    drawn = let(
-        "abc",
-        alphabet,
-        f"substring(abc, 1 + cast(pmod(xxhash64({seed}, '{part}', k), length(abc)) as int), 1)",
-    )
-    return f"array_join(transform(split({shape}, ''), (h, k) -> {drawn}), '')"
+    filled = f"array_join(transform(split({shape}, ''), (h, k) -> {_drawn(alphabet)}), '')"
+    return let("stream", f"sha2(concat({seed}, '|{part}'), 256)", filled)
 
 
 def generator_sql(kind: str, seed: str) -> str:
@@ -153,58 +157,59 @@ def _kept_end(pattern: str) -> str:
     return f"CASE {' '.join(cases)} ELSE 0 END"
 
 
-def _similar(match: str, seed: str) -> str:
-    """Another string of the same shape: each letter or digit is drawn from its
-    own class, everything else stays. Later attempts keep zeros and never raise a
-    digit, so that bounded numbers stay in bounds."""
+def _similar(seed: str) -> str:
+    """Another string of the same shape as ``chars``: each letter or digit is drawn
+    from its own class, everything else stays. Later attempts keep zeros and never
+    raise a digit, so that bounded numbers stay in bounds."""
     fixed = " OR ".join(
-        f"(pattern = {lit(name)} AND (" + " OR ".join(f"k = {p - 1}" for p in spots) + "))"
+        f"(pattern = {lit(name)} AND k IN ({', '.join(str(p - 1) for p in spots)}))"
         for name, spots in KEPT_POSITIONS.items()
     )
     alphabet = (
         f"CASE WHEN k < kept OR k >= size(chars) - tail OR {fixed} THEN h "
         "WHEN h = '0' THEN CASE WHEN attempt < 3 THEN '0123456789' ELSE '0' END "
-        "WHEN h BETWEEN '1' AND '9' AND length(h) = 1 THEN "
+        "WHEN h BETWEEN '1' AND '9' THEN "
         "CASE WHEN attempt < 3 THEN '123456789' ELSE substring('123456789', 1, cast(h as int)) END "
         "WHEN h BETWEEN 'A' AND 'F' THEN 'ABCDEF' WHEN h BETWEEN 'G' AND 'Z' THEN 'GHIJKLMNOPQRSTUVWXYZ' "
         "WHEN h BETWEEN 'a' AND 'f' THEN 'abcdef' WHEN h BETWEEN 'g' AND 'z' THEN 'ghijklmnopqrstuvwxyz' "
         "ELSE h END"
     )
-    drawn = let(
-        "abc",
-        alphabet,
-        f"substring(abc, 1 + cast(pmod(xxhash64({seed}, attempt, k), length(abc)) as int), 1)",
-    )
-    return f"array_join(transform(chars, (h, k) -> {drawn}), '')"
+    # 32 pairs of digits per digest.
+    blocks = "sequence(0, (size(chars) - 1) div 32)"
+    digest = f"sha2(concat({seed}, '|', attempt, '|', block), 256)"
+    stream = f"array_join(transform({blocks}, block -> {digest}), '')"
+    return let("stream", stream, f"array_join(transform(chars, (h, k) -> {_drawn(alphabet)}), '')")
 
 
 def _accepts(name: str, regex: str) -> str:
-    flag, body = ("(?U)(?i)", regex[4:]) if regex.startswith("(?i)") else ("(?U)", regex)
-    return f"WHEN pattern = {lit(name)} THEN made rlike {lit(flag + '^(?:' + body + ')' + chr(92) + 'z')}"
+    flags, body = ("(?U)(?i)", regex[4:]) if regex.startswith("(?i)") else ("(?U)", regex)
+    whole = rf"{flags}^(?:{body})\z"
+    return f"WHEN pattern = {lit(name)} THEN made rlike {lit(whole)}"
 
 
 def _regex_valued(match: str, seed: str) -> str:
-    """First attempt that the rule itself accepts, else the fixed fallback."""
+    """The first attempt that the rule itself accepts, else the fixed fallback."""
     shaped = [r for r in CATALOGUE if source_generators().get(r.name) == "regex"]
     accepts = " ".join(_accepts(r.name, r.regex) for r in shaped)
-    made = f"transform(sequence(0, {ATTEMPTS - 1}), attempt -> {_similar(match, seed)})"
-    ok = f"length(made) <= {MAX_LENGTH} AND made != {match} AND CASE {accepts} ELSE false END"
+    ok = f"made != {match} AND CASE {accepts} ELSE false END"
+    attempt = let("made", _similar(seed), f"CASE WHEN {ok} THEN made END")
+    found = (
+        f"aggregate(sequence(0, {ATTEMPTS - 1}), cast(NULL as string), (best, attempt) -> "
+        f"CASE WHEN best IS NOT NULL THEN best ELSE {attempt} END)"
+    )
     found = let(
         "kept",
         _kept_chars("pattern", match),
-        let(
-            "tail",
-            _kept_end("pattern"),
-            let("chars", f"split({match}, '')", f"filter({made}, made -> {ok})"),
-        ),
+        let("tail", _kept_end("pattern"), let("chars", f"split({match}, '')", found)),
     )
-    key_kind = _choice(seed, "key", ["RSA", "DSA", "EC", "OPENSSH"])
+    key_kind = _choice(seed, "key", KEY_KINDS)
     return (
         # The only string its rule allows, and the one rule that lists words.
         f"CASE WHEN pattern = 'crypto_keys_rsa_private_key' THEN {match} "
         "WHEN pattern = 'crypto_keys_ssh_private_key' "
         f"THEN concat('-----BEGIN ', {key_kind}, ' PRIVATE KEY-----') "
-        f"ELSE coalesce(try_element_at({found}, 1), {lit(FALLBACK)}) END"
+        f"WHEN length({match}) <= {MAX_LENGTH} THEN coalesce({found}, {lit(FALLBACK)}) "
+        f"ELSE {lit(FALLBACK)} END"
     )
 
 

@@ -7,7 +7,9 @@ rule runs, and the rules with look-ahead run without it and are filtered.
 
 from __future__ import annotations
 
-from textveil.functions.rules import CATALOGUE, CATEGORY_SOURCES, Rule
+from textveil.functions import pools
+from textveil.functions.rules import CATALOGUE, CATEGORY_SOURCES, Rule, source_generators
+from textveil.operators import pseudonym
 from textveil.operators.tokens import Codec
 
 FOLDED = r"[\x{00C0}-\x{024F}]"
@@ -125,6 +127,119 @@ def category_case(column: str, generator: bool = False) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
+def _pick(part: str, n: int, seed: str = "seed") -> str:
+    return f"CAST('0x' || substr(sha256({seed} || '|{part}'), 1, 8) AS BIGINT) % {n}"
+
+
+def _choice(part: str, values: list[str]) -> str:
+    return f"[{', '.join(quoted(v) for v in values)}][1 + {_pick(part, len(values))}]"
+
+
+def _byte(stream: str) -> str:
+    return f"CAST('0x' || substr({stream}, 2 * k - 1, 2) AS INT)"
+
+
+def _shape(shape: str, part: str) -> str:
+    """Characters of a shape drawn by the pairs of one digest."""
+    abc = (
+        "(CASE substr({s}, k, 1) WHEN '#' THEN '0123456789' WHEN 'N' THEN '23456789' WHEN 'M' THEN '6789' "
+        "WHEN '?' THEN 'ABCDEFGHJKLMNPRSTUWXYZ' WHEN 'x' THEN '0123456789abcdef' "
+        "WHEN '*' THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789' ELSE substr({s}, k, 1) END)"
+    ).format(s=shape)
+    digest = f"sha256(seed || '|{part}')"
+    return (
+        f"array_to_string(list_transform(range(1, length({shape}) + 1), "
+        f"lambda k: substr({abc}, 1 + {_byte(digest)} % length({abc}), 1)), '')"
+    )
+
+
+def fake_value(kind: str) -> str:
+    """A generated value of one kind for the column ``seed``."""
+    first, last = _choice("first", pools.FIRST_NAMES), _choice("last", pools.LAST_NAMES)
+    place = "[" + ", ".join(
+        f"{{'s': {quoted(a)}, 't': {quoted(b)}, 'p': {quoted(c)}}}" for a, b, c in pools.PLACES
+    ) + f"][1 + {_pick('place', len(pools.PLACES))}]"
+    area = f"(1 + {_pick('area', 898)})"
+    words = [w.lower() for w in pools.STREETS]
+    return {
+        "name": f"{first} || ' ' || {last}",
+        "organization": f"{_choice('stem', pools.COMPANY_STEMS)} || ' ' || {_choice('end', pools.COMPANY_ENDS)}",
+        "email": f"lower({first}) || '.' || lower({last}) || (1 + {_pick('no', 9999)}) || '@' || "
+        f"{_choice('host', pools.MAIL_HOSTS)}",
+        "phone": _shape(_choice("shape", pools.PHONE_SHAPES), "digit"),
+        "address": f"(1 + {_pick('house', 999)}) || ' ' || {_choice('street', pools.STREETS)} || ' ' || "
+        f"({place}).s || ', ' || ({place}).t || ' ' || {_shape(f'({place}).p', 'post')}",
+        "ssn": f"lpad(CAST(CASE WHEN {area} >= 666 THEN {area} + 1 ELSE {area} END AS VARCHAR), 3, '0') || '-' || "
+        f"lpad(CAST(1 + {_pick('group', 99)} AS VARCHAR), 2, '0') || '-' || "
+        f"lpad(CAST(1 + {_pick('serial', 9999)} AS VARCHAR), 4, '0')",
+        "uri": f"'https://' || {_choice('host', pools.MAIL_HOSTS)} || '/' || {_choice('word', words)} || '/' || "
+        f"{_pick('no', 99999)}",
+        "license": _shape("repeat('*', 15)", "licence"),
+        "passport": _shape("repeat('*', 9)", "passport"),
+        "api_token": _shape("repeat('x', 32)", "token"),
+    }[kind]
+
+
+def pseudonyms(salt: str) -> str:
+    """CTE ``made(… of merged, value)`` with the replacement of each detection."""
+    starts = " ".join(f"WHEN {quoted(n)} THEN {k}" for n, k in pseudonym.KEPT_START.items())
+    openings = " ".join(
+        f"WHEN {quoted(n)} THEN length(regexp_extract(match, {quoted(rx)}))"
+        for n, rx in pseudonym.KEPT_OPENING.items()
+    )
+    ends = " ".join(f"WHEN {quoted(n)} THEN {len(e)}" for n, e in pseudonym.KEPT_ENDING.items())
+    spots = " OR ".join(
+        f"(pattern = {quoted(n)} AND k IN ({', '.join(map(str, places))}))"
+        for n, places in pseudonym.KEPT_POSITIONS.items()
+    )
+    h = "substr(match, k, 1)"
+    abc = (
+        f"(CASE WHEN k <= front OR k > length(match) - tail OR {spots} THEN {h} "
+        f"WHEN {h} = '0' THEN CASE WHEN attempt < 3 THEN '0123456789' ELSE '0' END "
+        f"WHEN regexp_full_match({h}, '[1-9]') THEN CASE WHEN attempt < 3 THEN '123456789' "
+        f"ELSE substr('123456789', 1, TRY_CAST({h} AS INT)) END "
+        f"WHEN regexp_full_match({h}, '[A-F]') THEN 'ABCDEF' "
+        f"WHEN regexp_full_match({h}, '[A-Z]') THEN 'GHIJKLMNOPQRSTUVWXYZ' "
+        f"WHEN regexp_full_match({h}, '[a-f]') THEN 'abcdef' "
+        f"WHEN regexp_full_match({h}, '[a-z]') THEN 'ghijklmnopqrstuvwxyz' ELSE {h} END)"
+    )
+    rules = [r for r in CATALOGUE if source_generators().get(r.name) == "regex"]
+    accepted = " ".join(
+        f"WHEN {quoted(r.name)} THEN regexp_full_match(shaped, {quoted(NO_LOOKAHEAD.get(r.name, (r.regex,))[0])})"
+        for r in rules
+    )
+    key = f"'-----BEGIN ' || {_choice('key', pseudonym.KEY_KINDS)} || ' PRIVATE KEY-----'"
+    kinds = " ".join(
+        f"WHEN {quoted(k)} THEN {fake_value(k)}" for k in ("name", "organization", "email", "phone", "address", "ssn")
+    )
+    return f"""seeded AS (
+  SELECT *, {category_case('pattern', True)} AS kind,
+         sha256(concat_ws('|', {quoted(salt)}, {category_case('pattern')}, match)) AS seed,
+         CASE pattern {starts} {openings} ELSE 0 END AS front, CASE pattern {ends} ELSE 0 END AS tail
+  FROM merged),
+attempts AS (
+  SELECT *, array_to_string(list_transform(range(0, (length(match) - 1) // 32 + 1),
+      lambda b: sha256(seed || '|' || attempt || '|' || b)), '') AS stream
+  FROM (SELECT *, unnest(range(0, {pseudonym.ATTEMPTS})) AS attempt FROM seeded
+        WHERE kind = 'regex' AND length(match) <= {pseudonym.MAX_LENGTH})),
+shapes AS (
+  SELECT *, array_to_string(list_transform(range(1, length(match) + 1),
+      lambda k: substr({abc}, 1 + {_byte('stream')} % length({abc}), 1)), '') AS shaped
+  FROM attempts),
+best AS (
+  SELECT record_id, field_path, start, arg_min(shaped, attempt) AS shaped FROM shapes
+  WHERE shaped <> match AND CASE pattern {accepted} ELSE false END GROUP BY 1, 2, 3),
+made AS (
+  SELECT s.*, CASE
+      WHEN kind IS NULL THEN '[' || upper(pattern) || ']'
+      WHEN kind = 'keep' OR pattern = 'crypto_keys_rsa_private_key' THEN match
+      WHEN pattern = 'crypto_keys_ssh_private_key' THEN {key}
+      WHEN kind = 'regex' THEN regexp_replace(trim(regexp_replace(
+        coalesce(b.shaped, {quoted(pseudonym.FALLBACK)}), '[\t\n\r\f\v]', ' ', 'g')), '\s{{2,}}', ' ', 'g')
+      ELSE CASE kind {kinds} END END AS value
+  FROM seeded s LEFT JOIN best b USING (record_id, field_path, start))"""
+
+
 def token_pattern(codec: Codec) -> str:
     """The codec's pattern with every character class spelled out."""
     signs = r"!-/:;=>?@\[-`{-~"

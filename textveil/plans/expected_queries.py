@@ -16,9 +16,11 @@ from textveil.plans.expected import (
     dialogue_text,
     draw,
     ended,
+    fake_value,
     framed_tokens,
     kept,
     listed,
+    pseudonyms,
     quoted,
     rule_hits,
     sanitized,
@@ -26,7 +28,7 @@ from textveil.plans.expected import (
     token_ids,
     windows,
 )
-from textveil.plans.queries import MINIMAL_RULES
+from textveil.plans.queries import KINDS, MINIMAL_RULES
 
 ALL_DOCUMENT_COLUMNS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
@@ -234,6 +236,20 @@ checked AS (SELECT record_id, field_path,
   nullif(list_filter(spans, lambda y: y.m NOT IN ('REDACTED', 'PSEUDONYMIZED')), []) AS spans FROM kept2)
 SELECT t.record_id AS doc_id, {spliced(REDACT)} AS text
 FROM texts2 t LEFT JOIN checked c USING (record_id, field_path)""",
+    "pseudonymize_documents": f"""WITH {rule_hits(DOCUMENTS)}, {kept()}, {pseudonyms('demo')},
+grouped AS (
+  SELECT record_id, field_path, list(struct_pack(s := start, e := "end", v := value) ORDER BY start) AS spans
+  FROM made GROUP BY record_id, field_path)
+SELECT t.record_id AS doc_id, {spliced('z.v')} AS text
+FROM texts t LEFT JOIN grouped g USING (record_id, field_path)""",
+    "pseudonym_kinds": "WITH seeds AS (SELECT c_custkey, unnest(kinds) AS kind, "
+    "sha256('demo|' || kind || '|' || c_custkey) AS seed FROM customer, (SELECT "
+    + "[" + ", ".join(quoted(k) for k in KINDS) + "] AS kinds)), "
+    + "made AS (SELECT c_custkey, kind, CASE kind "
+    + " ".join(f"WHEN {quoted(k)} THEN {fake_value(k)}" for k in KINDS)
+    + " END AS value FROM seeds) SELECT c_custkey, "
+    + ", ".join(f"max(value) FILTER (WHERE kind = {quoted(k)}) AS {k}" for k in KINDS)
+    + " FROM made GROUP BY 1",
     "pseudonym_shapes": f"""WITH {rule_hits(DOCUMENTS)}, {kept()}
 SELECT pattern, count(*) AS hits, count(*) AS valid, CAST(0 AS BIGINT) AS unchanged FROM merged GROUP BY 1""",
     "pseudonym_lengths": "SELECT c_custkey, true AS ssn_ok, true AS license_ok, true AS passport_ok, "

@@ -72,6 +72,7 @@ from textveil.sources.writers import write_detections, write_records, write_toke
 from textveil.streaming.sanitizing import sanitize_stream
 
 MINIMAL_RULES = ["email", "ip_ipv4", "gcp_private_key_id"]
+KINDS = "name organization email phone address ssn uri license passport api_token".split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -442,8 +443,7 @@ def pseudonym_kinds(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(
         "c_custkey", F.col("c_custkey").cast("string").alias("k")
     )
-    kinds = "name organization email phone address ssn uri license passport api_token".split()
-    return customers.select("c_custkey", *[generated(k, "k", "demo").alias(k) for k in kinds])
+    return customers.select("c_custkey", *[generated(k, "k", "demo").alias(k) for k in KINDS])
 
 
 def pseudonym_lengths(spark, sf_dir):
