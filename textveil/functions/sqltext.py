@@ -45,11 +45,11 @@ def running_sum(values: str) -> str:
     return let("v", values, f"CASE WHEN size(v) = 0 THEN {none} ELSE {folded} END")
 
 
-def barrier(df: DataFrame, name: str) -> DataFrame:
-    """Keep ``name`` as a computed value.
+def held(df: DataFrame, name: str, value: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add the SQL expression ``value`` as column ``name`` and keep it computed.
 
-    A one-element generator stops the optimiser from pasting the expression
-    behind ``name`` into later projections, where it would run many times.
+    A one-element generator stops the optimiser from pasting the expression into
+    later projections, where it would run many times.
     """
-    others = [F.col(ident(c)) for c in df.columns if c != name]
-    return df.select(*others, F.expr(f"explode(array({ident(name)}))").alias(name))
+    others = [F.col(ident(c)) for c in df.columns if c not in drop]
+    return df.select(*others, F.expr(f"explode(array({value}))").alias(name))

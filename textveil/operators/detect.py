@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textveil.functions.rules import CATALOGUE, RULE_NAMES, Rule
-from textveil.functions.sqltext import barrier, ident, let, lit, running_sum
+from textveil.functions.sqltext import ident, let, lit, running_sum
 from textveil.functions.workers import once_per_worker
 from textveil.operators.fields import extract_text_fields, leaves_sql, text_columns
 from textveil.operators.merge import (
@@ -148,13 +148,9 @@ def _rule_hits(
     listed = f"transform({leaves}, leaf -> named_struct('path', leaf.path, 'spans', {spans}))"
     hits = df.select(
         F.col(ident(key)).alias("record_id"),
-        F.expr(f"filter({listed}, h -> h.spans IS NOT NULL)").alias("hits"),
-    )
-    return explode_spans(
-        barrier(hits, "hits")
-        .select("record_id", F.expr("explode(hits)").alias("hit"))
-        .selectExpr("record_id", "hit.path as field_path", "hit.spans as spans")
+        F.expr(f"explode(filter({listed}, h -> h.spans IS NOT NULL))").alias("hit"),
     )
+    return explode_spans(hits.selectExpr("record_id", "hit.path as field_path", "hit.spans as spans"))
 
 
 def detect_rules(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textveil.functions.sqltext import barrier, ident, let, lit, running_sum
+from textveil.functions.sqltext import held, ident, let, lit, running_sum
 
 
 def holds_strings(dtype: T.DataType) -> bool:
@@ -203,5 +203,5 @@ def set_text_fields(
         "CASE WHEN __given IS NULL THEN cast(array() as array<string>) "
         f"ELSE transform({leaves_sql(df, chosen)}, leaf -> try_element_at(__given, leaf.path)) END"
     )
-    staged = barrier(joined.withColumn("__changed", F.expr(changed)).drop("__given"), "__changed")
-    return write_back(staged, chosen, "__changed").select(*[F.col(ident(c)) for c in df.columns])
+    staged = held(joined, "__changed", changed, drop=("__given",))
+    return write_back(staged, chosen, "__changed")

@@ -235,7 +235,7 @@ made AS (
       WHEN kind = 'keep' OR pattern = 'crypto_keys_rsa_private_key' THEN match
       WHEN pattern = 'crypto_keys_ssh_private_key' THEN {key}
       WHEN kind = 'regex' THEN regexp_replace(trim(regexp_replace(
-        coalesce(b.shaped, {quoted(pseudonym.FALLBACK)}), '[\t\n\r\f\v]', ' ', 'g')), '\s{{2,}}', ' ', 'g')
+        coalesce(b.shaped, {quoted(pseudonym.FALLBACK)}), '[\\t\\n\\r\\f\\v]', ' ', 'g')), '\\s{{2,}}', ' ', 'g')
       ELSE CASE kind {kinds} END END AS value
   FROM seeded s LEFT JOIN best b USING (record_id, field_path, start))"""
 

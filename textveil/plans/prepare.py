@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.functions.sqltext import barrier
+from textveil.functions.sqltext import let
 from textveil.operators.messages import ChatTemplate, eos_sql, messages_sql, render_sql
 from textveil.operators.order import with_file_order
 from textveil.operators.schema import detect_schema, keep_only, lower_columns
@@ -29,8 +29,7 @@ def chat_text(
 ) -> DataFrame:
     """Add ``rendered``: the chat of each record, ended by the end marker."""
     rendered = render_sql(messages_sql(df, layout), template)
-    staged = barrier(df.withColumn("rendered", F.expr(rendered)), "rendered")
-    return staged.withColumn("rendered", F.expr(eos_sql("rendered", eos)))
+    return df.withColumn("rendered", F.expr(let("chat", rendered, eos_sql("chat", eos))))
 
 
 def _token_rows(
@@ -53,8 +52,8 @@ def _token_rows(
         framed = frame_documents(in_batches(texts, key, dense=dense), "text", codec)
         packed = pack(framed.withColumn("input_ids", ids("text")), max_length, overlap)
         return keep_only(packed, "input_ids", "attention_mask")
-    tokens = chat_text(df, layout, template, codec.eos).withColumn("input_ids", ids("rendered"))
-    tokens = barrier(tokens.select("input_ids"), "input_ids")
+    rendered = chat_text(df, layout, template, codec.eos)
+    tokens = rendered.select(ids("rendered").alias("input_ids"))
     return truncate(tokens, max_length) if max_length is not None else tokens.withColumn(
         "attention_mask", F.expr("array_repeat(1, size(input_ids))")
     )

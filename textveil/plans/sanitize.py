@@ -20,7 +20,7 @@ from textveil.functions.rules import (
     source_categories,
     source_generators,
 )
-from textveil.functions.sqltext import barrier, ident, let, lit
+from textveil.functions.sqltext import held, ident, let, lit
 from textveil.operators.actions import check_action, spliced_sql
 from textveil.operators.detect import detect_pii, spans_sql, split_by_confidence
 from textveil.operators.fields import leaves_sql, text_columns, texts_sql, write_back
@@ -66,13 +66,8 @@ def sanitize(
         found,
         f"CASE WHEN spans IS NOT NULL THEN {spliced_sql('leaf', spans, action, salt)} END",
     )
-    return _replaced(df, df, chosen, f"transform({texts_sql(df, chosen)}, leaf -> {new})")
-
-
-def _replaced(df: DataFrame, staged: DataFrame, columns: list[str], changed: str) -> DataFrame:
-    """``df`` with the strings that ``changed`` works out over ``staged``."""
-    held = barrier(staged.withColumn("__changed", F.expr(changed)), "__changed")
-    return write_back(held, columns, "__changed").select(*[F.col(ident(c)) for c in df.columns])
+    changed = f"transform({texts_sql(df, chosen)}, leaf -> {new})"
+    return write_back(held(df, "__changed", changed), chosen, "__changed")
 
 
 def apply_detections(
@@ -106,7 +101,8 @@ def apply_detections(
         "CASE WHEN __spans IS NULL THEN cast(array() as array<string>) "
         f"ELSE transform({leaves_sql(df, chosen)}, leaf -> {new}) END"
     )
-    return _replaced(df, joined, chosen, changed)
+    staged = held(joined, "__changed", changed, drop=("__spans",))
+    return write_back(staged, chosen, "__changed")
 
 
 def sanitize_reviewed(

@@ -116,18 +116,13 @@ def read_tokenized(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOKEN_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
-def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Give a small input enough partitions to use all cores.
 
     A file of one row group is read by one task, however heavy the work on it is.
-    Only a few files of less than 32 MB per core are moved; anything bigger has
-    enough splits already, and moving it would shuffle the whole data.
+    Only inputs with no more splits than cores are moved, so at most one split
+    (``spark.sql.files.maxPartitionBytes``) per core goes through the shuffle;
+    anything bigger keeps its splits.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= 2 * cores:
-        return df
-    listed = spark.read.format("binaryFile").load(files)
-    size = listed.agg(F.sum("length")).head()[0]
-    return df if size > cores * 32 * 1024 * 1024 else df.repartition(tasks or 2 * cores)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(2 * cores)
