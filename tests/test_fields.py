@@ -133,3 +133,14 @@ def test_one_very_long_conversation(spark):
     row = out.select(F.expr("exists(messages, m -> m.content LIKE '%@%')"), F.expr("size(messages)"),
                      F.expr("messages[29999].content")).collect()[0]
     assert tuple(row) == (False, 30000, "turn 29999 by [REDACTED]")
+
+
+def test_column_names_like_variables(spark):
+    names = ["x0", "i0", "s0", "s", "t", "c", "r", "h", "leaf", "v", "raw"]
+    schema = ", ".join(f"{n} array<struct<{n}:array<string>>>" for n in names)
+    value = [(["a@b.co", "plain"],), (["x"],)]
+    df = spark.createDataFrame([tuple(value for _ in names)], schema)
+    row = sanitize(df, "redact", rules=select_rules(include=["email"])).collect()[0]
+    assert all(row[n] == [(["[REDACTED]", "plain"],), (["x"],)] for n in names)
+    paths = extract_text_fields(df.selectExpr("1 as id", "*"), "id").collect()
+    assert len(paths) == 3 * len(names)

@@ -57,7 +57,8 @@ def _items(dtype: T.DataType) -> T.DataType:
 
 
 def _count(expr: str, dtype: T.DataType, depth: int) -> str:
-    """SQL for the number of leaves of a value."""
+    """SQL for the number of leaves of a value. Names of lambda variables start with
+    two underscores throughout, so that they hide no column."""
     fixed = _fixed_count(dtype)
     if fixed is not None:
         return str(fixed)
@@ -68,9 +69,10 @@ def _count(expr: str, dtype: T.DataType, depth: int) -> str:
     if each is not None:
         total = f"size({expr}) * {each}"
     else:
-        x = f"n{depth}"
+        x, total_so_far = f"__n{depth}", f"__t{depth}"
         values = expr if isinstance(dtype, T.ArrayType) else f"map_values({expr})"
-        total = f"aggregate({values}, 0, (t{depth}, {x}) -> t{depth} + {_count(x, _items(dtype), depth + 1)})"
+        inner = _count(x, _items(dtype), depth + 1)
+        total = f"aggregate({values}, 0, ({total_so_far}, {x}) -> {total_so_far} + {inner})"
     return f"CASE WHEN {expr} IS NULL THEN 0 ELSE {total} END"
 
 
@@ -90,7 +92,7 @@ def _leaves(expr: str, dtype: T.DataType, path: str | None, depth: int = 0) -> s
             if holds_strings(f.dataType)
         ]
         return f"concat({', '.join(parts)})"
-    x, i = f"x{depth}", f"i{depth}"
+    x, i = f"__x{depth}", f"__i{depth}"
     if isinstance(dtype, T.ArrayType):
         inner = _leaves(x, dtype.elementType, path and f"concat({path}, '[', {i}, ']')", depth + 1)
         listed = f"transform({expr}, ({x}, {i}) -> {inner})"
@@ -133,7 +135,7 @@ def _rebuilt(expr: str, dtype: T.DataType, place: str, changed: str, depth: int
             parts.append(f"{lit(f.name)}, {_rebuilt(value, f.dataType, place, changed, depth)}")
             place = f"{place} + {_count(value, f.dataType, depth)}"
         return f"CASE WHEN {expr} IS NOT NULL THEN named_struct({', '.join(parts)}) END"
-    x, i, starts = f"x{depth}", f"i{depth}", f"s{depth}"
+    x, i, starts = f"__x{depth}", f"__i{depth}", f"__s{depth}"
     is_array = isinstance(dtype, T.ArrayType)
     each = _fixed_count(_items(dtype))
     first = f"{place} + {i} * {each}" if each is not None else f"{place} + {starts}[{i}]"
@@ -163,7 +165,7 @@ def write_back(df: DataFrame, columns: list[str], changed: str) -> DataFrame:
         dtype = df.schema[name].dataType
         new = _rebuilt(ident(name), dtype, place, source)
         out[name] = F.expr(
-            f"CASE WHEN exists({source}, s -> s IS NOT NULL) THEN {new} ELSE {ident(name)} END"
+            f"CASE WHEN exists({source}, __c -> __c IS NOT NULL) THEN {new} ELSE {ident(name)} END"
         ).alias(name)
         place = f"{place} + {_count(ident(name), dtype, 0)}"
     return df.select(*[out.get(c, F.col(ident(c))) for c in df.columns if c != changed])

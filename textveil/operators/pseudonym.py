@@ -125,8 +125,9 @@ def generator_sql(kind: str, seed: str) -> str:
             f"lpad(1 + {_pick(seed, 'serial', 9999)}, 4, '0'))"
         )
     if kind == "uri":
+        host = _choice(seed, "host", pools.MAIL_HOSTS)
         word = _choice(seed, "word", [s.lower() for s in pools.STREETS])
-        return f"concat('https://', {_choice(seed, 'host', pools.MAIL_HOSTS)}, '/', {word}, '/', {_pick(seed, 'no', 99999)})"
+        return f"concat('https://', {host}, '/', {word}, '/', {_pick(seed, 'no', 99999)})"
     if kind == "license":
         return _shape(seed, "repeat('*', 15)", "licence")
     if kind == "passport":

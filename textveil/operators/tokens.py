@@ -69,20 +69,21 @@ class Codec:
             ]
         )
 
-    def ids_sql(self, text: str) -> str:
-        """SQL for the ``array<int>`` of ids of a string."""
+    def ids_sql(self, text: str, limit: int | None = None) -> str:
+        """SQL for the ``array<int>`` of ids of a string, or of its first ``limit``."""
+        pieces = f"regexp_extract_all({text}, {lit(self.pattern)}, 0)"
+        if limit is not None:
+            pieces = f"slice({pieces}, 1, {limit})"
         fixed = " ".join(f"WHEN {lit(m)} THEN {i}" for m, i in self.markers.items())
         spread = self.vocabulary - self.first_id
         drawn = f"{self.first_id} + cast(conv(substring(md5(p), 1, 8), 16, 10) as bigint) % {spread}"
-        return (
-            f"transform(regexp_extract_all({text}, {lit(self.pattern)}, 0), "
-            f"p -> cast(CASE p {fixed} ELSE {drawn} END as int))"
-        )
+        return f"transform({pieces}, p -> cast(CASE p {fixed} ELSE {drawn} END as int))"
 
 
-def tokenize(text: str, codec: Codec = Codec()) -> Column:
-    """Token ids of a string column."""
-    return F.expr(codec.ids_sql(ident(text)))
+def tokenize(text: str, codec: Codec = Codec(), limit: int | None = None) -> Column:
+    """Token ids of a string column. A ``limit`` saves the work for ids that
+    ``truncate`` would cut off again."""
+    return F.expr(codec.ids_sql(ident(text), limit))
 
 
 def tokenize_with(

@@ -43,8 +43,8 @@ def _token_rows(
     codec: Codec,
     encoder: tuple[str, Callable] | None,
 ) -> DataFrame:
-    def ids(column: str):
-        return tokenize_with(column, *encoder) if encoder else tokenize(column, codec)
+    def ids(column: str, limit: int | None = None):
+        return tokenize_with(column, *encoder) if encoder else tokenize(column, codec, limit)
 
     if layout == "DAPT":
         # Only key and text travel; a null text is no document.
@@ -53,7 +53,7 @@ def _token_rows(
         packed = pack(framed.withColumn("input_ids", ids("text")), max_length, overlap)
         return keep_only(packed, "input_ids", "attention_mask")
     rendered = chat_text(df, layout, template, codec.eos)
-    tokens = rendered.select(ids("rendered").alias("input_ids"))
+    tokens = rendered.select(ids("rendered", max_length).alias("input_ids"))
     return truncate(tokens, max_length) if max_length is not None else tokens.withColumn(
         "attention_mask", F.expr("array_repeat(1, size(input_ids))")
     )

@@ -154,7 +154,7 @@ def load_by_extension(spark, sf_dir):
 
 
 def _token_table(spark, sf_dir) -> DataFrame:
-    rows = documents(spark, sf_dir).withColumn("input_ids", tokenize("text"))
+    rows = documents(spark, sf_dir).withColumn("input_ids", tokenize("text", limit=128))
     return truncate(rows.select("doc_id", "input_ids"), 128)
 
 
