@@ -247,17 +247,31 @@ def token_pattern(codec: Codec) -> str:
     return "|".join([word, rf" ?[{signs}]", *codec.named, r"\n\n|\n|<", r"[ \t\r\f\x0B]+"])
 
 
+def _crc_table() -> list[int]:
+    table = list(range(256))
+    for _ in range(8):
+        table = [(v >> 1) ^ 0xEDB88320 if v & 1 else v >> 1 for v in table]
+    return table
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a string, which DuckDB has no function for."""
+    octets = (
+        f"list_transform(range(1, length(hex({text})) // 2 + 1), "
+        f"lambda i: CAST('0x' || substr(hex({text}), 2 * i - 1, 2) AS BIGINT))"
+    )
+    step = f"xor(({_crc_table()})[1 + (xor(c, b) & 255)], c >> 8)"
+    return f"xor(list_reduce({octets}, lambda c, b: {step}, 4294967295), 4294967295)"
+
+
 def token_ids(text: str, codec: Codec = Codec()) -> str:
     """``INTEGER[]`` of the built-in codec."""
-    fixed = " ".join(
-        f"WHEN {quoted(m) if m.strip() else ('chr(10) || chr(10)' if len(m) == 2 else 'chr(10)')} THEN {i}"
-        for m, i in codec.markers.items()
-    )
-    spread = codec.vocabulary - codec.first_id
+    breaks = {"\n": "chr(10)", "\n\n": "chr(10) || chr(10)"}
+    fixed = " ".join(f"WHEN {breaks.get(m) or quoted(m)} THEN {i}" for m, i in codec.markers.items())
+    drawn = f"{codec.first_id} + {crc32('p')} % {codec.vocabulary - codec.first_id}"
     return (
-        f"list_transform(regexp_extract_all({text}, {quoted(token_pattern(codec))}), lambda p: "
-        f"CAST(CASE p {fixed} ELSE {codec.first_id} + "
-        f"CAST('0x' || substr(md5(p), 1, 8) AS BIGINT) % {spread} END AS INTEGER))"
+        f"list_transform(regexp_extract_all({text}, {quoted(token_pattern(codec))}), "
+        f"lambda p: CAST(CASE p {fixed} ELSE {drawn} END AS INTEGER))"
     )
 
 
