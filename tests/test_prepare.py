@@ -12,6 +12,7 @@ from textveil.operators.tokens import (
     frame_documents,
     in_batches,
     length_stats,
+    null_documents,
     pack,
     token_accounting,
     tokenize,
@@ -222,6 +223,7 @@ def test_prepare_with_split(spark):
 def test_prepare_documents(spark):
     df, _ = _documents(spark, 120)
     upper = df.withColumnRenamed("text", "TEXT").union(spark.createDataFrame([(500, None)], df.schema))
+    assert tuple(null_documents(upper, "TEXT").collect()[0]) == (121, 1)
     keyed = prepare(spark, data=upper, max_length=16, key="id")["train"]
     assert keyed.columns == ["input_ids", "attention_mask"]
     dense = prepare(spark, data=df, max_length=16, key="id", dense=True)["train"]

@@ -217,6 +217,13 @@ def dropped_tokens(df: DataFrame, max_length: int = 512, overlap: float = 0.0) -
     return totals.withColumn("dropped", F.expr(f"tokens - {covered}"))
 
 
+def null_documents(df: DataFrame, text: str = "text") -> DataFrame:
+    """How many records hold no document and are left out by ``frame_documents``."""
+    return df.agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col(ident(text)).isNull()).alias("left_out")
+    )
+
+
 def length_stats(df: DataFrame, ids: str = "input_ids") -> DataFrame:
     size = F.size(ident(ids))
     return df.agg(
