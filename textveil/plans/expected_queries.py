@@ -37,11 +37,11 @@ ENTITIES = f"""entities AS (
   SELECT doc_id AS record_id, 'text' AS field_path, {len(CATALOGUE) + 1} AS rule_ord,
          'person' AS pattern, substr(text, 1, strpos(text, ' ') - 1) AS match, 0 AS start,
          CAST(strpos(text, ' ') - 1 AS INT) AS "end",
-         CAST(doc_id % 10 AS DOUBLE) / 10 + 0.05 AS score
+         least(CAST(strpos(text, ' ') AS DOUBLE) / 10 + CAST(0.15 AS DOUBLE), CAST(0.95 AS DOUBLE)) AS score
   FROM documents WHERE strpos(text, ' ') > 1
   UNION ALL
   SELECT doc_id, 'text', {len(CATALOGUE) + 2}, 'full address', substr(text, 1, 12), 0, 12,
-         CAST(doc_id % 7 AS DOUBLE) / 10 + 0.4
+         least(CAST(length(text) AS DOUBLE) / 2000, CAST(0.95 AS DOUBLE))
   FROM documents WHERE length(text) >= 12)"""
 
 HYBRID = f"""{rule_hits(DOCUMENTS)}, {ENTITIES},
@@ -73,7 +73,7 @@ queue AS (
   WHERE place <= {top})"""
 
 
-VERIFIED = "verified AS (SELECT * FROM queue WHERE record_id % 3 <> 0)"
+VERIFIED = "verified AS (SELECT * FROM queue WHERE match NOT LIKE '%.%')"
 FINAL = f"""{SURE}, {queue(1.0, 50)}, {VERIFIED},
 final AS (SELECT {DETECTION_COLUMNS} FROM sure UNION ALL SELECT {DETECTION_COLUMNS} FROM verified)"""
 
