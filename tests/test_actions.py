@@ -137,10 +137,10 @@ def test_external_labels(spark):
 
 
 def test_whitespace_cleaning(spark):
-    values = [" a\tb\r\nc  d\f", "\x0bx\u00a0\u00a0y", None, "", "plain"]
+    values = [" a\tb\r\nc  d\f", "\x0bx\u00a0\u00a0y", None, "", "plain", "\x1c a\u3000\u2009b\x1f"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
     got = [r[0] for r in df.select(clean_control_whitespace("v")).collect()]
-    assert got == ["a b c d", "x y", None, "", "plain"]
+    assert got == ["a b c d", "x y", None, "", "plain", "a b"]
 
 
 def test_second_pass_and_luhn(spark):

@@ -103,6 +103,9 @@ TRICKY = [
     "x" * 31 + " " + "y" * 32 + " " + "z" * 33 + " " + "É" + "q" * 40,
     "(123) 456-7890, (0)123 456 7890; +1 415 555 2671",
     "Hello, World! No numbers here at all. Just words; and more words?",
+    "m²123456789 x½ 123456789 ①12345678 Ⅷ12345678 12345678²",
+    "cafe\u030112345678 12345678\u0301 ABCDEFGH\u0301 a\u0301b 12 34 56",
+    "415\x1c555\x1f2671 and ab\x1c12 34 56 and 415\x85555\x852671",
     "[REDACTED] [PSEUDONYMIZED]",
     "",
 ]
@@ -134,7 +137,7 @@ def _random_texts(seed, count):
             elif kind < 0.9:
                 parts.append(rng.choice(pieces))
             else:
-                parts.append("".join(rng.choice("09aZ-_ .@+:") for _ in range(rng.randint(1, 14))))
+                parts.append("".join(rng.choice("09aZ-_ .@+:é²½\u0301\x1c\u00a0٣一") for _ in range(rng.randint(1, 14))))
         out.append(rng.choice([" ", "  ", "\n", " "]).join(parts))
     return out
 

@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 BLOCK = 64
 
 
+# Blanks as Python has them; Java's own class lacks some.
+BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def lit(value: str) -> str:
     """A SQL string literal."""
     text = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
@@ -30,6 +39,11 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def stripped(text: str) -> str:
+    """A string without blanks at its ends."""
+    return f"trim(BOTH {lit(BLANK_CHARACTERS)} FROM {text})"
+
+
 def running_sum(values: str) -> str:
     """Inclusive running sum of an ``array<int>``."""
     none = "cast(array() as array<int>)"

@@ -9,6 +9,7 @@ changes no result; ``condense=False`` reads the whole text with every rule.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textveil.functions.rules import CATALOGUE, RULE_NAMES, Rule
-from textveil.functions.sqltext import ident, let, lit, running_sum
+from textveil.functions.sqltext import BLANKS, ident, let, lit, running_sum
 from textveil.functions.workers import once_per_worker
 from textveil.operators.fields import extract_text_fields, leaves_sql, text_columns
 from textveil.operators.merge import (
@@ -51,15 +52,41 @@ DETECTION_SCHEMA = (
 )
 
 
+# Word characters as the rules mean them: letters, numbers of any kind and the
+# underscore, but no combining marks.
+_WORD = r"[\p{L}\p{N}_]"
+_EDGE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+# A part of a rule that stands for one word character. Next to it a word edge is a
+# single look-around.
+_ONE = r"(?:\\d|\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9])+\]|[A-Za-z0-9])"
+_EDGES = {r"\b": _EDGE, r"\W": rf"(?<!{_WORD})", r"\w": rf"(?!{_WORD})"}
+_BEFORE = re.compile(rf"\\b(?={_ONE}(?![?*]|\{{0))")
+_AFTER = re.compile(rf"({_ONE}(?:\{{[1-9][0-9,]*\}}|\+)?)\\b")
+
+
 def java_regex(regex: str) -> str:
-    """The rule with Unicode character classes.
+    """The rule with its Unicode character classes spelled out for Java.
 
     Ranges that ignore case must also take in the dotted capital I and the Kelvin
     sign, which Java leaves out.
     """
     if regex.startswith("(?i)"):
         regex = regex.replace("A-Z", r"A-Z\u0130\u212A").replace("J-P", r"J-P\u212A")
-    return "(?U)" + regex
+        regex = regex.replace("(?i)", "(?iu)")
+    # \W and \w are in no rule; they stand in for the two one-sided edges here.
+    regex = _AFTER.sub(r"\1\\w", _BEFORE.sub(r"\\W", regex))
+    out, in_class = [], False
+    for piece in re.findall(r"\\.|[^\\]", regex, re.S):
+        if piece in "[]":
+            in_class = piece == "["
+        if piece == r"\s":
+            piece = BLANKS if in_class else f"[{BLANKS}]"
+        elif piece == r"\d":
+            piece = r"\p{Nd}"
+        elif piece in _EDGES:
+            piece = _EDGES[piece]
+        out.append(piece)
+    return "".join(out)
 
 
 def _matches(rules: list[Rule], whole: str, condensed: str) -> str:

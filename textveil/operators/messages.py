@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textveil.functions.sqltext import ident, let, lit
+from textveil.functions.sqltext import ident, let, lit, stripped
 
 
 def _dialogue(user: str, assistant: str) -> str:
@@ -36,7 +36,7 @@ def messages_sql(df: DataFrame, layout: str) -> str:
         user = _text("instruction")
         if "input" in df.columns:
             extra = f"concat({lit(chr(10) * 2 + 'Input: ')}, {_text('input')})"
-            has_input = f"{_text('input')} rlike {lit('(?U)' + chr(92) + 'S')}"
+            has_input = f"{stripped(_text('input'))} != ''"
             user = f"concat({user}, CASE WHEN {has_input} THEN {extra} ELSE '' END)"
         return _dialogue(user, _text("output"))
     pairs = {
@@ -92,8 +92,7 @@ def render_sql(messages: str, template: ChatTemplate = ChatTemplate()) -> str:
     """SQL for the rendered chat, without a prompt for the next answer."""
     content = "coalesce(m.content, '')"
     if template.trim:
-        ends = r"(?U)^\s+|\s+$"
-        content = f"regexp_replace({content}, {lit(ends)}, '')"
+        content = stripped(content)
     role = f"CASE WHEN m.role = 'assistant' THEN {lit(template.assistant_name)} ELSE m.role END"
     turn = (
         f"concat({lit(template.turn_open)}, {role}, {lit(template.role_break)}, "

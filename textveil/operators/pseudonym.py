@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from textveil.functions import pools
 from textveil.functions.rules import CATALOGUE, CATEGORY_SOURCES, source_generators
-from textveil.functions.sqltext import ident, let, lit
+from textveil.functions.sqltext import BLANKS, ident, let, lit, stripped
+from textveil.operators.detect import java_regex
 
 FALLBACK = "[PSEUDONYMIZED]"
 MAX_LENGTH = 200
 ATTEMPTS = 5
 
 CONTROL_WHITESPACE = r"[\t\n\r\f\x0B]"
-BLANK_RUN = r"(?U)\s{2,}"
-ENDS = r"(?U)^\s+|\s+$"
+BLANK_RUN = rf"[{BLANKS}]{{2,}}"
 
 # How many leading characters a regex-shaped value keeps, because its rule fixes
 # them. Other fixed positions are listed by number, counted from 1.
@@ -183,8 +183,7 @@ def _similar(seed: str) -> str:
 
 
 def _accepts(name: str, regex: str) -> str:
-    flags, body = ("(?U)(?i)", regex[4:]) if regex.startswith("(?i)") else ("(?U)", regex)
-    whole = rf"{flags}^(?:{body})\z"
+    whole = rf"^(?:{java_regex(regex)})\z"
     return f"WHEN pattern = {lit(name)} THEN made rlike {lit(whole)}"
 
 
@@ -242,4 +241,4 @@ def replacement_sql(pattern: str, match: str, salt: str) -> str:
 def cleaned_sql(value: str) -> str:
     """SQL for control whitespace and blank runs as one blank, ends trimmed."""
     blanks = f"regexp_replace({value}, {lit(CONTROL_WHITESPACE)}, ' ')"
-    return f"regexp_replace(regexp_replace({blanks}, {lit(BLANK_RUN)}, ' '), {lit(ENDS)}, '')"
+    return stripped(f"regexp_replace({blanks}, {lit(BLANK_RUN)}, ' ')")

@@ -18,6 +18,7 @@ from textveil.operators.detect import (
     detect_rules,
     detect_with,
     external_detections,
+    java_regex,
     split_by_confidence,
 )
 from textveil.operators.fields import extract_text_fields, set_text_fields
@@ -426,7 +427,7 @@ def pseudonym_shapes(spark, sf_dir):
     found = detect_pii(documents(spark, sf_dir), "doc_id", ["text"])
     made = found.withColumn("made", F.expr(replacement_sql("pattern", "match", "demo")))
     accepted = " ".join(
-        f"WHEN pattern = {lit(r.name)} THEN made rlike {lit('(?U)^(?:' + r.regex + ')$')}"
+        f"WHEN pattern = {lit(r.name)} THEN made rlike {lit('^(?:' + java_regex(r.regex) + ')$')}"
         for r in CATALOGUE
         if source_generators().get(r.name) == "regex"
     )
