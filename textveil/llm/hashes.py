@@ -51,6 +51,10 @@ class Rolling:
         n = max(0, len(sums) - k)
         return mix((sums[k:] - sums[:n]) * self.down[:n])
 
+    def grams_at(self, sums: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+        """Those of ``grams`` at the given positions."""
+        return mix((sums[first + k] - sums[first]) * self.down[first])
+
     def ranges(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of each range, its length included."""
         return mix((sums[end] - sums[first]) * self.down[first] + (end - first).astype(U) * _MIX[1])
