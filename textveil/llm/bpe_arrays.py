@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -9,6 +10,8 @@ import numpy as np
 from textveil.llm.hashes import U
 
 NEVER = np.int64(1 << 40)
+#: Symbols of a word beyond which a heap finds the lowest pair instead of a round of all.
+LONG = 512
 #: Distinct words a worker remembers before it begins anew.
 REMEMBERED = 400_000
 
@@ -24,6 +27,7 @@ class PairTable:
         key = first.astype(np.int64) << 24 | second.astype(np.int64)
         order = np.argsort(key)
         self.key, self.rank, self.result = key[order], rank[order].astype(np.int64), result[order].astype(np.int64)
+        self.table: dict[int, tuple[int, int]] | None = None
         size = int(max(result.max(), first.max(), second.max())) + 1
         made = np.full(size, -1, np.int64)
         made[result] = rank
@@ -31,6 +35,11 @@ class PairTable:
         self.eager[first[made[first] > rank]] = True
         self.eager[second[made[second] > rank]] = True
 
+    def lookup(self) -> dict[int, tuple[int, int]]:
+        if self.table is None:
+            self.table = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.result.tolist()), strict=True))
+        return self.table
+
     def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``NEVER`` without a merge) and result of each pair."""
         key = first << 24 | second
@@ -39,11 +48,45 @@ class PairTable:
         return np.where(hit, self.rank[spot], NEVER), self.result[spot]
 
 
+def merge_long(symbols: list[int], pairs: PairTable) -> list[int]:
+    """Merge one long word: always its lowest pair, of equal ones the first."""
+    table, n = pairs.lookup(), len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int, int]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < n:
+            found = table.get(symbols[i] << 24 | symbols[after[i]])
+            if found:
+                heapq.heappush(heap, (found[0], i, symbols[i], symbols[after[i]]))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if symbols[i] != a or j >= n or symbols[j] != b:
+            continue  # one of the two has merged since
+        symbols[i], symbols[j] = table[a << 24 | b][1], -1
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    return [s for s in symbols if s >= 0]
+
+
 def merge(symbols: np.ndarray, word: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """Merge every word to its end: in each round all words at once merge their pair of
     the lowest rank. ``word`` is the number of each symbol's word, in order. Returns the
     symbols left and their words."""
     symbols, done_symbols, done_words = symbols.astype(np.int64), [], []
+    long = np.bincount(word, minlength=1)[word] > LONG
+    for number in np.unique(word[long]):
+        left = merge_long(symbols[word == number].tolist(), pairs)
+        done_symbols.append(np.array(left, np.int64))
+        done_words.append(np.full(len(left), number))
+    symbols, word = symbols[~long], word[~long]
     while len(symbols):
         near = word[1:] == word[:-1]
         rank = np.full(len(symbols), NEVER)
