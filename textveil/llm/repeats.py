@@ -10,9 +10,9 @@ keys form a group:
 - else windows may repeat in part: a later pass looks closer. One block stands for all
   with an equal hull, as the others would only say the same again.
 
-Counting aggregates before the shuffle, and the joins that bring counts back have one
-row per key on one side, so that adaptive execution can split a hot key's other side.
-Nothing collects a group.
+Counting aggregates before the shuffle. Counts are written before they are joined back: so
+both sides of a join are plain exchanges, one with a row per key, and adaptive execution
+splits a hot key's other side. Nothing collects a group. Tables go once the next is written.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textveil.llm.shared import stored
+from textveil.llm.shared import discard, stored
 
 BLOCK = "id {id}, mark int, lo int, hi int, key long, hull long"
 
@@ -32,34 +32,30 @@ def block_schema(id_type: str) -> str:
 def decide(blocks: DataFrame, last: bool) -> DataFrame:
     """``id, mark, lo, hi, whole, look`` of blocks whose windows repeat, or may do so.
     ``last``: blocks are single windows, and none needs a closer look."""
+    place = ["id", "mark", "lo", "hi"]
     blocks = stored(blocks, "blocks")
-    counts = (
+    counts = stored(
         blocks.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("hull").alias("least"), F.max("hull").alias("most"))
         .where("n > 1")
-        .select("key", (F.col("least") == F.col("most")).alias("alike"))
+        .select("key", (F.col("least") == F.col("most")).alias("alike")),
+        "counts",
     )
-    shared = blocks.join(counts, "key")
-    place = ["id", "mark", "lo", "hi"]
-    if last:
-        # Windows: equal keys with different hulls are chance; the hulls decide.
-        plain = shared.where("alike").select(*place)
-        odd = shared.where("not alike")
-        twice = odd.groupBy("key", "hull").count().where("count > 1").drop("count")
-        odd = odd.join(twice, ["key", "hull"]).select(*place)
-        return stored(plain.unionByName(odd), "windows").select(*place, F.lit(True).alias("whole"), F.lit(False).alias("look"))
-    shared = stored(shared, "shared")
-    plain = shared.where("alike").select(*place, F.lit(True).alias("whole"), F.lit(False).alias("look"))
+    shared = stored(blocks.join(counts, "key"), "shared")
+    discard(blocks, counts)
     odd = shared.where("not alike")
-    hulls = odd.groupBy("key", "hull").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("chosen")
+    hulls = stored(
+        odd.groupBy("key", "hull").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*place)).alias("chosen")), "hulls"
     )
-    odd = odd.join(hulls, ["key", "hull"]).select(
-        *place,
-        (F.col("n") > 1).alias("whole"),
-        (F.struct(*place) == F.col("chosen")).alias("look"),
-    )
-    return stored(plain.unionByName(odd), "decided")
+    odd = odd.join(hulls, ["key", "hull"])
+    whole, look = F.col("n") > 1, F.struct(*place) == F.col("chosen")
+    if last:
+        # Windows with equal keys and different hulls agree by chance only.
+        odd, look = odd.where(whole), F.lit(False)
+    plain = shared.where("alike").select(*place, F.lit(True).alias("whole"), F.lit(False).alias("look"))
+    decided = stored(plain.unionByName(odd.select(*place, whole.alias("whole"), look.alias("look"))), "decided")
+    discard(shared, hulls)
+    return decided
 
 
 def ranges_by_row(found: DataFrame) -> DataFrame:

@@ -44,6 +44,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``mark`` and ``text``, and no other column. ``mark`` tells apart rows
     of one id with different texts; equal rows share all results."""
