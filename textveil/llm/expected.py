@@ -1,3 +1,69 @@
 """DuckDB SQL with the expected rows of the queries that SQL can express."""
 
-EXPECTED: dict[str, str] = {}
+from __future__ import annotations
+
+#: Sums of a level's groups: mean, and the strength of the prior that they estimate.
+_STRENGTH = """
+{name}_sums AS (
+  SELECT count(*) AS g, sum(n)::DOUBLE AS n, sum(good) / sum(n) AS mean, sum(n::DOUBLE * n) AS squares,
+         sum(good::DOUBLE * good / n) AS between_groups
+  FROM {source} WHERE n > 0
+),
+{name}_moments AS (
+  SELECT mean, CASE WHEN mean * (1 - mean) = 0 OR n - squares / n - (g - 1) <= 0 THEN 0.001::DOUBLE
+    ELSE least(greatest(((between_groups - n * mean * mean) / (mean * (1 - mean)) - (g - 1)) / (n - squares / n - (g - 1)), 0.001), 0.999)
+    END AS correlation
+  FROM {name}_sums
+),
+{name}_prior AS (SELECT mean, (1 - correlation) / correlation AS strength FROM {name}_moments)"""
+
+URL_FILTERS = f"""
+WITH parts AS (
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+),
+cut AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM parts),
+hosted AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path,
+         CASE WHEN html IS NULL THEN NULL ELSE len(regexp_extract_all(html, '[#*$%]{{3}}')) < 5 END AS outcome
+  FROM cut
+),
+hosts AS (
+  SELECT host, count(outcome) AS n, count(CASE WHEN outcome THEN 1 END) AS good,
+         regexp_extract(host, '[^.]*$') AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain
+  FROM hosted GROUP BY host
+),
+domains AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY suffix),
+{_STRENGTH.format(name="host", source="hosts")},
+{_STRENGTH.format(name="domain", source="domains")},
+{_STRENGTH.format(name="suffix", source="suffixes")},
+suffix_means AS (
+  SELECT suffix, (good + mean * strength) / (n + strength) AS prior FROM suffixes CROSS JOIN suffix_prior
+),
+domain_means AS (
+  SELECT d.domain, (d.good + s.prior * p.strength) / (d.n + p.strength) AS prior
+  FROM domains d JOIN suffix_means s USING (suffix) CROSS JOIN domain_prior p
+),
+posterior AS (
+  SELECT h.host, h.n + p.strength + 1 AS total, (h.good + d.prior * p.strength) / (h.n + p.strength) AS mean
+  FROM hosts h JOIN domain_means d USING (domain) CROSS JOIN host_prior p
+),
+ruled AS (
+  SELECT page_id, host, path, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM hosted
+)
+SELECT page_id, r.host, path, rule, CASE
+  WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN mean + 1.645 * sqrt(mean * (1 - mean) / total) < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r JOIN posterior q ON q.host = r.host
+"""
+
+EXPECTED: dict[str, str] = {
+    "op6_url_filters": URL_FILTERS,
+}

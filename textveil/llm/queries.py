@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-from textveil.llm import decontaminate, quality, recompress_dedup, suffix_dedup, token_counts
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textveil.llm import (
+    bpe_codec,
+    decontaminate,
+    near_dedup,
+    quality,
+    recompress_dedup,
+    suffix_dedup,
+    token_counts,
+    url_filters,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +58,37 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def page_is_good() -> Column:
+    """The outcome of a page: whether its text is free of runs of symbols."""
+    return F.regexp_count("html", F.lit("[#*$%]{3}")) < 5
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filters.judge_urls(pages, page_is_good()).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_codec.encode_texts(docs, _tokenizer("byte_bpe_50k.json")).drop("text")
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups_of(_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_url_filters": op6_url_filters,
+    "op8_bpe_codec": op8_bpe_codec,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_warc": op10_warc,
 }
