@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from textveil.llm.hashes import ONE, U, byte_table, covered, row_of, word_bounds
-from textveil.llm.shared import flat, slices
+from textveil.llm.shared import flat, numbered, slices
 
 WINDOW = 13
 STRETCH = 1 << 20
@@ -322,8 +322,8 @@ def _united(source: DataFrame, parts: list[DataFrame], text_col: str, names: lis
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that no benchmark item contaminates, with their own columns."""
-    plain = docs.columns
-    judged = find_contamination(docs.withColumn("__own", F.struct(*[f"`{c}`" for c in plain])), benchmark, **options)
-    return judged.where("not contaminated").select(*[F.col("__own").getField(c).alias(c) for c in plain])
+    plain, (text,) = numbered(docs, text_col)
+    judged = find_contamination(plain, benchmark, text, **options)
+    return judged.where("not contaminated").select(*plain.columns).toDF(*docs.columns)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from textveil.llm.hashes import mix
 from textveil.llm.prob_minhash import SHINGLE, U, band_keys, shingles, sketch, weights
-from textveil.llm.shared import discard, flat, slices, stored
+from textveil.llm.shared import discard, flat, numbered, slices, stored
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
@@ -267,9 +267,7 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each group, with all its columns."""
-    plain = docs.columns
-    kept = judge_classes(_rows(docs, id_col, text_col), **options).where("first").select(F.col("row").alias("__row"))
-    key = row_key(F.col(f"`{id_col}`"), _text(text_col))
-    whole = docs.select(key.alias("__row"), F.struct(*[f"`{c}`" for c in plain]).alias("__own"))
-    one = whole.join(kept, "__row").dropDuplicates(["__row"])
-    return one.select(*[F.col("__own").getField(c).alias(c) for c in plain])
+    kept = judge_classes(_rows(docs, id_col, text_col), **options).where("first").select("row")
+    plain, (id_, text) = numbered(docs, id_col, text_col)
+    whole = plain.withColumn("row", row_key(F.col(id_), _text(text)))
+    return whole.join(kept, "row").dropDuplicates(["row"]).select(*plain.columns).toDF(*docs.columns)

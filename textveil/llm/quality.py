@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from textveil.llm.hashes import ONE, PLAIN, U, byte_table, covered, mix, row_of, word_bounds
-from textveil.llm.shared import flat, slices
+from textveil.llm.shared import flat, numbered, slices
 
 SYMBOLS = byte_table(lambda b: chr(b) in "#*$%&|<>")
 #: Window of the base rule, in words.
@@ -153,7 +153,5 @@ def judge(
 
 def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    plain = docs.columns
-    whole = docs.select(F.struct(*[f"`{c}`" for c in plain]).alias("__own"), F.col(f"`{text_col}`").alias("__text"))
-    kept = judge(whole, "__text", **options).where("kept")
-    return kept.select(*[F.col("__own").getField(c).alias(c) for c in plain])
+    plain, (text,) = numbered(docs, text_col)
+    return judge(plain, text, **options).where("kept").select(*plain.columns).toDF(*docs.columns)

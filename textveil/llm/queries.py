@@ -15,6 +15,7 @@ from textveil.llm import (
     recompress_dedup,
     suffix_dedup,
     token_counts,
+    tool_chat,
     url_filters,
     warc,
 )
@@ -24,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     """Where the vocabulary file of a public tokenizer lies, on every machine alike."""
     import public_tokenizers
 
@@ -51,7 +52,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, _tokenizer("piece_bpe_32k.model")).drop("text")
+    return token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model")).drop("text")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +69,61 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages, page_is_good()).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Fields of the tools that the calls below use, with type and whether they must be there.
+TOOLS: tool_chat.Schemas = {
+    "search": {"text": ("string", True), "limit": ("integer", True)},
+    "summarize": {"text": ("string", True), "limit": ("integer", False)},
+    "translate": {"text": ("string", True), "limit": ("integer", False)},
+}
+
+
+def chat_tables(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plain messages, calls and results, read out of conversations.
+
+    A user turn is a call whose tool and arguments follow from its text (some of them with
+    an unknown tool or bad arguments); it uses the result of the user's last turn, and at
+    every fourth turn also that of the one before. An assistant turn is the result of the
+    call before it. System turns are plain messages.
+    """
+    text = F.coalesce("text", F.lit(""))
+    size, turn, conv = F.length(text), F.col("turn"), F.col("conv_id")
+    tool = F.element_at(
+        F.array(*[F.lit(x) for x in ("search", "translate", "summarize", "search", "search", "translate", "summarize", "lookup")]),
+        (size % 8 + 1).cast("int"),
+    )
+    limit = (size % 50).alias("limit")
+    arguments = (
+        F.when(size % 17 == 0, "not json")
+        .when(size % 13 == 0, F.to_json(F.struct(limit)))
+        .when(size % 11 == 0, F.to_json(F.struct(text.alias("text"), F.lit("many").alias("limit"))))
+        .when(size % 7 == 0, F.to_json(F.struct(text.alias("text"), limit, F.lit(True).alias("now"))))
+        .otherwise(F.to_json(F.struct(text.alias("text"), limit)))
+    )
+
+    def call_id(back: int) -> Column:
+        return F.concat_ws("-", conv, turn - back)
+
+    after = F.array_compact(
+        F.array(F.when(turn >= 2, call_id(2)), F.when((turn >= 4) & (turn % 4 == 0), call_id(4)))
+    )
+    calls = conversations.where("role = 'user'").select(
+        "conv_id", "turn", call_id(0).alias("call_id"), tool.alias("tool"), arguments.alias("arguments"), after.alias("after")
+    )
+    results = conversations.where("role = 'assistant'").select(
+        "conv_id", "turn", call_id(1).alias("call_id"), text.alias("content")
+    )
+    messages = conversations.where("role not in ('user', 'assistant') or role is null")
+    return messages.select("conv_id", "turn", "role", "text"), calls, results
+
+
+def op7_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages, calls, results = chat_tables(_table(spark, sf_dir, "conversations"))
+    return tool_chat.format_chats(messages, calls, results, TOOLS).withColumn("errors", F.array_join("errors", "; "))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_codec.encode_texts(docs, _tokenizer("byte_bpe_50k.json")).drop("text")
+    return bpe_codec.encode_texts(docs, tokenizer("byte_bpe_50k.json")).drop("text")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filters": op6_url_filters,
+    "op7_tool_chat": op7_tool_chat,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,

@@ -61,6 +61,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.hash(text).alias("mark"), text.alias("text"))
 
 
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` under the names ``c0, c1, …``, which clash with no result, and the new
+    names of ``columns``. ``toDF`` with the old names undoes it."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), [names[c] for c in columns]
+
+
 def same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["id"].eqNullSafe(right["id"]) & (left["mark"] == right["mark"])
 

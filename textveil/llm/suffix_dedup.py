@@ -27,10 +27,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textveil.llm.hashes import ONE, TWO, U, covered, row_of, sliding_min
 from textveil.llm.repeats import block_schema, decide, ranges_by_row
-from textveil.llm.shared import PIECE, flat, int_lists, keyed, same_row, slices
+from textveil.llm.shared import PIECE, flat, int_lists, keyed, numbered, same_row, slices
 
 WIDTH = 200
 
@@ -133,51 +134,74 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return ranges_by_row(done)
 
 
-def _removal(width: int, with_text: bool):
+def _kept(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Places of the texts, running numbers of removed bytes and spans, and what is left."""
+    data, at = flat(batch.column("text"))
+    los, rows = int_lists(batch.column("los"))
+    his, _ = int_lists(batch.column("his"))
+    gone = covered(len(data), los + at[rows], his + at[rows] + width)
+    total = np.append(0, np.cumsum(gone))
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    heads = at[:-1][np.diff(at) > 0]
+    begins[heads] = gone[heads]
+    spans = np.append(0, np.cumsum(begins))
+    kept, kept_at = data[~gone].tobytes(), at - total[at]
+    return at, total, spans, [kept[kept_at[i] : kept_at[i + 1]] for i in range(batch.num_rows)]
+
+
+def _digests(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            data, at = flat(batch.column("text"))
-            los, rows = int_lists(batch.column("los"))
-            his, _ = int_lists(batch.column("his"))
-            gone = covered(len(data), los + at[rows], his + at[rows] + width)
-            total = np.append(0, np.cumsum(gone))
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            begins[at[:-1][at[:-1] < len(data)]] |= gone[at[:-1][at[:-1] < len(data)]]
-            spans = np.append(0, np.cumsum(begins))
-            kept_at = at - total[at]
-            kept = data[~gone].tobytes()
-            texts = [kept[kept_at[i] : kept_at[i + 1]] for i in range(batch.num_rows)]
-            out = [
-                batch.column("id"),
-                pa.array(np.diff(at)),
-                pa.array(np.diff(total[at])),
-                pa.array(np.diff(spans[at])),
-                pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
-            ]
-            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                # A cut may fall inside a character: what is left of it is replaced.
-                out.append(pa.array([x.decode("utf-8", "replace") for x in texts], pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            at, total, spans, texts = _kept(batch, width)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    pa.array(np.diff(at)),
+                    pa.array(np.diff(total[at])),
+                    pa.array(np.diff(spans[at])),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
+                ],
+                names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            )
 
     return run
 
 
-def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, with_text: bool = False
-) -> DataFrame:
-    """Remove every byte that a repeated string of ``width`` bytes covers.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """What is left without every byte that a repeated string of ``width`` bytes covers.
 
-    Returns the id column with ``n_bytes, n_removed, n_spans, kept_sha256``, and with
-    ``kept_text`` if asked for, one row per row of ``docs``. A character that a span's edge
-    cuts in two becomes U+FFFD in ``kept_text``; the digest is of the exact bytes.
+    Returns the id column with ``n_bytes, n_removed, n_spans, kept_sha256``, one row per row
+    of ``docs``.
     """
     rows = keyed(docs, id_col, text_col)
     found = repeated_windows(docs, id_col, text_col, width)
     both = rows.join(found, same_row(rows, found), "left").select(rows["id"], "text", "los", "his")
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    schema += ", kept_text string" if with_text else ""
-    return both.mapInArrow(_removal(width, with_text), schema).withColumnRenamed("id", id_col)
+    return both.mapInArrow(_digests(width), schema).withColumnRenamed("id", id_col)
+
+
+def _texts(width: int, names: list[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            *_, texts = _kept(batch, width)
+            kept = pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string())
+            columns = [kept if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` without the repeated bytes of their texts. What a cut leaves of a character
+    goes too; a text that repeats from end to end is empty."""
+    found = repeated_windows(docs, id_col, text_col, width).withColumnsRenamed({"id": "__id", "mark": "__mark"})
+    plain, (id_, own) = numbered(docs, id_col, text_col)
+    text = F.coalesce(F.col(own).cast("string"), F.lit(""))
+    plain = plain.withColumn("text", text).drop(own)
+    both = plain.join(found, F.col(id_).eqNullSafe(F.col("__id")) & (F.hash("text") == F.col("__mark")), "left")
+    schema = plain.schema
+    cut = both.select(*plain.columns, "los", "his").mapInArrow(_texts(width, plain.columns), schema)
+    order = ["text" if f"c{i}" == own else f"c{i}" for i in range(len(docs.columns))]
+    return cut.select(*order).toDF(*docs.columns)
