@@ -29,7 +29,7 @@ def _texts(df):
 def test_sample_records(spark):
     lines = [f"Oops – it’s your info: {value}, or *that* finally works." for value, _ in SAMPLE]
     records = [
-        {"instruction": "Identify and sanitize all PII.", "input": t, "output": t} for t in lines
+        {"instruction": "Tidy this note.", "input": t, "output": t} for t in lines
     ] + [{"instruction": "x", "input": "okay, it's 4, but", "output": "it's 4"}]
     df = from_records(spark, records)
     rows = {r.input: r for r in sanitize(df, "redact").collect()}
@@ -133,7 +133,7 @@ def test_external_labels(spark):
     )
     assert _texts(apply_detections(df, "id", found, "mask")) == ["[PERSON NAME] met [PASSPORT NUMBER]"]
     # A label of the regex kind has no rule to shape a value by.
-    assert _texts(apply_detections(df, "id", found, "pseudonymize"))[0].endswith(" met " + FALLBACK)
+    assert _texts(apply_detections(df, "id", found, "pseudonymize", salt="s"))[0].endswith(" met " + FALLBACK)
 
 
 def test_whitespace_cleaning(spark):
@@ -153,3 +153,41 @@ def test_second_pass_and_luhn(spark):
     cards = select_rules(include=["credit_card_generic"])
     valid = _texts(sanitize(df, "redact", "id", rules=cards, luhn=True))[1]
     assert valid == "card [REDACTED] or 1234 5678 9012 3456"
+
+
+def test_displaced_hits_are_still_replaced(spark):
+    """A card number with a wrong check digit hides the identity number inside it."""
+    df = spark.createDataFrame([(1, "card 4111 1111 1111 1112 end")], "id int, text string")
+    assert "1111" not in _texts(sanitize(df, "redact", "id", luhn=True))[0]
+
+
+def test_pseudonyms_need_a_salt(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now")], "id int, text string")
+    with pytest.raises(ValueError, match="salt"):
+        sanitize(df, "pseudonymize", "id")
+    with pytest.raises(ValueError, match="salt"):
+        apply_detections(df, "id", detect_pii(df, "id"), "pseudonymize")
+
+
+def test_records_without_key_are_cleaned(spark):
+    df = spark.createDataFrame([(None, "mail a@b.co now"), (2, "none")], "id int, text string")
+    clean = apply_detections(df, "id", detect_pii(df, "id"))
+    assert sorted(r.text for r in clean.collect()) == ["mail [REDACTED] now", "none"]
+
+
+@pytest.mark.parametrize("key", [1, None])
+def test_a_key_of_several_rows_is_an_error(spark, key):
+    df = spark.createDataFrame([(key, "mail a@b.co now"), (key, "please write to someone")], "id int, text string")
+    with pytest.raises(Exception, match="not unique"):
+        apply_detections(df, "id", detect_pii(df, "id")).collect()
+
+
+def test_long_matches_get_shaped_values(spark):
+    """A value is bounded and its rule accepts it, however long the match is."""
+    token = "eyJ" + "aB3" * 60 + "." + "eyJ" + "Cd4" * 90 + "." + "xY5" * 50
+    df = spark.createDataFrame([(1, f"token {token} end")], "id int, text string")
+    made = _texts(sanitize(df, "pseudonymize", "id", rules=select_rules(include=["jwt_token"]), salt="s"))[0]
+    value = made.removeprefix("token ").removesuffix(" end")
+    assert value != FALLBACK and value not in token and len(value) <= 200
+    regex = next(r.regex for r in select_rules(include=["jwt_token"]))
+    assert re.fullmatch(regex, value)

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 
@@ -196,10 +198,12 @@ def test_rule_choice_and_null_texts(spark):
 
 def test_python_detector(spark):
     def factory():
-        def find(text):
-            at = text.find("Sydney")
-            return [] if at < 0 else [
-                {"label": "location", "text": "Sydney", "start": at, "end": at + 6, "score": 0.7}
+        def find(texts):
+            return [
+                [] if (at := text.find("Sydney")) < 0 else [
+                    {"label": "location", "text": "Sydney", "start": at, "end": at + 6, "score": 0.7}
+                ]
+                for text in texts
             ]
 
         return find
@@ -208,10 +212,56 @@ def test_python_detector(spark):
         [(1, [("user", "I live in Sydney")]), (2, [("user", "no")])],
         "id int, messages array<struct<role:string,content:string>>",
     )
-    external = detect_with(df, "id", "city", factory)
+    external = detect_with(df, "id", factory)
     row = external.collect()
     assert [(r.record_id, r.field_path, r.pattern, r.start, r.end) for r in row] == [
         (1, "messages[0].content", "location", 10, 16)
     ]
     merged = detect_pii(df, "id", external=external).collect()
     assert [(r.pattern, r.score) for r in merged] == [("location", 0.7)]
+
+
+def _finder(word):
+    def factory():
+        def find(texts):
+            return [
+                [{"label": word, "text": word, "start": m.start(), "end": m.end(), "score": 1.0} for m in re.finditer(word, t)]
+                for t in texts
+            ]
+
+        return find
+
+    return factory
+
+
+def test_two_detectors_do_not_share_an_object(spark):
+    df = spark.createDataFrame([(1, "cat and dog")], "id int, text string").coalesce(1)
+    first = detect_with(df, "id", _finder("cat")).collect()
+    second = detect_with(df, "id", _finder("dog")).collect()
+    assert [r.match for r in first + second] == ["cat", "dog"]
+
+
+def test_detector_reads_chunks(spark):
+    text = "x" * 7 + "needle" + "y" * 20 + "needle" + "z" * 3 + "needle"
+    df = spark.createDataFrame([(1, text), (2, ""), (None, "needle")], "id int, text string")
+    whole = detect_with(df, "id", _finder("needle"))
+    cut = detect_with(df, "id", _finder("needle"), chunk=10, overlap=6)
+    assert sorted(map(tuple, cut.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    assert whole.count() == 4
+
+
+@pytest.mark.parametrize("condense", [True, False])
+def test_mail_rule_reads_runs_once(spark, condense):
+    """Same hits as the rule itself on mail-like texts, and a long run takes no long time."""
+    draw = random.Random(7)
+    pieces = ["a", "B1", ".", "-", "%", "_", "@", "é", "co", "com", ".de", " ", "+", "@x.org", "a.b@c.dd", "\x02", "K", "İ"]
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randrange(1, 30))) for _ in range(4000)]
+    rules = select_rules(include=["email"])
+    df = _frame(spark, texts)
+    found = sorted((r.record_id, r.start, r.match) for r in detect_rules(df, "id", rules=rules, condense=condense).collect())
+    want = [(i, m.start(), m.group()) for i, t in enumerate(texts) for m in re.finditer(rules[0].regex, t)]
+    assert found == sorted(want)
+    long = "a." * 500_000 + " b@c.de"
+    begun = time.time()
+    hits = detect_rules(_frame(spark, [long]), "id", rules=rules, condense=condense).collect()
+    assert [r.match for r in hits] == ["b@c.de"] and time.time() - begun < 20

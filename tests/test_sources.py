@@ -150,7 +150,7 @@ LAYOUTS = [
 def test_layouts(spark, schema, layout):
     df = spark.createDataFrame([], schema)
     if layout is None:
-        with pytest.raises(ValueError, match="Unsupported dataset schema"):
+        with pytest.raises(ValueError, match="No known layout"):
             detect_schema(df)
     else:
         assert detect_schema(df) == layout
@@ -164,8 +164,19 @@ def test_column_names_and_preview(spark):
         lower_columns(spark.createDataFrame([(1, 2)], "a int, A int"))
 
 
-def test_small_inputs_are_spread(spark, tmp_path):
+def test_inputs_are_spread_on_demand(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    df = spread(spark.read.parquet(str(tmp_path / "one")))
-    assert df.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
-    assert df.count() == 100
+    stored = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(stored) is stored
+    spark.conf.set("textveil.read.tasks", "6")
+    try:
+        assert spread(stored).rdd.getNumPartitions() == 6 and spread(stored).count() == 100
+    finally:
+        spark.conf.unset("textveil.read.tasks")
+
+
+def test_folder_of_arrays_and_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(RECORDS, indent=1))
+    (tmp_path / "b.json").write_text("\n".join(json.dumps(r) for r in RECORDS))
+    assert _rows(read_json(spark, str(tmp_path))) == sorted(RECORDS * 2, key=lambda r: r["id"])
+    assert _rows(read_json(spark, str(tmp_path / "b.json"), lines=True)) == RECORDS

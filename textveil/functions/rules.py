@@ -91,11 +91,6 @@ RULE_PATTERNS: list[tuple[str, str]] = [
     ("env_var_secrets_regex", r'''(?i)(API_KEY|SECRET|TOKEN|PASSWORD|PRIVATE_KEY)\s*[:=]\s*["']?[A-Za-z0-9!@#$%^&*()_+\-=\[\]{};':"\\|,.<>/?~`]{8,}["']?'''),
 ]
 
-US_STATES = (
-    "al ak az ar ca co ct de fl ga hi id il in ia ks ky la me md ma mi mn ms mo mt ne nv nh nj "
-    "nm ny nc nd oh ok or pa ri sc sd tn tx ut vt va wa wv wi wy dc"
-).split()
-
 # Replacement category -> (generator, detection names that belong
 # to it). Names without a rule above are labels an external detector may use.
 CATEGORY_SOURCES: dict[str, tuple[str, list[str]]] = {
@@ -158,7 +153,57 @@ CATEGORY_SOURCES: dict[str, tuple[str, list[str]]] = {
         [
             "driver licence",
             "driving_license_india_generic",
-            *(f"driving_license_us_{state}" for state in US_STATES),
+            "driving_license_us_al",
+            "driving_license_us_ak",
+            "driving_license_us_az",
+            "driving_license_us_ar",
+            "driving_license_us_ca",
+            "driving_license_us_co",
+            "driving_license_us_ct",
+            "driving_license_us_de",
+            "driving_license_us_fl",
+            "driving_license_us_ga",
+            "driving_license_us_hi",
+            "driving_license_us_id",
+            "driving_license_us_il",
+            "driving_license_us_in",
+            "driving_license_us_ia",
+            "driving_license_us_ks",
+            "driving_license_us_ky",
+            "driving_license_us_la",
+            "driving_license_us_me",
+            "driving_license_us_md",
+            "driving_license_us_ma",
+            "driving_license_us_mi",
+            "driving_license_us_mn",
+            "driving_license_us_ms",
+            "driving_license_us_mo",
+            "driving_license_us_mt",
+            "driving_license_us_ne",
+            "driving_license_us_nv",
+            "driving_license_us_nh",
+            "driving_license_us_nj",
+            "driving_license_us_nm",
+            "driving_license_us_ny",
+            "driving_license_us_nc",
+            "driving_license_us_nd",
+            "driving_license_us_oh",
+            "driving_license_us_ok",
+            "driving_license_us_or",
+            "driving_license_us_pa",
+            "driving_license_us_ri",
+            "driving_license_us_sc",
+            "driving_license_us_sd",
+            "driving_license_us_tn",
+            "driving_license_us_tx",
+            "driving_license_us_ut",
+            "driving_license_us_vt",
+            "driving_license_us_va",
+            "driving_license_us_wa",
+            "driving_license_us_wv",
+            "driving_license_us_wi",
+            "driving_license_us_wy",
+            "driving_license_us_dc",
             "driving_license_canada_ontario",
             "driving_license_canada_quebec",
             "driving_license_uk",
@@ -258,20 +303,6 @@ CATEGORY_SOURCES: dict[str, tuple[str, list[str]]] = {
     "NETWORK": ("regex", ["ip_ipv4", "ip_ipv6", "mac_address_regex"]),
 }
 
-# Labels the external (named-entity) detector is asked for.
-EXTERNAL_LABELS = [
-    "location",
-    "full address",
-    "driver licence",
-    "person name",
-    "person",
-    "company",
-    "email",
-    "passport number",
-    "Social Security Number",
-    "phone number",
-]
-
 # Literals of which a text must hold at least one before the rule can match.
 # They only decide whether a rule's expression runs at all.
 REQUIRED_LITERALS: dict[str, tuple[str, ...]] = {

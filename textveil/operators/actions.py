@@ -17,6 +17,12 @@ def check_action(action: str) -> None:
         raise ValueError(f"Not a valid action: {action!r}. Choose from {list(ACTIONS)}.")
 
 
+def check_salt(action: str, salt: str) -> None:
+    """Digests of short values without a salt can be found by trying all values."""
+    if action == "pseudonymize" and not salt:
+        raise ValueError("Pseudonyms need a secret `salt`.")
+
+
 def placeholder_sql(pattern: str) -> str:
     return f"concat('[', upper({pattern}), ']')"
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from textveil.functions.rules import CATALOGUE, RULE_NAMES, Rule
 from textveil.functions.sqltext import BLANKS, ident, let, lit, running_sum
-from textveil.functions.workers import once_per_worker
+from textveil.functions.workers import new_identity, once_per_worker
 from textveil.operators.fields import extract_text_fields, leaves_sql, text_columns
 from textveil.operators.merge import (
     SPAN_TYPE,
@@ -30,6 +30,7 @@ from textveil.operators.merge import (
 )
 
 MARKER = "\0"
+SPLIT = "\x02"
 
 # A plain word: at most one capital, at its start, then letters and sentence
 # punctuation, between blanks. No digit, no second capital, none of @ < + - = / ~ :
@@ -89,12 +90,35 @@ def java_regex(regex: str) -> str:
     return "".join(out)
 
 
+def linear_mail_regex(regex: str) -> str:
+    """The e-mail rule so that a long run of name characters without @ is read once only,
+    not anew from every word edge in it. The hit is group 1.
+
+    A hit begins at the first word edge of a run, or where the last hit ended. Up to that
+    edge there are only word characters (after one that is in no name) or only signs.
+    """
+    name, _, rest = java_regex(regex).removeprefix("(?iu)").partition("+@")
+    name = name[name.index("[A-Z") :]
+    words, signs = name.replace(".", "").replace("%+-", ""), "[.%+-]"
+    start = rf"(?:(?<!{name})|\G)(?:(?<={_WORD}){words}*+|(?<!{_WORD}){signs}*+)"
+    return f"(?iu){start}({name}++@{rest})"
+
+
+def _gaps(text: str, regex: str) -> str:
+    """What lies between the hits. Splitting at one character is much faster than at an
+    expression; a text that holds that character is split at the expression."""
+    marked = f"split(regexp_replace({text}, {regex}, {lit(SPLIT)}), {lit(SPLIT)}, -1)"
+    return f"CASE WHEN contains({text}, {lit(SPLIT)}) THEN split({text}, {regex}, -1) ELSE {marked} END"
+
+
 def _matches(rules: list[Rule], whole: str, condensed: str) -> str:
-    """``array<struct>`` of the rules that hit, with matches and the gaps between."""
+    """``array<struct>`` of the rules that hit, with matches, what the expression read for
+    each (some read on from further left), and the gaps between."""
     cases = []
     for rule in rules:
         text = whole if rule.whole_text else condensed
-        regex = lit(java_regex(rule.regex))
+        mail = rule.name == "email"
+        regex = lit(linear_mail_regex(rule.regex) if mail else java_regex(rule.regex))
         test = f"{text} rlike {regex}"
         if rule.literals:
             needed = " OR ".join(f"contains({text}, {lit(x)})" for x in rule.literals)
@@ -104,8 +128,9 @@ def _matches(rules: list[Rule], whole: str, condensed: str) -> str:
         cases.append(
             f"CASE WHEN {test} THEN named_struct('rule_ord', {rule.order}, "
             f"'whole', {str(rule.whole_text).lower()}, "
-            f"'found', regexp_extract_all({text}, {regex}, 0), "
-            f"'gaps', split({text}, {regex}, -1)) END"
+            f"'found', regexp_extract_all({text}, {regex}, {int(mail)}), "
+            f"'read', {f'regexp_extract_all({text}, {regex}, 0)' if mail else 'cast(NULL as array<string>)'}, "
+            f"'gaps', {_gaps(text, regex)}) END"
         )
     return f"filter(array({', '.join(cases)}), r -> r IS NOT NULL)"
 
@@ -114,8 +139,9 @@ def _located(rule_hit: str, condensed: str, shifts: str) -> str:
     """Spans of one rule. Starts are running sums of gap and match lengths; the
     number of markers before a hit tells which shift brings it back."""
     r = rule_hit
+    read = f"coalesce({r}.read, {r}.found)"
     starts = running_sum(
-        f"transform({r}.found, (m, i) -> length({r}.gaps[i]) "
+        f"transform({read}, (m, i) -> length({r}.gaps[i]) + length(m) - length({r}.found[i]) "
         f"+ CASE WHEN i = 0 THEN 0 ELSE length({r}.found[i - 1]) END)"
     )
     markers = running_sum(
@@ -135,8 +161,14 @@ def _located(rule_hit: str, condensed: str, shifts: str) -> str:
     return f"zip_with({shifted}, {r}.found, (s, m) -> {span})"
 
 
-def spans_sql(text: str, rules: list[Rule], merge: bool, condense: bool = True) -> str:
-    """SQL for the ``array<SPAN_TYPE>`` of a string's hits; null where there are none."""
+def spans_sql(
+    text: str, rules: list[Rule], merge: bool, condense: bool = True, keep: str | None = None
+) -> str:
+    """SQL for the ``array<SPAN_TYPE>`` of a string's hits; null where there are none.
+
+    ``keep`` is a condition on a hit ``s``. It holds before overlaps are resolved, so
+    that a hit which goes displaces no other.
+    """
     if not rules:
         return f"cast(NULL as array<{SPAN_TYPE}>)"
     if merge:
@@ -152,6 +184,8 @@ def spans_sql(text: str, rules: list[Rule], merge: bool, condense: bool = True)
         f"THEN concat(array(0), {lost}) ELSE array(0) END"
     )
     spans = f"flatten(transform(raw, r -> {_located('r', 'ok', 'shifts')}))"
+    if keep:
+        spans = f"filter({spans}, s -> {keep})"
     if merge:
         spans = resolve_overlaps(spans)
     body = f"CASE WHEN size(raw) > 0 THEN {let('shifts', shifts, spans)} END"
@@ -209,31 +243,57 @@ def external_detections(detections: DataFrame) -> DataFrame:
     )
 
 
+def _chunks(texts: list[str], size: int | None, overlap: int) -> list[tuple[int, int, str]]:
+    """``(number of the text, offset, chunk)``; a chunk reads ``overlap`` characters into
+    the next one."""
+    if size is None:
+        return [(n, 0, text) for n, text in enumerate(texts)]
+    return [
+        (n, at, text[at : at + size + overlap])
+        for n, text in enumerate(texts)
+        for at in range(0, max(len(text), 1), size)
+    ]
+
+
 def detect_with(
     df: DataFrame,
     key: str,
-    name: str,
-    factory: Callable[[], Callable[[str], list[dict]]],
+    factory: Callable[[], Callable[[list[str]], list[list[dict]]]],
     columns: list[str] | None = None,
+    chunk: int | None = None,
+    overlap: int = 0,
 ) -> DataFrame:
     """Detections by a Python model.
 
-    ``factory`` builds the detector once per Python worker and is remembered as
-    ``name``; the detector gets one whole text and returns dicts with ``label``,
-    ``text``, ``start``, ``end`` and ``score``.
+    ``factory`` builds the detector once per Python worker. The detector gets a list of
+    texts and returns a list of dicts for each, with ``label``, ``text``, ``start``,
+    ``end`` and ``score``. With ``chunk`` long texts are cut into chunks of so many
+    characters, each read ``overlap`` characters further; positions are shifted back, and
+    a hit counts for the chunk it begins in. ``overlap`` must cover the longest entity.
     """
+    if chunk is not None and (chunk < 1 or overlap < 0):
+        raise ValueError("`chunk` must be positive, and `overlap` not negative.")
     texts = extract_text_fields(df, key, columns)
     key_type = texts.schema["record_id"].dataType.simpleString()
     names = ["record_id", *(field.split()[0] for field in DETECTION_SCHEMA.split(", "))]
     first = len(CATALOGUE) + 1
+    own = new_identity()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = once_per_worker(name, factory)
+        detector = once_per_worker(own, factory)
         for batch in batches:
+            parts = _chunks(list(batch["text"]), chunk, overlap)
+            found: list[list[tuple]] = [[] for _ in range(len(batch))]
+            for (n, at, _), entities in zip(parts, detector([p[2] for p in parts]), strict=True):
+                found[n] += [
+                    (e["label"], e["text"], at + e["start"], at + e["end"], e["score"])
+                    for e in entities
+                    if chunk is None or e["start"] < chunk
+                ]
             rows = [
-                (rid, path, first + n, e["label"], e["text"], e["start"], e["end"], e["score"])
-                for rid, path, text in zip(batch["record_id"], batch["field_path"], batch["text"])
-                for n, e in enumerate(detector(text))
+                (rid, path, first + i, *entity)
+                for rid, path, entities in zip(batch["record_id"], batch["field_path"], found, strict=True)
+                for i, entity in enumerate(entities)
             ]
             yield pd.DataFrame(rows, columns=names)
 

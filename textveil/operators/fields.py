@@ -185,6 +185,25 @@ def extract_text_fields(
     ).select("record_id", "field_ord", F.col("leaf.path").alias("field_path"), "leaf.text")
 
 
+def joined_by_key(df: DataFrame, key: str, records: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``records``, which has one row per key in ``__record``.
+
+    A null key is a key like others. Adds ``__rows``, how many rows share the key: of
+    records that share one, nobody can say whose detections are whose (``unique_sql``).
+    Only keys are shuffled to count them.
+    """
+    own = F.col(ident(key))
+    seen = df.groupBy(own.alias("__key")).agg(F.count(F.lit(1)).alias("__rows"))
+    known = seen.join(records, F.col("__key").eqNullSafe(F.col("__record")), "left").drop("__record")
+    return df.join(known, own.eqNullSafe(F.col("__key")), "left").drop("__key")
+
+
+def unique_sql(key: str, value: str) -> str:
+    """SQL for ``value``, or an error where a key stands for several rows."""
+    message = lit(f"The key {key!r} is not unique: changes can't be told apart.")
+    return f"CASE WHEN __rows > 1 THEN raise_error({message}) ELSE {value} END"
+
+
 def set_text_fields(
     df: DataFrame,
     key: str,
@@ -194,16 +213,18 @@ def set_text_fields(
     """Write ``new_texts(record_id, field_path, text)`` back into the records.
 
     Only changed fields need a row, and each at most one. A record without any
-    keeps its values. A group is never larger than the record itself.
+    keeps its values. A group is never larger than the record itself. A key that stands
+    for several rows is an error.
     """
     chosen = text_columns(df, key, columns)
     grouped = new_texts.groupBy(F.col("record_id").alias("__record")).agg(
         F.map_from_entries(F.collect_list(F.struct("field_path", "text"))).alias("__given")
     )
-    joined = df.join(grouped, F.col(ident(key)) == F.col("__record"), "left").drop("__record")
-    changed = (
+    joined = joined_by_key(df, key, grouped)
+    changed = unique_sql(
+        key,
         "CASE WHEN __given IS NULL THEN cast(array() as array<string>) "
-        f"ELSE transform({leaves_sql(df, chosen)}, leaf -> try_element_at(__given, leaf.path)) END"
+        f"ELSE transform({leaves_sql(df, chosen)}, leaf -> try_element_at(__given, leaf.path)) END",
     )
-    staged = held(joined, "__changed", changed, drop=("__given",))
+    staged = held(joined, "__changed", changed, drop=("__given", "__rows"))
     return write_back(staged, chosen, "__changed")

@@ -2,58 +2,68 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textveil.functions.sqltext import ident
+from textveil.sources.scratch import written
 
 
-def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Use the folder the session names; a private one only where there is none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="textveil-"))
-
+def _first_positions(keys: DataFrame, order: list[str]) -> DataFrame:
+    """The columns ``order`` of each distinct key and ``__first``, how many rows come
+    before it. Only keys and their counts are moved and written, never the rows.
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Number rows in partition order. The rows are written once first, so that
-    lost executors cannot change which partition a row is in."""
-    ensure_checkpoint_dir(df)
-    stored = df.withColumn("__local", F.monotonically_increasing_id()).checkpoint()
-    part = F.shiftright("__local", 33)
-    counts = stored.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__rows"))
-    # One row per partition, a number that the session's settings bound.
-    firsts, total = [], 0
-    for row in sorted(counts.collect(), key=lambda r: r["__part"]):
-        firsts.append((row["__part"], total))
-        total += row["__rows"]
-    offsets = df.sparkSession.createDataFrame(firsts, "__part long, __first long")
-    local = F.col("__local").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        stored.withColumn("__part", part)
-        .join(F.broadcast(offsets), "__part")
-        .withColumn(name, F.col("__first") + local)
-        .drop("__part", "__first", "__local")
+    Keys are dealt out in ranges, counted inside each range, and one number per range says
+    what all ranges before it hold.
+    """
+    counted = keys.groupBy(*order).agg(F.count(F.lit(1)).alias("__rows"))
+    ranged = written(
+        counted.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "positions"
     )
+    # One row per range, a number that the session's settings bound.
+    parts = ranged.groupBy("__part").agg(F.sum("__rows").alias("__all"))
+    parts = parts.select(
+        "__part", (F.sum("__all").over(Window.orderBy("__part")) - F.col("__all")).alias("__before")
+    )
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.sum("__rows").over(inside) - F.col("__rows") + F.col("__before")
+    return ranged.join(F.broadcast(parts), "__part").select(*order, first.alias("__first"))
 
 
 def with_file_order(df: DataFrame, name: str = "record_id") -> DataFrame:
-    """Number the records of a dataset without a key in the order they are read."""
-    return _numbered(df, name)
+    """Number the records of a dataset without a key in reading order: by file path, then
+    by place in the file, however Spark deals the files out.
+
+    Without a key nothing but its place tells a row, so the rows are written once, with
+    their places, before they are numbered.
+    """
+    rows = written(
+        df.withColumns(
+            {
+                "__file": F.input_file_name(),
+                "__block": F.input_file_block_start(),
+                "__row": F.monotonically_increasing_id(),
+            }
+        ),
+        "rows",
+    )
+    return with_position(rows, "__file", "__block", "__row", name=name).drop("__file", "__block", "__row")
 
 
-def with_position(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
-    """Add the 0-based position of each row in the order of ``order``.
+def with_position(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """Add the 0-based position of each row in the ascending order of the columns ``order``.
 
-    The columns should identify a row, or equal rows may end up in one range.
-    Rows are split into ranges and sorted inside them; row counts of the ranges
-    before give each range its first position.
+    The columns should identify a row: rows with equal values are numbered among
+    themselves in no particular order, in one task. Positions are worked out on the keys
+    alone; the rows meet them in one shuffle.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return _numbered(ranged, name)
+    names = [f"__order{i}" for i in range(len(order))]
+    keys = df.select(*[F.col(ident(c)).alias(n) for c, n in zip(order, names, strict=True)])
+    first = _first_positions(keys, names)
+    same = [F.col(ident(c)).eqNullSafe(F.col(n)) for c, n in zip(order, names, strict=True)]
+    ties = Window.partitionBy(*names).orderBy(F.lit(0))
+    placed = df.join(first, same).withColumn(name, F.col("__first") + F.row_number().over(ties) - 1)
+    return placed.drop("__first", *names)
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str, group: int = 65536) -> DataFrame:

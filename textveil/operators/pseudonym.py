@@ -17,6 +17,10 @@ from textveil.operators.detect import java_regex
 FALLBACK = "[PSEUDONYMIZED]"
 MAX_LENGTH = 200
 ATTEMPTS = 5
+# A match beyond MAX_LENGTH gives a shorter value: each unbroken run in it is cut to the
+# first of these lengths that makes it short enough.
+RUN_LENGTHS = (64, 40, 24, 16)
+LONG_RUN = "[A-Za-z0-9+/=_-]"
 
 CONTROL_WHITESPACE = r"[\t\n\r\f\x0B]"
 BLANK_RUN = rf"[{BLANKS}]{{2,}}"
@@ -153,11 +157,25 @@ def _kept_chars(pattern: str, match: str) -> str:
     return f"CASE {' '.join(cases)} ELSE 0 END"
 
 
+def _ending(pattern: str) -> str:
+    cases = [f"WHEN {pattern} = {lit(n)} THEN {lit(end)}" for n, end in KEPT_ENDING.items()]
+    return f"CASE {' '.join(cases)} ELSE '' END"
+
+
 def _kept_end(pattern: str) -> str:
     cases = [f"WHEN {pattern} = {lit(n)} THEN {len(end)}" for n, end in KEPT_ENDING.items()]
     return f"CASE {' '.join(cases)} ELSE 0 END"
 
 
+def _shortened(match: str) -> str:
+    """The match, or a shorter string of its shape if it is too long."""
+    cut = [
+        f"regexp_replace({match}, {lit(f'({LONG_RUN}{{{k}}}){LONG_RUN}+')}, '$1')" for k in RUN_LENGTHS
+    ]
+    tried = f"filter(array({', '.join(cut)}), c -> length(c) <= {MAX_LENGTH})"
+    return f"CASE WHEN length({match}) <= {MAX_LENGTH} THEN {match} ELSE try_element_at({tried}, 1) END"
+
+
 def _similar(seed: str) -> str:
     """Another string of the same shape as ``chars``: each letter or digit is drawn
     from its own class, everything else stays. Later attempts keep zeros and never
@@ -200,16 +218,24 @@ def _regex_valued(match: str, seed: str) -> str:
     found = let(
         "kept",
         _kept_chars("pattern", match),
-        let("tail", _kept_end("pattern"), let("chars", f"split({match}, '')", found)),
+        let("tail", _kept_end("pattern"), let("chars", "split(shape, '')", found)),
+    )
+    # A rule's fixed ending is put back where the cut took it.
+    ending = _ending("pattern")
+    shape = let(
+        "short",
+        _shortened(match),
+        f"CASE WHEN {ending} != '' AND NOT endswith(short, {ending}) "
+        f"THEN concat(substring(short, 1, length(short) - length({ending})), {ending}) ELSE short END",
     )
+    found = let("shape", shape, f"CASE WHEN shape IS NOT NULL THEN {found} END")
     key_kind = _choice(seed, "key", KEY_KINDS)
     return (
         # The only string its rule allows, and the one rule that lists words.
         f"CASE WHEN pattern = 'crypto_keys_rsa_private_key' THEN {match} "
         "WHEN pattern = 'crypto_keys_ssh_private_key' "
         f"THEN concat('-----BEGIN ', {key_kind}, ' PRIVATE KEY-----') "
-        f"WHEN length({match}) <= {MAX_LENGTH} THEN coalesce({found}, {lit(FALLBACK)}) "
-        f"ELSE {lit(FALLBACK)} END"
+        f"ELSE coalesce({found}, {lit(FALLBACK)}) END"
     )
 
 

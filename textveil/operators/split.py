@@ -28,7 +28,7 @@ def train_val_split(
     the one limiting draw.
     """
     if not 0 < ratio < 1:
-        raise ValueError("`ratio` must be between 0 and 1 (e.g. 0.1 for 10%).")
+        raise ValueError(f"A share of {ratio} can't be split off: it must lie between 0 and 1.")
     drawn = df.withColumn("__draw", F.expr(_draw(key, seed)))
     if not exact:
         limit = int(ratio * _SPACE)

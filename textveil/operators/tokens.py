@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textveil.functions.sqltext import ident, let, lit
-from textveil.functions.workers import once_per_worker
+from textveil.functions.workers import new_identity, once_per_worker
 from textveil.operators.messages import eos_sql
 from textveil.operators.order import running_total, with_position
 
@@ -87,16 +87,20 @@ def tokenize(text: str, codec: Codec = Codec(), limit: int | None = None) -> Col
 
 
 def tokenize_with(
-    text: str | Column, name: str, factory: Callable[[], Callable[[list[str]], list[list[int]]]]
+    text: str | Column, factory: Callable[[], Callable[[list[str]], list[list[int]]]]
 ) -> Column:
     """Token ids by a Python tokeniser, in Arrow batches. ``factory`` builds the
-    encoder once per Python worker; it is remembered as ``name``."""
+    encoder once per Python worker. A null text has null ids."""
+    own = new_identity()
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = once_per_worker(name, factory)
+        encoder = once_per_worker(own, factory)
         for batch in batches:
-            yield pd.Series(encoder(list(batch)))
+            given = batch.notna()
+            ids = pd.Series([None] * len(batch), dtype=object)
+            ids[given.to_numpy()] = pd.Series(encoder(list(batch[given])), dtype=object).to_numpy()
+            yield ids
 
     return encode(F.col(ident(text)) if isinstance(text, str) else text)
 
@@ -115,9 +119,9 @@ def in_batches(df: DataFrame, key: str, rows: int = BATCH_ROWS, dense: bool = Fa
     """Add ``batch`` and ``in_batch`` for ``rows`` consecutive records by key.
 
     ``dense`` says the key already counts 0, 1, 2, … without gaps or null texts;
-    else positions are worked out, which stores the rows once.
+    else positions are worked out from the keys.
     """
-    placed = df if dense else with_position(df, ident(key), name="__position")
+    placed = df if dense else with_position(df, key, name="__position")
     position = ident(key) if dense else "__position"
     return (
         placed.withColumn("batch", F.expr(f"{position} div {rows}"))
@@ -235,19 +239,27 @@ def length_stats(df: DataFrame, ids: str = "input_ids") -> DataFrame:
 
 
 def token_accounting(
-    df: DataFrame, position: str, batch_size: int, logging_steps: int = 1, padded: bool = False
+    df: DataFrame,
+    position: str,
+    batch_size: int,
+    logging_steps: int = 1,
+    padded: bool = True,
+    accumulation: int = 1,
 ) -> DataFrame:
     """Tokens seen after each logged training step.
 
-    ``position`` counts the records 0, 1, 2, …; a step reads ``batch_size`` of
-    them. ``padded`` counts what a right-padded batch holds.
+    ``position`` counts the records 0, 1, 2, …; a step reads ``accumulation`` batches of
+    ``batch_size`` records. ``padded`` counts what right-padded batches hold, as a trainer
+    sees them; without it only the records' own tokens count.
     """
-    if batch_size < 1 or logging_steps < 1:
-        raise ValueError("`batch_size` and `logging_steps` must be positive.")
-    step = F.expr(f"{ident(position)} div {batch_size} + 1").alias("step")
+    if batch_size < 1 or logging_steps < 1 or accumulation < 1:
+        raise ValueError("Batch size, logging steps and accumulation must be positive.")
     size = F.size("input_ids").cast("long")
     tokens = F.max(size) * F.count(F.lit(1)) if padded else F.sum(size)
-    steps = df.groupBy(step).agg(tokens.alias("tokens"))
+    batches = df.groupBy(F.expr(f"{ident(position)} div {batch_size}").alias("batch")).agg(tokens.alias("tokens"))
+    steps = batches.groupBy(F.expr(f"batch div {accumulation} + 1").alias("step")).agg(
+        F.sum("tokens").alias("tokens")
+    )
     return running_total(steps, "step", "tokens", "tokens_seen").filter(
         F.col("step") % logging_steps == 0
     )

@@ -31,9 +31,15 @@ PAGES = (
     "SELECT page_id AS record_id, 'url' AS field_path, url AS text FROM pages "
     "UNION ALL SELECT page_id, 'html', html FROM pages"
 )
+# Messages of all conversations and, line by line, of all documents.
+CHAT_TURNS = """SELECT 'c' || conv_id AS chat_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS n,
+       role, text AS content FROM conversations
+UNION ALL
+SELECT 'd' || doc_id, CAST(i - 1 AS INT), CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END, lines[i]
+FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))"""
 TURNS = (
-    "SELECT conv_id AS record_id, 'messages[' || (row_number() OVER "
-    "(PARTITION BY conv_id ORDER BY turn) - 1) || '].content' AS field_path, text FROM conversations"
+    f"SELECT chat_id AS record_id, 'messages[' || n || '].content' AS field_path, content AS text FROM ({CHAT_TURNS})"
 )
 
 
@@ -192,9 +198,13 @@ def pseudonyms(salt: str) -> str:
         f"(pattern = {quoted(n)} AND k IN ({', '.join(map(str, places))}))"
         for n, places in pseudonym.KEPT_POSITIONS.items()
     )
-    h = "substr(match, k, 1)"
+    cuts = ", ".join(
+        f"regexp_replace(match, '([A-Za-z0-9+/=_-]{{{k}}})[A-Za-z0-9+/=_-]+', '\\1', 'g')" for k in (64, 40, 24, 16)
+    )
+    shorter = f"CASE WHEN length(match) <= 200 THEN match ELSE list_filter([{cuts}], lambda c: length(c) <= 200)[1] END"
+    h = "substr(shape, k, 1)"
     abc = (
-        f"(CASE WHEN k <= front OR k > length(match) - tail OR {spots} THEN {h} "
+        f"(CASE WHEN k <= front OR k > length(shape) - tail OR {spots} THEN {h} "
         f"WHEN {h} = '0' THEN CASE WHEN attempt < 3 THEN '0123456789' ELSE '0' END "
         f"WHEN regexp_full_match({h}, '[1-9]') THEN CASE WHEN attempt < 3 THEN '123456789' "
         f"ELSE substr('123456789', 1, TRY_CAST({h} AS INT)) END "
@@ -215,15 +225,16 @@ def pseudonyms(salt: str) -> str:
     return f"""seeded AS (
   SELECT *, {category_case('pattern', True)} AS kind,
          sha256(concat_ws('|', {quoted(salt)}, {category_case('pattern')}, match)) AS seed,
-         CASE pattern {starts} {openings} ELSE 0 END AS front, CASE pattern {ends} ELSE 0 END AS tail
+         CASE pattern {starts} {openings} ELSE 0 END AS front, CASE pattern {ends} ELSE 0 END AS tail,
+         {shorter} AS shape
   FROM merged),
 attempts AS (
-  SELECT *, array_to_string(list_transform(range(0, (length(match) - 1) // 32 + 1),
+  SELECT *, array_to_string(list_transform(range(0, (length(shape) - 1) // 32 + 1),
       lambda b: sha256(seed || '|' || attempt || '|' || b)), '') AS stream
   FROM (SELECT *, unnest(range(0, {pseudonym.ATTEMPTS})) AS attempt FROM seeded
-        WHERE kind = 'regex' AND length(match) <= {pseudonym.MAX_LENGTH})),
+        WHERE kind = 'regex' AND shape IS NOT NULL)),
 shapes AS (
-  SELECT *, array_to_string(list_transform(range(1, length(match) + 1),
+  SELECT *, array_to_string(list_transform(range(1, length(shape) + 1),
       lambda k: substr({abc}, 1 + {_byte('stream')} % length({abc}), 1)), '') AS shaped
   FROM attempts),
 best AS (
@@ -310,12 +321,15 @@ chats AS (
   )}, '' ORDER BY turn) FILTER (WHERE NOT (n = 1 AND role = 'system')), '') || '<eos>' AS rendered
   FROM turns GROUP BY conv_id)"""
 
-# One row per conversation with a first user and a first assistant text.
+# One row per user turn, with the system turn before and the answer after it.
 PAIRS = """pairs AS (
-  SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS system_text,
-         arg_min(text, turn) FILTER (WHERE role = 'user') AS user_text,
-         arg_min(text, turn) FILTER (WHERE role = 'assistant') AS answer
-  FROM conversations GROUP BY conv_id)"""
+  SELECT conv_id, turn, text AS user_text,
+         CASE WHEN role_before = 'system' THEN text_before END AS system_text,
+         CASE WHEN role_after = 'assistant' THEN text_after END AS answer
+  FROM (SELECT *, lag(role) OVER w AS role_before, lag(text) OVER w AS text_before,
+               lead(role) OVER w AS role_after, lead(text) OVER w AS text_after
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  WHERE role = 'user')"""
 
 
 def framed_tokens(part: str = "documents", number: str = "doc_id") -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from textveil.functions.rules import CATALOGUE, CATEGORY_SOURCES, select_rules
 from textveil.plans.expected import (
+    CHAT_TURNS,
     CHATS,
     DETECTION_COLUMNS,
     DOCUMENTS,
@@ -33,16 +34,19 @@ from textveil.plans.queries import KINDS, MINIMAL_RULES
 ALL_DOCUMENT_COLUMNS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
 # Entity-model detections, as the Spark query makes them.
-ENTITIES = f"""entities AS (
-  SELECT doc_id AS record_id, 'text' AS field_path, {len(CATALOGUE) + 1} AS rule_ord,
-         'person' AS pattern, substr(text, 1, strpos(text, ' ') - 1) AS match, 0 AS start,
-         CAST(strpos(text, ' ') - 1 AS INT) AS "end",
-         least(CAST(strpos(text, ' ') AS DOUBLE) / 10 + CAST(0.15 AS DOUBLE), CAST(0.95 AS DOUBLE)) AS score
-  FROM documents WHERE strpos(text, ' ') > 1
-  UNION ALL
-  SELECT doc_id, 'text', {len(CATALOGUE) + 2}, 'full address', substr(text, 1, 12), 0, 12,
-         least(CAST(length(text) AS DOUBLE) / 2000, CAST(0.95 AS DOUBLE))
-  FROM documents WHERE length(text) >= 12)"""
+_ENTITY = "[A-Z][a-z]+ [A-Z][a-z]+|[A-Za-z0-9.@_-]*[0-9@][A-Za-z0-9.@_-]* [a-z]+"
+ENTITIES = f"""pieces AS (
+  SELECT doc_id, regexp_extract_all(text, '{_ENTITY}') AS m, string_split_regex(text, '{_ENTITY}') AS g FROM documents),
+entity_rows AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM pieces),
+entity_starts AS (
+  SELECT doc_id, i, m[i] AS match, CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INT) AS start FROM entity_rows),
+entities AS (
+  SELECT doc_id AS record_id, 'text' AS field_path, CAST({len(CATALOGUE)} + i AS INT) AS rule_ord,
+         CASE WHEN i % 2 = 1 THEN 'person' ELSE 'full address' END AS pattern, match, start,
+         CAST(start + length(match) AS INT) AS "end",
+         least(CAST(length(match) AS DOUBLE) / 40 + CAST(0.4 AS DOUBLE), CAST(0.97 AS DOUBLE)) AS score
+  FROM entity_starts)"""
 
 HYBRID = f"""{rule_hits(DOCUMENTS)}, {ENTITIES},
 every AS (SELECT {DETECTION_COLUMNS} FROM hits UNION ALL SELECT {DETECTION_COLUMNS} FROM entities),
@@ -96,13 +100,14 @@ WHERE u.field_path = 'url' AND h.field_path = 'html'"""
 NUMBERED_TURNS = """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS n,
        role, {content} AS content FROM conversations"""
 
-TOKENS = f"tokens AS (SELECT doc_id, {token_ids('text')}[1:128] AS ids FROM documents)"
+TOKENS = f"tokens AS (SELECT doc_id, {token_ids('text')} AS ids FROM documents)"
+CUT_TOKENS = f"tokens AS (SELECT doc_id, {token_ids('text')}[1:128] AS ids FROM documents)"
 
 
 def two_turns(user: str, assistant: str) -> str:
     return (
-        f"WITH {PAIRS} SELECT conv_id, CAST(0 AS INT) AS n, 'user' AS role, {user} AS content FROM pairs "
-        f"UNION ALL SELECT conv_id, CAST(1 AS INT), 'assistant', {assistant} FROM pairs"
+        f"WITH {PAIRS} SELECT conv_id, turn, CAST(0 AS INT) AS n, 'user' AS role, {user} AS content FROM pairs "
+        f"UNION ALL SELECT conv_id, turn, CAST(1 AS INT), 'assistant', {assistant} FROM pairs"
     )
 
 
@@ -115,11 +120,10 @@ def luhn_ok(digits: str) -> str:
     return f"(list_sum(list_transform({places}, lambda d: d // 10 + d % 10)) % 10 = 0)"
 
 
-_luhn_spans = (
-    "list_filter(spans, lambda y: y.p <> 'credit_card_generic' OR "
-    + luhn_ok("replace(replace(y.m, ' ', ''), '-', '')")
-    + ")"
-)
+# Hits that don't count go before overlaps are resolved.
+_valid_cards = f"""valid AS (SELECT * FROM hits
+  WHERE pattern <> 'credit_card_generic' OR {luhn_ok("replace(replace(match, ' ', ''), '-', '')")})"""
+_new_words = "fresh AS (SELECT * FROM hits2 WHERE match NOT IN ('REDACTED', 'PSEUDONYMIZED'))"
 
 _second_texts = "SELECT record_id, field_path, text FROM once"
 _second_hits = (
@@ -129,7 +133,7 @@ _second_hits = (
     .replace("placed AS", "placed2 AS").replace("FROM placed p JOIN texts t", "FROM placed2 p JOIN texts2 t")
     .replace("hits AS", "hits2 AS")
 )
-_second_kept = kept("hits2").replace("kept AS", "kept2 AS").replace("FROM kept)", "FROM kept2)").replace("merged AS", "merged2 AS")
+_second_kept = kept("fresh").replace("kept AS", "kept2 AS").replace("FROM kept)", "FROM kept2)").replace("merged AS", "merged2 AS")
 _generators = (
     "VALUES "
     + ", ".join(
@@ -153,18 +157,21 @@ EXPECTED: dict[str, str] = {
     "read_zip_archives": r"""SELECT 'part' || (doc_id // 200) || '/' || doc_id || '.txt' AS member,
        regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\s+|\s+$', '', 'g') AS text
 FROM documents WHERE regexp_matches(text, '\S')""",
-    "load_by_extension": "SELECT doc_id, lang, n_chars FROM documents",
+    "load_by_extension": ALL_DOCUMENT_COLUMNS,
     "read_tokenized_rows": f"WITH {TOKENS} SELECT {listed('ids')} AS ids_md5, CAST(len(ids) AS INT) AS n_tokens FROM tokens",
     "write_tokenized_splits": f"""WITH {TOKENS}
 SELECT CASE WHEN {draw('doc_id')} < {int(0.1 * 2**32)} THEN 'validation' ELSE 'train' END AS split,
        count(*) AS n, CAST(sum(len(ids)) AS BIGINT) AS tokens FROM tokens GROUP BY 1""",
     "write_detection_audit": f"WITH {rule_hits(DOCUMENTS)}, {kept()} SELECT {DETECTION_COLUMNS} FROM merged",
     # schema and fields
-    "lower_column_names": "SELECT doc_id, lang, n_chars FROM documents",
+    "lower_column_names": ALL_DOCUMENT_COLUMNS,
     "detect_layouts": "SELECT 'DAPT' AS layout, count(*) AS records FROM documents UNION ALL "
     + " UNION ALL ".join(
-        f"SELECT '{name}', count(DISTINCT conv_id) FROM conversations"
-        for name in ("ALPACA", "CHATML", "SHARE_GPT", "PROMPT_RESPONSE", "QA", "QLA")
+        f"SELECT '{name}', " + ("count(DISTINCT conv_id)" if whole else "count(*) FILTER (WHERE role = 'user')")
+        + " FROM conversations"
+        for name, whole in (
+            ("ALPACA", False), ("CHATML", True), ("SHARE_GPT", True), ("PROMPT_RESPONSE", False), ("QA", False), ("QLA", False)
+        )
     ),
     "extract_fields_nested": """WITH numbered AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, role, text FROM conversations),
@@ -223,19 +230,15 @@ SELECT d.doc_id, c.text, d.lang, d.source, d.n_chars FROM documents d JOIN clean
     "mask_documents": f"WITH {sanitized(DOCUMENTS, MASK)} {DOCUMENT_CLEAN}",
     "mask_pages": f"WITH {sanitized(PAGES, MASK)} {PAGE_CLEAN}",
     "mask_conversations": f"""WITH {sanitized(TURNS, MASK)}
-SELECT t.conv_id, t.n, t.role, c.text AS content
-FROM ({NUMBERED_TURNS.format(content='text')}) t
-JOIN clean c ON c.record_id = t.conv_id AND c.field_path = 'messages[' || t.n || '].content'""",
-    "redact_luhn": f"""WITH {rule_hits(DOCUMENTS)}, {kept()},
-checked AS (SELECT record_id, field_path, nullif({_luhn_spans}, []) AS spans FROM kept)
+SELECT t.chat_id, t.n, t.role, c.text AS content
+FROM ({CHAT_TURNS}) t JOIN clean c ON c.record_id = t.chat_id AND c.field_path = 'messages[' || t.n || '].content'""",
+    "redact_luhn": f"""WITH {rule_hits(DOCUMENTS)}, {_valid_cards}, {kept('valid')}
 SELECT t.record_id AS doc_id, {spliced(REDACT)} AS text
-FROM texts t LEFT JOIN checked c USING (record_id, field_path)""",
+FROM texts t LEFT JOIN kept k USING (record_id, field_path)""",
     "redact_twice": f"""WITH {sanitized(DOCUMENTS, REDACT)}, once AS (SELECT * FROM clean),
-{_second_hits}, {_second_kept},
-checked AS (SELECT record_id, field_path,
-  nullif(list_filter(spans, lambda y: y.m NOT IN ('REDACTED', 'PSEUDONYMIZED')), []) AS spans FROM kept2)
+{_second_hits}, {_new_words}, {_second_kept}
 SELECT t.record_id AS doc_id, {spliced(REDACT)} AS text
-FROM texts2 t LEFT JOIN checked c USING (record_id, field_path)""",
+FROM texts2 t LEFT JOIN kept2 k USING (record_id, field_path)""",
     "pseudonymize_documents": f"""WITH {rule_hits(DOCUMENTS)}, {kept()}, {pseudonyms('demo')},
 grouped AS (
   SELECT record_id, field_path, list(struct_pack(s := start, e := "end", v := value) ORDER BY start) AS spans
@@ -250,8 +253,9 @@ FROM texts t LEFT JOIN grouped g USING (record_id, field_path)""",
     + " END AS value FROM seeds) SELECT c_custkey, "
     + ", ".join(f"max(value) FILTER (WHERE kind = {quoted(k)}) AS {k}" for k in KINDS)
     + " FROM made GROUP BY 1",
-    "pseudonym_shapes": f"""WITH {rule_hits(DOCUMENTS)}, {kept()}
-SELECT pattern, count(*) AS hits, count(*) AS valid, CAST(0 AS BIGINT) AS unchanged FROM merged GROUP BY 1""",
+    "pseudonym_shapes": f"""WITH {rule_hits(DOCUMENTS)}, {kept()}, {pseudonyms('demo')}
+SELECT pattern, count(*) AS hits, count(*) FILTER (WHERE value <> '[PSEUDONYMIZED]') AS valid,
+       count(*) FILTER (WHERE value = match) AS unchanged FROM made GROUP BY 1""",
     "pseudonym_lengths": "SELECT c_custkey, true AS ssn_ok, true AS license_ok, true AS passport_ok, "
     "true AS api_token_ok, true AS email_ok, true AS uri_ok FROM customer",
     "pseudonym_keeps_dates": "SELECT event_id, 'user ' || user_id || ', DOB: ' || strftime(ts, '%d/%m/%Y') || ' .' AS text FROM events",
@@ -264,6 +268,7 @@ SELECT pattern, count(*) AS hits, count(*) AS valid, CAST(0 AS BIGINT) AS unchan
     "review_final": f"WITH {HYBRID}, {FINAL} SELECT {DETECTION_COLUMNS} FROM final",
     "sanitize_with_review": f"WITH {HYBRID}, {FINAL}, {cleaned_documents('final', MASK)}",
     "sanitize_unreviewed": f"WITH {HYBRID}, {SURE}, {cleaned_documents('sure', REDACT)}",
+    "sanitize_null_key": f"WITH {sanitized(DOCUMENTS, REDACT)} SELECT nullif(record_id, 0) AS doc_id, text FROM clean",
     "apply_found_detections": f"WITH {sanitized(PAGES, REDACT)} {PAGE_CLEAN}",
     # preparation
     "messages_alpaca": two_turns(
@@ -273,7 +278,7 @@ SELECT pattern, count(*) AS hits, count(*) AS valid, CAST(0 AS BIGINT) AS unchan
     ),
     "messages_chatml": NUMBERED_TURNS.format(content="text"),
     "messages_share_gpt": NUMBERED_TURNS.format(content="CASE WHEN role = 'system' THEN '' ELSE text END"),
-    "messages_prompt_response": two_turns("coalesce(system_text, '')", "coalesce(answer, '')"),
+    "messages_prompt_response": two_turns("coalesce(user_text, '')", "coalesce(answer, '')"),
     "messages_qa": two_turns("coalesce(user_text, '')", "coalesce(answer, '')"),
     "messages_qla": two_turns("coalesce(user_text, '')", "coalesce(answer, '')"),
     "render_conversations": f"WITH {CHATS} SELECT conv_id, rendered FROM chats",
@@ -290,7 +295,8 @@ SELECT doc_id, CAST(len(ids) AS INT) AS n_tokens, {listed('ids')} AS ids_md5 FRO
     "tokenize_with_adapter": """WITH codes AS (SELECT conv_id, turn,
   list_transform(string_split(text, ''), lambda c: unicode(c)) AS ids FROM conversations)
 SELECT conv_id, turn, CAST(len(ids) AS INT) AS n_tokens, md5(array_to_string(ids, ' ')) AS ids_md5 FROM codes""",
-    "truncate_documents": f"WITH {TOKENS} SELECT doc_id, {listed('ids')} AS ids_md5, CAST(len(ids) AS INT) AS n_tokens FROM tokens",
+    "tokenize_with_library": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "truncate_documents": f"WITH {CUT_TOKENS} SELECT doc_id, {listed('ids')} AS ids_md5, CAST(len(ids) AS INT) AS n_tokens FROM tokens",
     "pack_documents": f"""WITH {framed_tokens()}, {windows(512, 0.0)}
 SELECT batch, "window", {listed('ids')} AS ids_md5, CAST(len(ids) AS INT) AS n_tokens FROM packed""",
     "pack_overlapping": f"""WITH {framed_tokens()}, {windows(256, 0.25)}
@@ -301,7 +307,9 @@ FROM framed GROUP BY 1""",
     "token_lengths": f"""WITH tokens AS (SELECT {token_ids('text')} AS ids FROM documents)
 SELECT count(*) AS rows, CAST(sum(len(ids)) AS BIGINT) AS tokens, CAST(min(len(ids)) AS INT) AS shortest,
        CAST(max(len(ids)) AS INT) AS longest FROM tokens""",
-    "token_progress": f"""WITH {TOKENS}, steps AS (SELECT doc_id // 4 + 1 AS step, CAST(sum(len(ids)) AS BIGINT) AS tokens FROM tokens GROUP BY 1)
+    "token_progress": f"""WITH {TOKENS},
+batches AS (SELECT doc_id // 4 AS batch, max(len(ids)) * count(*) AS tokens FROM tokens GROUP BY 1),
+steps AS (SELECT batch // 4 + 1 AS step, CAST(sum(tokens) AS BIGINT) AS tokens FROM batches GROUP BY 1)
 SELECT * FROM (SELECT step, tokens, CAST(sum(tokens) OVER (ORDER BY step) AS BIGINT) AS tokens_seen FROM steps)
 WHERE step % 5 = 0""",
     "collate_batches": f"""WITH {TOKENS}, wide AS (
@@ -312,19 +320,22 @@ SELECT batch, doc_id,
        md5(array_to_string(list_concat(list_transform(ids, lambda t: CASE WHEN t = 0 THEN -100 ELSE t END),
                                        list_transform(range(0, pads), lambda k: -100)), ' ')) AS labels_md5
 FROM wide""",
-    "split_by_hash": f"""SELECT doc_id, lang,
+    "split_by_hash": f"""SELECT *,
   CASE WHEN {draw('doc_id')} < {int(0.1 * 2**32)} THEN 'validation' ELSE 'train' END AS split FROM documents""",
-    "split_exact": f"""SELECT doc_id, lang, CASE WHEN row_number() OVER (ORDER BY {draw('doc_id')}, doc_id)
+    "split_exact": f"""SELECT *, CASE WHEN row_number() OVER (ORDER BY {draw('doc_id')}, doc_id)
   <= ceil(0.15 * count(*) OVER ()) THEN 'validation' ELSE 'train' END AS split FROM documents""",
-    "consecutive_positions": """SELECT doc_id, lang, n_chars,
+    "consecutive_positions": """SELECT *,
   row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS position FROM documents""",
     "prepare_chats": f"""WITH {CHATS}, tokens AS (SELECT conv_id, {token_ids('rendered')}[1:128] AS ids FROM chats)
 SELECT CASE WHEN {draw('conv_id')} < {int(0.2 * 2**32)} THEN 'validation' ELSE 'train' END AS split,
        {listed('ids')} AS ids_md5, CAST(len(ids) AS INT) AS n_tokens FROM tokens""",
-    "prepare_documents": f"""WITH training AS (
+    "prepare_documents": " UNION ALL ".join(
+        f"""SELECT '{name}' AS split, * FROM (WITH part AS (
   SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, text FROM documents
-  WHERE {draw('doc_id')} >= {int(0.1 * 2**32)}),
-{framed_tokens('training', 'place')}, {windows(512, 0.0)}
-SELECT {listed('ids')} AS ids_md5, CAST(len(ids) AS INT) AS n_tokens FROM packed""",
+  WHERE {draw('doc_id')} {test} {int(0.1 * 2**32)}),
+{framed_tokens('part', 'place')}, {windows(512, 0.0)}
+SELECT {listed('ids')} AS ids_md5, CAST(len(ids) AS INT) AS n_tokens FROM packed)"""
+        for name, test in (("train", ">="), ("validation", "<"))
+    ),
     "redact_stream": f"WITH {sanitized(DOCUMENTS, REDACT)} {DOCUMENT_CLEAN}",
 }

@@ -41,10 +41,10 @@ def _token_rows(
     dense: bool,
     template: ChatTemplate,
     codec: Codec,
-    encoder: tuple[str, Callable] | None,
+    encoder: Callable | None,
 ) -> DataFrame:
     def ids(column: str, limit: int | None = None):
-        return tokenize_with(column, *encoder) if encoder else tokenize(column, codec, limit)
+        return tokenize_with(column, encoder) if encoder else tokenize(column, codec, limit)
 
     if layout == "DAPT":
         # Only key and text travel; a null text is no document.
@@ -72,26 +72,26 @@ def prepare(
     dense: bool = False,
     template: ChatTemplate = ChatTemplate(),
     codec: Codec = Codec(),
-    encoder: tuple[str, Callable] | None = None,
+    encoder: Callable | None = None,
 ) -> dict[str, DataFrame]:
     """``{"train": …}`` or ``{"train": …, "validation": …}`` with ``input_ids`` and
     ``attention_mask``.
 
     Chat layouts are projections of the input. Documents are packed, which needs
     an order: that of ``key``, or the reading order where there is no key.
-    ``encoder`` is ``(name, factory)`` of a Python tokeniser; without it the
-    built-in codec is used.
+    ``encoder`` is the factory of a Python tokeniser; without it the built-in codec is
+    used.
     """
     if isinstance(data, DataFrame):
         if path is not None:
-            raise ValueError("Provide only one of `path` and `data`.")
+            raise ValueError("A file and records can't be loaded at once.")
         df = data
     else:
         df = load(spark, path, data)
     df = lower_columns(df)
     layout = detect_schema(df)
     if split is not None and not 0 < split < 1:
-        raise ValueError("`split` must be between 0 and 1 (e.g. 0.1 for 10%).")
+        raise ValueError(f"A share of {split} can't be split off: it must lie between 0 and 1.")
     needs_key = split is not None or layout == "DAPT"
     if key is None and needs_key:
         df, key, dense = with_file_order(df, "record_id"), "record_id", True

@@ -5,13 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textveil.functions.rules import CATALOGUE, select_rules, source_generators
-from textveil.functions.sqltext import lit
+from textveil.functions.sqltext import lit, running_sum
 from textveil.operators.actions import clean_control_whitespace
 from textveil.operators.detect import (
     detect_pii,
@@ -72,6 +73,8 @@ from textveil.sources.scratch import arrow_target, scratch_path
 from textveil.sources.writers import write_detections, write_records, write_tokenized
 from textveil.streaming.sanitizing import sanitize_stream
 
+# What the stand-in for an entity model finds.
+ENTITY = r"[A-Z][a-z]+ [A-Z][a-z]+|[A-Za-z0-9.@_-]*[0-9@][A-Za-z0-9.@_-]* [a-z]+"
 MINIMAL_RULES = ["email", "ip_ipv4", "gcp_private_key_id"]
 KINDS = "name organization email phone address ssn uri license passport api_token".split()
 
@@ -91,15 +94,29 @@ def chats(spark, sf_dir) -> DataFrame:
     )
 
 
+def mixed_chats(spark, sf_dir) -> DataFrame:
+    """``chat_id, messages`` of all conversations and, a line being a message, of all
+    documents: nested texts with something to find in them."""
+    role = "CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END"
+    lines = f"transform(split(text, '\\n'), (l, i) -> named_struct('role', {role}, 'content', l))"
+    talks = chats(spark, sf_dir).select(F.concat(F.lit("c"), "conv_id").alias("chat_id"), "messages")
+    docs = documents(spark, sf_dir).select(
+        F.concat(F.lit("d"), "doc_id").alias("chat_id"), F.expr(lines).alias("messages")
+    )
+    return talks.unionByName(docs)
+
+
 def pairs(spark, sf_dir) -> DataFrame:
-    """First system, user and assistant text of each conversation."""
+    """Every user turn with the answer that follows it and the system turn before it."""
     turns = table(spark, sf_dir, "conversations")
-    firsts = [
-        F.min_by("text", "turn").alias(name) if role is None
-        else F.expr(f"min_by(text, turn) FILTER (WHERE role = '{role}')").alias(name)
-        for role, name in (("system", "system_text"), ("user", "user_text"), ("assistant", "answer"))
-    ]
-    return turns.groupBy("conv_id").agg(*firsts)
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    near = {
+        "answer": F.when(F.lead("role").over(order) == "assistant", F.lead("text").over(order)),
+        "system_text": F.when(F.lag("role").over(order) == "system", F.lag("text").over(order)),
+    }
+    return turns.withColumns(near).where("role = 'user'").select(
+        "conv_id", "turn", "system_text", F.col("text").alias("user_text"), "answer"
+    )
 
 
 # Sources and sinks
@@ -120,7 +137,7 @@ def read_json_lines(spark, sf_dir):
 def read_csv_typed(spark, sf_dir):
     path = scratch_path(spark, "table") + ".csv"
     documents(spark, sf_dir).write.option("header", True).option("escape", '"').csv(path)
-    return read_csv(spark, path)
+    return read_csv(spark, path, multi_line=True)
 
 
 def read_csv_strings(spark, sf_dir):
@@ -151,12 +168,12 @@ def read_zip_archives(spark, sf_dir):
 
 
 def load_by_extension(spark, sf_dir):
-    return load(spark, path=f"{sf_dir}/documents.parquet").select("doc_id", "lang", "n_chars")
+    return load(spark, path=f"{sf_dir}/documents.parquet")
 
 
 def _token_table(spark, sf_dir) -> DataFrame:
-    rows = documents(spark, sf_dir).withColumn("input_ids", tokenize("text", limit=128))
-    return truncate(rows.select("doc_id", "input_ids"), 128)
+    rows = documents(spark, sf_dir).select("doc_id", tokenize("text").alias("input_ids"))
+    return rows.withColumn("attention_mask", F.expr("array_repeat(1, size(input_ids))"))
 
 
 def read_tokenized_rows(spark, sf_dir):
@@ -188,7 +205,7 @@ def write_detection_audit(spark, sf_dir):
 
 def lower_column_names(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return lower_columns(docs.selectExpr("doc_id as DOC_ID", "lang as Lang", "n_chars as N_Chars"))
+    return lower_columns(docs.toDF("DOC_ID", "Text", "Lang", "SOURCE", "N_Chars"))
 
 
 def _layouts(spark, sf_dir) -> list[DataFrame]:
@@ -269,23 +286,22 @@ def rule_catalogue_hits(spark, sf_dir):
 
 
 def _named_entities(spark, sf_dir) -> DataFrame:
-    """Detections as an entity model would give them: the first word and the
-    first 12 characters of each document, surer for longer words and texts."""
-    docs = table(spark, sf_dir, "documents")
-    entities = (
-        "array(named_struct('pattern', 'person', 'arrival', 0, 'end', instr(text, ' ') - 1, "
-        "'score', least(cast(instr(text, ' ') as double) / 10 + 0.15D, 0.95D)), "
-        "named_struct('pattern', 'full address', 'arrival', 1, 'end', 12, "
-        "'score', least(cast(length(text) as double) / 2000, 0.95D)))"
-    )
-    return (
-        docs.select("doc_id", "text", F.expr(f"explode({entities})").alias("e"))
-        .filter("e.end > 0 AND length(text) >= e.end")
-        .selectExpr(
-            "doc_id as record_id", "'text' as field_path", "e.pattern as pattern",
-            "substring(text, 1, e.end) as match", "0 as start", "e.end as end",
-            "e.score as score", "e.arrival as arrival",
-        )
+    """Detections as an entity model would give them: everywhere in each document two
+    capitalised words, or a piece with a digit or @ and the word after it, persons and
+    addresses in turn, the longer the surer."""
+    found, gaps = f"regexp_extract_all(text, {lit(ENTITY)}, 0)", f"split(text, {lit(ENTITY)}, -1)"
+    rows = documents(spark, sf_dir).select("doc_id", F.expr(found).alias("found"), F.expr(gaps).alias("gaps"))
+    before = "transform(found, (m, i) -> length(gaps[i]) + CASE WHEN i = 0 THEN 0 ELSE length(found[i - 1]) END)"
+    rows = rows.withColumn("starts", F.expr(running_sum(before)))
+    return rows.select("doc_id", "starts", F.posexplode("found").alias("arrival", "match")).selectExpr(
+        "doc_id as record_id",
+        "'text' as field_path",
+        "CASE WHEN arrival % 2 = 0 THEN 'person' ELSE 'full address' END as pattern",
+        "match",
+        "starts[arrival] as start",
+        "starts[arrival] + length(match) as end",
+        "least(cast(length(match) as double) / 40 + 0.4D, 0.97D) as score",
+        "arrival",
     )
 
 
@@ -296,10 +312,13 @@ def detect_external_table(spark, sf_dir):
 def _name_finder():
     names = re.compile(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", re.ASCII)
 
-    def find(text: str) -> list[dict]:
+    def find(texts: list[str]) -> list[list[dict]]:
         return [
-            {"label": "person name", "text": m.group(), "start": m.start(), "end": m.end(), "score": 0.75}
-            for m in names.finditer(text)
+            [
+                {"label": "person name", "text": m.group(), "start": m.start(), "end": m.end(), "score": 0.75}
+                for m in names.finditer(text)
+            ]
+            for text in texts
         ]
 
     return find
@@ -307,7 +326,7 @@ def _name_finder():
 
 def detect_with_model(spark, sf_dir):
     return _shown(
-        detect_with(documents(spark, sf_dir), "doc_id", "names", _name_finder, ["text"])
+        detect_with(documents(spark, sf_dir), "doc_id", _name_finder, ["text"])
     ).drop("rule_ord")
 
 
@@ -320,7 +339,7 @@ def detect_pii_documents(spark, sf_dir):
 
 
 def detect_pii_conversations(spark, sf_dir):
-    return _shown(detect_pii(chats(spark, sf_dir), "conv_id"))
+    return _shown(detect_pii(mixed_chats(spark, sf_dir), "chat_id"))
 
 
 def _hybrid(spark, sf_dir, **options) -> DataFrame:
@@ -399,10 +418,7 @@ def mask_pages(spark, sf_dir):
 
 
 def mask_conversations(spark, sf_dir):
-    clean = sanitize(chats(spark, sf_dir), "mask", "conv_id")
-    return clean.select("conv_id", F.expr("posexplode(messages)").alias("n", "m")).select(
-        "conv_id", "n", "m.role", "m.content"
-    )
+    return _turn_rows(sanitize(mixed_chats(spark, sf_dir), "mask", "chat_id"), "chat_id")
 
 
 def redact_luhn(spark, sf_dir):
@@ -431,7 +447,7 @@ def pseudonym_shapes(spark, sf_dir):
         for r in CATALOGUE
         if source_generators().get(r.name) == "regex"
     )
-    valid = f"CASE WHEN made = {lit(FALLBACK)} THEN true {accepted} ELSE made != '' END"
+    valid = f"CASE WHEN made = {lit(FALLBACK)} THEN false {accepted} ELSE made != '' END"
     return made.groupBy("pattern").agg(
         F.count(F.lit(1)).alias("hits"),
         F.count_if(F.expr(valid)).alias("valid"),
@@ -466,7 +482,9 @@ def pseudonym_keeps_dates(spark, sf_dir):
     records = table(spark, sf_dir, "events").selectExpr(
         "event_id", "concat('user ', user_id, ', DOB: ', date_format(ts, 'dd/MM/yyyy'), ' .') as text"
     )
-    return sanitize(records, "pseudonymize", "event_id", rules=select_rules(include=["dob_generic"]))
+    return sanitize(
+        records, "pseudonymize", "event_id", rules=select_rules(include=["dob_generic"]), salt="demo"
+    )
 
 
 def clean_whitespace(spark, sf_dir):
@@ -525,6 +543,12 @@ def sanitize_unreviewed(spark, sf_dir):
     return sanitize_reviewed(docs, "doc_id", _hybrid(spark, sf_dir), action="redact")
 
 
+def sanitize_null_key(spark, sf_dir):
+    """A record without a key is cleaned like others."""
+    docs = documents(spark, sf_dir).select(F.expr("nullif(doc_id, 0)").alias("doc_id"), "text")
+    return sanitize_reviewed(docs, "doc_id", detect_pii(docs, "doc_id", ["text"]), action="redact")
+
+
 def apply_found_detections(spark, sf_dir):
     pages = spread(table(spark, sf_dir, "pages"))
     return apply_detections(pages, "page_id", detect_pii(pages, "page_id"), "redact")
@@ -533,21 +557,21 @@ def apply_found_detections(spark, sf_dir):
 # Preparation
 
 
-def _turn_rows(df: DataFrame) -> DataFrame:
-    return df.select("conv_id", F.expr("posexplode(messages)").alias("n", "m")).select(
-        "conv_id", "n", "m.role", "m.content"
+def _turn_rows(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.expr("posexplode(messages)").alias("n", "m")).select(
+        *keys, "n", "m.role", "m.content"
     )
 
 
 def messages_alpaca(spark, sf_dir):
     source = pairs(spark, sf_dir).selectExpr(
-        "conv_id", "user_text as instruction", "system_text as input", "answer as output"
+        "conv_id", "turn", "user_text as instruction", "system_text as input", "answer as output"
     )
-    return _turn_rows(to_messages(source, "ALPACA"))
+    return _turn_rows(to_messages(source, "ALPACA"), "conv_id", "turn")
 
 
 def messages_chatml(spark, sf_dir):
-    return _turn_rows(to_messages(chats(spark, sf_dir), "CHATML"))
+    return _turn_rows(to_messages(chats(spark, sf_dir), "CHATML"), "conv_id")
 
 
 def messages_share_gpt(spark, sf_dir):
@@ -557,22 +581,22 @@ def messages_share_gpt(spark, sf_dir):
         "WHEN 'system' THEN 'SYSTEM' ELSE 'gpt' END, 'value', "
         "CASE WHEN m.role = 'system' THEN NULL ELSE m.content END)) as conversations",
     )
-    return _turn_rows(to_messages(source, "SHARE_GPT"))
+    return _turn_rows(to_messages(source, "SHARE_GPT"), "conv_id")
 
 
 def messages_prompt_response(spark, sf_dir):
-    source = pairs(spark, sf_dir).selectExpr("conv_id", "system_text as prompt", "answer as response")
-    return _turn_rows(to_messages(source, "PROMPT_RESPONSE"))
+    source = pairs(spark, sf_dir).selectExpr("conv_id", "turn", "user_text as prompt", "answer as response")
+    return _turn_rows(to_messages(source, "PROMPT_RESPONSE"), "conv_id", "turn")
 
 
 def messages_qa(spark, sf_dir):
-    source = pairs(spark, sf_dir).selectExpr("conv_id", "user_text as question", "answer")
-    return _turn_rows(to_messages(source, "QA"))
+    source = pairs(spark, sf_dir).selectExpr("conv_id", "turn", "user_text as question", "answer")
+    return _turn_rows(to_messages(source, "QA"), "conv_id", "turn")
 
 
 def messages_qla(spark, sf_dir):
-    source = pairs(spark, sf_dir).selectExpr("conv_id", "user_text as question", "answer as long_answer")
-    return _turn_rows(to_messages(source, "QLA"))
+    source = pairs(spark, sf_dir).selectExpr("conv_id", "turn", "user_text as question", "answer as long_answer")
+    return _turn_rows(to_messages(source, "QLA"), "conv_id", "turn")
 
 
 def render_conversations(spark, sf_dir):
@@ -619,13 +643,37 @@ def tokenize_with_adapter(spark, sf_dir):
         return lambda texts: [[ord(c) for c in t] for t in texts]
 
     turns = table(spark, sf_dir, "conversations")
-    rows = turns.select("conv_id", "turn", tokenize_with("text", "codes", factory).alias("input_ids"))
+    rows = turns.select("conv_id", "turn", tokenize_with("text", factory).alias("input_ids"))
     return rows.select("conv_id", "turn", F.size("input_ids").alias("n_tokens"), _digest())
 
 
+def tokenize_with_library(spark, sf_dir):
+    """A public tokenizer's file as the encoder, and its decoder on the ids."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+
+    def encoder():
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        return lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+    @F.pandas_udf("string")
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        for ids in batches:
+            yield pd.Series(model.decode_batch([list(map(int, x)) for x in ids], skip_special_tokens=False))
+
+    rows = documents(spark, sf_dir).select("doc_id", tokenize_with("text", encoder).alias("input_ids"))
+    return rows.select("doc_id", F.md5(decoded("input_ids")).alias("text_md5"))
+
+
 def truncate_documents(spark, sf_dir):
-    rows = _token_table(spark, sf_dir)
-    return rows.select("doc_id", _digest(), F.size("attention_mask").alias("n_tokens"))
+    rows = documents(spark, sf_dir).select("doc_id", tokenize("text", limit=128).alias("input_ids"))
+    return truncate(rows, 128).select("doc_id", _digest(), F.size("attention_mask").alias("n_tokens"))
 
 
 def _packed(spark, sf_dir, length: int, overlap: float) -> DataFrame:
@@ -653,7 +701,9 @@ def token_lengths(spark, sf_dir):
 
 
 def token_progress(spark, sf_dir):
-    return token_accounting(_token_table(spark, sf_dir), "doc_id", batch_size=4, logging_steps=5)
+    return token_accounting(
+        _token_table(spark, sf_dir), "doc_id", batch_size=4, logging_steps=5, accumulation=4
+    )
 
 
 def collate_batches(spark, sf_dir):
@@ -668,21 +718,22 @@ def collate_batches(spark, sf_dir):
 
 
 def split_by_hash(spark, sf_dir):
-    return train_val_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), 0.1, "doc_id")
+    return train_val_split(table(spark, sf_dir, "documents"), 0.1, "doc_id")
 
 
 def split_exact(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return train_val_split(docs, 0.15, "doc_id", exact=True)
+    return train_val_split(table(spark, sf_dir, "documents"), 0.15, "doc_id", exact=True)
 
 
 def consecutive_positions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return with_position(docs, "n_chars", "doc_id")
+    return with_position(table(spark, sf_dir, "documents"), "n_chars", "doc_id")
 
 
 def prepare_chats(spark, sf_dir):
-    parts = prepare(spark, data=chats(spark, sf_dir), max_length=128, split=0.2, key="conv_id")
+    return _both(prepare(spark, data=chats(spark, sf_dir), max_length=128, split=0.2, key="conv_id"))
+
+
+def _both(parts: dict[str, DataFrame]) -> DataFrame:
     out = [
         df.select(F.lit(name).alias("split"), _digest(), F.size("attention_mask").alias("n_tokens"))
         for name, df in parts.items()
@@ -691,10 +742,9 @@ def prepare_chats(spark, sf_dir):
 
 
 def prepare_documents(spark, sf_dir):
-    """Split, then pack the training part in the order of its keys."""
+    """Split, then pack each part in the order of its keys."""
     docs = documents(spark, sf_dir)
-    parts = prepare(spark, data=docs, max_length=512, split=0.1, key="doc_id")
-    return parts["train"].select(_digest(), F.size("attention_mask").alias("n_tokens"))
+    return _both(prepare(spark, data=docs, max_length=512, split=0.1, key="doc_id"))
 
 
 # Streaming
@@ -730,10 +780,11 @@ QUERIES = {
         redact_luhn, redact_twice, pseudonymize_documents, pseudonym_shapes, pseudonym_kinds,
         pseudonym_lengths, pseudonym_keeps_dates, clean_whitespace,
         review_top, review_uncapped, review_verdicts, review_final, sanitize_with_review,
-        sanitize_unreviewed, apply_found_detections,
+        sanitize_unreviewed, sanitize_null_key, apply_found_detections,
         messages_alpaca, messages_chatml, messages_share_gpt, messages_prompt_response,
         messages_qa, messages_qla, render_conversations, render_plain_markers, end_markers,
-        frame_batches, tokenize_documents, tokenize_with_adapter, truncate_documents,
+        frame_batches, tokenize_documents, tokenize_with_adapter,
+        tokenize_with_library, truncate_documents,
         pack_documents, pack_overlapping, pack_dropped, token_lengths, token_progress,
         collate_batches, split_by_hash, split_exact, consecutive_positions, prepare_chats,
         prepare_documents, redact_stream,

@@ -21,9 +21,9 @@ from textveil.functions.rules import (
     source_generators,
 )
 from textveil.functions.sqltext import held, ident, let, lit
-from textveil.operators.actions import check_action, spliced_sql
+from textveil.operators.actions import check_action, check_salt, spliced_sql
 from textveil.operators.detect import detect_pii, spans_sql, split_by_confidence
-from textveil.operators.fields import leaves_sql, text_columns, texts_sql, write_back
+from textveil.operators.fields import joined_by_key, leaves_sql, text_columns, texts_sql, unique_sql, write_back
 from textveil.operators.merge import SPAN
 from textveil.operators.review import final_detections, review_queue
 from textveil.sources.writers import write_detections
@@ -50,21 +50,26 @@ def sanitize(
     check digit.
     """
     check_action(action)
+    check_salt(action, salt)
     chosen = text_columns(df, key, columns)
     if not chosen:
         return df
-    found = spans_sql("leaf", CATALOGUE if rules is None else rules, True, condense)
-    spans = "spans"
+    # Hits that don't count go before overlaps are resolved: what they would have
+    # displaced is still replaced.
+    keep = []
     if skip_placeholders:
         words = ", ".join(lit(w) for w in PLACEHOLDER_WORDS)
-        spans = f"filter({spans}, s -> s.match NOT IN ({words}))"
+        keep.append(f"s.match NOT IN ({words})")
     if luhn:
         digits = "regexp_replace(s.match, '[ -]', '')"
-        spans = f"filter({spans}, s -> s.pattern != 'credit_card_generic' OR luhn_check({digits}))"
+        keep.append(f"(s.pattern != 'credit_card_generic' OR luhn_check({digits}))")
+    found = spans_sql(
+        "leaf", CATALOGUE if rules is None else rules, True, condense, " AND ".join(keep) or None
+    )
     new = let(
         "spans",
         found,
-        f"CASE WHEN spans IS NOT NULL THEN {spliced_sql('leaf', spans, action, salt)} END",
+        f"CASE WHEN spans IS NOT NULL THEN {spliced_sql('leaf', 'spans', action, salt)} END",
     )
     changed = f"transform({texts_sql(df, chosen)}, leaf -> {new})"
     return write_back(held(df, "__changed", changed), chosen, "__changed")
@@ -81,27 +86,31 @@ def apply_detections(
     """Replace given detections in the records they belong to.
 
     ``detections`` must be disjoint within a field. They are grouped per record,
-    so one group is never larger than what one record holds, and joined back.
+    so one group is never larger than what one record holds, and joined back. A null key
+    is a key like others; a key that stands for several rows is an error.
     """
     check_action(action)
+    check_salt(action, salt)
     chosen = text_columns(df, key, columns)
-    fields = detections.groupBy("record_id", "field_path").agg(
+    # Dealt out by record once, for both groupings and the join.
+    fields = detections.repartition("record_id").groupBy("record_id", "field_path").agg(
         F.expr(f"array_sort(collect_list({SPAN}))").alias("spans")
     )
     records = fields.groupBy(F.col("record_id").alias("__record")).agg(
         F.map_from_entries(F.collect_list(F.struct("field_path", "spans"))).alias("__spans")
     )
-    joined = df.join(records, F.col(ident(key)) == F.col("__record"), "left").drop("__record")
+    joined = joined_by_key(df, key, records)
     new = let(
         "own",
         "try_element_at(__spans, leaf.path)",
         f"CASE WHEN own IS NOT NULL THEN {spliced_sql('leaf.text', 'own', action, salt)} END",
     )
-    changed = (
+    changed = unique_sql(
+        key,
         "CASE WHEN __spans IS NULL THEN cast(array() as array<string>) "
-        f"ELSE transform({leaves_sql(df, chosen)}, leaf -> {new}) END"
+        f"ELSE transform({leaves_sql(df, chosen)}, leaf -> {new}) END",
     )
-    staged = held(joined, "__changed", changed, drop=("__spans",))
+    staged = held(joined, "__changed", changed, drop=("__spans", "__rows"))
     return write_back(staged, chosen, "__changed")
 
 
@@ -146,6 +155,7 @@ def sanitize_hybrid(
     a detection and ``discard``); without one only certain hits are replaced.
     """
     check_action(action)
+    check_salt(action, salt)
     found = detect_pii(df, key, columns, rules, external, protect_certain)
     stored = write_detections(found, audit_path)
     queue = review_queue(split_by_confidence(stored)[1], ratio, max_n)
@@ -156,7 +166,7 @@ def sanitize_hybrid(
 def organize(df: DataFrame, key: str, detections: DataFrame) -> DataFrame:
     """Detections grouped by record, then by field; records without hits stay,
     with an empty map."""
-    fields = detections.groupBy("record_id", "field_path").agg(
+    fields = detections.repartition("record_id").groupBy("record_id", "field_path").agg(
         F.expr(
             "array_sort(collect_list(named_struct('start', start, 'end', end, "
             "'rule_ord', rule_ord, 'pattern', pattern, 'match', match, 'score', score)))"
@@ -166,9 +176,9 @@ def organize(df: DataFrame, key: str, detections: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("field_path", "hits"))).alias("fields")
     )
     kind = records.schema["fields"].dataType.simpleString()
-    ids = df.select(F.col(ident(key)).alias("record_id"))
-    return ids.join(records, "record_id", "left").select(
-        "record_id",
+    ids = df.select(F.col(ident(key)).alias("own_id"))
+    return ids.join(records, F.col("own_id").eqNullSafe(F.col("record_id")), "left").select(
+        F.col("own_id").alias("record_id"),
         F.coalesce("fields", F.expr(f"cast(map() as {kind})")).alias("fields"),
     )
 

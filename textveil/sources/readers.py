@@ -16,16 +16,38 @@ from pyspark.sql import functions as F
 TOKEN_SCHEMA = "input_ids array<int>, attention_mask array<int>"
 
 
-def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A ``.json`` file: one array of records, or records line by line.
-
-    An array can only be read by one task per file; line files split.
+def _array_files(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Whether each file begins with a bracket. One pass over the text, a row per file."""
+    rows = (
+        spark.read.option("lineSep", "{").text(path)
+        .select("value", "_metadata.file_path", "_metadata.file_block_start")
+        .withColumn("place", F.monotonically_increasing_id())
+        .where("file_block_start = 0")
+    )
+    heads = rows.groupBy("file_path").agg(F.min_by("value", "place").alias("head"))
+    return {r["file_path"]: r["head"].lstrip("\ufeff \t\r\n").startswith("[") for r in heads.collect()}
+
+
+def read_json(spark: SparkSession, path: str, schema=None, lines: bool | None = None) -> DataFrame:
+    """``.json`` files: one array of records each, or records line by line.
+
+    An array can only be read by one task per file; line files split. Say with ``lines``
+    which of the two all files are; otherwise a pass over the text finds out for each.
     """
-    # Only what comes before the first record is read here, however long the lines.
-    head = spark.read.option("lineSep", "{").text(path).head()
-    array = head is not None and head["value"].lstrip("\ufeff \t\r\n").startswith("[")
-    reader = spark.read.option("multiLine", array).option("mode", "FAILFAST")
-    return (reader.schema(schema) if schema else reader).json(path)
+    reader = spark.read.option("mode", "FAILFAST")
+    if schema:
+        reader = reader.schema(schema)
+    if lines is not None:
+        return reader.option("multiLine", not lines).json(path)
+    kinds = _array_files(spark, path)
+    arrays = [p for p, array in kinds.items() if array]
+    others = [p for p, array in kinds.items() if not array]
+    parts = [
+        reader.option("multiLine", array).json(path if len(chosen) == len(kinds) else chosen)
+        for array, chosen in ((True, arrays), (False, others))
+        if chosen or (not array and not kinds)
+    ]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -75,9 +97,16 @@ def read_zip_text(spark: SparkSession, path: str, with_origin: bool = False) ->
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 folder = splitext(basename(name))[0]
+                rows, size = [], 0
                 for member, text in _text_members(content, folder):
-                    yield pd.DataFrame({"archive": [name], "member": [member], "text": [text]})
-
+                    rows.append((name, member, text))
+                    size += len(text)
+                    if size > 1 << 20:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+                yield pd.DataFrame(rows, columns=columns)
+
+    columns = ["archive", "member", "text"]
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     rows = files.mapInPandas(unpack, "archive string, member string, text string")
     return rows if with_origin else rows.select("text")
@@ -93,9 +122,9 @@ def load(
 ) -> DataFrame:
     """A dataset from exactly one of a file (or folder, by extension), or records."""
     if path is None and data is None:
-        raise ValueError("Provide either `path` or `data`.")
+        raise ValueError("There is nothing to load: name a file or give records.")
     if path is not None and data is not None:
-        raise ValueError("Provide only one of `path` and `data`.")
+        raise ValueError("A file and records can't be loaded at once.")
     if data is not None:
         return from_records(spark, data)
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
@@ -107,7 +136,7 @@ def load(
         ".parquet": lambda s, p: s.read.parquet(p),
     }
     if extension not in readers:
-        raise ValueError(f"Unsupported file format: {extension!r}")
+        raise ValueError(f"Files ending in {extension!r} can't be loaded.")
     return readers[extension](spark, path)
 
 
@@ -117,12 +146,11 @@ def read_tokenized(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input enough partitions to use all cores.
+    """Deal the rows out to as many tasks as the session's ``textveil.read.tasks`` says.
 
-    A file of one row group is read by one task, however heavy the work on it is.
-    Only inputs with no more splits than cores are moved, so at most one split
-    (``spark.sql.files.maxPartitionBytes``) per core goes through the shuffle;
-    anything bigger keeps its splits.
+    For small inputs, whose file of one row group one task would read however heavy the
+    work on it is. Without the setting the input keeps its splits, which is right for
+    anything larger; ``spark.sql.files.maxPartitionBytes`` makes those smaller.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(2 * cores)
+    tasks = df.sparkSession.conf.get("textveil.read.tasks", None)
+    return df.repartition(int(tasks)) if tasks else df

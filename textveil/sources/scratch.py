@@ -1,4 +1,4 @@
-"""A folder for intermediate files."""
+"""A folder for intermediate tables."""
 
 from __future__ import annotations
 
@@ -6,14 +6,34 @@ import tempfile
 import uuid
 
 from pyarrow.fs import FileSystem
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``. Where none is named, a session in one
+    process gets a folder of its own, and a cluster an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("Name a folder that all executors share in spark.checkpoint.dir.")
+    folder = tempfile.mkdtemp(prefix="textveil-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder that the session names in
-    ``spark.checkpoint.dir``; a private one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='textveil-')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what follows does not compute
+    it again, whatever executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def arrow_target(path: str) -> tuple[FileSystem, str]:
