@@ -49,5 +49,10 @@ def test_every_expected_answer_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_every_rule_fires(spark):
+    """The catalogue's query compares no rule that finds nothing."""
+    assert all(r.hits > 0 for r in entry.queries()["rule_catalogue_hits"](spark, SF_DIR).collect())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

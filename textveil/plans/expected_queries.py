@@ -30,9 +30,16 @@ from textveil.plans.expected import (
     windows,
 )
 from textveil.plans.queries import KINDS, MINIMAL_RULES
+from textveil.plans.samples import SAMPLES
 
 ALL_DOCUMENT_COLUMNS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
+# Documents with the sample text of one rule each.
+SAMPLED = (
+    "SELECT doc_id AS record_id, 'text' AS field_path, text || chr(10) || "
+    f"[{', '.join(quoted(t) for t in SAMPLES)}][doc_id % {len(SAMPLES)} + 1] AS text FROM documents"
+)
+
 # Entity-model detections, as the Spark query makes them.
 _ENTITY = "[A-Z][a-z]+ [A-Z][a-z]+|[A-Za-z0-9.@_-]*[0-9@][A-Za-z0-9.@_-]* [a-z]+"
 ENTITIES = f"""pieces AS (
@@ -188,7 +195,7 @@ SELECT event_id, CAST(1 AS INT), 'props', props FROM events""",
     # detection
     "detect_rules_documents": f"WITH {rule_hits(DOCUMENTS)} SELECT {DETECTION_COLUMNS} FROM hits",
     "detect_rules_pages": f"WITH {rule_hits(PAGES)} SELECT {DETECTION_COLUMNS} FROM hits",
-    "rule_catalogue_hits": f"""WITH {rule_hits(DOCUMENTS)}, rules(rule_ord, name) AS ({_generators})
+    "rule_catalogue_hits": f"""WITH {rule_hits(SAMPLED)}, rules(rule_ord, name) AS ({_generators})
 SELECT r.rule_ord, r.name, {category_case('r.name')} AS category,
        {category_case('r.name', True)} AS generator, count(h.rule_ord) AS hits
 FROM rules r LEFT JOIN hits h ON h.rule_ord = r.rule_ord GROUP BY 1, 2""",

@@ -49,6 +49,7 @@ from textveil.operators.tokens import (
     truncate,
 )
 from textveil.plans.prepare import chat_text, prepare
+from textveil.plans.samples import SAMPLES
 from textveil.plans.sanitize import (
     apply_detections,
     organize,
@@ -279,7 +280,10 @@ def detect_rules_pages(spark, sf_dir):
 
 
 def rule_catalogue_hits(spark, sf_dir):
-    found = detect_rules(documents(spark, sf_dir), "doc_id", ["text"])
+    """Hits of every rule in the documents, each with the sample text of one rule added."""
+    sample = f"array({', '.join(lit(t) for t in SAMPLES)})[cast(doc_id % {len(SAMPLES)} as int)]"
+    docs = documents(spark, sf_dir).select("doc_id", F.expr(f"concat(text, '\n', {sample})").alias("text"))
+    found = detect_rules(docs, "doc_id", ["text"])
     counts = found.groupBy("rule_ord").agg(F.count(F.lit(1)).alias("hits"))
     rules = rule_table(spark).select("rule_ord", "name", "category", "generator")
     return rules.join(F.broadcast(counts), "rule_ord", "left").fillna(0, ["hits"])
