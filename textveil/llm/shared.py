@@ -2,42 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textveil.sources.scratch import scratch_path
+
 #: Bytes of text that a task works on at a time.
 PIECE = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``. Where none is named, a local
-    session gets a folder of its own and a cluster an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-    folder = tempfile.mkdtemp(prefix="textveil-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: what follows neither
     computes it again nor depends on the executors that made it."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     # Shuffle files of the finished job go when the driver drops its references.
     spark.sparkContext._jvm.System.gc()

@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm.shared import new_path, stored
+from textveil.llm.shared import stored
+from textveil.sources.scratch import scratch_path
 
 #: Payloads below this many bytes are not worth a revisit.
 LEAST_REVISIT = 1000
@@ -335,6 +336,6 @@ def read_pages(spark: SparkSession, path: str, id_type: str = "long") -> DataFra
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
     """Write all pages to archives in the shared folder, and read them back."""
     spark = pages.sparkSession
-    path = new_path(spark, "warc")
+    path = scratch_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, html_col, **options)
     return read_pages(spark, path, pages.schema[id_col].dataType.simpleString())
