@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textveil.llm import bpe_codec, decontaminate, near_dedup, quality, suffix_dedup
 from textveil.llm.queries import tokenizer
-from textveil.llm.shared import new_path
+from textveil.sources.scratch import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = new_path(spark, f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
