@@ -3,22 +3,24 @@
 1. Equal texts form a class, named by their digest; only classes go on.
 2. Each class gets a ProbMinHash sketch of its word shingles and one key per band.
    Classes that share a key are a bucket.
-3. Buckets do not emit all their pairs. At first each bucket's members are compared with
-   one pivot, the same for as many buckets as possible; in a second round those buckets
-   whose members are still in different groups compare with a pivot of their own; at last
-   members of a bucket that are still in different groups are compared with each other.
-   So every two classes with a common key are either in one group or were compared: no link
-   that would change the groups is lost, and within a group nothing is compared twice over.
+3. Every member of a bucket is compared with the bucket's pivot, never with all others. The
+   pivot is the member whose keys are shared most: around an original with many edited
+   copies that is the original, and it is the same one for most of their buckets.
 4. A compared pair is verified on its whole texts: the Jaccard similarity of the shingle
    sets must reach the threshold.
 5. Groups are the connected components of the links, found by rounds of joins.
+6. Members that are not in their pivot's group get a pivot of their own, bucket by bucket,
+   and so on until a round brings no new link.
 
 Bands: with 32 keys of 5 registers, two texts at similarity 0.8 share none with a chance of
-3 in a million.
+3 in a million. A text that is below the threshold to the pivots of all buckets it shares
+with a second one, while the second is linked to them, is not compared with the second; the
+README has figures. Comparing those too grows with the square of a group.
 
 Hot groups: copies are counted before the shuffle and never expanded; every join has one
 row per key on one side and reads written tables, so that adaptive execution can split the
-other side. Nothing collects a bucket, a group or links.
+other side. Pairs grow with the members of buckets. Nothing collects a bucket, a group or
+links.
 
 Results that are defined: null text is empty; equal texts, empty ones included, are copies
 of one another; a text with fewer words than a shingle is one shingle; rows with equal id
@@ -86,12 +88,8 @@ def _similar(size: int, threshold: float):
             n = batch.num_rows
             both = np.bincount(pair[np.isin(one, two)], minlength=n)
             union = np.bincount(pair, minlength=n) + np.bincount(other, minlength=n) - both
-            ok = np.flatnonzero((both > 0) & (both >= threshold * union - 1e-9))
-            take = pa.array(ok)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").take(take), batch.column("b").take(take), pa.array(both[ok] / union[ok])],
-                names=["a", "b", "similarity"],
-            )
+            take = pa.array(np.flatnonzero((both > 0) & (both >= threshold * union - 1e-9)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(take) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
@@ -101,112 +99,93 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> D
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_similar(size, threshold), "a binary, b binary, similarity double")
+    return both.mapInArrow(_similar(size, threshold), "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, label`` for every node of a link: the least node of its component.
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``node, label`` for every node of a link: the least node of its component. ``known``
+    has the labels of an earlier run on some of the links.
 
-    Each round takes the least label among a node and its neighbours, then the label of
-    that label; it ends when nothing changes, after about as many rounds as the logarithm
-    of the longest path.
+    Each round takes the least label among a node, its neighbours and the nodes labelled by
+    it; from the third round on it goes on to the label of that label. It ends when nothing
+    changes: after two or three rounds around pivots, after about as many as the logarithm
+    of the longest path otherwise.
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("near"))
     both = stored(both.union(both.select("near", "node")).distinct(), "edges")
-    labels = stored(
-        both.groupBy("node").agg(F.min("near").alias("label")).select("node", F.least("node", "label").alias("label")),
-        "labels",
-    )
+    first = both.groupBy("node").agg(F.min("near").alias("label")).select("node", F.least("node", "label").alias("label"))
+    if known is not None:
+        first = first.union(known).groupBy("node").agg(F.min("label").alias("label"))
+    labels, rounds = stored(first, "labels"), 0
     while True:
         # A node passes its label to its neighbours and to the node it is labelled by.
-        offers = both.join(labels, "node").select(F.col("near").alias("node"), "label")
-        offers = offers.union(labels.select(F.col("label").alias("node"), "label")).union(labels)
-        least = stored(offers.groupBy("node").agg(F.min("label").alias("label")), "labels")
-        jump = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = stored(
-            least.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels"
-        )
-        changed = after.join(labels.withColumnRenamed("label", "old"), "node").where("label != old").count()
-        discard(labels, least)
-        labels = after
-        if not changed:
+        offers = both.join(labels, "node").select(F.col("near").alias("node"), "label", F.lit(None).cast("binary").alias("old"))
+        offers = offers.union(labels.selectExpr("label", "label", "cast(NULL AS binary)"))
+        offers = offers.union(labels.selectExpr("node", "label", "label"))
+        after = offers.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        after = stored(after, "labels")
+        if rounds >= 2:
+            jump = after.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            after = stored(
+                after.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label"), "old"), "labels"
+            )
+        rounds += 1
+        done = after.where("old IS NULL OR label != old").isEmpty()
+        discard(labels)
+        labels = after.select("node", "label")
+        if done:
             discard(both)
             return labels
 
 
 def _buckets(rows: DataFrame, size: int, bands: int, height: int) -> DataFrame:
-    """``key, node`` of all buckets with two classes or more."""
+    """``key, node, shares`` of all buckets with two classes or more; ``shares`` ranks a
+    class by how many others have its keys."""
     sketches = rows.select("node", "text").mapInArrow(_sketch(size, bands, height), "node binary, keys array<long>")
     sketches = stored(sketches.dropDuplicates(["node"]), "sketches")
     members = sketches.select(F.explode("keys").alias("key"), "node")
-    counts = stored(members.groupBy("key").count().where("count > 1").select("key"), "keys")
+    counts = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
     buckets = stored(members.join(counts, "key"), "buckets")
-    discard(sketches, counts)
-    return buckets
+    rank = stored(buckets.groupBy("node").agg(F.sum("n").alias("shares")), "ranks")
+    ranked = stored(buckets.join(rank, "node").select("key", "node", "shares"), "ranked")
+    discard(sketches, counts, buckets, rank)
+    return ranked
 
 
-def _with_labels(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the buckets that hold more than one group, with their groups."""
-    if labels is None:
-        return buckets.withColumn("label", F.col("node"))
-    members = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    members = stored(members, "members")
-    mark = F.xxhash64("label")
-    split = stored(
-        members.groupBy("key").agg(F.min(mark).alias("least"), F.max(mark).alias("most")).where("least < most").select("key"),
-        "split",
-    )
-    return members.join(split, "key")
+def _with_pivots(members: DataFrame) -> DataFrame:
+    """``key, node, shares, pivot`` of all members but the pivots themselves."""
+    most = members.groupBy("key").agg(F.max(F.struct("shares", F.xxhash64("node").alias("tie"), "node")).alias("top"))
+    most = stored(most.select("key", F.col("top.node").alias("pivot")), "pivots")
+    return stored(members.join(most, "key").where("node != pivot"), "members")
 
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _with_pivot(members: DataFrame, order: Column) -> DataFrame:
-    """Pairs of each member with its bucket's pivot, of the least ``order``."""
-    members = stored(members.withColumn("place", order), "members")
-    least = stored(members.groupBy("key").agg(F.min("place").alias("place")), "pivots")
-    pivots = members.join(least, ["key", "place"]).select(
-        "key", F.col("node").alias("pivot"), F.col("label").alias("pivot_label")
-    )
-    pivots = stored(pivots.dropDuplicates(["key"]), "pivots")
-    pairs = members.join(pivots, "key").where("label != pivot_label")
-    return pairs.select(*_ordered(F.col("node"), F.col("pivot"))).distinct()
-
-
-def _all_open(members: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that are in different groups."""
-    members = stored(members, "open")
-    other = members.select("key", F.col("node").alias("node_b"), F.col("label").alias("label_b"))
-    pairs = members.join(other, "key").where("node < node_b and label != label_b")
-    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members that are not in their pivot's group."""
+    one = labels.withColumnRenamed("label", "own")
+    two = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+    both = members.join(one, "node", "left").join(two, "pivot", "left")
+    apart = F.coalesce("own", "node") != F.coalesce("pivot_label", "pivot")
+    return both.where(apart).select("key", "node", "shares")
 
 
 def link_classes(
     rows: DataFrame, classes: DataFrame, size: int, threshold: float, bands: int, height: int
 ) -> DataFrame | None:
     """``node, label`` of every class with a near copy; None without any."""
-    buckets = _buckets(rows, size, bands, height)
-    needed = classes.join(buckets.select("node").distinct(), "node").select("row")
+    members = _buckets(rows, size, bands, height)
+    needed = stored(classes.join(members.select("node").distinct(), "node").select("row"), "needed")
     texts = rows.select("row", "node", "text").join(needed, "row").dropDuplicates(["row"]).select("node", "text")
     texts = stored(texts, "texts")
-    labels = links = tried = None
-    for step in (
-        lambda members: _with_pivot(members, F.xxhash64("node")),
-        lambda members: _with_pivot(members, F.xxhash64("node", "key")),
-        _all_open,
-    ):
-        pairs = step(_with_labels(buckets, labels))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(verify(pairs, texts, size, threshold).select("a", "b"), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-    return labels
+    labels = links = None
+    while True:
+        members = _with_pivots(members)
+        pairs = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        found = stored(verify(pairs, texts, size, threshold), "links")
+        if found.isEmpty():
+            return labels
+        links = found if links is None else links.union(found)
+        labels = components(links, labels)
+        members = _outside(members, labels)
 
 
 def judge_classes(
@@ -229,10 +208,10 @@ def judge_classes(
     if labels is None:
         judged = classes.withColumn("chosen", F.col("own"))
     else:
-        labelled = stored(classes.join(labels, "node"), "labelled")
+        label = F.coalesce("label", "node").alias("label")
+        labelled = stored(classes.join(labels, "node", "left").select("node", "n_copies", "own", "row", label), "labelled")
         chosen = stored(labelled.groupBy("label").agg(F.min("own").alias("chosen")), "chosen")
-        linked = labelled.join(chosen, "label").select("node", "chosen")
-        judged = classes.join(linked, "node", "left").withColumn("chosen", F.coalesce("chosen", "own"))
+        judged = labelled.join(chosen, "label")
     return stored(
         judged.select(
             "node",
