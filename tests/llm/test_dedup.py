@@ -199,3 +199,26 @@ def test_empty_tables(spark):
     assert recompress_dedup.remove_repeats(docs).collect() == []
     assert near_dedup.groups_of(docs).collect() == []
     assert near_dedup.keep_one(docs).collect() == []
+
+
+def test_copies_around_an_original(spark):
+    """All texts similar to an original are in its group, whatever they share among
+    themselves; equal ones are counted; others stay apart."""
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    original = [draw.choice(words) for _ in range(120)]
+    rows = [(0, " ".join(original))]
+    for i in range(1, 150):
+        copy = list(original)
+        for _ in range(draw.randrange(1, 5)):
+            copy[draw.randrange(len(copy))] = draw.choice(words)
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, rows[1][1]) for i in range(40)]
+    rows += [(2000 + i, " ".join(draw.choice(words) for _ in range(120))) for i in range(30)]
+    first = shingles(rows[0][1])
+    near = {i for i, t in rows if len(first & shingles(t)) >= 0.8 * len(first | shingles(t))}
+    found = {r["doc_id"]: r for r in near_dedup.groups_of(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i for i in near if found[i]["group_id"] == 0} == near and len(near) > 100
+    assert all(found[i]["group_id"] == i and found[i]["kept"] for i, _ in rows if i >= 2000)
+    assert found[1000]["n_copies"] == 41 and found[1000]["class_id"] == 1
+    assert sum(r["kept"] for r in found.values() if r["group_id"] == 0) == 1
