@@ -69,20 +69,20 @@ def test_linking(spark):
         "conv_id string, turn int, call_id string, content string",
     )
     rows = {(r["turn"]): r for r in tool_chat.link_calls(calls, results, SCHEMAS).collect()}
-    status = {t: (r["status"], r["level"]) for t, r in rows.items()}
+    status = {t: (r["status"], r["place"]) for t, r in rows.items()}
     assert status == {
-        1: ("ok", 0),
-        2: ("ok", 1),
-        3: ("invalid arguments", 2),
-        4: ("invalid arguments", 0),
+        1: ("ok", 1),
+        2: ("ok", 2),
+        3: ("invalid arguments", 3),
+        4: ("invalid arguments", 4),
         5: ("unknown tool", None),
         6: ("in a cycle", None),
-        7: ("invalid arguments", 0),
+        7: ("invalid arguments", 7),
         8: ("no identifier", None),
         9: ("repeated identifier", None),
         10: ("in a cycle", None),
-        11: ("invalid arguments", 0),
-        12: ("invalid arguments", 0),
+        11: ("invalid arguments", 11),
+        12: ("invalid arguments", 12),
     }
     assert rows[1]["json"] == '{"arguments":{"a":2,"b":1.5},"id":"1","result":"r1","tool":"add"}'
     assert rows[2]["json"] == '{"arguments":{"text":"é\\n"},"after":["1","gone"],"id":"2","result":"","tool":"say"}'
@@ -95,6 +95,26 @@ def test_linking(spark):
     assert tool_chat.format_chats(messages.limit(0), calls.limit(0), results.limit(0), SCHEMAS).collect() == []
 
 
+def test_places(spark):
+    """Every call comes after all that it uses, also later ones; cycles get no place; a long
+    chain of earlier ones takes no rounds."""
+    draw = random.Random(1)
+    calls = [(f"x{i}", i, [f"x{i - 1}", "gone"] if i else None) for i in range(300)]
+    for i in range(200):
+        after = [f"y{draw.randrange(200)}" for _ in range(draw.choice([0, 0, 1, 1, 2]))]
+        calls.append((f"y{i}", draw.randrange(30), after))
+    found = tool_chat.places_of(spark.createDataFrame(calls, "call_id string, turn int, after array<string>"))
+    places = {r["call_id"]: r["place"] for r in found.collect()}
+    uses = {c: {p for p in after or [] if p != "gone"} for c, _, after in calls}
+    turns = {c: t for c, t, _ in calls}
+    done = {}
+    while ready := {c for c in uses if c not in done and uses[c] <= set(done)}:
+        done |= {c: max([turns[c]] + [done[p] + 1 for p in uses[c]]) for c in ready}
+    assert set(places) == set(done) and len(done) < len(calls)
+    assert all(places[c] > places[p] for c in places for p in uses[c])
+    assert all(places[f"x{i}"] == i for i in range(300))
+
+
 def plain_pages(rows):
     top = {}
     for i, _, html in rows:

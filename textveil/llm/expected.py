@@ -65,7 +65,7 @@ FROM ruled r JOIN posterior q ON q.host = r.host
 """
 
 TOOL_CHAT = """
-WITH RECURSIVE turns AS (
+WITH turns AS (
   SELECT conv_id, turn, role, text, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM conversations
 ),
 calls AS (
@@ -76,16 +76,8 @@ calls AS (
   FROM turns WHERE role = 'user'
 ),
 results AS (SELECT conv_id, turn, conv_id || '-' || (turn - 1) AS call_id, t FROM turns WHERE role = 'assistant'),
-edges AS (
-  SELECT u.call_id, u.parent FROM (SELECT call_id, unnest(uses) AS parent FROM calls) u JOIN calls c ON c.call_id = u.parent
-),
-walked AS (
-  SELECT call_id, 0 AS level FROM calls WHERE call_id NOT IN (SELECT call_id FROM edges)
-  UNION ALL SELECT e.call_id, w.level + 1 FROM edges e JOIN walked w ON w.call_id = e.parent
-),
-levels AS (SELECT call_id, max(level) AS level FROM walked GROUP BY call_id),
 judged AS (
-  SELECT c.*, l.level, r.call_id IS NOT NULL AS answered, r.t AS content,
+  SELECT c.*, r.call_id IS NOT NULL AS answered, r.t AS content,
     CASE WHEN tool = 'lookup' AND n % 17 <> 0 THEN 'unknown tool'
          WHEN n % 17 = 0 THEN 'arguments are no JSON object'
          WHEN n % 13 = 0 THEN 'text is missing'
@@ -96,9 +88,9 @@ judged AS (
          WHEN n % 11 = 0 THEN '{"limit":"many","text":' || to_json(c.t) || '}'
          WHEN n % 7 = 0 THEN '{"limit":' || (n % 50) || ',"now":true,"text":' || to_json(c.t) || '}'
          ELSE '{"limit":' || (n % 50) || ',"text":' || to_json(c.t) || '}' END AS arguments
-  FROM calls c JOIN levels l USING (call_id) LEFT JOIN results r USING (call_id)
+  FROM calls c LEFT JOIN results r USING (call_id)
 )
-SELECT conv_id, turn, 'call' AS kind, call_id, tool, level,
+SELECT conv_id, turn, 'call' AS kind, call_id, tool, turn AS place,
   CASE WHEN errors = 'unknown tool' THEN errors WHEN errors <> '' THEN 'invalid arguments'
        WHEN NOT answered THEN 'no result' ELSE 'ok' END AS status,
   CASE WHEN answered THEN 1 ELSE 0 END::BIGINT AS n_results, errors,

@@ -1,12 +1,14 @@
 """Chat formatting with tool calls: link, order, validate, serialise.
 
 Calls and results meet in a hash join on the call's identifier. A call may use the results
-of others (``after``); a call's level is one more than the highest level among those, found
-round by round: each round joins the open dependencies with the levels known so far, until
-none becomes known. There are as many rounds as the longest chain has calls, and what is
-left then is part of a cycle or behind one. Arguments are parsed as a variant, checked
-against the tool's schema, and written as canonical JSON: keys in order, no blanks, null
-fields of a record left out.
+of others (``after``). A call's place comes after the places of all those: it is the call's
+turn, as turns do so by themselves wherever calls use earlier ones. Only what is behind a
+reference to a later turn is ordered round by round: first the calls that depend on one,
+directly or not, then each as soon as all that it uses have a place, one further than the
+last of them. What is left over is part of a cycle or behind one. There are as many rounds as
+such a chain has calls, and none at all without such references. Arguments are parsed as a
+variant, checked against the tool's schema, and written as canonical JSON: keys in order, no
+blanks, null fields of a record left out.
 
 DataFrame functions only. Calls, not conversations, are the unit: nothing collects a
 conversation, so a very long one is no burden. Identifiers are unique on one side of each
@@ -59,31 +61,43 @@ def argument_errors(tool: Column, arguments: Column, parsed: Column, schemas: Sc
     return case.otherwise(F.array(F.lit("unknown tool")))
 
 
-def levels_of(calls: DataFrame) -> DataFrame:
-    """``call_id, level`` of all calls whose dependencies can be ordered. A dependency on
-    a call that isn't there counts as none."""
-    ids = stored(calls.where("call_id is not null").select("call_id").distinct(), "ids")
-    edges = calls.select("call_id", F.explode("after").alias("parent")).where("call_id is not null").distinct()
-    edges = stored(edges.join(ids.withColumnRenamed("call_id", "parent"), "parent"), "edges")
-    needs = stored(edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("needs")), "needs")
-    levels = stored(ids.join(needs, "call_id", "left_anti").withColumn("level", F.lit(0)), "levels")
-    newest = levels
+def places_of(calls: DataFrame) -> DataFrame:
+    """``call_id, place`` of all calls that can be ordered, from ``call_id`` (unique), ``turn``
+    and ``after``. A reference to a call that isn't there counts as none."""
+    turns = calls.select("call_id", "turn")
+    used = turns.select(F.col("call_id").alias("parent"), F.col("turn").alias("parent_turn"))
+    edges = calls.select("call_id", "turn", F.explode(F.array_distinct("after")).alias("parent"))
+    edges = stored(edges.join(used, "parent"), "edges")
+    later = edges.where("parent_turn >= turn OR parent_turn IS NULL OR turn IS NULL")
+    behind = newest = stored(later.select("call_id").distinct(), "behind")
+    if newest.isEmpty():
+        return turns.withColumnRenamed("turn", "place")
+    while not newest.isEmpty():
+        step = edges.join(newest.withColumnRenamed("call_id", "parent"), "parent").select("call_id").distinct()
+        newest = stored(step.join(behind, "call_id", "left_anti"), "behind")
+        behind = behind.unionByName(newest)
+    behind = stored(behind, "behind")
+    ahead = stored(turns.join(behind, "call_id", "left_anti").withColumnRenamed("turn", "place"), "places")
+    open_ = stored(edges.join(behind, "call_id"), "open")
+    needs = stored(open_.groupBy("call_id", "turn").agg(F.count(F.lit(1)).alias("needs")), "needs")
+    places = newest = ahead
     met = None
     while not newest.isEmpty():
-        # How many of a call's dependencies have a level, and the highest of them.
-        step = edges.join(newest.withColumnRenamed("call_id", "parent"), "parent")
-        step = step.groupBy("call_id").agg(F.count(F.lit(1)).alias("met"), F.max("level").alias("top"))
+        # How many of the calls that a call uses have a place, and the last of those.
+        step = open_.join(newest.withColumnRenamed("call_id", "parent"), "parent")
+        step = step.groupBy("call_id").agg(F.count(F.lit(1)).alias("met"), F.max("place").alias("top"))
         if met is not None:
             step = met.unionByName(step).groupBy("call_id").agg(F.sum("met").alias("met"), F.max("top").alias("top"))
         step = stored(step.join(needs, "call_id"), "met")
-        newest = stored(step.where("met = needs").select("call_id", (F.col("top") + 1).alias("level")), "levels")
-        met = step.where("met < needs").drop("needs")
-        levels = levels.unionByName(newest)
-    return levels
+        place = F.greatest(F.col("turn"), F.col("top") + 1).alias("place")
+        newest = stored(step.where("met = needs").select("call_id", place), "places")
+        met = step.where("met < needs").select("call_id", "met", "top")
+        places = places.unionByName(newest)
+    return places
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call: ``conv_id, turn, call_id, tool, level, status, n_results, errors,
+    """One row per call: ``conv_id, turn, call_id, tool, place, status, n_results, errors,
     json``.
 
     ``calls`` has ``conv_id, turn, call_id, tool, arguments`` (JSON text) and ``after`` (an
@@ -105,7 +119,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         .agg(F.min(F.struct("turn", "content")).alias("answer"), F.count(F.lit(1)).alias("n_results")),
         "answers",
     )
-    known = firsts.join(answers, "call_id", "left").join(levels_of(calls), "call_id", "left")
+    places = places_of(firsts.select("call_id", "chosen.turn", "chosen.after"))
+    known = firsts.join(answers, "call_id", "left").join(places, "call_id", "left")
     known = stored(known, "known")
     parsed = F.try_parse_json("arguments")
     judged = (
@@ -120,7 +135,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         .when(~F.col("same"), "repeated identifier")
         .when(unknown, "unknown tool")
         .when(F.size("errors") > 0, "invalid arguments")
-        .when(F.col("level").isNull(), "in a cycle")
+        .when(F.col("place").isNull(), "in a cycle")
         .when(F.col("answer").isNull(), "no result")
         .otherwise("ok")
     )
@@ -138,7 +153,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         "turn",
         "call_id",
         "tool",
-        F.when(F.col("same"), F.col("level")).alias("level"),
+        F.when(F.col("same"), F.col("place")).alias("place"),
         status.alias("status"),
         F.when(F.col("same"), F.coalesce("n_results", F.lit(0))).otherwise(0).cast("long").alias("n_results"),
         "errors",
@@ -154,7 +169,7 @@ def lost_results(calls: DataFrame, results: DataFrame) -> DataFrame:
 def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """Everything as canonical JSON records, one row each: calls with their results, results
     without a call, and the plain messages (``conv_id, turn, role, text``). A conversation in
-    order is its rows by ``level`` (null first), ``turn`` and ``call_id``."""
+    order is its rows by ``place`` (``turn`` where it is null), ``turn`` and ``call_id``."""
     linked = link_calls(calls, results, schemas).withColumn("kind", F.lit("call"))
     lost = lost_results(calls, results).select(
         "conv_id",
@@ -173,5 +188,5 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
     )
     everything = linked.unionByName(lost, allowMissingColumns=True).unionByName(plain, allowMissingColumns=True)
     return everything.select(
-        "conv_id", "turn", "kind", "call_id", "tool", "level", "status", "n_results", "errors", "json"
+        "conv_id", "turn", "kind", "call_id", "tool", "place", "status", "n_results", "errors", "json"
     )
