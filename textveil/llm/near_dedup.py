@@ -173,7 +173,8 @@ def link_classes(
 ) -> DataFrame | None:
     """``node, label`` of every class with a near copy; None without any."""
     members = _buckets(rows, size, bands, height)
-    needed = stored(classes.join(members.select("node").distinct(), "node").select("row"), "needed")
+    # What is needed grows with the rows, so it is never broadcast, however small it is.
+    needed = stored(classes.join(members.select("node").distinct(), "node").select("row"), "needed").hint("merge")
     texts = rows.select("row", "node", "text").join(needed, "row").dropDuplicates(["row"]).select("node", "text")
     texts = stored(texts, "texts")
     labels = links = None
