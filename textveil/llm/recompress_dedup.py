@@ -35,7 +35,7 @@ from textveil.llm.repeats import block_schema, decide, ranges_by_row
 from textveil.llm.shared import flat, int_lists, keyed, same_row, slices
 
 WINDOW = 35
-ROUNDS = 9
+ROUNDS = 6
 #: Words parsed in one go; longer texts come in overlapping stretches.
 STRETCH = 1 << 19
 
