@@ -173,8 +173,9 @@ def longest_matches(words: np.ndarray, word_at: np.ndarray, places: np.ndarray,
     while len(open_):
         open_ = open_[places[open_] + longest[open_] + 1 <= end[open_]]
         still = []
-        for k in np.unique(longest[open_]) + 1:
-            group = open_[longest[open_] + 1 == k]
+        reach = longest[open_] + 1  # checked above; a find goes one word further per round
+        for k in np.unique(reach):
+            group = open_[reach == k]
             known = tests.grams_of(int(k))
             name = ONE.grams_at(sums, places[group], int(k))
             if len(known):
