@@ -9,7 +9,8 @@ one. A document lies in one shard, so nothing is shuffled.
 
 The test items travel to the tasks in blocks of a bounded size (``block_bytes`` of text on
 average, rows dealt by digest); a benchmark beyond one block is searched block after block
-and the finds of a document are united afterwards.
+and the finds of a document are united afterwards. A match is followed through the
+items of its own block only.
 
 Words are runs of digits, letters a-z after lower-casing A-Z, and anything beyond ASCII.
 An item of fewer words than a window is one window; an item without words has none. Null
