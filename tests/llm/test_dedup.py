@@ -222,3 +222,18 @@ def test_copies_around_an_original(spark):
     assert all(found[i]["group_id"] == i and found[i]["kept"] for i, _ in rows if i >= 2000)
     assert found[1000]["n_copies"] == 41 and found[1000]["class_id"] == 1
     assert sum(r["kept"] for r in found.values() if r["group_id"] == 0) == 1
+
+
+def test_near_copies_within_a_template(spark):
+    """A near copy is found where all texts share a template just below the threshold, and
+    other texts are the pivots of all buckets of the two."""
+    draw = random.Random(17)
+    words = [f"w{i}" for i in range(5000)]
+    template = [draw.choice(words) for _ in range(200)]
+    own = [[draw.choice(words) for _ in range(28)] for _ in range(30)]
+    own[1][:5] = own[0][:5]
+    rows = [(i, " ".join(template + part)) for i, part in enumerate(own)]
+    want, groups = plain_groups(rows)
+    assert groups == 29
+    found = near_dedup.groups_of(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r["doc_id"], r["group_id"]) for r in found), key=repr) == want

@@ -3,24 +3,27 @@
 1. Equal texts form a class, named by their digest; only classes go on.
 2. Each class gets a ProbMinHash sketch of its word shingles and one key per band.
    Classes that share a key are a bucket.
-3. Every member of a bucket is compared with the bucket's pivot, never with all others. The
-   pivot is the member whose keys are shared most: around an original with many edited
-   copies that is the original, and it is the same one for most of their buckets.
+3. Every member of a bucket is compared with the bucket's pivot first. The pivot is the
+   member whose keys are shared most: around an original with many edited copies that is
+   the original, and it is the same one for most of their buckets.
 4. A compared pair is verified on its whole texts: the Jaccard similarity of the shingle
    sets must reach the threshold.
 5. Groups are the connected components of the links, found by rounds of joins.
 6. Members that are not in their pivot's group get a pivot of their own, bucket by bucket,
    and so on until a round brings no new link.
+7. All members of a bucket that are in different groups then are compared with one another,
+   but for pairs whose marks show that they are below the threshold. The marks say on which
+   of 2048 places a text's shingles fall; the bound they give is exact and only spares work.
 
 Bands: with 32 keys of 5 registers, two texts at similarity 0.8 share none with a chance of
-3 in a million. A text that is below the threshold to the pivots of all buckets it shares
-with a second one, while the second is linked to them, is not compared with the second; the
-README has figures. Comparing those too grows with the square of a group.
+3 in a million. Texts that share one are compared, in one group anyway, or below the
+threshold by the bound.
 
-Hot groups: copies are counted before the shuffle and never expanded; every join has one
-row per key on one side and reads written tables, so that adaptive execution can split the
-other side. Pairs grow with the members of buckets. Nothing collects a bucket, a group or
-links.
+Hot groups: copies are counted before the shuffle and never expanded; every join but that of
+step 7 has one row per key on one side and reads written tables, so that adaptive execution
+can split the other side. Step 7 tests marks for all pairs of a bucket in different groups,
+which grows with the square of those, and texts are read only for pairs that pass; the
+README has figures. Nothing collects a bucket, a group or links.
 
 Results that are defined: null text is empty; equal texts, empty ones included, are copies
 of one another; a text with fewer words than a shingle is one shingle; rows with equal id
@@ -44,6 +47,8 @@ from textveil.llm.shared import discard, flat, numbered, slices, stored
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
+#: Places for the shingles of a text, by which pairs that can't be similar are told.
+MARKS = 2048
 
 
 def _text(text_col: str) -> Column:
@@ -102,6 +107,28 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> D
     return both.mapInArrow(_similar(size, threshold), "a binary, b binary")
 
 
+def _marks(size: int):
+    """How many shingles a text has, which of ``MARKS`` places they fall on, and how many
+    fall on places that are taken."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            name, text, _ = shingles(*flat(batch.column("text")), size)
+            taken = np.zeros((batch.num_rows, MARKS), bool)
+            taken[text, (mix(name) % U(MARKS)).astype(np.int64)] = True
+            n = np.bincount(text, minlength=batch.num_rows)
+            words = np.packbits(taken, axis=1).view(np.int64)
+            marks = pa.ListArray.from_arrays(
+                np.arange(0, words.size + 1, words.shape[1], dtype=np.int32), pa.array(words.ravel())
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(n), pa.array(n - taken.sum(axis=1)), marks],
+                names=["node", "n", "hidden", "marks"],
+            )
+
+    return run
+
+
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``node, label`` for every node of a link: the least node of its component. ``known``
     has the labels of an earlier run on some of the links.
@@ -156,6 +183,7 @@ def _with_pivots(members: DataFrame) -> DataFrame:
     """``key, node, shares, pivot`` of all members but the pivots themselves."""
     most = members.groupBy("key").agg(F.max(F.struct("shares", F.xxhash64("node").alias("tie"), "node")).alias("top"))
     most = stored(most.select("key", F.col("top.node").alias("pivot")), "pivots")
+    members = members.select("key", "node", "shares")
     return stored(members.join(most, "key").where("node != pivot"), "members")
 
 
@@ -165,7 +193,39 @@ def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
     two = labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
     both = members.join(one, "node", "left").join(two, "pivot", "left")
     apart = F.coalesce("own", "node") != F.coalesce("pivot_label", "pivot")
-    return both.where(apart).select("key", "node", "shares")
+    return both.where(apart).select("key", "node", "shares", "pivot")
+
+
+def _open_pairs(
+    members: DataFrame, labels: DataFrame | None, texts: DataFrame, size: int, threshold: float
+) -> DataFrame | None:
+    """All pairs ``a, b`` of members of one bucket in different groups, without those whose
+    marks show that they share too few shingles; None without open buckets."""
+    if labels is None:
+        own = members.select("key", "node", F.col("node").alias("label"))
+    else:
+        own = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    own = stored(own, "own")
+    apart = own.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    apart = stored(apart.where("least != most").select("key"), "apart").hint("merge")
+    left = stored(own.join(apart, "key"), "open")
+    discard(own)
+    if left.isEmpty():
+        return None
+    nodes = stored(left.select("node").distinct(), "nodes").hint("merge")
+    marks = texts.join(nodes, "node").mapInArrow(_marks(size), "node binary, n long, hidden long, marks array<long>")
+    left = stored(left.join(stored(marks, "marks").hint("merge"), "node"), "marked")
+    one, two = left.alias("x"), left.hint("merge").alias("y")
+    # Two texts share a shingle at most for each place that both have, and for each shingle
+    # of the one that its marks hide.
+    places = " + ".join(f"bit_count(x.marks[{i}] & y.marks[{i}])" for i in range(MARKS // 64))
+    least = f"{threshold!r}D * (x.n + y.n) - 1e-9D"
+    near = (
+        "x.key = y.key AND x.node < y.node AND x.label != y.label "
+        f"AND {1 + threshold!r}D * least(x.n, y.n) >= {least} "
+        f"AND {1 + threshold!r}D * ({places} + least(x.hidden, y.hidden)) >= {least}"
+    )
+    return one.join(two, F.expr(near)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def link_classes(
@@ -178,15 +238,24 @@ def link_classes(
     texts = rows.select("row", "node", "text").join(needed, "row").dropDuplicates(["row"]).select("node", "text")
     texts = stored(texts, "texts")
     labels = links = None
+    members = others = _with_pivots(members)
     while True:
-        members = _with_pivots(members)
-        pairs = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        apart = members if labels is None else _outside(members, labels)
+        pairs = apart.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         found = stored(verify(pairs, texts, size, threshold), "links")
         if found.isEmpty():
-            return labels
+            break
         links = found if links is None else links.union(found)
         labels = components(links, labels)
-        members = _outside(members, labels)
+        members = _with_pivots(_outside(members, labels))
+    # The first pivots have been compared with all others, which have not with one another.
+    pairs = _open_pairs(others, labels, texts, size, threshold)
+    if pairs is None:
+        return labels
+    found = stored(verify(stored(pairs, "pairs"), texts, size, threshold), "links")
+    if found.isEmpty():
+        return labels
+    return components(found if links is None else links.union(found), labels)
 
 
 def judge_classes(
