@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from textveil.llm import near_dedup, recompress_dedup, suffix_dedup
@@ -237,3 +238,19 @@ def test_near_copies_within_a_template(spark):
     assert groups == 29
     found = near_dedup.groups_of(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(((r["doc_id"], r["group_id"]) for r in found), key=repr) == want
+
+
+def test_repeats_leave_a_bucket_in_common():
+    """A copy with a line added 100 times, at similarity 0.8, shares a key with its original."""
+    draw = random.Random(3)
+    texts = []
+    for i in range(20):
+        base = " ".join(f"w{draw.randrange(10**6)}" for _ in range(164))
+        line = " ".join(f"w{draw.randrange(10**6)}" for _ in range(36))
+        texts += [base, base + f" {line}" * 100]
+        one, two = shingles(texts[-2]), shingles(texts[-1])
+        assert len(one & two) == 0.8 * len(one | two)
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([i]) for i in range(40)]), pa.array(texts)], names=["node", "text"])
+    made = near_dedup._sketch(near_dedup.SHINGLE, near_dedup.BANDS, near_dedup.ROWS)([batch])
+    keys = {n: set(k) for part in made for n, k in zip(part["node"].to_pylist(), part["keys"].to_pylist(), strict=True)}
+    assert all(keys[bytes([i])] & keys[bytes([i + 1])] for i in range(0, 40, 2))

@@ -1,8 +1,8 @@
 """Near-duplicate detection: ProbMinHash, banding, verification, connected groups.
 
 1. Equal texts form a class, named by their digest; only classes go on.
-2. Each class gets a ProbMinHash sketch of its word shingles and one key per band.
-   Classes that share a key are a bucket.
+2. Each class gets a ProbMinHash sketch of the set of its word shingles, repeats counting
+   once as in step 4, and one key per band. Classes that share a key are a bucket.
 3. Every member of a bucket is compared with the bucket's pivot first. The pivot is the
    member whose keys are shared most: around an original with many edited copies that is
    the original, and it is the same one for most of their buckets.
@@ -16,8 +16,8 @@
    of 2048 places a text's shingles fall; the bound they give is exact and only spares work.
 
 Bands: with 32 keys of 5 registers, two texts at similarity 0.8 share none with a chance of
-3 in a million. Texts that share one are compared, in one group anyway, or below the
-threshold by the bound.
+3 in a million, however often shingles are repeated. Texts that share one are compared, in
+one group anyway, or below the threshold by the bound.
 
 Hot groups: copies are counted before the shuffle and never expanded; every join but that of
 step 7 has one row per key on one side and reads written tables, so that adaptive execution
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textveil.llm.hashes import mix
-from textveil.llm.prob_minhash import SHINGLE, U, band_keys, shingles, sketch, weights
+from textveil.llm.prob_minhash import SHINGLE, U, band_keys, shingles, sketch
 from textveil.llm.shared import discard, flat, numbered, slices, stored
 
 THRESHOLD = 0.8
@@ -70,8 +70,9 @@ def row_key(id_: Column, text: Column) -> Column:
 def _sketch(size: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            name, text, count = shingles(*flat(batch.column("text")), size)
-            kept = sketch(name, text, weights(count), batch.num_rows, bands * rows)
+            name, text, _ = shingles(*flat(batch.column("text")), size)
+            # All weigh the same, as links are decided by sets.
+            kept = sketch(name, text, np.ones(len(name)), batch.num_rows, bands * rows)
             full = np.flatnonzero(np.bincount(text, minlength=batch.num_rows) > 0)
             keys = band_keys(kept[full], rows)
             lists = pa.ListArray.from_arrays(

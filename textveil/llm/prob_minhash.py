@@ -38,11 +38,6 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.
     return name[places], text[places], np.diff(np.append(places, len(name)))
 
 
-def weights(counts: np.ndarray) -> np.ndarray:
-    """A shingle weighs more the more often it occurs, though less and less so."""
-    return 1.0 + np.log(counts)
-
-
 def _arrivals(name: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Waiting time before the arrival numbered ``step``, in units of 2^-32 and for weight
     one, and a number that chooses its register."""
