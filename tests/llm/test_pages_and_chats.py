@@ -95,6 +95,34 @@ def test_linking(spark):
     assert tool_chat.format_chats(messages.limit(0), calls.limit(0), results.limit(0), SCHEMAS).collect() == []
 
 
+def test_identifiers_of_two_conversations(spark):
+    """Each conversation's identifiers are its own: calls, references and results."""
+    calls = spark.createDataFrame(
+        [
+            ("a", 1, "call_1", "add", '{"a":1}', []),
+            ("a", 3, "call_2", "add", '{"a":2}', ["call_1"]),
+            ("b", 5, "call_1", "add", '{"a":3}', ["call_2"]),
+            (None, 1, "call_1", "add", '{"a":4}', []),
+            ("d", 1, "call_1", "add", '{"a":5}', []),
+        ],
+        "conv_id string, turn int, call_id string, tool string, arguments string, after array<string>",
+    )
+    results = spark.createDataFrame(
+        [("a", 2, "call_1", "ra"), ("b", 6, "call_1", "rb"), (None, 2, "call_1", "rn"), ("b", 7, "call_2", "none of b's")],
+        "conv_id string, turn int, call_id string, content string",
+    )
+    rows = {(r.conv_id, r.turn): (r.status, r.place, r.n_results, r.json) for r in tool_chat.link_calls(calls, results, SCHEMAS).collect()}
+    assert {k: v[:3] for k, v in rows.items()} == {
+        ("a", 1): ("ok", 1, 1),
+        ("a", 3): ("no result", 3, 0),
+        ("b", 5): ("ok", 5, 1),
+        (None, 1): ("ok", 1, 1),
+        ("d", 1): ("no result", 1, 0),
+    }
+    assert '"result":"ra"' in rows["a", 1][3] and '"result":"rb"' in rows["b", 5][3]
+    assert [r.content for r in tool_chat.lost_results(calls, results).collect()] == ["none of b's"]
+
+
 def test_places(spark):
     """Every call comes after all that it uses, also later ones; cycles get no place; a long
     chain of earlier ones takes no rounds."""

@@ -3,14 +3,17 @@
 The documents of an Arrow batch are a shard. Each task builds the shard's suffix array
 over words, ordered through as many words as a window has (every sort triples the depth),
 and binary-searches every test suffix in it, one word further at a time: what is left of
-the range after the last word are the places of all verbatim occurrences. From there a
-match is followed for as long as it agrees with any test item, which gives the longest
-one. A document lies in one shard, so nothing is shuffled.
+the range after the last word are the places of all verbatim occurrences. How far a match
+goes on is read off the suffix array of the test items: the longest common prefix with any
+test suffix is that with one of its two neighbours there, found by bisection over the array
+and, inside it, over the length. So a match of any length takes as many steps as its length
+has binary digits. A document lies in one shard, so nothing is shuffled.
 
 The test items travel to the tasks in blocks of a bounded size (``block_bytes`` of text on
 average, rows dealt by digest); a benchmark beyond one block is searched block after block
-and the finds of a document are united afterwards. A match is followed through the
-items of its own block only.
+and the finds of a document are united afterwards. An item that a match of a whole window
+goes on with holds that window too, so it is in a block that finds it: results are the same
+however items are dealt. A whole item shorter than a window counts with its own length.
 
 Words are runs of digits, letters a-z after lower-casing A-Z, and anything beyond ASCII.
 An item of fewer words than a window is one window; an item without words has none. Null
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -61,15 +64,11 @@ class Tests:
     owners: np.ndarray
     owners_at: np.ndarray
     ids: list[str]
-    grams: dict[int, np.ndarray] = field(default_factory=dict)
-
-    def grams_of(self, k: int) -> np.ndarray:
-        """Names of all ranges of ``k`` words inside an item, sorted."""
-        if k not in self.grams:
-            names = ONE.grams(ONE.sums(self.words), k)
-            inside = row_of(self.item_at, np.arange(len(names)))
-            self.grams[k] = np.unique(names[np.arange(len(names)) + k <= self.item_at[inside + 1]])
-        return self.grams[k]
+    #: The items' words with a 0 behind each item, the order of all suffixes, and how many
+    #: words follow each place inside its item.
+    spaced: np.ndarray
+    order: np.ndarray
+    left: np.ndarray
 
 
 def tests_of(ids: list[str], texts: list[str], window: int) -> Tests:
@@ -84,15 +83,38 @@ def tests_of(ids: list[str], texts: list[str], window: int) -> Tests:
     _, first, which = np.unique(name, return_index=True, return_inverse=True)
     pairs = np.unique(which * max(1, len(ids)) + item)
     owner_of, owners = np.divmod(pairs, max(1, len(ids)))
+    spaced, place = _spaced(words, item_at)
+    ends = item_at[1:] + np.arange(len(sizes))
+    left = ends[np.searchsorted(ends, np.arange(len(spaced)))] - np.arange(len(spaced)) if len(ends) else place
+    order = suffix_array(spaced, int(sizes.max(initial=0)) + 1) if len(words) else place[:0]
     return Tests(
-        words, item_at, start[first], size[first], owners, np.searchsorted(owner_of, np.arange(len(first) + 1)), ids
+        words,
+        item_at,
+        start[first],
+        size[first],
+        owners,
+        np.searchsorted(owner_of, np.arange(len(first) + 1)),
+        ids,
+        spaced,
+        order[place[order] >= 0],
+        left,
     )
 
 
+def _spaced(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words with a blank name, 0, behind each row, and the place of each in ``words``."""
+    rows = row_of(at, np.arange(len(words)))
+    spaced = np.zeros(len(words) + len(at) - 1, U)
+    spaced[np.arange(len(words)) + rows] = words
+    place = np.full(len(spaced), -1, np.int64)
+    place[np.arange(len(words)) + rows] = np.arange(len(words))
+    return spaced, place
+
+
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the next ``depth`` words; beyond the end there are none."""
     n = len(words)
-    bits = U(max(1, (n + 1).bit_length()))
+    bits = max(1, (n + 1).bit_length())
     _, rank = np.unique(words, return_inverse=True)
     rank = rank.astype(U) + U(1)
     reach = 1
@@ -100,14 +122,18 @@ def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
         padded = np.zeros(n + 2 * reach, U)
         padded[:n] = rank
         near, far = min(reach, depth - reach), min(2 * reach, depth - reach)
-        joined = (((rank << bits) | padded[near : near + n]) << bits) | padded[far : far + n]
-        order = np.argsort(joined, kind="stable")
+        near, far = padded[near : near + n], padded[far : far + n]
+        if 3 * bits <= 64:
+            order = np.argsort((((rank << U(bits)) | near) << U(bits)) | far, kind="stable")
+        else:  # one text of millions of words
+            order = np.lexsort((far, near, rank))
         reach *= 3
         if reach >= depth:
             return order
-        joined = joined[order]
+        parts = [x[order] for x in (rank, near, far)]
+        new = np.any([x[1:] != x[:-1] for x in parts], axis=0)
         rank = np.empty(n, U)
-        rank[order] = np.cumsum(np.append(True, joined[1:] != joined[:-1])).astype(U)
+        rank[order] = np.cumsum(np.append(True, new)).astype(U)
 
 
 def search(words: np.ndarray, order: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +168,7 @@ def _stretches(n: int, overlap: int) -> Iterator[tuple[int, int]]:
 def finds(words: np.ndarray, word_at: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
     """Places of all occurrences of test windows, and the number of the window."""
     # A blank name behind each row keeps matches inside it.
-    rows = row_of(word_at, np.arange(len(words)))
-    spaced = np.zeros(len(words) + len(word_at) - 1, U)
-    spaced[np.arange(len(words)) + rows] = words
-    place = np.full(len(spaced), -1, np.int64)
-    place[np.arange(len(words)) + rows] = np.arange(len(words))
+    spaced, place = _spaced(words, word_at)
     depth = int(tests.size.max(initial=1))
     places, which = [], []
     for first, stop in _stretches(len(spaced), depth - 1):
@@ -165,26 +187,38 @@ def finds(words: np.ndarray, word_at: np.ndarray, tests: Tests) -> tuple[np.ndar
     return both[0], both[1]
 
 
-def longest_matches(words: np.ndarray, word_at: np.ndarray, places: np.ndarray, size: np.ndarray, tests: Tests) -> np.ndarray:
+def common_words(words: np.ndarray, places: np.ndarray, room: np.ndarray, tests: Tests) -> np.ndarray:
+    """The longest common prefix of the document at each place, ``room`` words at most, with
+    any test suffix."""
+    own, other = ONE.sums(words), ONE.sums(tests.spaced)
+    best = np.zeros(len(places), np.int64)
+    lo, hi = np.zeros(len(places), np.int64), np.full(len(places), len(tests.order))
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        middle = (lo[open_] + hi[open_]) >> 1
+        here, there = places[open_], tests.order[middle]
+        most = np.minimum(room[open_], tests.left[there])
+        # As many words as agree, by bisection.
+        short, long = np.zeros(len(open_), np.int64), most.copy()
+        while (short < long).any():
+            size = (short + long + 1) >> 1
+            same = ONE.ranges(own, here, here + size) == ONE.ranges(other, there, there + size)
+            short, long = np.where(same, size, short), np.where(same, long, size - 1)
+        best[open_] = np.maximum(best[open_], short)
+        # Behind the end of either there is a name below all others.
+        mine = np.where(short < room[open_], words[np.minimum(here + short, len(words) - 1)], U(0))
+        above = mine > tests.spaced[there + short]
+        lo[open_] = np.where(above, middle + 1, lo[open_])
+        hi[open_] = np.where(above, hi[open_], middle)
+    return best
+
+
+def longest_matches(words: np.ndarray, word_at: np.ndarray, places: np.ndarray, size: np.ndarray, window: int, tests: Tests) -> np.ndarray:
     """For each find, for how many words the document agrees with some item."""
     longest = size.copy()
-    sums = ONE.sums(words)
-    end = word_at[row_of(word_at, places) + 1]
-    open_ = np.arange(len(places))
-    while len(open_):
-        open_ = open_[places[open_] + longest[open_] + 1 <= end[open_]]
-        still = []
-        reach = longest[open_] + 1  # checked above; a find goes one word further per round
-        for k in np.unique(reach):
-            group = open_[reach == k]
-            known = tests.grams_of(int(k))
-            name = ONE.grams_at(sums, places[group], int(k))
-            if len(known):
-                spot = np.minimum(np.searchsorted(known, name), len(known) - 1)
-                hit = group[known[spot] == name]
-                longest[hit] = k
-                still.append(hit)
-        open_ = np.concatenate(still) if still else open_[:0]
+    whole = np.flatnonzero(size == window)
+    starts, which = np.unique(places[whole], return_inverse=True)
+    room = word_at[row_of(word_at, starts) + 1] - starts
+    longest[whole] = common_words(words, starts, room, tests)[which]
     return longest
 
 
@@ -198,7 +232,7 @@ def _digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def _scan(broadcast, text_col: str, keep: list[str], schema: pa.Schema):
+def _scan(broadcast, window: int, text_col: str, keep: list[str], schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests: Tests = broadcast.value
         for batch in slices(batches, text_col):
@@ -207,7 +241,7 @@ def _scan(broadcast, text_col: str, keep: list[str], schema: pa.Schema):
             places, which = finds(words, word_at, tests)
             size = tests.size[which]
             row = row_of(word_at, places)
-            longest = longest_matches(words, word_at, places, size, tests)
+            longest = longest_matches(words, word_at, places, size, window, tests)
             hit = covered(len(words), places, places + size)
             n_words, total = np.diff(word_at), np.append(0, np.cumsum(hit))
             n_hit = np.diff(total[word_at])
@@ -274,7 +308,7 @@ def find_contamination(
     parts = []
     for tests in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
         shared = spark.sparkContext.broadcast(tests)
-        parts.append(source.mapInArrow(_scan(shared, text_col, keep, arrow), schema))
+        parts.append(source.mapInArrow(_scan(shared, window, text_col, keep, arrow), schema))
     if len(parts) == 1:
         return parts[0]
     return _united(source, parts, text_col, names)

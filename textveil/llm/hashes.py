@@ -15,49 +15,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+#: A Mersenne prime: remainders are sums of two parts.
+PRIME = U((1 << 31) - 1)
+_BITS, _HALF = U(31), U(32)
+_LOW = U((1 << 32) - 1)
+_BOTH = U(int(PRIME) << 32 | int(PRIME))
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """Congruent numbers below 2^32 + 2^31, for numbers below 2^63."""
+    return (x & PRIME) + (x >> _BITS)
+
+
+def remainder(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo ``PRIME``, for numbers below 2^63."""
+    x = folded(folded(x))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
 class Rolling:
-    """Hashes of all ranges of a sequence, from running sums modulo 2^64.
+    """Hashes of all ranges of a sequence, from running sums modulo a prime.
 
-    Two instances with different seeds are independent of one another.
+    A hash is a polynomial in a drawn base, and two bases make one name of 62 bits: of two
+    different sequences of ``n`` items, a base gives equal values with a chance of ``n`` in
+    2^31 at most, whatever the sequences are. (Sums modulo a power of two have no such bound:
+    there are sequences that collide for each base.) Two instances with different seeds are
+    independent of one another.
     """
 
     def __init__(self, seed: int):
         draw = np.random.default_rng(seed)
-        self.base = U(int(draw.integers(1, 1 << 62)) * 2 + 1)
-        self.inverse = U(pow(int(self.base), -1, 1 << 64))
-        self.letters = draw.integers(1, 1 << 63, 256).astype(U)
-        self.up = self.down = np.ones(1, U)
+        self.bases = [int(b) for b in draw.integers(1 << 20, int(PRIME) - 1, 2)]
+        self.letters = draw.integers(1, int(PRIME), (2, 256)).astype(U)
+        # Powers of each base and of its inverse, as far as a sequence has reached.
+        self.up = [np.ones(1, np.uint32) for _ in self.bases]
+        self.down = [np.ones(1, np.uint32) for _ in self.bases]
 
     def _reach(self, n: int) -> None:
-        if len(self.up) <= n:
-            size = max(n + 1, 2 * len(self.up))
-            factors = np.full(size, self.base, U)
-            factors[0] = 1
-            self.up = np.multiply.accumulate(factors)
-            factors = np.full(size, self.inverse, U)
-            factors[0] = 1
-            self.down = np.multiply.accumulate(factors)
+        for k, base in enumerate(self.bases):
+            for powers, step in ((self.up, base), (self.down, pow(base, -1, int(PRIME)))):
+                while len(powers[k]) <= n:
+                    known = powers[k].astype(U)
+                    more = remainder(known * U(pow(step, len(known), int(PRIME))))
+                    powers[k] = np.concatenate([powers[k], more.astype(np.uint32)])
 
     def sums(self, items: np.ndarray) -> np.ndarray:
-        """Running sums of bytes, or of 64-bit names."""
-        self._reach(len(items))
-        values = self.letters[items] if items.dtype == np.uint8 else items
-        out = np.zeros(len(items) + 1, U)
-        np.cumsum(values * self.up[: len(items)], out=out[1:])
+        """Running sums of bytes, or of 64-bit names; one number holds those of both bases."""
+        n = len(items)
+        self._reach(n)
+        if items.dtype == np.uint8:
+            values = [self.letters[0][items], self.letters[1][items]]
+        else:
+            spread = mix(items)
+            values = [spread & PRIME, spread >> U(33)]
+        out = np.zeros(n + 1, U)
+        for k, value in enumerate(values):
+            # Terms below 2^33, so sums of 2^30 of them stay below 2^63.
+            total = remainder(np.cumsum(folded(value * self.up[k][:n])))
+            out[1:] |= total << _HALF if k == 0 else total
         return out
 
+    def _names(self, low: np.ndarray, high: np.ndarray, powers: list[np.ndarray]) -> np.ndarray:
+        """Both values of ranges, moved to the start of the sequence."""
+        gap = high + _BOTH - low  # no half borrows from the other
+        one = remainder((gap >> _HALF) * powers[0])
+        return one << _HALF | remainder((gap & _LOW) * powers[1])
+
     def grams(self, sums: np.ndarray, k: int) -> np.ndarray:
         """Hash of the ``k`` items from each position on."""
         n = max(0, len(sums) - k)
-        return mix((sums[k:] - sums[:n]) * self.down[:n])
+        return mix(self._names(sums[:n], sums[k:], [d[:n] for d in self.down]))
 
     def grams_at(self, sums: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
         """Those of ``grams`` at the given positions."""
-        return mix((sums[first + k] - sums[first]) * self.down[first])
+        return mix(self._names(sums[first], sums[first + k], [d[first] for d in self.down]))
 
     def ranges(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of each range, its length included."""
-        return mix((sums[end] - sums[first]) * self.down[first] + (end - first).astype(U) * _MIX[1])
+        names = self._names(sums[first], sums[end], [d[first] for d in self.down])
+        return mix(names + (end - first).astype(U) * _MIX[1])
 
 
 #: Two independent families: the first names groups, the second confirms them.

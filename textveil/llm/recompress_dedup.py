@@ -134,10 +134,10 @@ def _stretches(at: np.ndarray, window: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _words(data: np.ndarray, at: np.ndarray):
-    """Begin, end and name of each word, and where each row's words begin."""
+    """Begin, end and two independent names of each word, and where each row's words begin."""
     begin, end = word_bounds(data, at, PLAIN)
-    name = ONE.ranges(ONE.sums(data), begin, end)
-    return begin, end, name, np.searchsorted(begin, at)
+    names = [f.ranges(f.sums(data), begin, end) for f in (ONE, TWO)]
+    return begin, end, names, np.searchsorted(begin, at)
 
 
 def _starts(word_at: np.ndarray, window: int) -> np.ndarray:
@@ -149,8 +149,9 @@ def _starts(word_at: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(ok)[:-1] > 0
 
 
-def _symbol_blocks(words: np.ndarray, word_at: np.ndarray, window: int):
+def _symbol_blocks(names: list[np.ndarray], word_at: np.ndarray, window: int):
     """Blocks of windows around their highest interior symbols."""
+    words, seconds = names
     ok = _starts(word_at, window)
     rows = row_of(word_at, np.arange(len(words)))
     for first, stop, starts in _stretches(word_at, window):
@@ -166,7 +167,7 @@ def _symbol_blocks(words: np.ndarray, word_at: np.ndarray, window: int):
         new[1:] = (np.diff(places) != 1) | (np.diff(level) != 0) | (np.diff(number) != 0) | (level[1:] < 0)
         new = np.flatnonzero(new)
         lo, hi = places[new], places[np.append(new[1:], len(places)) - 1]
-        one, two = ONE.sums(part), TWO.sums(part)
+        one, two = ONE.sums(part), TWO.sums(seconds[first:stop])
         level, number = level[new], number[new]
         left, right, shape = lo.copy(), lo + window, np.zeros(len(lo), np.int64)
         for i, s in enumerate(usable):
@@ -180,13 +181,14 @@ def _symbol_blocks(words: np.ndarray, word_at: np.ndarray, window: int):
         yield row, lo + first - word_at[row], hi + first - word_at[row], key, hull
 
 
-def _window_blocks(words: np.ndarray, word_at: np.ndarray, window: int, wanted: np.ndarray):
+def _window_blocks(names: list[np.ndarray], word_at: np.ndarray, window: int, wanted: np.ndarray):
     """Every wanted window as a block of its own."""
+    words, seconds = names
     lo = np.flatnonzero(_starts(word_at, window) & wanted)
     if len(lo):
         row = row_of(word_at, lo)
         key = ONE.ranges(ONE.sums(words), lo, lo + window)
-        hull = TWO.ranges(TWO.sums(words), lo, lo + window)
+        hull = TWO.ranges(TWO.sums(seconds), lo, lo + window)
         yield row, lo - word_at[row], lo - word_at[row], key, hull
 
 
@@ -194,14 +196,14 @@ def _emit(window: int, schema: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, at = flat(batch.column("text"))
-            _, _, words, word_at = _words(data, at)
+            _, _, names, word_at = _words(data, at)
             if "los" in batch.schema.names:
                 los, rows = int_lists(batch.column("los"))
                 his, _ = int_lists(batch.column("his"))
-                wanted = covered(len(words), los + word_at[rows], his + word_at[rows] + 1)
-                blocks = _window_blocks(words, word_at, window, wanted)
+                wanted = covered(len(names[0]), los + word_at[rows], his + word_at[rows] + 1)
+                blocks = _window_blocks(names, word_at, window, wanted)
             else:
-                blocks = _symbol_blocks(words, word_at, window)
+                blocks = _symbol_blocks(names, word_at, window)
             for row, lo, hi, key, hull in blocks:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from textveil.llm.shared import discard, stored
 
-BLOCK = "id {id}, mark int, lo int, hi int, key long, hull long"
+BLOCK = "id {id}, mark long, lo int, hi int, key long, hull long"
 
 
 def block_schema(id_type: str) -> str:

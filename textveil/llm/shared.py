@@ -36,11 +36,16 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+def mark_of(text: Column) -> Column:
+    """Tells apart texts of one id."""
+    return F.xxhash64(text)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``mark`` and ``text``, and no other column. ``mark`` tells apart rows
     of one id with different texts; equal rows share all results."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.hash(text).alias("mark"), text.alias("text"))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), mark_of(text).alias("mark"), text.alias("text"))
 
 
 def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from textveil.llm.hashes import ONE, TWO, U, covered, row_of, sliding_min
 from textveil.llm.repeats import block_schema, decide, ranges_by_row
-from textveil.llm.shared import PIECE, flat, int_lists, keyed, numbered, same_row, slices
+from textveil.llm.shared import PIECE, flat, int_lists, keyed, mark_of, numbered, same_row, slices
 
 WIDTH = 200
 
@@ -200,7 +200,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plain, (id_, own) = numbered(docs, id_col, text_col)
     text = F.coalesce(F.col(own).cast("string"), F.lit(""))
     plain = plain.withColumn("text", text).drop(own)
-    both = plain.join(found, F.col(id_).eqNullSafe(F.col("__id")) & (F.hash("text") == F.col("__mark")), "left")
+    both = plain.join(found, F.col(id_).eqNullSafe(F.col("__id")) & (mark_of(F.col("text")) == F.col("__mark")), "left")
     schema = plain.schema
     cut = both.select(*plain.columns, "los", "his").mapInArrow(_texts(width, plain.columns), schema)
     order = ["text" if f"c{i}" == own else f"c{i}" for i in range(len(docs.columns))]

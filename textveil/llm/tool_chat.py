@@ -1,6 +1,7 @@
 """Chat formatting with tool calls: link, order, validate, serialise.
 
-Calls and results meet in a hash join on the call's identifier. A call may use the results
+Calls and results meet in a hash join on the conversation and the call's identifier: an
+identifier means a call of its own conversation, whatever others call theirs. A call may use the results
 of others (``after``). A call's place comes after the places of all those: it is the call's
 turn, as turns do so by themselves wherever calls use earlier ones. Only what is behind a
 reference to a later turn is ordered round by round: first the calls that depend on one,
@@ -14,7 +15,8 @@ DataFrame functions only. Calls, not conversations, are the unit: nothing collec
 conversation, so a very long one is no burden. Identifiers are unique on one side of each
 join, which reads written tables; a result that a third of all calls use can be split.
 
-Results that are defined: a null identifier links to nothing; of several results the one of
+Results that are defined: a null identifier links to nothing, a null conversation is one like
+others; of several results the one of
 the least turn is taken (then the least text), and ``n_results`` counts all; calls that share
 an identifier are all linked only if they are equal in all columns, else those other than the
 least get the status ``repeated identifier``; null or broken arguments are no JSON object;
@@ -61,6 +63,11 @@ def argument_errors(tool: Column, arguments: Column, parsed: Column, schemas: Sc
     return case.otherwise(F.array(F.lit("unknown tool")))
 
 
+def linked(identifier: Column) -> Column:
+    """A call's name among all conversations, null for a null identifier."""
+    return F.when(identifier.isNotNull(), F.to_json(F.struct(F.col("conv_id").alias("c"), identifier.alias("i"))))
+
+
 def places_of(calls: DataFrame) -> DataFrame:
     """``call_id, place`` of all calls that can be ordered, from ``call_id`` (unique), ``turn``
     and ``after``. A reference to a call that isn't there counts as none."""
@@ -101,30 +108,34 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     json``.
 
     ``calls`` has ``conv_id, turn, call_id, tool, arguments`` (JSON text) and ``after`` (an
-    array of identifiers); ``results`` has ``call_id, turn, content``.
+    array of identifiers); ``results`` has ``conv_id, call_id, turn, content``.
     """
     calls = stored(
-        calls.select("conv_id", "turn", "call_id", "tool", "arguments", "after").withColumn(
-            "after", F.coalesce("after", F.array().cast("array<string>"))
-        ),
+        calls.select("conv_id", "turn", "call_id", "tool", "arguments", "after")
+        .withColumn("after", F.coalesce("after", F.array().cast("array<string>")))
+        .withColumn("name", linked(F.col("call_id"))),
         "calls",
     )
-    own = F.struct("conv_id", "turn", "tool", "arguments", "after")
+    own = F.struct("turn", "tool", "arguments", "after")
     firsts = stored(
-        calls.where("call_id is not null").groupBy("call_id").agg(F.min(own).alias("chosen")), "firsts"
+        calls.where("name is not null").groupBy("name").agg(F.min(own).alias("chosen"), F.min("conv_id").alias("conv_id")),
+        "firsts",
     )
     answers = stored(
-        results.where("call_id is not null")
-        .groupBy("call_id")
+        results.withColumn("name", linked(F.col("call_id")))
+        .where("name is not null")
+        .groupBy("name")
         .agg(F.min(F.struct("turn", "content")).alias("answer"), F.count(F.lit(1)).alias("n_results")),
         "answers",
     )
-    places = places_of(firsts.select("call_id", "chosen.turn", "chosen.after"))
-    known = firsts.join(answers, "call_id", "left").join(places, "call_id", "left")
+    uses = F.transform("chosen.after", linked)
+    places = places_of(firsts.select(F.col("name").alias("call_id"), "chosen.turn", uses.alias("after")))
+    places = places.withColumnRenamed("call_id", "name")
+    known = firsts.drop("conv_id").join(answers, "name", "left").join(places.select("name", "place"), "name", "left")
     known = stored(known, "known")
     parsed = F.try_parse_json("arguments")
     judged = (
-        calls.join(known, "call_id", "left")
+        calls.join(known, "name", "left")
         .withColumn("parsed", parsed)
         .withColumn("errors", argument_errors(F.col("tool"), F.col("arguments"), F.col("parsed"), schemas))
         .withColumn("same", F.coalesce(own.eqNullSafe(F.col("chosen")), F.lit(False)))
@@ -163,7 +174,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
 
 def lost_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Results whose call isn't there."""
-    return results.join(calls.select("call_id").where("call_id is not null").distinct(), "call_id", "left_anti")
+    there = calls.select(linked(F.col("call_id")).alias("name")).where("name is not null").distinct()
+    return results.withColumn("name", linked(F.col("call_id"))).join(there, "name", "left_anti").drop("name")
 
 
 def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
