@@ -8,6 +8,7 @@ from test_detect import POSITIVE, TRICKY, _frame, _random_texts
 from textveil.functions.rules import CATALOGUE, RULE_NAMES, select_rules, source_generators
 from textveil.operators.actions import clean_control_whitespace
 from textveil.operators.detect import detect_pii
+from textveil.operators.fields import rows_with
 from textveil.operators.pseudonym import FALLBACK, generated, replacement_sql
 from textveil.plans.sanitize import apply_detections, sanitize
 from textveil.sources.readers import from_records
@@ -182,6 +183,41 @@ def test_a_key_of_several_rows_is_an_error(spark, key):
         apply_detections(df, "id", detect_pii(df, "id")).collect()
 
 
+def _moves_texts(df):
+    """Whether the plan shuffles what it reads together with the texts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return any("hashpartitioning" in line or "rangepartitioning" in line for line in plan.splitlines())
+
+
+def test_few_detections_move_no_text(spark, tmp_path):
+    texts = [(i, f"mail a{i}@b.co now" if i % 100 == 7 else f"plain words {i}") for i in range(1000)] + [(None, "plain")]
+    spark.createDataFrame(texts, "id int, text string").write.parquet(str(tmp_path / "texts"))
+    df = spark.read.parquet(str(tmp_path / "texts"))
+    found = detect_pii(df, "id")
+    clean = apply_detections(df, "id", found)
+    assert not _moves_texts(clean)
+    expected = sorted(t.replace(f"a{i}@b.co", "[REDACTED]") for i, t in texts)
+    assert sorted(_texts(clean)) == expected
+    # Too many to broadcast: rows without detections still pass by.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("-1", "100", "1k"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            moved = apply_detections(df, "id", found)
+            assert sorted(_texts(moved)) == expected
+            near, far = rows_with(df, "id", found.select("record_id"))
+            assert far.count() > 980 and near.count() + far.count() == 1001
+            assert not _moves_texts(far) and not _moves_texts(near)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_repeated_keys_without_detections_are_kept(spark):
+    df = spark.createDataFrame([(1, "plain"), (1, "words"), (2, "mail a@b.co now")], "id int, text string")
+    clean = apply_detections(df, "id", detect_pii(df, "id"))
+    assert sorted(r.text for r in clean.collect()) == ["mail [REDACTED] now", "plain", "words"]
+
+
 def test_long_matches_get_shaped_values(spark):
     """A value is bounded and its rule accepts it, however long the match is."""
     token = "eyJ" + "aB3" * 60 + "." + "eyJ" + "Cd4" * 90 + "." + "xY5" * 50

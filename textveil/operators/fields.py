@@ -2,7 +2,8 @@
 
 Both directions follow the DataFrame schema: reading lists every string leaf in
 schema order, writing puts new strings back at the same positions. Neither needs a
-shuffle, because a record stays in its row.
+shuffle, because a record stays in its row. Values from another table are joined by key;
+only records that get one ever move (``joined_by_key``).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textveil.functions.sqltext import held, ident, let, lit, running_sum
+from textveil.sources.scratch import may_broadcast, written
 
 
 def holds_strings(dtype: T.DataType) -> bool:
@@ -185,17 +187,46 @@ def extract_text_fields(
     ).select("record_id", "field_ord", F.col("leaf.path").alias("field_path"), "leaf.text")
 
 
+#: Into so many slots the keys of records to be joined are folded.
+SLOTS = 1 << 20
+
+
+def rows_with(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose key may be in the only column of ``keys``, and rows
+    whose key is surely not there. Neither is shuffled: keys are folded into ``SLOTS``
+    numbers, which is as many as are broadcast at most."""
+    kind = df.schema[key].dataType
+    slot = F.pmod(F.xxhash64(F.col(keys.columns[0]).cast(kind)), F.lit(SLOTS)).alias("__slot")
+    taken = F.broadcast(written(keys.select(slot).distinct(), "slots"))
+    mine = F.pmod(F.xxhash64(F.col(ident(key))), F.lit(SLOTS)) == F.col("__slot")
+    return df.join(taken, mine, "left_semi"), df.join(taken, mine, "left_anti")
+
+
 def joined_by_key(df: DataFrame, key: str, records: DataFrame) -> DataFrame:
     """``df`` with the columns of ``records``, which has one row per key in ``__record``.
 
-    A null key is a key like others. Adds ``__rows``, how many rows share the key: of
-    records that share one, nobody can say whose detections are whose (``unique_sql``).
-    Only keys are shuffled to count them.
+    ``records`` is written first, as large as it then is. As long as it is small enough for
+    the session to broadcast, no row of ``df`` moves. Beyond that rows whose key has no
+    record still stay where they are, and only the others are shuffled by key.
+
+    A null key is a key like others. Adds ``__rows``, how many rows share a key that has a
+    record: of records that share one, nobody can say whose detections are whose
+    (``unique_sql``). They are counted on keys alone.
     """
     own = F.col(ident(key))
-    seen = df.groupBy(own.alias("__key")).agg(F.count(F.lit(1)).alias("__rows"))
-    known = seen.join(records, F.col("__key").eqNullSafe(F.col("__record")), "left").drop("__record")
-    return df.join(known, own.eqNullSafe(F.col("__key")), "left").drop("__key")
+    records = written(records, "detected")
+    keys = df.select(own.alias("__key"))
+    same = F.col("__key").eqNullSafe(F.col("__record"))
+    counted = keys.join(records.select("__record"), same, "left_semi").groupBy("__key")
+    counted = counted.agg(F.count(F.lit(1)).alias("__rows"))
+    known = written(records.join(counted, same, "left").drop("__key"), "records")
+    mine = own.eqNullSafe(F.col("__record"))
+    if may_broadcast(known):
+        return df.join(F.broadcast(known), mine, "left").drop("__record")
+    near, far = rows_with(df, key, known.select("__record"))
+    near = near.join(known, mine, "left").drop("__record")
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema.fields if f.name != "__record"]
+    return near.unionByName(far.select(*[F.col(ident(c)) for c in df.columns], *more))
 
 
 def unique_sql(key: str, value: str) -> str:
@@ -213,8 +244,8 @@ def set_text_fields(
     """Write ``new_texts(record_id, field_path, text)`` back into the records.
 
     Only changed fields need a row, and each at most one. A record without any
-    keeps its values. A group is never larger than the record itself. A key that stands
-    for several rows is an error.
+    keeps its values and its place. A group is never larger than the record itself. A changed
+    key that stands for several rows is an error.
     """
     chosen = text_columns(df, key, columns)
     grouped = new_texts.groupBy(F.col("record_id").alias("__record")).agg(

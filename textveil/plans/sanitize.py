@@ -86,8 +86,9 @@ def apply_detections(
     """Replace given detections in the records they belong to.
 
     ``detections`` must be disjoint within a field. They are grouped per record,
-    so one group is never larger than what one record holds, and joined back. A null key
-    is a key like others; a key that stands for several rows is an error.
+    so one group is never larger than what one record holds, and joined back: records
+    without any stay where they are. A null key is a key like others; a key with detections
+    that stands for several rows is an error.
     """
     check_action(action)
     check_salt(action, salt)

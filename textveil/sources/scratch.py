@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,6 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def may_broadcast(table: DataFrame) -> bool:
+    """Whether a ``written`` table is no larger than what the session broadcasts by itself
+    (``spark.sql.autoBroadcastJoinThreshold``). Its size is measured, as JSON text."""
+    setting = table.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m")
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", setting.strip().lower()).groups()
+    limit = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    if limit <= 0:
+        return False
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).collect()[0][0]
+    return (size or 0) <= limit
+
+
 def arrow_target(path: str) -> tuple[FileSystem, str]:
     """File system and path for writing one file from inside a task."""
     if path.startswith("file:/"):
