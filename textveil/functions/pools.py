@@ -1,33 +1,39 @@
-"""Word pools for replacement values: three locales for people and places."""
-
-FIRST_NAMES = (
-    "Alice Brian Carla Dennis Elena Frank Grace Henry Irene Jacob Karen Louis "
-    "Aarav Bhavna Chirag Divya Esha Farhan Gauri Harsh Ishaan Jaya Kavita Lokesh "
-    "Alfie Bethan Callum Daisy Ewan Freya Gareth Harriet Imogen Jasper Keira Lachlan"
-).split()
-
-LAST_NAMES = (
-    "Anderson Bennett Carter Dawson Ellis Foster Graham Hayes Jordan Keller Lawson Mercer "
-    "Agarwal Bhatt Chauhan Desai Gupta Iyer Joshi Kulkarni Mehta Nair Patel Reddy "
-    "Ashworth Barlow Clarke Davies Evans Fletcher Hughes Llewellyn Morris Pritchard Thornton Whittaker"
-).split()
-
-STREETS = "Maple Oak Cedar River Hill Lake Park Station Church Mill Garden Market".split()
-
-# (street suffix, town, postal code shape); '#' stands for a digit, '?' for a capital.
-PLACES = [
-    ("Avenue", "Springfield, IL", "6####"),
-    ("Street", "Riverside, CA", "9####"),
-    ("Drive", "Madison, WI", "5####"),
-    ("Marg", "Pune, Maharashtra", "41####"),
-    ("Nagar", "Jaipur, Rajasthan", "30####"),
-    ("Road", "Mysuru, Karnataka", "57####"),
-    ("Lane", "Norwich", "NR# #??"),
-    ("Close", "Swansea", "SA# #??"),
-    ("Terrace", "Inverness", "IV# #??"),
+"""Parts that replacement values are spelled from: three locales for people and places."""
+
+from typing import NamedTuple
+
+
+class Locale(NamedTuple):
+    """Sounds of syllables, 16 consonants and 4 vowels, and endings, as many in each locale."""
+
+    c: str
+    v: str
+    surnames: list[str]
+    towns: list[str]
+    roads: list[str]
+    regions: list[str]
+    # '#' stands for a digit, '?' for a capital.
+    post: str
+
+
+#: Endings in each list of a locale.
+LISTED = 4
+
+LOCALES = [
+    Locale(
+        "bcdfghjklmnprstw", "aeio", ["son", "man", "ford", "er"], ["field", "side", "burg", "view"],
+        ["Avenue", "Street", "Drive", "Boulevard"], [", IL", ", CA", ", WI", ", TX"], "#####",
+    ),
+    Locale(
+        "bcdghjklmnprstvy", "aiue", ["kar", "wal", "rao", "nath"], ["pur", "nagar", "abad", "garh"],
+        ["Marg", "Road", "Nagar", "Chowk"], [", Maharashtra", ", Rajasthan", ", Karnataka", ", Kerala"], "######",
+    ),
+    Locale(
+        "bcdfghklmnprstvw", "aeou", ["worth", "ley", "wood", "wick"], ["ton", "ham", "bury", "mouth"],
+        ["Lane", "Close", "Terrace", "Road"], [", Norfolk", ", Kent", ", Devon", ", Fife"], "??# #??",
+    ),
 ]
 
-COMPANY_STEMS = "Northwind Bluestone Harbor Summit Crescent Evergreen Lantern Meridian Pioneer Silverline".split()
 COMPANY_ENDS = ["Group", "Ltd", "Inc", "and Sons", "Partners", "LLC", "PLC", "Industries"]
 
 MAIL_HOSTS = ["example.com", "example.org", "example.net"]

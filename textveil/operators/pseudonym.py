@@ -1,7 +1,19 @@
 """Replacement values for detected spans.
 
-Every value is a keyed hash of ``(salt, category, match)``: a re-run task writes
-the same output, and one person keeps one pseudonym across the whole dataset.
+Every value follows from the salt and the match: a re-run task writes the same output, and
+one person keeps one pseudonym across the whole dataset.
+
+Values of a rule's shape are *permuted*, so that different matches of a rule never share one.
+Each character has a class (digits, some sets of letters) or is fixed; classes are chosen so
+that a character never leaves its class and what fixes a class is not changed itself. A keyed
+Feistel network over both halves of the string shifts each character inside its class by what
+a digest of the other half says, and is applied again until the rule accepts the value: a walk
+along a cycle of the permutation, which leads each accepted string to another one that no other
+walk ends at. Only the single string that a cycle may hold, or one without any letter or digit
+to change, has no value and gets the placeholder, as its match may not stay.
+
+Values of other kinds are spelled out of syllables drawn by the digest of the match, from
+spaces of 2^48 and more, so that different people share none by chance.
 """
 
 from __future__ import annotations
@@ -16,9 +28,12 @@ from textveil.operators.detect import java_regex
 
 FALLBACK = "[PSEUDONYMIZED]"
 MAX_LENGTH = 200
-ATTEMPTS = 5
+ROUNDS = 4
+# Steps along a cycle. The strictest rule accepts two values in three of their shape.
+STEPS = 48
 # A match beyond MAX_LENGTH gives a shorter value: each unbroken run in it is cut to the
-# first of these lengths that makes it short enough.
+# first of these lengths that makes it short enough, and the digest of the whole match takes
+# part in the permutation.
 RUN_LENGTHS = (64, 40, 24, 16)
 LONG_RUN = "[A-Za-z0-9+/=_-]"
 
@@ -48,13 +63,37 @@ KEPT_START = {
     "npm_token": 4,
 }
 KEPT_POSITIONS = {"uuid_regex": (15, 20)}
+# Rules with a literal inside, kept where it first occurs.
+KEPT_INSIDE = {
+    "aws_secrets_manager_arn": ":secret:",
+    "terraform_cloud_token": ".atlasv1.",
+    "slack_webhook_url": "/B",
+}
+# Rules with letters that are no free choice.
+KEPT_LETTERS = ["national_ids_china_resident_id"]
+# Rules that allow one digit only among some of their letters, at these positions.
+KEPT_DIGITS = {"driving_license_uk": (1, 2, 3, 4, 5, 12, 13)}
+# Classes of characters, each by a sign of its own: two halves of the letters, so that hex
+# digits stay such, apart from letters that some rules leave out.
+CLASSES = {
+    "D": "0123456789",
+    "U": "ABCDEF",
+    "V": "GHJKLMNPRSTUVWXYZ",
+    "W": "IO",
+    "u": "abcdef",
+    "v": "ghijklmnopqrstuvwxyz",
+    # First to third digits of numbers up to 255.
+    "B": "01",
+    "J": "01234",
+    "H": "012345",
+}
 # Rules with a literal opening of varying length, kept as matched.
 KEPT_OPENING = {
     "db_credentials_mongo_uri": r"^mongodb(?:\+srv)?://",
     "db_credentials_redis_uri": r"^redis://",
     "crypto_keys_ssh_public_key": r"^ssh-(?:rsa|dss|ed25519)\sAAAA",
     "aws_secrets_manager_arn": r"^arn:aws:secretsmanager:",
-    "slack_webhook_url": r"^https://hooks\.slack\.com/services/",
+    "slack_webhook_url": r"^https://hooks\.slack\.com/services/T",
     "env_var_secrets_regex": r"(?i)^(?:API_KEY|SECRET|TOKEN|PASSWORD|PRIVATE_KEY)",
 }
 KEY_KINDS = ["RSA", "DSA", "EC", "OPENSSH"]
@@ -94,31 +133,58 @@ def _shape(seed: str, shape: str, part: str) -> str:
     return let("stream", f"sha2(concat({seed}, '|{part}'), 256)", filled)
 
 
+def _syllables(seed: str, part: str, count: int, sounds: str) -> str:
+    """``count`` syllables drawn by one digest. ``sounds`` is SQL for a struct of 16 consonants
+    ``c`` and 4 vowels ``v``."""
+    byte = "cast(conv(substring(stream, 2 * k + 1, 2), 16, 10) as int)"
+    one = let("byte", byte, f"concat(substring({sounds}.c, 1 + byte % 16, 1), substring({sounds}.v, 1 + byte div 16 % 4, 1))")
+    spelled = f"array_join(transform(sequence(0, {count - 1}), k -> {one}), '')"
+    return let("stream", f"sha2(concat({seed}, '|{part}'), 256)", spelled)
+
+
+def _locale(seed: str, body: str) -> str:
+    """``body`` with ``loc``, one of the locales."""
+    fields = pools.LOCALES[0]._fields
+    listed = ", ".join(
+        "named_struct("
+        + ", ".join(
+            f"'{f}', " + (lit(v) if isinstance(v, str) else "array(" + ", ".join(map(lit, v)) + ")")
+            for f, v in zip(fields, locale, strict=True)
+        )
+        + ")"
+        for locale in pools.LOCALES
+    )
+    return let("loc", f"element_at(array({listed}), {_pick(seed, 'locale', len(pools.LOCALES))} + 1)", body)
+
+
+def _listed(seed: str, part: str, field: str) -> str:
+    """An element of an array of the locale; all locales have as many."""
+    return f"element_at({field}, {_pick(seed, part, pools.LISTED)} + 1)"
+
+
 def generator_sql(kind: str, seed: str) -> str:
     """SQL for a value of one kind, drawn with the string ``seed``."""
-    first, last = _choice(seed, "first", pools.FIRST_NAMES), _choice(seed, "last", pools.LAST_NAMES)
+    first = f"initcap({_syllables(seed, 'first', 4, 'loc')})"
+    last = f"initcap(concat({_syllables(seed, 'last', 5, 'loc')}, {_listed(seed, 'end', 'loc.surnames')}))"
     if kind == "name":
-        return f"concat({first}, ' ', {last})"
+        return _locale(seed, f"concat({first}, ' ', {last})")
     if kind == "organization":
-        stem = _choice(seed, "stem", pools.COMPANY_STEMS)
-        return f"concat({stem}, ' ', {_choice(seed, 'end', pools.COMPANY_ENDS)})"
+        stem = f"initcap({_syllables(seed, 'stem', 4, 'loc')})"
+        more = f"initcap({_syllables(seed, 'more', 4, 'loc')})"
+        return _locale(seed, f"concat({stem}, ' ', {more}, ' ', {_choice(seed, 'end', pools.COMPANY_ENDS)})")
     if kind == "email":
         host = _choice(seed, "host", pools.MAIL_HOSTS)
         number = f"1 + {_pick(seed, 'no', 9999)}"
-        return f"concat(lower({first}), '.', lower({last}), {number}, '@', {host})"
+        return _locale(seed, f"concat(lower({first}), '.', lower({last}), {number}, '@', {host})")
     if kind == "phone":
         return _shape(seed, _choice(seed, "shape", pools.PHONE_SHAPES), "digit")
     if kind == "address":
-        places = ", ".join(
-            f"named_struct('s', {lit(s)}, 't', {lit(t)}, 'p', {lit(p)})" for s, t, p in pools.PLACES
-        )
-        place = f"element_at(array({places}), {_pick(seed, 'place', len(pools.PLACES))} + 1)"
-        street = _choice(seed, "street", pools.STREETS)
-        return let(
-            "pl",
-            place,
-            f"concat(1 + {_pick(seed, 'house', 999)}, ' ', {street}, ' ', pl.s, ', ', pl.t, ' ', "
-            f"{_shape(seed, 'pl.p', 'post')})",
+        street = f"initcap({_syllables(seed, 'street', 4, 'loc')})"
+        town = f"initcap(concat({_syllables(seed, 'town', 3, 'loc')}, {_listed(seed, 'townend', 'loc.towns')}))"
+        return _locale(
+            seed,
+            f"concat(1 + {_pick(seed, 'house', 999)}, ' ', {street}, ' ', {_listed(seed, 'road', 'loc.roads')}, ', ', "
+            f"{town}, {_listed(seed, 'region', 'loc.regions')}, ' ', {_shape(seed, 'loc.post', 'post')})",
         )
     if kind == "ssn":
         area = let(
@@ -130,8 +196,8 @@ def generator_sql(kind: str, seed: str) -> str:
         )
     if kind == "uri":
         host = _choice(seed, "host", pools.MAIL_HOSTS)
-        word = _choice(seed, "word", [s.lower() for s in pools.STREETS])
-        return f"concat('https://', {host}, '/', {word}, '/', {_pick(seed, 'no', 99999)})"
+        word = _syllables(seed, "word", 6, "loc")
+        return _locale(seed, f"concat('https://', {host}, '/', {word}, '/', {_pick(seed, 'no', 99999)})")
     if kind == "license":
         return _shape(seed, "repeat('*', 15)", "licence")
     if kind == "passport":
@@ -176,28 +242,85 @@ def _shortened(match: str) -> str:
     return f"CASE WHEN length({match}) <= {MAX_LENGTH} THEN {match} ELSE try_element_at({tried}, 1) END"
 
 
-def _similar(seed: str) -> str:
-    """Another string of the same shape as ``chars``: each letter or digit is drawn
-    from its own class, everything else stays. Later attempts keep zeros and never
-    raise a digit, so that bounded numbers stay in bounds."""
-    fixed = " OR ".join(
-        f"(pattern = {lit(name)} AND k IN ({', '.join(str(p - 1) for p in spots)}))"
-        for name, spots in KEPT_POSITIONS.items()
+def _ipv4_classes(match: str) -> str:
+    """Classes of the digits of numbers up to 255."""
+    octet = (
+        "CASE WHEN o LIKE '25_' THEN '==H' WHEN o LIKE '2__' THEN '=JD' WHEN o LIKE '___' THEN 'BDD' "
+        "ELSE repeat('D', length(o)) END"
     )
-    alphabet = (
-        f"CASE WHEN k < kept OR k >= size(chars) - tail OR {fixed} THEN h "
-        "WHEN h = '0' THEN CASE WHEN attempt < 3 THEN '0123456789' ELSE '0' END "
-        "WHEN h BETWEEN '1' AND '9' THEN "
-        "CASE WHEN attempt < 3 THEN '123456789' ELSE substring('123456789', 1, cast(h as int)) END "
-        "WHEN h BETWEEN 'A' AND 'F' THEN 'ABCDEF' WHEN h BETWEEN 'G' AND 'Z' THEN 'GHIJKLMNOPQRSTUVWXYZ' "
-        "WHEN h BETWEEN 'a' AND 'f' THEN 'abcdef' WHEN h BETWEEN 'g' AND 'z' THEN 'ghijklmnopqrstuvwxyz' "
-        "ELSE h END"
+    return f"array_join(transform(split({match}, '[.]'), o -> {octet}), '=')"
+
+
+def _overlaid(classes: str, place: str, size: str) -> str:
+    """``classes`` with ``size`` characters from ``place`` on, counted from 1, fixed."""
+    return f"concat(substring({classes}, 1, {place} - 1), repeat('=', {size}), substring({classes}, {place} + {size}))"
+
+
+def _classes(match: str) -> str:
+    """For each character of ``match`` the sign of its class, or '='."""
+    signs = {c: sign for sign in "DUVWuv" for c in CLASSES[sign]} | {"Q": "="}
+    general = (
+        f"regexp_replace(translate({match}, {lit(''.join(signs))}, {lit(''.join(signs.values()))}), '[^DUVWuv]', '=')"
+    )
+    letters = ", ".join(map(lit, KEPT_LETTERS))
+    general = f"CASE WHEN pattern IN ({letters}) THEN regexp_replace({general}, '[^D]', '=') ELSE {general} END"
+    cases = [f"WHEN pattern = 'ip_ipv4' THEN {_ipv4_classes(match)}"]
+    for name, spots in KEPT_DIGITS.items():
+        spots = ", ".join(map(str, spots))
+        cases.append(
+            f"WHEN pattern = {lit(name)} THEN array_join(transform(split(general, ''), "
+            f"(t, k) -> CASE WHEN t = 'D' AND k + 1 IN ({spots}) THEN '=' ELSE t END), '')"
+        )
+    for name, spots in KEPT_POSITIONS.items():
+        out = "general"
+        for spot in spots:
+            out = _overlaid(out, str(spot), "1")
+        cases.append(f"WHEN pattern = {lit(name)} THEN {out}")
+    body = f"CASE {' '.join(cases)} ELSE general END"
+    inside = [
+        f"WHEN pattern = {lit(name)} AND instr({match}, {lit(text)}) > 0 THEN "
+        + _overlaid("spotted", f"instr({match}, {lit(text)})", str(len(text)))
+        for name, text in KEPT_INSIDE.items()
+    ]
+    kept = (
+        f"concat(repeat('=', {_kept_chars('pattern', match)}), substring(inner, {_kept_chars('pattern', match)} + 1))"
+    )
+    ended = let("tail", _kept_end("pattern"), "concat(substring(begun, 1, length(begun) - tail), repeat('=', tail))")
+    return let(
+        "general",
+        general,
+        let("spotted", body, let("inner", f"CASE {' '.join(inside)} ELSE spotted END", let("begun", kept, ended))),
+    )
+
+
+def _shifted() -> str:
+    """A half ``part`` with classes ``mine``, each character shifted inside its class by a byte
+    of the digests of ``other``. Every 32 characters have a digest of their own."""
+    alphabet = " ".join(f"WHEN '{sign}' THEN '{chars}'" for sign, chars in CLASSES.items())
+    byte = "cast(conv(substring(stream, 2 * k + 1, 2), 16, 10) as int)"
+    moved = let(
+        "abc",
+        f"CASE substring(mine, k + 1, 1) {alphabet} END",
+        f"CASE WHEN abc IS NULL OR instr(abc, h) = 0 THEN h ELSE substring(abc, 1 + (instr(abc, h) - 1 + {byte}) % length(abc), 1) END",
     )
-    # 32 pairs of digits per digest.
-    blocks = "sequence(0, (size(chars) - 1) div 32)"
-    digest = f"sha2(concat({seed}, '|', attempt, '|', block), 256)"
-    stream = f"array_join(transform({blocks}, block -> {digest}), '')"
-    return let("stream", stream, f"array_join(transform(chars, (h, k) -> {_drawn(alphabet)}), '')")
+    digest = "sha2(concat(permkey, '|', r, '|', block, '|', other), 256)"
+    stream = f"array_join(transform(sequence(0, (length(part) - 1) div 32), block -> {digest}), '')"
+    # An empty half has no characters to shift.
+    return let("stream", stream, f"array_join(transform(split(part, ''), (h, k) -> {moved}), '')")
+
+
+def _permuted(text: str) -> str:
+    """One application of the permutation to ``text`` with its ``classes`` and key ``permkey``."""
+    left, right = "substring(s, 1, middle)", "substring(s, middle + 1)"
+
+    def half(part: str, mine: str, other: str) -> str:
+        return let("part", part, let("mine", mine, let("other", other, _shifted())))
+
+    low = half(left, "substring(classes, 1, middle)", right)
+    high = half(right, "substring(classes, middle + 1)", left)
+    step = f"CASE WHEN r % 2 = 0 THEN concat({low}, {right}) ELSE concat({left}, {high}) END"
+    folded = f"aggregate(sequence(0, {ROUNDS - 1}), {text}, (s, r) -> {step})"
+    return let("middle", f"length({text}) div 2", folded)
 
 
 def _accepts(name: str, regex: str) -> str:
@@ -205,21 +328,22 @@ def _accepts(name: str, regex: str) -> str:
     return f"WHEN pattern = {lit(name)} THEN made rlike {lit(whole)}"
 
 
-def _regex_valued(match: str, seed: str) -> str:
-    """The first attempt that the rule itself accepts, else the fixed fallback."""
+def _regex_valued(match: str, salt: str) -> str:
+    """The next string along the match's cycle that the rule itself accepts."""
     shaped = [r for r in CATALOGUE if source_generators().get(r.name) == "regex"]
     accepts = " ".join(_accepts(r.name, r.regex) for r in shaped)
-    ok = f"made != {match} AND CASE {accepts} ELSE false END"
-    attempt = let("made", _similar(seed), f"CASE WHEN {ok} THEN made END")
-    found = (
-        f"aggregate(sequence(0, {ATTEMPTS - 1}), cast(NULL as string), (best, attempt) -> "
-        f"CASE WHEN best IS NOT NULL THEN best ELSE {attempt} END)"
-    )
-    found = let(
-        "kept",
-        _kept_chars("pattern", match),
-        let("tail", _kept_end("pattern"), let("chars", "split(shape, '')", found)),
+    ok = f"CASE {accepts} ELSE false END"
+    step = let("made", _permuted("w.made"), f"named_struct('made', made, 'ok', {ok})")
+    walk = (
+        f"aggregate(sequence(1, {STEPS}), named_struct('made', shape, 'ok', false), "
+        f"(w, i) -> CASE WHEN w.ok THEN w ELSE {step} END)"
     )
+    # A string that the walk comes back to has no other value.
+    found = let("walked", walk, f"CASE WHEN walked.ok AND walked.made != {match} THEN walked.made END")
+    # What a long match loses takes part by a digest.
+    key = f"sha2(concat_ws('|', {lit(salt)}, pattern, CASE WHEN shape = {match} THEN '' ELSE sha2({match}, 256) END), 256)"
+    known = f"pattern IN ({', '.join(lit(r.name) for r in shaped)})"
+    found = let("permkey", key, let("classes", _classes("shape"), found))
     # A rule's fixed ending is put back where the cut took it.
     ending = _ending("pattern")
     shape = let(
@@ -228,8 +352,8 @@ def _regex_valued(match: str, seed: str) -> str:
         f"CASE WHEN {ending} != '' AND NOT endswith(short, {ending}) "
         f"THEN concat(substring(short, 1, length(short) - length({ending})), {ending}) ELSE short END",
     )
-    found = let("shape", shape, f"CASE WHEN shape IS NOT NULL THEN {found} END")
-    key_kind = _choice(seed, "key", KEY_KINDS)
+    found = let("shape", f"CASE WHEN {known} THEN {shape} END", f"CASE WHEN shape != '' THEN {found} END")
+    key_kind = _choice("seed", "key", KEY_KINDS)
     return (
         # The only string its rule allows, and the one rule that lists words.
         f"CASE WHEN pattern = 'crypto_keys_rsa_private_key' THEN {match} "
@@ -251,7 +375,7 @@ def replacement_sql(pattern: str, match: str, salt: str) -> str:
     for kind in dict.fromkeys(k for k, _ in values):
         member = " OR ".join(m for k, m in values if k == kind)
         if kind == "regex":
-            value = _regex_valued(match, "seed")
+            value = _regex_valued(match, salt)
         elif kind == "keep":
             value = match
         else:

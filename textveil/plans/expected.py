@@ -159,26 +159,55 @@ def _shape(shape: str, part: str) -> str:
     )
 
 
+def _locale(field: str) -> str:
+    """A field of the locale drawn by the column ``seed``."""
+    listed = ", ".join(
+        "{"
+        + ", ".join(
+            f"'{f}': " + (quoted(v) if isinstance(v, str) else "[" + ", ".join(map(quoted, v)) + "]")
+            for f, v in locale._asdict().items()
+        )
+        + "}"
+        for locale in pools.LOCALES
+    )
+    return f"([{listed}][1 + {_pick('locale', len(pools.LOCALES))}]).{field}"
+
+
+def _syllables(part: str, count: int) -> str:
+    """Syllables drawn by the bytes of one digest: a consonant and a vowel each."""
+    byte = _byte(f"sha256(seed || '|{part}')")
+    return (
+        f"array_to_string(list_transform(range(1, {count + 1}), lambda k: "
+        f"substr({_locale('c')}, 1 + {byte} % 16, 1) || substr({_locale('v')}, 1 + {byte} // 16 % 4, 1)), '')"
+    )
+
+
+def _ending(part: str, field: str) -> str:
+    return f"({_locale(field)})[1 + {_pick(part, pools.LISTED)}]"
+
+
+def _capital(word: str) -> str:
+    return f"upper(substr({word}, 1, 1)) || substr({word}, 2)"
+
+
 def fake_value(kind: str) -> str:
     """A generated value of one kind for the column ``seed``."""
-    first, last = _choice("first", pools.FIRST_NAMES), _choice("last", pools.LAST_NAMES)
-    place = "[" + ", ".join(
-        f"{{'s': {quoted(a)}, 't': {quoted(b)}, 'p': {quoted(c)}}}" for a, b, c in pools.PLACES
-    ) + f"][1 + {_pick('place', len(pools.PLACES))}]"
+    first, last = _syllables("first", 4), f"({_syllables('last', 5)} || {_ending('end', 'surnames')})"
+    town = f"({_syllables('town', 3)} || {_ending('townend', 'towns')})"
     area = f"(1 + {_pick('area', 898)})"
-    words = [w.lower() for w in pools.STREETS]
     return {
-        "name": f"{first} || ' ' || {last}",
-        "organization": f"{_choice('stem', pools.COMPANY_STEMS)} || ' ' || {_choice('end', pools.COMPANY_ENDS)}",
-        "email": f"lower({first}) || '.' || lower({last}) || (1 + {_pick('no', 9999)}) || '@' || "
-        f"{_choice('host', pools.MAIL_HOSTS)}",
+        "name": f"{_capital(first)} || ' ' || {_capital(last)}",
+        "organization": f"{_capital(_syllables('stem', 4))} || ' ' || {_capital(_syllables('more', 4))} || ' ' || "
+        f"{_choice('end', pools.COMPANY_ENDS)}",
+        "email": f"{first} || '.' || {last} || (1 + {_pick('no', 9999)}) || '@' || {_choice('host', pools.MAIL_HOSTS)}",
         "phone": _shape(_choice("shape", pools.PHONE_SHAPES), "digit"),
-        "address": f"(1 + {_pick('house', 999)}) || ' ' || {_choice('street', pools.STREETS)} || ' ' || "
-        f"({place}).s || ', ' || ({place}).t || ' ' || {_shape(f'({place}).p', 'post')}",
+        "address": f"(1 + {_pick('house', 999)}) || ' ' || {_capital(_syllables('street', 4))} || ' ' || "
+        f"{_ending('road', 'roads')} || ', ' || {_capital(town)} || {_ending('region', 'regions')} || ' ' || "
+        f"{_shape(_locale('post'), 'post')}",
         "ssn": f"lpad(CAST(CASE WHEN {area} >= 666 THEN {area} + 1 ELSE {area} END AS VARCHAR), 3, '0') || '-' || "
         f"lpad(CAST(1 + {_pick('group', 99)} AS VARCHAR), 2, '0') || '-' || "
         f"lpad(CAST(1 + {_pick('serial', 9999)} AS VARCHAR), 4, '0')",
-        "uri": f"'https://' || {_choice('host', pools.MAIL_HOSTS)} || '/' || {_choice('word', words)} || '/' || "
+        "uri": f"'https://' || {_choice('host', pools.MAIL_HOSTS)} || '/' || {_syllables('word', 6)} || '/' || "
         f"{_pick('no', 99999)}",
         "license": _shape("repeat('*', 15)", "licence"),
         "passport": _shape("repeat('*', 9)", "passport"),
@@ -186,69 +215,118 @@ def fake_value(kind: str) -> str:
     }[kind]
 
 
+def _classes() -> str:
+    """CTEs from ``keyed`` to ``sorted_out(…, classes)``: the sign of each character's class."""
+    signs = {c: sign for sign in "DUVWuv" for c in pseudonym.CLASSES[sign]} | {"Q": "="}
+    letters = ", ".join(map(quoted, pseudonym.KEPT_LETTERS))
+    octet = (
+        "CASE WHEN o LIKE '25_' THEN '==H' WHEN o LIKE '2__' THEN '=JD' WHEN o LIKE '___' THEN 'BDD' "
+        "ELSE repeat('D', length(o)) END"
+    )
+
+    def changed(test: str) -> str:
+        one = "substr(general, k, 1)"
+        return (
+            f"array_to_string(list_transform(range(1, length(general) + 1), lambda k: "
+            f"CASE WHEN {test} THEN '=' ELSE {one} END), '')"
+        )
+
+    spots = " ".join(
+        f"WHEN {quoted(n)} THEN {changed(f'k IN ({", ".join(map(str, p))})')}" for n, p in pseudonym.KEPT_POSITIONS.items()
+    )
+    digits = " ".join(
+        f"WHEN {quoted(n)} THEN " + changed(f"substr(general, k, 1) = 'D' AND k IN ({', '.join(map(str, p))})")
+        for n, p in pseudonym.KEPT_DIGITS.items()
+    )
+    inside = " ".join(
+        f"WHEN pattern = {quoted(n)} AND instr(shape, {quoted(t)}) > 0 THEN "
+        f"substr(spotted, 1, instr(shape, {quoted(t)}) - 1) || repeat('=', {len(t)}) || "
+        f"substr(spotted, instr(shape, {quoted(t)}) + {len(t)})"
+        for n, t in pseudonym.KEPT_INSIDE.items()
+    )
+    return f"""generals AS (
+  SELECT *, CASE WHEN pattern IN ({letters}) THEN regexp_replace(plain, '[^D]', '=', 'g') ELSE plain END AS general
+  FROM (SELECT *, regexp_replace(translate(shape, {quoted(''.join(signs))}, {quoted(''.join(signs.values()))}),
+                                 '[^DUVWuv]', '=', 'g') AS plain FROM keyed)),
+spotted AS (
+  SELECT *, CASE pattern WHEN 'ip_ipv4' THEN array_to_string(list_transform(string_split(shape, '.'), lambda o: {octet}), '=')
+    {spots} {digits} ELSE general END AS spotted FROM generals),
+inner_ones AS (SELECT *, CASE {inside} ELSE spotted END AS inside FROM spotted),
+sorted_out AS (
+  SELECT pattern, match, shape, permkey, length(shape) // 2 AS middle,
+         substr(begun, 1, length(begun) - tail) || repeat('=', tail) AS classes
+  FROM (SELECT *, repeat('=', front) || substr(inside, front + 1) AS begun FROM inner_ones))"""
+
+
+def _round(r: int, source: str) -> str:
+    """One round over the column ``s``."""
+    if r % 2 == 0:
+        part, mine, other = "substr(s, 1, middle)", "substr(classes, 1, middle)", "substr(s, middle + 1)"
+    else:
+        part, mine, other = "substr(s, middle + 1)", "substr(classes, middle + 1)", "substr(s, 1, middle)"
+    alphabet = " ".join(f"WHEN '{sign}' THEN '{chars}'" for sign, chars in pseudonym.CLASSES.items())
+    abc, h = f"(CASE substr(mine, k, 1) {alphabet} ELSE '' END)", "substr(part, k, 1)"
+    moved = (
+        f"array_to_string(list_transform(range(1, length(part) + 1), lambda k: CASE WHEN instr({abc}, {h}) = 0 THEN {h} "
+        f"ELSE substr({abc}, 1 + (instr({abc}, {h}) - 1 + {_byte('stream')}) % length({abc}), 1) END), '')"
+    )
+    whole = f"{moved} || other" if r % 2 == 0 else f"other || {moved}"
+    return f"""SELECT pattern, match, shape, permkey, middle, classes, i, {whole} AS s FROM (
+  SELECT *, array_to_string(list_transform(range(0, greatest(length(part) - 1, 0) // 32 + 1),
+      lambda b: sha256(permkey || '|{r}|' || b || '|' || other)), '') AS stream
+  FROM (SELECT *, {part} AS part, {mine} AS mine, {other} AS other FROM ({source})))"""
+
+
 def pseudonyms(salt: str) -> str:
-    """CTE ``made(… of merged, value)`` with the replacement of each detection."""
+    """CTE ``made(… of merged, value)`` with the replacement of each detection. Needs
+    ``WITH RECURSIVE``."""
     starts = " ".join(f"WHEN {quoted(n)} THEN {k}" for n, k in pseudonym.KEPT_START.items())
     openings = " ".join(
         f"WHEN {quoted(n)} THEN length(regexp_extract(match, {quoted(rx)}))"
         for n, rx in pseudonym.KEPT_OPENING.items()
     )
     ends = " ".join(f"WHEN {quoted(n)} THEN {len(e)}" for n, e in pseudonym.KEPT_ENDING.items())
-    spots = " OR ".join(
-        f"(pattern = {quoted(n)} AND k IN ({', '.join(map(str, places))}))"
-        for n, places in pseudonym.KEPT_POSITIONS.items()
-    )
     cuts = ", ".join(
         f"regexp_replace(match, '([A-Za-z0-9+/=_-]{{{k}}})[A-Za-z0-9+/=_-]+', '\\1', 'g')" for k in (64, 40, 24, 16)
     )
     shorter = f"CASE WHEN length(match) <= 200 THEN match ELSE list_filter([{cuts}], lambda c: length(c) <= 200)[1] END"
-    h = "substr(shape, k, 1)"
-    abc = (
-        f"(CASE WHEN k <= front OR k > length(shape) - tail OR {spots} THEN {h} "
-        f"WHEN {h} = '0' THEN CASE WHEN attempt < 3 THEN '0123456789' ELSE '0' END "
-        f"WHEN regexp_full_match({h}, '[1-9]') THEN CASE WHEN attempt < 3 THEN '123456789' "
-        f"ELSE substr('123456789', 1, TRY_CAST({h} AS INT)) END "
-        f"WHEN regexp_full_match({h}, '[A-F]') THEN 'ABCDEF' "
-        f"WHEN regexp_full_match({h}, '[A-Z]') THEN 'GHIJKLMNOPQRSTUVWXYZ' "
-        f"WHEN regexp_full_match({h}, '[a-f]') THEN 'abcdef' "
-        f"WHEN regexp_full_match({h}, '[a-z]') THEN 'ghijklmnopqrstuvwxyz' ELSE {h} END)"
-    )
     rules = [r for r in CATALOGUE if source_generators().get(r.name) == "regex"]
     accepted = " ".join(
-        f"WHEN {quoted(r.name)} THEN regexp_full_match(shaped, {quoted(NO_LOOKAHEAD.get(r.name, (r.regex,))[0])})"
+        f"WHEN {quoted(r.name)} THEN regexp_full_match(s, {quoted(NO_LOOKAHEAD.get(r.name, (r.regex,))[0])})"
         for r in rules
     )
+    known = ", ".join(quoted(r.name) for r in rules)
+    step = f"SELECT *, made AS s FROM walk WHERE NOT ok AND i < {pseudonym.STEPS}"
+    for r in range(pseudonym.ROUNDS):
+        step = _round(r, step)
     key = f"'-----BEGIN ' || {_choice('key', pseudonym.KEY_KINDS)} || ' PRIVATE KEY-----'"
     kinds = " ".join(
         f"WHEN {quoted(k)} THEN {fake_value(k)}" for k in ("name", "organization", "email", "phone", "address", "ssn")
     )
     return f"""seeded AS (
   SELECT *, {category_case('pattern', True)} AS kind,
-         sha256(concat_ws('|', {quoted(salt)}, {category_case('pattern')}, match)) AS seed,
-         CASE pattern {starts} {openings} ELSE 0 END AS front, CASE pattern {ends} ELSE 0 END AS tail,
-         {shorter} AS shape
-  FROM merged),
-attempts AS (
-  SELECT *, array_to_string(list_transform(range(0, (length(shape) - 1) // 32 + 1),
-      lambda b: sha256(seed || '|' || attempt || '|' || b)), '') AS stream
-  FROM (SELECT *, unnest(range(0, {pseudonym.ATTEMPTS})) AS attempt FROM seeded
-        WHERE kind = 'regex' AND shape IS NOT NULL)),
-shapes AS (
-  SELECT *, array_to_string(list_transform(range(1, length(shape) + 1),
-      lambda k: substr({abc}, 1 + {_byte('stream')} % length({abc}), 1)), '') AS shaped
-  FROM attempts),
-best AS (
-  SELECT record_id, field_path, start, arg_min(shaped, attempt) AS shaped FROM shapes
-  WHERE shaped <> match AND CASE pattern {accepted} ELSE false END GROUP BY 1, 2, 3),
+         sha256(concat_ws('|', {quoted(salt)}, {category_case('pattern')}, match)) AS seed FROM merged),
+keyed AS (
+  SELECT *, sha256(concat_ws('|', {quoted(salt)}, pattern, CASE WHEN shape = match THEN '' ELSE sha256(match) END)) AS permkey
+  FROM (SELECT DISTINCT pattern, match, CASE pattern {starts} {openings} ELSE 0 END AS front,
+               CASE pattern {ends} ELSE 0 END AS tail, {shorter} AS shape
+        FROM seeded WHERE kind = 'regex' AND pattern IN ({known})) WHERE shape <> ''),
+{_classes()},
+walk AS (
+  SELECT *, shape AS made, 0 AS i, false AS ok FROM sorted_out
+  UNION ALL
+  SELECT pattern, match, shape, permkey, middle, classes, s, i, CASE pattern {accepted} ELSE false END
+  FROM (SELECT * REPLACE (i + 1 AS i) FROM ({step}))),
+best AS (SELECT pattern, match, made AS shaped FROM walk WHERE ok AND made <> match),
 made AS (
   SELECT s.*, CASE
-      WHEN kind IS NULL THEN '[' || upper(pattern) || ']'
-      WHEN kind = 'keep' OR pattern = 'crypto_keys_rsa_private_key' THEN match
-      WHEN pattern = 'crypto_keys_ssh_private_key' THEN {key}
+      WHEN kind IS NULL THEN '[' || upper(s.pattern) || ']'
+      WHEN kind = 'keep' OR s.pattern = 'crypto_keys_rsa_private_key' THEN s.match
+      WHEN s.pattern = 'crypto_keys_ssh_private_key' THEN {key}
       WHEN kind = 'regex' THEN regexp_replace(trim(regexp_replace(
         coalesce(b.shaped, {quoted(pseudonym.FALLBACK)}), '[\\t\\n\\r\\f\\v]', ' ', 'g')), '\\s{{2,}}', ' ', 'g')
       ELSE CASE kind {kinds} END END AS value
-  FROM seeded s LEFT JOIN best b USING (record_id, field_path, start))"""
+  FROM seeded s LEFT JOIN best b ON b.pattern = s.pattern AND b.match = s.match)"""
 
 
 def token_pattern(codec: Codec) -> str:

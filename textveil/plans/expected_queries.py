@@ -29,7 +29,7 @@ from textveil.plans.expected import (
     token_ids,
     windows,
 )
-from textveil.plans.queries import KINDS, MINIMAL_RULES
+from textveil.plans.queries import KINDS, MINIMAL_RULES, SINGLE_VALUED
 from textveil.plans.samples import SAMPLES
 
 ALL_DOCUMENT_COLUMNS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
@@ -246,7 +246,7 @@ FROM texts t LEFT JOIN kept k USING (record_id, field_path)""",
 {_second_hits}, {_new_words}, {_second_kept}
 SELECT t.record_id AS doc_id, {spliced(REDACT)} AS text
 FROM texts2 t LEFT JOIN kept2 k USING (record_id, field_path)""",
-    "pseudonymize_documents": f"""WITH {rule_hits(DOCUMENTS)}, {kept()}, {pseudonyms('demo')},
+    "pseudonymize_documents": f"""WITH RECURSIVE {rule_hits(DOCUMENTS)}, {kept()}, {pseudonyms('demo')},
 grouped AS (
   SELECT record_id, field_path, list(struct_pack(s := start, e := "end", v := value) ORDER BY start) AS spans
   FROM made GROUP BY record_id, field_path)
@@ -260,11 +260,18 @@ FROM texts t LEFT JOIN grouped g USING (record_id, field_path)""",
     + " END AS value FROM seeds) SELECT c_custkey, "
     + ", ".join(f"max(value) FILTER (WHERE kind = {quoted(k)}) AS {k}" for k in KINDS)
     + " FROM made GROUP BY 1",
-    "pseudonym_shapes": f"""WITH {rule_hits(DOCUMENTS)}, {kept()}, {pseudonyms('demo')}
+    "pseudonym_shapes": f"""WITH RECURSIVE {rule_hits(DOCUMENTS)}, {kept()}, {pseudonyms('demo')}
 SELECT pattern, count(*) AS hits, count(*) FILTER (WHERE value <> '[PSEUDONYMIZED]') AS valid,
        count(*) FILTER (WHERE value = match) AS unchanged FROM made GROUP BY 1""",
     "pseudonym_lengths": "SELECT c_custkey, true AS ssn_ok, true AS license_ok, true AS passport_ok, "
     "true AS api_token_ok, true AS email_ok, true AS uri_ok FROM customer",
+    # The matches of a rule, and people and places, are told apart by what replaces them.
+    "pseudonym_distinct": f"""WITH {rule_hits(DOCUMENTS)}, {kept()}
+SELECT pattern AS kind, count(DISTINCT match) AS originals, count(DISTINCT match) AS pseudonyms
+FROM merged WHERE {category_case('pattern', True)} = 'regex' AND pattern NOT IN {SINGLE_VALUED} GROUP BY 1
+UNION ALL
+SELECT kind, n, n FROM (SELECT unnest(['name', 'organization', 'email', 'address', 'uri']) AS kind,
+  (SELECT count(*) FROM customer) + (SELECT count(*) FROM documents) AS n)""",
     "pseudonym_keeps_dates": "SELECT event_id, 'user ' || user_id || ', DOB: ' || strftime(ts, '%d/%m/%Y') || ' .' AS text FROM events",
     "clean_whitespace": r"""SELECT doc_id, regexp_replace(regexp_replace(
   regexp_replace(text, '[\t\n\r\f\v]', ' ', 'g'), '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents""",

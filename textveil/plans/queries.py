@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textveil.functions.rules import CATALOGUE, select_rules, source_generators
-from textveil.functions.sqltext import lit, running_sum
+from textveil.functions.sqltext import held, lit, running_sum
 from textveil.operators.actions import clean_control_whitespace
 from textveil.operators.detect import (
     detect_pii,
@@ -293,8 +293,16 @@ def _named_entities(spark, sf_dir) -> DataFrame:
     """Detections as an entity model would give them: everywhere in each document two
     capitalised words, or a piece with a digit or @ and the word after it, persons and
     addresses in turn, the longer the surer."""
-    found, gaps = f"regexp_extract_all(text, {lit(ENTITY)}, 0)", f"split(text, {lit(ENTITY)}, -1)"
-    rows = documents(spark, sf_dir).select("doc_id", F.expr(found).alias("found"), F.expr(gaps).alias("gaps"))
+    # One pass of the expression marks all finds; every second part between marks is one.
+    marked = f"regexp_replace(translate(text, '\\u0001', ' '), {lit(ENTITY)}, '\\u0001$0\\u0001')"
+    # Held, as the filter that comes with a generator would else search all texts before
+    # they are dealt out, and then once more.
+    rows = held(documents(spark, sf_dir).select("doc_id", "text"), "parts", f"split({marked}, '\\u0001')", drop=("text",))
+    rows = rows.select(
+        "doc_id",
+        F.expr("filter(parts, (p, i) -> i % 2 = 1)").alias("found"),
+        F.expr("filter(parts, (p, i) -> i % 2 = 0)").alias("gaps"),
+    )
     before = "transform(found, (m, i) -> length(gaps[i]) + CASE WHEN i = 0 THEN 0 ELSE length(found[i - 1]) END)"
     rows = rows.withColumn("starts", F.expr(running_sum(before)))
     return rows.select("doc_id", "starts", F.posexplode("found").alias("arrival", "match")).selectExpr(
@@ -481,6 +489,30 @@ def pseudonym_lengths(spark, sf_dir):
     return made.select("c_custkey", *[F.col(c).rlike(rx).alias(f"{c}_ok") for c, rx in forms.items()])
 
 
+#: Rules that allow one or few strings.
+SINGLE_VALUED = ("crypto_keys_rsa_private_key", "crypto_keys_ssh_private_key")
+
+
+def pseudonym_distinct(spark, sf_dir):
+    """How many originals there are and how many pseudonyms: matches of each rule, and names
+    and the like for all customers and documents."""
+    found = detect_pii(documents(spark, sf_dir), "doc_id", ["text"])
+    shaped = [r.name for r in CATALOGUE if source_generators().get(r.name) == "regex" and r.name not in SINGLE_VALUED]
+    matches = found.where(F.col("pattern").isin(shaped)).select("pattern", "match").distinct()
+    made = matches.withColumn("made", F.expr(replacement_sql("pattern", "match", "demo")))
+    rules = made.groupBy(F.col("pattern").alias("kind")).agg(
+        F.count(F.lit(1)).alias("originals"), F.countDistinct("made").alias("pseudonyms")
+    )
+    keys = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("k"))
+    keys = keys.unionByName(documents(spark, sf_dir).select(F.concat(F.lit("d"), "doc_id").alias("k")))
+    kinds = ["name", "organization", "email", "address", "uri"]
+    values = keys.select(
+        "k", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), generated(k, "k", "demo").alias("made")) for k in kinds])).alias("v")
+    ).select("k", "v.*")
+    people = values.groupBy("kind").agg(F.countDistinct("k").alias("originals"), F.countDistinct("made").alias("pseudonyms"))
+    return rules.unionByName(people)
+
+
 def pseudonym_keeps_dates(spark, sf_dir):
     """Dates of birth are found but keep their value."""
     records = table(spark, sf_dir, "events").selectExpr(
@@ -782,7 +814,7 @@ QUERIES = {
         detection_summary, detection_categories, source_map_use,
         redact_minimal, redact_documents, mask_documents, mask_pages, mask_conversations,
         redact_luhn, redact_twice, pseudonymize_documents, pseudonym_shapes, pseudonym_kinds,
-        pseudonym_lengths, pseudonym_keeps_dates, clean_whitespace,
+        pseudonym_lengths, pseudonym_distinct, pseudonym_keeps_dates, clean_whitespace,
         review_top, review_uncapped, review_verdicts, review_final, sanitize_with_review,
         sanitize_unreviewed, sanitize_null_key, apply_found_detections,
         messages_alpaca, messages_chatml, messages_share_gpt, messages_prompt_response,
