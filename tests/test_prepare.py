@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from plain import windows
 from textveil.operators.messages import ChatTemplate, ensure_eos, render_chat, to_messages
 from textveil.operators.order import running_total, with_file_order, with_position
-from textveil.operators.split import train_val_split
+from textveil.operators.split import shuffled, train_val_split
 from textveil.operators.tokens import (
     Codec,
     collate,
@@ -20,7 +20,7 @@ from textveil.operators.tokens import (
     truncate,
     window_step,
 )
-from textveil.plans.prepare import chat_text, prepare
+from textveil.plans.prepare import chat_text, prepare, prepare_report
 from textveil.sources.readers import from_records
 
 CHATS = [
@@ -277,3 +277,30 @@ def test_accounting_and_batches(spark):
     assert rows[1].attention_mask == [1, 0, 0]
     assert rows[1].labels == [7, -100, -100]
     assert rows[6].input_ids == [7] * 6
+
+
+def test_shuffled_order(spark):
+    """A permutation that depends on keys and seed only, and not on the key's order."""
+    df = spark.createDataFrame([(f"k{i:04d}", i) for i in range(3000)], "id string, n int")
+    one = {r.id: r.position for r in shuffled(df.repartition(7), "id", 1).collect()}
+    assert sorted(one.values()) == list(range(3000))
+    assert one == {r.id: r.position for r in shuffled(df, "id", 1).collect()}
+    two = {r.id: r.position for r in shuffled(df, "id", 2).collect()}
+    assert sum(one[k] == two[k] for k in one) < 30
+    near = sum(abs(one[f"k{i:04d}"] - one[f"k{i + 1:04d}"]) < 100 for i in range(2999))
+    assert near < 400
+
+
+def test_report_of_what_is_left_out(spark):
+    docs = [(i, f"word{i} " * (i % 9)) for i in range(50)] + [(90, None), (91, None)]
+    df = spark.createDataFrame(docs, "id int, text string")
+    report = prepare_report(spark, data=df, max_length=16, key="id").collect()
+    rows = prepare(spark, data=df, max_length=16, key="id")["train"].collect()
+    assert len(report) == 1
+    assert (report[0].records, report[0].left_out) == (52, 2)
+    assert report[0].tokens - report[0].dropped == sum(len(r.input_ids) for r in rows)
+    chats = spark.createDataFrame([(i, "hello " * i, "answer") for i in range(20)], "id int, prompt string, response string")
+    parts = prepare(spark, data=chats, max_length=20, split=0.3, key="id")
+    for r in prepare_report(spark, data=chats, max_length=20, split=0.3, key="id").collect():
+        ids = [len(x.input_ids) for x in parts[r.split].collect()]
+        assert r.records == len(ids) and r.tokens - r.dropped == sum(ids) and r.left_out == 0

@@ -1,4 +1,4 @@
-"""Train and validation parts."""
+"""Train and validation parts, and a shuffled order."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textveil.functions.sqltext import ident, lit
+from textveil.operators.order import with_position
 
 _SPACE = 1 << 32
 
 
-def _draw(key: str, seed: int) -> str:
+def _draw(key: str, seed: int | str) -> str:
     """A number in ``[0, 2**32)`` that depends on the key and the seed only."""
     digest = f"md5(concat(cast({ident(key)} as string), {lit(f'|{seed}')}))"
     return f"cast(conv(substring({digest}, 1, 8), 16, 10) as bigint)"
@@ -60,3 +61,15 @@ def train_val_split(
     return drawn.withColumn(
         "split", F.when(mine <= last, F.lit("validation")).otherwise(F.lit("train"))
     ).drop("__draw")
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 42, name: str = "position") -> DataFrame:
+    """Add the place of each record in a shuffled order, 0, 1, 2, … without gaps.
+
+    The order is that of draws from the key and the seed, then of the key, so it is the same
+    however often and wherever it is worked out; the draws are others than those that split.
+    Places come from counts per range of draws: only keys are moved to find them, and no task
+    ever sorts all.
+    """
+    drawn = df.withColumn("__shuffle", F.expr(_draw(key, f"{seed}|order")))
+    return with_position(drawn, "__shuffle", key, name=name).drop("__shuffle")

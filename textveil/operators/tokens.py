@@ -14,6 +14,7 @@ from textveil.functions.sqltext import ident, let, lit
 from textveil.functions.workers import new_identity, once_per_worker
 from textveil.operators.messages import eos_sql
 from textveil.operators.order import running_total, with_position
+from textveil.operators.split import shuffled
 
 BATCH_ROWS = 1000
 IGNORED_LABEL = -100
@@ -24,8 +25,8 @@ class Codec:
     """A tokeniser made of built-in functions.
 
     Markers and line breaks have fixed ids; every other piece gets an id from its
-    checksum, so there is no vocabulary to ship or to join. For a trained
-    vocabulary use ``tokenize_with``.
+    checksum, so there is no vocabulary to ship or to join. For a given
+    vocabulary use ``textveil.operators.vocabulary``, for a library ``tokenize_with``.
     """
 
     pad: str = "<pad>"
@@ -115,13 +116,19 @@ def truncate(df: DataFrame, max_length: int, ids: str = "input_ids") -> DataFram
     )
 
 
-def in_batches(df: DataFrame, key: str, rows: int = BATCH_ROWS, dense: bool = False) -> DataFrame:
+def in_batches(
+    df: DataFrame, key: str, rows: int = BATCH_ROWS, dense: bool = False, shuffle: int | None = None
+) -> DataFrame:
     """Add ``batch`` and ``in_batch`` for ``rows`` consecutive records by key.
 
     ``dense`` says the key already counts 0, 1, 2, … without gaps or null texts;
-    else positions are worked out from the keys.
+    else positions are worked out from the keys. With ``shuffle``, a seed, records follow one
+    another in the ``shuffled`` order instead.
     """
-    placed = df if dense else with_position(df, key, name="__position")
+    if shuffle is not None:
+        placed, dense = shuffled(df, key, shuffle, "__position"), False
+    else:
+        placed = df if dense else with_position(df, key, name="__position")
     position = ident(key) if dense else "__position"
     return (
         placed.withColumn("batch", F.expr(f"{position} div {rows}"))

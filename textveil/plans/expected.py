@@ -435,5 +435,5 @@ members AS (
 packed AS (SELECT batch, "window", list(id ORDER BY pos) AS ids FROM members GROUP BY 1, 2)"""
 
 
-def draw(key: str, seed: int = 42) -> str:
+def draw(key: str, seed: int | str = 42) -> str:
     return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|{seed}'), 1, 8) AS BIGINT)"

@@ -345,11 +345,26 @@ SELECT CASE WHEN {draw('conv_id')} < {int(0.2 * 2**32)} THEN 'validation' ELSE '
        {listed('ids')} AS ids_md5, CAST(len(ids) AS INT) AS n_tokens FROM tokens""",
     "prepare_documents": " UNION ALL ".join(
         f"""SELECT '{name}' AS split, * FROM (WITH part AS (
-  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, text FROM documents
+  SELECT row_number() OVER (ORDER BY {draw('doc_id', '42|order')}, doc_id) - 1 AS place, text FROM documents
   WHERE {draw('doc_id')} {test} {int(0.1 * 2**32)}),
 {framed_tokens('part', 'place')}, {windows(512, 0.0)}
 SELECT {listed('ids')} AS ids_md5, CAST(len(ids) AS INT) AS n_tokens FROM packed)"""
         for name, test in (("train", ">="), ("validation", "<"))
     ),
+    "shuffle_documents": f"""SELECT doc_id,
+  row_number() OVER (ORDER BY {draw('doc_id', '7|order')}, doc_id) - 1 AS position FROM documents""",
+    "prepare_counts": " UNION ALL ".join(
+        f"""SELECT '{name}' AS split, * FROM (WITH part AS (
+  SELECT row_number() OVER (ORDER BY {draw('doc_id', '42|order')}, doc_id) - 1 AS place, text FROM documents
+  WHERE text IS NOT NULL AND {draw('doc_id')} {test} {int(0.1 * 2**32)}),
+{framed_tokens('part', 'place')},
+sizes AS (SELECT batch, sum(len(ids)) AS tokens FROM framed GROUP BY 1)
+SELECT (SELECT count(*) FROM documents WHERE {draw('doc_id')} {test} {int(0.1 * 2**32)}) AS records,
+       (SELECT count(*) FROM documents WHERE text IS NULL AND {draw('doc_id')} {test} {int(0.1 * 2**32)}) AS left_out,
+       CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens % 512) AS BIGINT) AS dropped FROM sizes)"""
+        for name, test in (("train", ">="), ("validation", "<"))
+    ),
+    # Ids of a vocabulary stand for the whole text.
+    "tokenize_vocabulary": "SELECT doc_id, md5(text) AS text_md5, true AS shorter FROM documents",
     "redact_stream": f"WITH {sanitized(DOCUMENTS, REDACT)} {DOCUMENT_CLEAN}",
 }

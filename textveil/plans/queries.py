@@ -35,7 +35,7 @@ from textveil.operators.order import with_position
 from textveil.operators.pseudonym import FALLBACK, generated, replacement_sql
 from textveil.operators.review import apply_verdicts, final_detections, review_queue
 from textveil.operators.schema import detect_schema, keep_only, lower_columns, preview
-from textveil.operators.split import train_val_split
+from textveil.operators.split import shuffled, train_val_split
 from textveil.operators.tokens import (
     collate,
     dropped_tokens,
@@ -48,7 +48,8 @@ from textveil.operators.tokens import (
     tokenize_with,
     truncate,
 )
-from textveil.plans.prepare import chat_text, prepare
+from textveil.operators.vocabulary import Vocabulary, vocabulary_ids, vocabulary_text
+from textveil.plans.prepare import chat_text, prepare, prepare_report
 from textveil.plans.samples import SAMPLES
 from textveil.plans.sanitize import (
     apply_detections,
@@ -707,6 +708,19 @@ def tokenize_with_library(spark, sf_dir):
     return rows.select("doc_id", F.md5(decoded("input_ids")).alias("text_md5"))
 
 
+def tokenize_vocabulary(spark, sf_dir):
+    """Ids of a public vocabulary by longest match, read back to text."""
+    import public_tokenizers
+
+    vocabulary = Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = documents(spark, sf_dir).select("doc_id", "text", vocabulary_ids("text", vocabulary).alias("input_ids"))
+    return rows.select(
+        "doc_id",
+        F.md5(vocabulary_text("input_ids", vocabulary)).alias("text_md5"),
+        (F.size("input_ids") <= F.octet_length("text")).alias("shorter"),
+    )
+
+
 def truncate_documents(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", tokenize("text", limit=128).alias("input_ids"))
     return truncate(rows, 128).select("doc_id", _digest(), F.size("attention_mask").alias("n_tokens"))
@@ -783,6 +797,14 @@ def prepare_documents(spark, sf_dir):
     return _both(prepare(spark, data=docs, max_length=512, split=0.1, key="doc_id"))
 
 
+def prepare_counts(spark, sf_dir):
+    return prepare_report(spark, data=documents(spark, sf_dir), max_length=512, split=0.1, key="doc_id")
+
+
+def shuffle_documents(spark, sf_dir):
+    return shuffled(documents(spark, sf_dir).select("doc_id"), "doc_id", seed=7)
+
+
 # Streaming
 
 
@@ -822,7 +844,7 @@ QUERIES = {
         frame_batches, tokenize_documents, tokenize_with_adapter,
         tokenize_with_library, truncate_documents,
         pack_documents, pack_overlapping, pack_dropped, token_lengths, token_progress,
-        collate_batches, split_by_hash, split_exact, consecutive_positions, prepare_chats,
-        prepare_documents, redact_stream,
+        collate_batches, split_by_hash, split_exact, consecutive_positions, shuffle_documents,
+        prepare_chats, prepare_documents, prepare_counts, tokenize_vocabulary, redact_stream,
     )
 }
