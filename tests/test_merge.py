@@ -1,7 +1,7 @@
 import random
 
 from plain import overlap_free
-from textveil.operators.merge import certain, merge_detections, uncertain
+from textveil.operators.merge import certain, clusters, merge_detections, uncertain
 
 SCHEMA = (
     "record_id int, field_path string, rule_ord int, pattern string, match string, "
@@ -70,3 +70,32 @@ def test_confidence_limits(spark):
     table = _table(spark, [[(10 * i, 10 * i + 1, s) for i, s in enumerate(scores)]])
     assert sorted(r.start for r in certain(table).collect()) == [40, 50, 60]
     assert sorted(r.start for r in uncertain(table).collect()) == [20, 30]
+
+
+def test_large_fields_are_cut_into_clusters(spark):
+    """Fields beyond the limit give the same, whatever the stretches that they are cut by."""
+    rng = random.Random(7)
+    cases = [[], []]
+    for case, dense in ((0, 2), (1, 9)):
+        for _ in range(3000):
+            start = rng.randint(0, 3000 * dense)
+            cases[case].append((start, start + rng.choice([1, 2, 5, 9, 300 if case else 3]), rng.choice([0.6, 0.95, 1.0])))
+    # One hit across many stretches, and a null key.
+    cases.append([(0, 5000, 1.0)] + [(i * 7, i * 7 + 3, 1.0) for i in range(900)])
+    table = _table(spark, cases)
+    table = table.unionByName(table.where("record_id = 0").selectExpr("cast(null as int) as record_id", *table.columns[1:]))
+    for protect in (False, True):
+        whole = _kept(merge_detections(table, protect))
+        assert _kept(merge_detections(table, protect, field_hits=100)) == whole
+        assert _kept(merge_detections(table, protect, field_hits=10**6)) == whole
+    for stretch in (1, 10, 64, 10**6):
+        marked = clusters(table, stretch).collect()
+        assert len(marked) == table.count()
+        for key in (0, 1, 2, None):
+            reached, begin, expected = -1, None, {}
+            for r in sorted((r for r in marked if r.record_id == key), key=lambda r: r.start):
+                if r.start >= reached and r.start != begin:
+                    begin = r.start
+                reached = max(reached, r.end)
+                expected[r.start] = begin
+            assert {r.start: r.cluster for r in marked if r.record_id == key} == expected

@@ -12,8 +12,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textveil.functions.rules import CATALOGUE, RULE_NAMES, Rule
@@ -28,6 +28,7 @@ from textveil.operators.merge import (
     resolve_overlaps,
     uncertain,
 )
+from textveil.sources.scratch import written
 
 MARKER = "\0"
 SPLIT = "\x02"
@@ -48,11 +49,6 @@ GATES = {
     "lengthy": r"[!-~]{32}",
 }
 
-DETECTION_SCHEMA = (
-    "field_path string, rule_ord int, pattern string, match string, start int, end int, score double"
-)
-
-
 # Word characters as the rules mean them: letters, numbers of any kind and the
 # underscore, but no combining marks.
 _WORD = r"[\p{L}\p{N}_]"
@@ -243,16 +239,84 @@ def external_detections(detections: DataFrame) -> DataFrame:
     )
 
 
-def _chunks(texts: list[str], size: int | None, overlap: int) -> list[tuple[int, int, str]]:
-    """``(number of the text, offset, chunk)``; a chunk reads ``overlap`` characters into
-    the next one."""
-    if size is None:
-        return [(n, 0, text) for n, text in enumerate(texts)]
-    return [
-        (n, at, text[at : at + size + overlap])
-        for n, text in enumerate(texts)
-        for at in range(0, max(len(text), 1), size)
-    ]
+def _chunk_rows(texts: DataFrame, size: int, overlap: int) -> DataFrame:
+    """``record_id, field_path, at, text`` of the chunks of long texts, dealt out to all tasks.
+    A chunk reads ``overlap`` characters into the next one."""
+    key_type = texts.schema["record_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                starts = range(0, len(text), size)
+                # About as many characters as a few chunks or 1 MB leave at a time.
+                some = max(1, (1 << 20) // size)
+                for first in range(0, len(starts), some):
+                    ats = list(starts[first : first + some])
+                    origin = pa.array([row] * len(ats))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("record_id").take(origin),
+                            batch.column("field_path").take(origin),
+                            pa.array(ats, pa.int32()),
+                            pa.array([text[at : at + size + overlap] for at in ats]),
+                        ],
+                        names=["record_id", "field_path", "at", "text"],
+                    )
+
+    spark = texts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows = texts.mapInArrow(cut, f"record_id {key_type}, field_path string, at int, text string")
+    return rows.repartition(tasks, "record_id", "field_path", "at")
+
+
+def _found_by(rows: DataFrame, factory: Callable, until: int | None) -> DataFrame:
+    """``record_id, field_path, at, arrival`` and what the detector finds in the texts of
+    ``rows``, at most the hits that begin before ``until``; positions are those in the chunk."""
+    key_type = rows.schema["record_id"].dataType.simpleString()
+    own = new_identity()
+    kinds = {
+        "pattern": pa.string(),
+        "match": pa.string(),
+        "start": pa.int32(),
+        "end": pa.int32(),
+        "score": pa.float64(),
+    }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detector = once_per_worker(own, factory)
+        for batch in batches:
+            found = [
+                (row, i, e["label"], e["text"], e["start"], e["end"], e["score"])
+                for row, entities in enumerate(detector(batch.column("text").to_pylist()))
+                for i, e in enumerate(e for e in entities if until is None or e["start"] < until)
+            ]
+            rows, arrival, *values = zip(*found, strict=True) if found else [()] * 7
+            origin = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c).take(origin) for c in ("record_id", "field_path", "at")],
+                    pa.array(arrival, pa.int32()),
+                    *[pa.array(v, kind) for v, kind in zip(values, kinds.values(), strict=True)],
+                ],
+                names=["record_id", "field_path", "at", "arrival", *kinds],
+            )
+
+    schema = f"record_id {key_type}, field_path string, at int, arrival int, pattern string, match string, start int, end int, score double"
+    return rows.select("record_id", "field_path", "at", "text").mapInArrow(run, schema)
+
+
+def _shifted_hits(found: DataFrame, before: Column) -> DataFrame:
+    """The common shape: positions in the whole text, and arrival counted through all chunks."""
+    return found.select(
+        "record_id",
+        "field_path",
+        (before + F.col("arrival") + len(CATALOGUE) + 1).cast("int").alias("rule_ord"),
+        "pattern",
+        "match",
+        (F.col("start") + F.col("at")).alias("start"),
+        (F.col("end") + F.col("at")).alias("end"),
+        "score",
+    )
 
 
 def detect_with(
@@ -267,39 +331,32 @@ def detect_with(
 
     ``factory`` builds the detector once per Python worker. The detector gets a list of
     texts and returns a list of dicts for each, with ``label``, ``text``, ``start``,
-    ``end`` and ``score``. With ``chunk`` long texts are cut into chunks of so many
-    characters, each read ``overlap`` characters further; positions are shifted back, and
-    a hit counts for the chunk it begins in. ``overlap`` must cover the longest entity.
+    ``end`` and ``score``.
+
+    With ``chunk`` longer texts are cut into chunks of so many characters, each read
+    ``overlap`` characters further. Chunks are rows of their own, so one very long text keeps
+    all tasks busy; texts of one chunk stay where they are. Positions are shifted back, a hit
+    counts for the chunk it begins in, and hits arrive in the order of the chunks: their
+    number is that in their chunk plus what all chunks before it hold. ``overlap`` must cover
+    the longest entity. What the model finds in chunks is written before it is numbered.
     """
     if chunk is not None and (chunk < 1 or overlap < 0):
         raise ValueError("`chunk` must be positive, and `overlap` not negative.")
-    texts = extract_text_fields(df, key, columns)
-    key_type = texts.schema["record_id"].dataType.simpleString()
-    names = ["record_id", *(field.split()[0] for field in DETECTION_SCHEMA.split(", "))]
-    first = len(CATALOGUE) + 1
-    own = new_identity()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detector = once_per_worker(own, factory)
-        for batch in batches:
-            parts = _chunks(list(batch["text"]), chunk, overlap)
-            found: list[list[tuple]] = [[] for _ in range(len(batch))]
-            for (n, at, _), entities in zip(parts, detector([p[2] for p in parts]), strict=True):
-                found[n] += [
-                    (e["label"], e["text"], at + e["start"], at + e["end"], e["score"])
-                    for e in entities
-                    if chunk is None or e["start"] < chunk
-                ]
-            rows = [
-                (rid, path, first + i, *entity)
-                for rid, path, entities in zip(batch["record_id"], batch["field_path"], found, strict=True)
-                for i, entity in enumerate(entities)
-            ]
-            yield pd.DataFrame(rows, columns=names)
-
-    return texts.select("record_id", "field_path", "text").mapInPandas(
-        run, f"record_id {key_type}, {DETECTION_SCHEMA}"
-    )
+    texts = extract_text_fields(df, key, columns).select("record_id", "field_path", "text")
+    whole = texts if chunk is None else texts.where(F.length("text") <= chunk)
+    whole = whole.select("record_id", "field_path", F.lit(0).alias("at"), "text")
+    hits = _shifted_hits(_found_by(whole, factory, None), F.lit(0))
+    if chunk is None:
+        return hits
+    place = ["record_id", "field_path", "at"]
+    rows = _chunk_rows(texts.where(F.length("text") > chunk), chunk, overlap)
+    found = written(_found_by(rows, factory, chunk), "chunk-hits")
+    # One row a chunk.
+    counts = found.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("record_id", "field_path").orderBy("at"))
+    counts = counts.select(*[F.col(c).alias(f"__{c}") for c in place], (upto - F.col("n")).alias("__before"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in place]
+    return hits.unionByName(_shifted_hits(found.join(counts, same), F.col("__before")))
 
 
 def detect_pii(
@@ -310,16 +367,18 @@ def detect_pii(
     external: DataFrame | None = None,
     protect_certain: bool = False,
     condense: bool = True,
+    field_hits: int | None = None,
 ) -> DataFrame:
     """Disjoint detections of all string fields.
 
     Without ``external`` overlaps are resolved inside the row. With it, rule hits
-    and external ones are brought together by a shuffle of detections alone.
+    and external ones are brought together by a shuffle of detections alone; ``field_hits``
+    lets many tasks share a field with more hits than that (``merge_detections``).
     """
     if external is None:
         return _rule_hits(df, key, columns, rules, True, condense)
     own = detect_rules(df, key, columns, rules, condense)
-    return merge_detections(own.unionByName(external_detections(external)), protect_certain)
+    return merge_detections(own.unionByName(external_detections(external)), protect_certain, field_hits)
 
 
 def split_by_confidence(detections: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textveil.functions.sqltext import BLOCK, let
+from textveil.sources.scratch import written
 
 # Field order is the sort order: leftmost first, then longest, then earliest rule.
 SPAN_TYPE = "struct<start:int,shorter:int,rule_ord:int,end:int,match:string,score:double,pattern:string>"
@@ -52,13 +53,75 @@ def resolve_overlaps(spans: str) -> str:
     return let("s", f"array_sort({spans})", f"CASE WHEN size(s) < 2 THEN s ELSE {joined} END")
 
 
-def merge_detections(detections: DataFrame, protect_certain: bool = False) -> DataFrame:
+#: Characters of a field whose hits are looked at together when it is cut.
+STRETCH = 4096
+
+
+def clusters(detections: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Add ``cluster``, the start of the first of some hits that lie apart from all others.
+
+    In the order of their starts, a cluster begins at each hit that starts where or after all
+    hits before it have ended. What comes before a stretch of the text is told by one row per
+    stretch: the farthest end, and the last begin of a cluster. So no task reads a field whole.
+    """
+    field = ["record_id", "field_path"]
+    place = [*field, "stretch"]
+    rows = detections.withColumn("stretch", F.expr(f"start div {stretch}"))
+
+    def earlier(name: str):
+        window = Window.partitionBy(*field).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+        return F.max(name).over(window)
+
+    def joined(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"__{c}") for c in place], name)
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in place]
+        return left.join(right, same).drop(*[f"__{c}" for c in place])
+
+    ends = rows.groupBy(*place).agg(F.max("end").alias("farthest"))
+    rows = joined(rows, ends.withColumn("reached", earlier("farthest")), "reached")
+    order = Window.partitionBy(*place).orderBy("start")
+    # Hits with equal starts are one step: the least of their ends decides nothing.
+    inside = F.max("end").over(order.rangeBetween(Window.unboundedPreceding, -1))
+    reached = F.greatest("reached", inside)
+    begins = F.when(reached.isNull() | (F.col("start") >= reached), F.col("start"))
+    rows = rows.withColumn("begins", begins)
+    lasts = rows.groupBy(*place).agg(F.max("begins").alias("last"))
+    rows = joined(rows, lasts.withColumn("open", earlier("last")), "open")
+    upto = order.rangeBetween(Window.unboundedPreceding, 0)
+    cluster = F.coalesce(F.max("begins").over(upto), "open")
+    return rows.withColumn("cluster", cluster).drop("stretch", "reached", "begins", "open")
+
+
+def merge_detections(
+    detections: DataFrame, protect_certain: bool = False, field_hits: int | None = None
+) -> DataFrame:
     """Resolve overlaps per ``(record_id, field_path)`` in a long table.
 
     Only detections are shuffled, never texts. With ``protect_certain`` an
     uncertain hit cannot displace a certain one that it overlaps.
+
+    A group holds the hits of one field. Hits that lie apart don't touch one another, so with
+    ``field_hits`` a field with more hits than that is cut into clusters of hits that overlap,
+    which are merged in as many tasks; the result is the same. To know those fields the
+    detections are written first.
     """
-    grouped = detections.groupBy("record_id", "field_path").agg(
+    if field_hits is None:
+        return _merged(detections.withColumn("cluster", F.lit(None).cast("int")), protect_certain)
+    detections = written(detections, "hits")
+    field = ["record_id", "field_path"]
+    counts = detections.groupBy(*field).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > field_hits)
+    large = written(counts.select(*[F.col(c).alias(f"__{c}") for c in field]), "large-fields")
+    if large.isEmpty():
+        return merge_detections(detections, protect_certain)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in field]
+    rest = detections.join(large, same, "left_anti").withColumn("cluster", F.lit(None).cast("int"))
+    cut = clusters(detections.join(large, same, "left_semi"))
+    return _merged(rest.unionByName(cut), protect_certain)
+
+
+def _merged(detections: DataFrame, protect_certain: bool) -> DataFrame:
+    """Resolve overlaps per ``(record_id, field_path, cluster)``."""
+    grouped = detections.groupBy("record_id", "field_path", "cluster").agg(
         F.expr(f"collect_list({SPAN})").alias("spans")
     )
     spans = "spans"

@@ -368,3 +368,5 @@ SELECT (SELECT count(*) FROM documents WHERE {draw('doc_id')} {test} {int(0.1 *
     "tokenize_vocabulary": "SELECT doc_id, md5(text) AS text_md5, true AS shorter FROM documents",
     "redact_stream": f"WITH {sanitized(DOCUMENTS, REDACT)} {DOCUMENT_CLEAN}",
 }
+
+EXPECTED["detect_incremental_documents"] = EXPECTED["detect_pii_documents"]

@@ -49,6 +49,7 @@ from textveil.operators.tokens import (
     truncate,
 )
 from textveil.operators.vocabulary import Vocabulary, vocabulary_ids, vocabulary_text
+from textveil.plans.incremental import detect_incremental
 from textveil.plans.prepare import chat_text, prepare, prepare_report
 from textveil.plans.samples import SAMPLES
 from textveil.plans.sanitize import (
@@ -351,6 +352,13 @@ def detect_pii_documents(spark, sf_dir):
     return _shown(detect_pii(documents(spark, sf_dir), "doc_id", ["text"]))
 
 
+def detect_incremental_documents(spark, sf_dir):
+    """One language first, then all documents: the second run searches what is new."""
+    docs, store = documents(spark, sf_dir), scratch_path(spark, "store")
+    detect_incremental(docs.where("lang = 'en'"), "doc_id", store, ["text"])
+    return _shown(detect_incremental(docs, "doc_id", store, ["text"]))
+
+
 def detect_pii_conversations(spark, sf_dir):
     return _shown(detect_pii(mixed_chats(spark, sf_dir), "chat_id"))
 
@@ -831,7 +839,8 @@ QUERIES = {
         lower_column_names, detect_layouts, extract_fields_nested, extract_fields_events,
         set_fields_nested, preview_sanitized,
         detect_rules_documents, detect_rules_pages, rule_catalogue_hits, detect_external_table,
-        detect_with_model, merge_long_table, detect_pii_documents, detect_pii_conversations,
+        detect_with_model, merge_long_table, detect_pii_documents,
+        detect_incremental_documents, detect_pii_conversations,
         detect_pii_hybrid, detect_pii_protected, split_confidence, organize_detections,
         detection_summary, detection_categories, source_map_use,
         redact_minimal, redact_documents, mask_documents, mask_pages, mask_conversations,
