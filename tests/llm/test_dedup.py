@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from textveil.llm import near_dedup, recompress_dedup, suffix_dedup
+from textveil.llm import near_dedup, prob_minhash, recompress_dedup, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string"
@@ -240,6 +242,44 @@ def test_near_copies_within_a_template(spark):
     assert sorted(((r["doc_id"], r["group_id"]) for r in found), key=repr) == want
 
 
+def test_a_family_of_texts_around_a_template(spark):
+    """5,000 texts share a template at about 0.75; some are near copies of one another, and
+    nothing else is linked. No task meets all pairs of the family."""
+    draw = random.Random(23)
+    words = [f"w{i}" for i in range(20_000)]
+    template = [draw.choice(words) for _ in range(60)]
+    own = [[draw.choice(words) for _ in range(9)] for _ in range(5000)]
+    for i in range(0, 400, 2):
+        own[i + 1] = own[i][:8] + [draw.choice(words)]
+    rows = [(i, " ".join(template + part)) for i, part in enumerate(own)]
+    sets = [shingles(t) for _, t in rows[:2]]
+    assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    began = time.time()
+    found = {r["doc_id"]: r["group_id"] for r in near_dedup.groups_of(spark.createDataFrame(rows, SCHEMA)).collect()}
+    took = time.time() - began
+    assert found == {i: i - 1 if i < 400 and i % 2 else i for i in range(5000)}
+    assert took < 60, took
+
+
+def test_weights_shape_the_sketch():
+    """Registers agree as often as the probability Jaccard similarity of the weights says."""
+    draw = random.Random(1)
+    names = np.array([draw.randrange(1, 2**63) for _ in range(60)], np.uint64)
+    one = np.array([draw.choice([1, 1, 2, 9, 40]) for _ in range(60)], float)
+    two = np.array([draw.choice([1, 2, 3, 9, 80]) for _ in range(60)], float)
+    n = np.concatenate([names[:50], names[10:]])
+    text = np.repeat([0, 1], 50)
+    order = np.lexsort((n, text))
+    kept = prob_minhash.sketch(n[order], text[order], np.concatenate([one[:50], two[10:]])[order], 2, 8192)
+    x = {int(k): w for k, w in zip(names[:50], one[:50], strict=True)}
+    y = {int(k): w for k, w in zip(names[10:], two[10:], strict=True)}
+    every = set(x) | set(y)
+    expected = sum(
+        1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in every) for i in set(x) & set(y)
+    )
+    assert abs((kept[0] == kept[1]).mean() - expected) < 0.02
+
+
 def test_repeats_leave_a_bucket_in_common():
     """A copy with a line added 100 times, at similarity 0.8, shares a key with its original."""
     draw = random.Random(3)

@@ -1,8 +1,10 @@
 """Near-duplicate detection: ProbMinHash, banding, verification, connected groups.
 
 1. Equal texts form a class, named by their digest; only classes go on.
-2. Each class gets a ProbMinHash sketch of the set of its word shingles, repeats counting
-   once as in step 4, and one key per band. Classes that share a key are a bucket.
+2. Each class gets a ProbMinHash sketch of its word shingles weighted by how often they
+   occur, and one key per band. As links are decided by sets (step 4), a class in which a
+   shingle occurs twice gets the keys of a sketch without weights, too; without repeats both
+   are the same. Classes that share a key are a bucket.
 3. Every member of a bucket is compared with the bucket's pivot first. The pivot is the
    member whose keys are shared most: around an original with many edited copies that is
    the original, and it is the same one for most of their buckets.
@@ -11,19 +13,23 @@
 5. Groups are the connected components of the links, found by rounds of joins.
 6. Members that are not in their pivot's group get a pivot of their own, bucket by bucket,
    and so on until a round brings no new link.
-7. All members of a bucket that are in different groups then are compared with one another,
-   but for pairs whose marks show that they are below the threshold. The marks say on which
-   of 2048 places a text's shingles fall; the bound they give is exact and only spares work.
+7. Members that are then in different groups of a bucket are compared by prefix filtering.
+   Shingles have one order for all, rare ones first; two texts at the threshold share one of
+   the first few shingles of both, as many as they may differ in. What a template gives many
+   texts in common is in none of these, unless it alone brings them to the threshold. Pairs
+   that share one, in different groups, and whose marks do not show that they are below the
+   threshold are verified. The marks say on which of 2048 places a text's shingles fall; the bound they give is exact.
 
 Bands: with 32 keys of 5 registers, two texts at similarity 0.8 share none with a chance of
 3 in a million, however often shingles are repeated. Texts that share one are compared, in
-one group anyway, or below the threshold by the bound.
+one group anyway, or below the threshold by one of the two exact bounds.
 
 Hot groups: copies are counted before the shuffle and never expanded; every join but that of
 step 7 has one row per key on one side and reads written tables, so that adaptive execution
-can split the other side. Step 7 tests marks for all pairs of a bucket in different groups,
-which grows with the square of those, and texts are read only for pairs that pass; the
-README has figures. Nothing collects a bucket, a group or links.
+can split the other side. Step 7 joins the members on their rare shingles: what many texts
+have in common, a template or a passage, is common and so comes last in the order. How rare a
+shingle is, is read from counts on 2^18 places, which the driver holds; they only shape the
+order, any order gives the same links. Nothing collects a bucket, a group or links.
 
 Results that are defined: null text is empty; equal texts, empty ones included, are copies
 of one another; a text with fewer words than a shingle is one shingle; rows with equal id
@@ -49,6 +55,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Places for the shingles of a text, by which pairs that can't be similar are told.
 MARKS = 2048
+#: Places on which shingles are counted to order them by rarity.
+PLACES = 1 << 18
 
 
 def _text(text_col: str) -> Column:
@@ -70,14 +78,25 @@ def row_key(id_: Column, text: Column) -> Column:
 def _sketch(size: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            name, text, _ = shingles(*flat(batch.column("text")), size)
-            # All weigh the same, as links are decided by sets.
-            kept = sketch(name, text, np.ones(len(name)), batch.num_rows, bands * rows)
-            full = np.flatnonzero(np.bincount(text, minlength=batch.num_rows) > 0)
-            keys = band_keys(kept[full], rows)
-            lists = pa.ListArray.from_arrays(
-                np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64))
-            )
+            name, text, count = shingles(*flat(batch.column("text")), size)
+            n = batch.num_rows
+            full = np.flatnonzero(np.bincount(text, minlength=n) > 0)
+            weighted = sketch(name, text, count.astype(np.float64), n, bands * rows)
+            keys, owner = [band_keys(weighted[full], rows).ravel()], [np.repeat(full, bands)]
+            again = np.flatnonzero(np.bincount(text[count > 1], minlength=n) > 0)
+            if len(again):
+                mine = np.isin(text, again)
+                place = np.searchsorted(again, text[mine])
+                plain = sketch(name[mine], place, np.ones(len(place)), len(again), bands * rows)
+                keys.append(band_keys(plain, rows).ravel())
+                owner.append(np.repeat(again, bands))
+            key, of = np.concatenate(keys), np.concatenate(owner)
+            order = np.lexsort((key, of))
+            key, of = key[order], of[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))[: len(key)]
+            key, of = key[new], of[new]
+            at = np.append(np.searchsorted(of, full), len(of)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(at, pa.array(key.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(full)), lists], names=["node", "keys"])
 
     return run
@@ -197,11 +216,48 @@ def _outside(members: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(apart).select("key", "node", "shares", "pivot")
 
 
+def _rarity(size: int):
+    """How many of the texts have a shingle on each place: a row a place and task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PLACES, np.int64)
+        for batch in slices(batches):
+            name, _, _ = shingles(*flat(batch.column("text")), size)
+            total += np.bincount((name % U(PLACES)).astype(np.int64), minlength=PLACES)
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[place])], names=["place", "n"])
+
+    return run
+
+
+def _prefixes(size: int, threshold: float, counts: np.ndarray):
+    """The first shingles of each text in the order of their rarity, with their places: one
+    more than it may lack in a text at the threshold. The first of them, ``early``, are one
+    more than it may lack in a text of its size or more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            name, text, _ = shingles(*flat(batch.column("text")), size)
+            order = np.lexsort((name, counts[(name % U(PLACES)).astype(np.int64)], text))
+            name, text = name[order], text[order]
+            n = np.bincount(text, minlength=batch.num_rows)
+            place = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+            first = place < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[text]
+            early = place < (n - np.ceil(2 * threshold / (1 + threshold) * n - 1e-9).astype(np.int64) + 1)[text]
+            columns = [n[text], place, early, name.view(np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(pa.array(text[first])), *[pa.array(c[first]) for c in columns]],
+                names=["node", "n", "place", "early", "name"],
+            )
+
+    return run
+
+
 def _open_pairs(
     members: DataFrame, labels: DataFrame | None, texts: DataFrame, size: int, threshold: float
 ) -> DataFrame | None:
-    """All pairs ``a, b`` of members of one bucket in different groups, without those whose
-    marks show that they share too few shingles; None without open buckets."""
+    """Pairs ``a, b`` of members of open buckets in different groups, all that may reach the
+    threshold; None without open buckets."""
     if labels is None:
         own = members.select("key", "node", F.col("node").alias("label"))
     else:
@@ -209,24 +265,38 @@ def _open_pairs(
     own = stored(own, "own")
     apart = own.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     apart = stored(apart.where("least != most").select("key"), "apart").hint("merge")
-    left = stored(own.join(apart, "key"), "open")
+    nodes = stored(own.join(apart, "key").select("node", "label").distinct(), "open")
     discard(own)
-    if left.isEmpty():
+    if nodes.isEmpty():
         return None
-    nodes = stored(left.select("node").distinct(), "nodes").hint("merge")
-    marks = texts.join(nodes, "node").mapInArrow(_marks(size), "node binary, n long, hidden long, marks array<long>")
-    left = stored(left.join(stored(marks, "marks").hint("merge"), "node"), "marked")
-    one, two = left.alias("x"), left.hint("merge").alias("y")
+    nodes = nodes.hint("merge")
+    wanted = stored(texts.join(nodes, "node").select("node", "label", "text"), "open-texts")
+    counts = np.zeros(PLACES, np.int64)
+    # A row a place.
+    for place, n in wanted.select("text").mapInArrow(_rarity(size), "place long, n long").groupBy("place").agg(F.sum("n")).collect():
+        counts[place] = n
+    prefixes = wanted.select("node", "text").mapInArrow(_prefixes(size, threshold, counts), "node binary, n long, place long, early boolean, name long")
+    shared = stored(prefixes, "prefixes")
+    often = shared.groupBy("name").agg(F.count(F.lit(1)).alias("texts"), F.max("early").alias("any"))
+    often = stored(often.where("texts > 1 AND any").select("name"), "names").hint("merge")
+    shared = stored(shared.join(often, "name").join(nodes, "node").select("name", "node", "n", "place", "early", "label"), "shared")
+    # The shorter text meets the other one by an early shingle; what both have left from the
+    # shared one on must do for as many shingles as they need in common.
+    one, two = shared.where("early").alias("x"), shared.hint("merge").alias("y")
+    least = f"{threshold!r}D * (x.n + y.n) - 1e-9D"
+    met = (
+        "x.name = y.name AND (x.n < y.n OR (x.n = y.n AND x.node < y.node)) AND x.label != y.label "
+        f"AND {1 + threshold!r}D * least(x.n - x.place, y.n - y.place) >= {least}"
+    )
+    pairs = one.join(two, F.expr(met)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = stored(pairs.distinct(), "met")
+    marks = stored(wanted.select("node", "text").mapInArrow(_marks(size), "node binary, n long, hidden long, marks array<long>"), "marks")
+    x, y = (marks.hint("merge").select(F.col("node").alias(c), F.struct("n", "hidden", "marks").alias(v)) for c, v in (("a", "x"), ("b", "y")))
     # Two texts share a shingle at most for each place that both have, and for each shingle
     # of the one that its marks hide.
     places = " + ".join(f"bit_count(x.marks[{i}] & y.marks[{i}])" for i in range(MARKS // 64))
-    least = f"{threshold!r}D * (x.n + y.n) - 1e-9D"
-    near = (
-        "x.key = y.key AND x.node < y.node AND x.label != y.label "
-        f"AND {1 + threshold!r}D * least(x.n, y.n) >= {least} "
-        f"AND {1 + threshold!r}D * ({places} + least(x.hidden, y.hidden)) >= {least}"
-    )
-    return one.join(two, F.expr(near)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    near = f"{1 + threshold!r}D * ({places} + least(x.hidden, y.hidden)) >= {least}"
+    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
 
 
 def link_classes(
@@ -249,7 +319,7 @@ def link_classes(
         links = found if links is None else links.union(found)
         labels = components(links, labels)
         members = _with_pivots(_outside(members, labels))
-    # The first pivots have been compared with all others, which have not with one another.
+    # Members have been compared with their pivots, not with one another.
     pairs = _open_pairs(others, labels, texts, size, threshold)
     if pairs is None:
         return labels
