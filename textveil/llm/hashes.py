@@ -15,22 +15,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-#: A Mersenne prime: remainders are sums of two parts.
 PRIME = U((1 << 31) - 1)
-_BITS, _HALF = U(31), U(32)
+_HALF = U(32)
 _LOW = U((1 << 32) - 1)
 _BOTH = U(int(PRIME) << 32 | int(PRIME))
-
-
-def folded(x: np.ndarray) -> np.ndarray:
-    """Congruent numbers below 2^32 + 2^31, for numbers below 2^63."""
-    return (x & PRIME) + (x >> _BITS)
-
-
-def remainder(x: np.ndarray) -> np.ndarray:
-    """``x`` modulo ``PRIME``, for numbers below 2^63."""
-    x = folded(folded(x))
-    return np.where(x >= PRIME, x - PRIME, x)
+#: Items worked on at a time, so that what is in between stays in the processor's cache.
+BLOCK = 1 << 14
 
 
 class Rolling:
@@ -56,44 +46,57 @@ class Rolling:
             for powers, step in ((self.up, base), (self.down, pow(base, -1, int(PRIME)))):
                 while len(powers[k]) <= n:
                     known = powers[k].astype(U)
-                    more = remainder(known * U(pow(step, len(known), int(PRIME))))
+                    more = known * U(pow(step, len(known), int(PRIME))) % PRIME
                     powers[k] = np.concatenate([powers[k], more.astype(np.uint32)])
 
     def sums(self, items: np.ndarray) -> np.ndarray:
         """Running sums of bytes, or of 64-bit names; one number holds those of both bases."""
         n = len(items)
         self._reach(n)
-        if items.dtype == np.uint8:
-            values = [self.letters[0][items], self.letters[1][items]]
-        else:
-            spread = mix(items)
-            values = [spread & PRIME, spread >> U(33)]
         out = np.zeros(n + 1, U)
-        for k, value in enumerate(values):
-            # Terms below 2^33, so sums of 2^30 of them stay below 2^63.
-            total = remainder(np.cumsum(folded(value * self.up[k][:n])))
-            out[1:] |= total << _HALF if k == 0 else total
+        carried = [U(0), U(0)]
+        for first in range(0, n, BLOCK):
+            block = slice(first, min(first + BLOCK, n))
+            if items.dtype == np.uint8:
+                values = [letters[items[block]] for letters in self.letters]
+            else:
+                spread = mix(items[block])
+                values = [spread & PRIME, spread >> U(33)]
+            totals = []
+            for k, value in enumerate(values):
+                total = np.cumsum(value * self.up[k][block] % PRIME)
+                total += carried[k]
+                total %= PRIME
+                carried[k] = total[-1]
+                totals.append(total)
+            out[first + 1 : block.stop + 1] = totals[0] << _HALF | totals[1]
         return out
 
-    def _names(self, low: np.ndarray, high: np.ndarray, powers: list[np.ndarray]) -> np.ndarray:
-        """Both values of ranges, moved to the start of the sequence."""
-        gap = high + _BOTH - low  # no half borrows from the other
-        one = remainder((gap >> _HALF) * powers[0])
-        return one << _HALF | remainder((gap & _LOW) * powers[1])
+    def _names(self, low: np.ndarray, high: np.ndarray, down: list[np.ndarray], more: np.ndarray | None = None) -> np.ndarray:
+        """Hash of ranges from the running sums at their ends: both values, moved to the start of
+        the sequence; ``more`` is added to them."""
+        out = np.empty(len(low), U)
+        for first in range(0, len(low), BLOCK):
+            block = slice(first, first + BLOCK)
+            gap = high[block] + _BOTH - low[block]  # no half borrows from the other
+            one = (gap >> _HALF) * down[0][block] % PRIME
+            both = one << _HALF | (gap & _LOW) * down[1][block] % PRIME
+            out[block] = mix(both if more is None else both + more[block])
+        return out
 
     def grams(self, sums: np.ndarray, k: int) -> np.ndarray:
         """Hash of the ``k`` items from each position on."""
         n = max(0, len(sums) - k)
-        return mix(self._names(sums[:n], sums[k:], [d[:n] for d in self.down]))
+        return self._names(sums[:n], sums[k:], [d[:n] for d in self.down])
 
     def grams_at(self, sums: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
         """Those of ``grams`` at the given positions."""
-        return mix(self._names(sums[first], sums[first + k], [d[first] for d in self.down]))
+        return self._names(sums[first], sums[first + k], [d[first] for d in self.down])
 
     def ranges(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of each range, its length included."""
-        names = self._names(sums[first], sums[end], [d[first] for d in self.down])
-        return mix(names + (end - first).astype(U) * _MIX[1])
+        size = (end - first).astype(U) * _MIX[1]
+        return self._names(sums[first], sums[end], [d[first] for d in self.down], size)
 
 
 #: Two independent families: the first names groups, the second confirms them.
