@@ -369,4 +369,5 @@ SELECT (SELECT count(*) FROM documents WHERE {draw('doc_id')} {test} {int(0.1 *
     "redact_stream": f"WITH {sanitized(DOCUMENTS, REDACT)} {DOCUMENT_CLEAN}",
 }
 
+EXPECTED["review_stream"] = EXPECTED["sanitize_with_review"]
 EXPECTED["detect_incremental_documents"] = EXPECTED["detect_pii_documents"]

@@ -74,6 +74,7 @@ from textveil.sources.readers import (
 )
 from textveil.sources.scratch import arrow_target, scratch_path
 from textveil.sources.writers import write_detections, write_records, write_tokenized
+from textveil.streaming.reviewing import finish, queue_of, start_hybrid
 from textveil.streaming.sanitizing import sanitize_stream
 
 # What the stand-in for an entity model finds.
@@ -831,6 +832,24 @@ def redact_stream(spark, sf_dir):
     return spark.read.schema("doc_id long, text string").parquet(target)
 
 
+def review_stream(spark, sf_dir):
+    """Documents and detections as two streams, reviewed; a mark of time ends both."""
+    folder = scratch_path(spark, "stream")
+    at = F.timestamp_seconds(F.col("record_id") % 3600).alias("at")
+    found = _named_entities(spark, sf_dir).drop("arrival").select("*", at)
+    end = spark.range(1).select(F.lit(None).cast("long").alias("record_id"), F.timestamp_seconds(F.lit(10**9)).alias("at"))
+    found.unionByName(end, allowMissingColumns=True).write.parquet(f"{folder}/found")
+    source = table(spark, sf_dir, "documents")
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parque[t]")
+    texts = stream.select("doc_id", "text", F.timestamp_seconds(F.col("doc_id") % 3600).alias("at"))
+    arriving = spark.readStream.schema(spark.read.parquet(f"{folder}/found").schema).parquet(f"{folder}/found")
+    for query in start_hybrid(texts, arriving, "doc_id", "at", f"{folder}/run", columns=["text"]):
+        query.awaitTermination()
+    queue = queue_of(spark, f"{folder}/run")
+    clean = finish(spark, f"{folder}/run", "doc_id", _verdicts(queue), queue, "mask", ["text"])
+    return clean.select("doc_id", "text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -854,6 +873,6 @@ QUERIES = {
         tokenize_with_library, truncate_documents,
         pack_documents, pack_overlapping, pack_dropped, token_lengths, token_progress,
         collate_batches, split_by_hash, split_exact, consecutive_positions, shuffle_documents,
-        prepare_chats, prepare_documents, prepare_counts, tokenize_vocabulary, redact_stream,
+        prepare_chats, prepare_documents, prepare_counts, tokenize_vocabulary, redact_stream, review_stream,
     )
 }
