@@ -1,8 +1,10 @@
 """URL filters, tool calls and WARC archives."""
 
+import base64
 import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +192,47 @@ def test_lost_segments(spark, tmp_path):
         assert found[0]["problem"] == want[name]
     assert warc.unchunked(b"3\r\nabc\r\n0\r\n\r\n") == b"abc"
     assert warc.unchunked(b"zz\r\n") is None and warc.unchunked(b"9\r\nabc") is None
+
+
+def test_members_and_foreign_archives(spark, tmp_path):
+    """Every record is a gzip member; archives zipped as a whole, or plain, are read too."""
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 300) for i in range(30)], "page_id long, url string, html string")
+    ours = str(tmp_path / "ours")
+    warc.write_archives(pages, ours, segment_bytes=900, file_records=50)
+    files = [p.read_bytes() for p in (tmp_path / "ours").glob("part-*")]
+    assert files
+    for data in files:
+        while data:
+            member = zlib.decompressobj(wbits=31)
+            record = member.decompress(data)
+            assert record.startswith(b"WARC/1.1\r\n") and record.endswith(warc.END) and record.count(b"WARC-Type") == 1
+            assert member.eof
+            data = member.unused_data
+    body = b"<p>hello</p>" * 50
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    stated = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x:1>"), ("Page-ID", "7"), ("WARC-Payload-Digest", stated)]
+    info = warc._record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:x:0>")], b"software: x")
+    data = info + warc.END + warc._record(fields, block) + warc.END
+    wrong = data.replace(b"hello", b"jello")
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a.warc").write_bytes(data)
+    (tmp_path / "plain" / "b.warc.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "plain" / "c.warc").write_bytes(wrong)
+    found = warc.read_pages(spark, str(tmp_path / "plain")).select("page_id", "payload_digest", "problem")
+    digest = hashlib.sha1(body).hexdigest()
+    assert collected(found) == sorted([(7, digest, None), (7, digest, None), (7, None, "digest differs")], key=repr)
+    assert warc.stated_sha1("sha256:ab") is None is warc.stated_sha1("sha1:?")
+
+
+def test_long_page(spark):
+    """A page of 80 MB in 5,000 segments, and a record longer than one gzip member."""
+    pages = spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.expr("repeat('0123456789abcdef', 5000000)").alias("html"))
+    found = warc.round_trip(pages).collect()
+    body = b"0123456789abcdef" * 5000000
+    assert [tuple(r)[:4] for r in found] == [(0, len(body), hashlib.sha1(body).hexdigest(), "response")]
+    assert found[0]["problem"] is None
+    record = bytes(range(256)) * (3 * warc.MEMBER // 256)
+    pieces = warc.members(record)
+    assert len(pieces) == 4 and all(p[-1] == 0 for p in pieces)
+    assert gzip.decompress(b"".join(pieces)) == record + warc.END

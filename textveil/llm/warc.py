@@ -2,30 +2,37 @@
 
 Writing. Pages whose payload is equal to that of a page with a larger id become revisits of
 it, if the payload is long enough to be worth it; all others are responses, an HTTP message
-whose body is sent in chunks. A record beyond ``segment_bytes`` goes on in continuation
-records. Spark's text writer puts the records into gzip files, with the blank lines that end
-a WARC record as its line separator, so any file system and Spark's commit protocol serve.
-No record is longer than a segment and no file has more than ``file_records`` records, which
-bounds what a reader holds.
-
-Reading. Each task walks its archives record by record, by the stated length. Records that
-came whole are decoded where they are. Segments are grouped by the record they began in,
-ordered by number, checked against the stated total length, and only then is the chunked
-framing undone. A group holds one record; no page's payload meets another's. Revisits get
+whose body is sent in chunks. Equal payloads are those with equal SHA-1, SHA-256 and length;
+only pages that may have a twin move for it. A record beyond ``segment_bytes`` goes on in
+continuation records. Every record is a gzip member of its own. Spark's text writer puts the
+members one after the other (a member ends with a zero byte, which is the writer's line
+separator), so any file system and Spark's commit protocol serve. No record is longer than a
+segment and no file has more than ``file_records`` records.
+
+Reading. Each task walks its archives record by record, by the stated length; an archive may
+be of any size, as its bytes are streamed (in stores that only Spark's readers open it is one
+value, 2 GB at most), and gzipped by record, as a whole, or plain. Records that came whole are
+decoded where they are. Segments are grouped by the record they began in, ordered by number,
+checked against the stated total length, joined once, and only then is the chunked framing
+undone. A group holds one record; no page's payload meets another's. Revisits get
 their payload's length and digest from the record that they refer to, by a join with one
 row per response on one side.
 
 Results that are defined: a null payload is empty, and a null url is left out of the record;
 pages with equal id and payload (repeated rows) are each a response, as neither is larger;
-a null id is smaller than all others; a record whose segments are missing or don't add up
-has a ``problem`` and neither length nor digest; an empty table gives no records.
+a null id is smaller than all others; a very long payload is many segments, and whole in one
+task alone; other columns are not read, whatever their names; a record whose segments are
+missing or don't add up has a ``problem`` and neither length nor digest; a digest by another
+algorithm is not checked; an empty table gives no records.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -33,11 +40,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textveil.llm.shared import stored
-from textveil.sources.scratch import scratch_path
+from textveil.operators.fields import rows_with
+from textveil.sources.scratch import arrow_target, scratch_path
 
 #: Payloads below this many bytes are not worth a revisit.
 LEAST_REVISIT = 1000
 END = b"\r\n\r\n"
+#: Bytes of a gzip member before compression. Its last field is that length in four bytes, so
+#: below 2^24 a member ends with a zero.
+MEMBER = 1 << 23
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -121,19 +132,28 @@ def page_records(row: dict, segment_bytes: int, chunk_bytes: int) -> list[bytes]
     return out
 
 
+def members(record: bytes) -> list[bytes]:
+    """A record with its blank lines as a gzip member, or as several where it is very long."""
+    data = record + END
+    return [zlib.compress(data[i : i + MEMBER], wbits=31) for i in range(0, len(data), MEMBER)]
+
+
 def _render(segment_bytes: int, chunk_bytes: int):
+    """Gzip members of all records, without the zero that each ends with."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 for record in page_records(row, segment_bytes, chunk_bytes):
-                    out.append(record)
-                    size += len(record)
-                if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-                    out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                    for member in members(record):
+                        out.append(member[:-1])
+                        size += len(member)
+                    if size > 1 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                        out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
     return run
 
@@ -145,15 +165,18 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, lea
     rows = pages.select(id_.alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     long = F.octet_length("payload") >= least
-    groups = stored(
-        rows.where(long).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where("n > 1").drop("n"),
-        "payloads",
-    )
+    # Pages of one digest are told apart by a second one and the length.
+    same = F.concat_ws("/", "digest", F.sha2("payload", 256), F.octet_length("payload"))
+    rows = rows.withColumn("same", F.when(long, same))
+    groups = rows.where("same is not null").groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    groups = stored(groups.where("n > 1").drop("n").withColumnRenamed("same", "twin"), "payloads")
+    # Only pages whose payload may have a twin are moved.
+    near, far = rows_with(rows, "same", groups.select("twin"))
+    near = near.join(groups, F.col("same") == F.col("twin"), "left")
     again = ~F.col("id").eqNullSafe(F.col("top"))
-    shared = rows.where(long).join(groups, "digest", "left")
-    alone = rows.where(~long).withColumn("top", F.col("id"))
+    far = far.withColumns({"twin": F.lit(None).cast("string"), "top": F.col("id")})
     fresh = F.col("top").isNull() | ~again
-    return shared.unionByName(alone).select(
+    return near.unionByName(far).select(
         record_name(F.col("id"), F.col("digest")).alias("name"),
         F.when(fresh, "response").otherwise("revisit").alias("kind"),
         "url",
@@ -175,11 +198,11 @@ def write_archives(
     chunk_bytes: int = 4 << 10,
     file_records: int = 2000,
 ) -> None:
-    """Write all pages as gzipped WARC files below ``path``."""
+    """Write all pages as WARC files below ``path``, every record a gzip member."""
     planned = plan_records(pages, id_col, url_col, html_col, least)
-    records = planned.mapInArrow(_render(segment_bytes, chunk_bytes), "record binary")
-    writer = records.select(F.col("record").cast("string").alias("value")).write
-    writer.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    records = planned.mapInArrow(_render(segment_bytes, chunk_bytes), "member binary")
+    writer = records.select(F.col("member").cast("string").alias("value")).write
+    writer.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", file_records).text(path)
 
 
 def walk(file) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -200,27 +223,50 @@ def walk(file) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
+def opened(raw) -> io.BufferedIOBase:
+    """An archive's records: unzipped if it begins like a gzip file."""
+    file = io.BufferedReader(raw, 1 << 20)
+    return gzip.GzipFile(fileobj=file) if file.peek(2)[:2] == b"\x1f\x8b" else file
+
+
+def stated_sha1(value: str | None) -> str | None:
+    """The SHA-1 that a header states, in hex; None where it states something else."""
+    kind, _, digest = (value or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if len(digest) == 32:
+        try:
+            return base64.b32decode(digest, casefold=True).hex()
+        except ValueError:
+            return None
+    return digest.lower() if len(digest) == 40 else None
+
+
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All records of the archives of a task."""
+    """All records of the archives of a task, which come as a path or as bytes."""
     names = [f.split()[0] for f in RECORD.split(", ")]
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+    def read(value: pa.Scalar):
+        if pa.types.is_string(value.type):
+            system, target = arrow_target(value.as_py())
+            return system.open_input_file(target)
+        return io.BytesIO(value.as_buffer())
+
     for batch in batches:
-        for i in range(batch.num_rows):
+        for value in batch.column(0):
             rows, size = [], 0
-            raw = batch.column("content")[i].as_buffer()
-            with gzip.open(io.BytesIO(raw)) as file:
+            with read(value) as raw, opened(raw) as file:
                 for fields, block in walk(file):
                     own = fields["warc-record-id"]
                     number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
-                    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     rows.append(
                         (own, fields["warc-type"], fields.get("warc-segment-origin-id", own if number else None),
                          int(number) if number else None, int(total) if total else None, fields.get("page-id"),
-                         digest, fields.get("warc-refers-to"), block)
+                         stated_sha1(fields.get("warc-payload-digest")), fields.get("warc-refers-to"), block)
                     )
                     size += len(block)
                     if size > 1 << 20:
@@ -232,18 +278,24 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every WARC record below ``path``, segments as they are (columns: ``RECORD``)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_parse, RECORD)
+    files = spark.read.format("binaryFile").load(path)
+    first = files.select("path").first()
+    try:
+        arrow_target(first[0] if first else "file:///")
+    except pa.ArrowException:
+        return files.select("content").mapInArrow(_parse, RECORD)
+    return files.select("path").mapInArrow(_parse, RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """Whole records: segments grouped by origin, in order, with the stated total length.
+    """Whole records, their content in ``parts``: segments grouped by origin, in order, with
+    the stated total length.
 
     A record that was written several times (repeated rows) comes as often as its first
     segment; its other segments are then equal.
     """
     whole = records.where("number is null").select(
-        "name", "kind", "page_id", "digest", "refers_to", "content", F.lit(None).cast("string").alias("problem")
+        "name", "kind", "page_id", "digest", "refers_to", F.array("content").alias("parts"), F.lit(None).cast("string").alias("problem")
     )
     parts = records.where("number is not null")
     first = F.col("number") == 1
@@ -254,21 +306,21 @@ def reassemble(records: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.struct("number", "content"))).alias("parts"),
     )
     numbers = F.transform("parts", lambda p: p["number"])
-    joined = F.aggregate(F.transform("parts", lambda p: p["content"]), F.lit(b""), lambda a, b: F.concat(a, b))
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["content"]))
     ordered = numbers == F.sequence(F.lit(1), F.greatest(F.size("parts"), F.lit(1)))
     problem = (
         F.when(F.col("times") == 0, "no first segment")
         .when(~ordered, "segments missing")
         .when(F.col("total").isNull(), "no last segment")
-        .when(F.octet_length("content") != F.col("total"), "length differs")
+        .when(length != F.col("total"), "length differs")
     )
-    again = grouped.withColumn("content", joined).select(
+    again = grouped.select(
         F.col("origin").alias("name"),
         "head.kind",
         "head.page_id",
         "head.digest",
         "head.refers_to",
-        "content",
+        F.transform("parts", lambda p: p["content"]).alias("parts"),
         problem.alias("problem"),
         F.explode(F.expr("sequence(1, greatest(times, 1))")).alias("__time"),
     )
@@ -279,12 +331,13 @@ def _payloads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Length and digest of the payload of each whole record, framing undone."""
     for batch in batches:
         sizes, digests, problems = [], [], []
-        for kind, stated, problem, content in zip(
-            *(batch.column(c).to_pylist() for c in ("kind", "digest", "problem", "content")), strict=True
-        ):
+        columns = [batch.column(c) for c in ("kind", "digest", "problem", "parts")]
+        for row in zip(*columns, strict=True):
+            kind, stated, problem = (value.as_py() for value in row[:3])
             body = None
             if kind == "response" and not problem:
-                head, _, body = content.partition(b"\r\n\r\n")
+                # One record's content at a time.
+                head, _, body = b"".join(row[3].as_py()).partition(b"\r\n\r\n")
                 if b"transfer-encoding: chunked" in head.lower():
                     body = unchunked(body)
                     problem = None if body is not None else "chunks broken"
