@@ -45,6 +45,39 @@ def test_reputation(spark):
     assert blocked == {"bad.info"}
 
 
+def test_registered_domains(spark):
+    want = {
+        "a.b.example.com": ("example.com", "com"),
+        "www.shop.co.uk": ("shop.co.uk", "co.uk"),
+        "shop.co.uk:8080": ("shop.co.uk", "co.uk"),
+        "me:secret@x.shop.co.uk.": ("shop.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "uk"),
+        "news.com": ("news.com", "com"),
+        "a.co.info": ("co.info", "info"),
+        "localhost": ("localhost", "localhost"),
+        "10.0.0.1:80": ("10.0.0.1", ""),
+        "[::1]:80": ("[::1]", ""),
+        "": ("", ""),
+        "a." * 50000 + "org.au": ("a.org.au", "org.au"),
+        "ä..de": (".de", "de"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    domain, suffix = url_filters.domain_and_suffix(F.col("host"))
+    found = {r["host"]: (r["domain"], r["suffix"]) for r in hosts.select("host", domain.alias("domain"), suffix.alias("suffix")).collect()}
+    assert found == want
+
+
+def test_registries_keep_domains_apart(spark):
+    """A bad name under a registry says little about another one there."""
+    rows = [(f"http://h{i % 20}.bad.co.uk/{i}", False) for i in range(400)]
+    rows += [(f"http://h{i % 40}.d{i % 8}.co.uk/{i}", True) for i in range(400)]
+    rows += [("http://new.bad.co.uk:81/", None), ("http://user@new.good.co.uk/", None)]
+    pages = spark.createDataFrame(rows, "url string, good boolean")
+    found = url_filters.judge_urls(pages, F.col("good")).select("host", "verdict").distinct()
+    blocked = {r["host"] for r in found.collect() if r["verdict"] == "block"}
+    assert blocked == {f"h{i}.bad.co.uk" for i in range(20)} | {"new.bad.co.uk:81"}
+
+
 SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", False)}, "say": {"text": ("string", True)}}
 
 

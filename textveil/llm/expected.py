@@ -29,11 +29,22 @@ hosted AS (
          CASE WHEN html IS NULL THEN NULL ELSE len(regexp_extract_all(html, '[#*$%]{{3}}')) < 5 END AS outcome
   FROM cut
 ),
-hosts AS (
+named AS (
   SELECT host, count(outcome) AS n, count(CASE WHEN outcome THEN 1 END) AS good,
-         regexp_extract(host, '[^.]*$') AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain
+         regexp_replace(regexp_replace(string_split(host, '@')[-1], ':[0-9]*$', ''), '[.]$', '') AS name
   FROM hosted GROUP BY host
 ),
+labelled AS (
+  SELECT *, regexp_matches(name, '^[0-9.]+$|^\\[') AS address, string_split(name, '.') AS labels,
+         CASE WHEN regexp_matches(name, '[^.][.](ac|co|com|edu|gov|gob|go|mil|ne|net|nom|or|org)[.][a-z][a-z]$') THEN 1 ELSE 0 END AS more
+  FROM named
+),
+hosts AS (
+  SELECT host, n, good,
+         CASE WHEN address THEN '' ELSE array_to_string(labels[greatest(1, len(labels) - more):], '.') END AS suffix,
+         CASE WHEN address THEN name ELSE array_to_string(labels[greatest(1, len(labels) - more - 1):], '.') END AS domain
+  FROM labelled
+),
 domains AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY suffix),
 {_STRENGTH.format(name="host", source="hosts")},

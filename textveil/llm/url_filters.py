@@ -1,7 +1,9 @@
 """URL filters: rules, then empirical-Bayes reputation of hosts.
 
 Pages with an outcome (good or not) count for their host, its registered domain and its
-suffix. A host's share of good pages has a beta prior with the mean of its domain, which is
+suffix. A user, a port and a dot at the end are no part of a domain. A suffix is the last label,
+or the last two under a country's registry that deals out names by kind (``REGISTRIES``, as in
+``co.uk``); an IP address is a domain of its own, and all of them have the empty suffix. A host's share of good pages has a beta prior with the mean of its domain, which is
 itself shrunk towards the suffix, and that towards all pages. How strongly each level
 shrinks is estimated from the data: the beta-binomial correlation inside the level's groups
 by the method of moments. A host is blocked if the upper bound of its posterior share of
@@ -13,7 +15,8 @@ the host with one row per host on one side, read from a written table, so that a
 execution can split a hot host's pages.
 
 Results that are defined: a null url, or one without ``://``, has an empty host and path;
-the empty host is a host like others; a null outcome is no outcome; a host without outcomes
+the empty host and hosts of one label are hosts like others, and their own domain; hosts of
+any length and with any characters are taken as they are; a null outcome is no outcome; a host without outcomes
 is as good as its domain, one of an unseen domain as its suffix; repeated rows count and are
 judged each; other columns are kept unless named like a result; an empty table stays empty.
 """
@@ -35,6 +38,8 @@ RULES = (
     ("allow", "org/fr/"),
 )
 LEAST_GOOD = 0.5
+#: Second labels below which countries register names, fixed by their registries.
+REGISTRIES = ("ac", "co", "com", "edu", "gov", "gob", "go", "mil", "ne", "net", "nom", "or", "org")
 #: Normal quantile of the bound: 95 % one-sided.
 SPREAD = 1.645
 #: Bounds of the correlation inside groups.
@@ -61,6 +66,18 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
     return name, verdict
 
 
+def domain_and_suffix(host: Column) -> tuple[Column, Column]:
+    """Registered domain of a host, and its suffix."""
+    name = F.regexp_replace(F.substring_index(host, "@", -1), r":[0-9]*\z", "")
+    name = F.regexp_replace(name, r"\.\z", "")
+    address = name.rlike(r"^[0-9.]+\z|^\[")
+    by_kind = name.rlike(rf"[^.]\.({'|'.join(REGISTRIES)})\.[a-z][a-z]\z")
+    two, three = F.substring_index(name, ".", -2), F.substring_index(name, ".", -3)
+    domain = F.when(address, name).when(by_kind, three).otherwise(two)
+    suffix = F.when(address, "").when(by_kind, two).otherwise(F.substring_index(name, ".", -1))
+    return domain, suffix
+
+
 def _strength(groups: DataFrame) -> tuple[float, float]:
     """Mean and prior strength (in pages) of a level, from groups with ``n`` and ``good``."""
     row = groups.where("n > 0").agg(
@@ -85,13 +102,11 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
 
 def reputations(pages: DataFrame) -> DataFrame:
     """``host, n, good, mean, upper`` of every host of ``pages`` (``host``, ``outcome``)."""
-    labels = F.split("host", r"\.")
+    domain, suffix = domain_and_suffix(F.col("host"))
     hosts = stored(
         pages.groupBy("host")
         .agg(F.count("outcome").alias("n"), F.count(F.when(F.col("outcome"), 1)).alias("good"))
-        .withColumns(
-            {"suffix": F.element_at(labels, -1), "domain": F.concat_ws(".", F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2))}
-        ),
+        .withColumns({"domain": domain, "suffix": suffix}),
         "hosts",
     )
     sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
