@@ -120,7 +120,122 @@ SELECT conv_id, turn, 'message', NULL, NULL, NULL, 'ok', NULL, NULL,
 FROM turns WHERE role NOT IN ('user', 'assistant')
 """
 
+QUALITY_RULES = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+texts AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+words AS (SELECT r, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM texts),
+sized AS (SELECT r, p, length(word) AS chars FROM words),
+lines AS (
+  SELECT r, i, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars
+  FROM (SELECT r, unnest(generate_series(1, len(l))) AS i, unnest(l) AS line FROM (SELECT r, string_split(t, chr(10)) AS l FROM texts))
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+),
+later AS (SELECT r, chars, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again FROM lines),
+repeats AS (
+  SELECT r, count(*) AS n_dup_lines, sum(chars)::BIGINT AS dup_line_chars FROM later WHERE again GROUP BY r
+),
+starts AS (
+  SELECT r, n, unnest(generate_series(1, len(w) - n + 1)) AS p, w FROM texts, (SELECT unnest([5, 6, 7, 8, 9, 10]) AS n)
+  WHERE len(w) >= n
+),
+grams AS (SELECT r, n, p, md5(array_to_string(w[p:p + n - 1], ' ')) AS gram FROM starts),
+twice AS (SELECT r, n, p FROM grams QUALIFY count(*) OVER (PARTITION BY r, n, gram) > 1),
+hit AS (SELECT DISTINCT r, n, unnest(generate_series(p, p + n - 1)) AS p FROM twice),
+covered AS (
+  SELECT r, count(CASE WHEN n = 8 THEN 1 END) AS n_repeat_words,
+         sum(CASE WHEN n = 5 THEN chars END) AS c5, sum(CASE WHEN n = 6 THEN chars END) AS c6,
+         sum(CASE WHEN n = 7 THEN chars END) AS c7, sum(CASE WHEN n = 8 THEN chars END) AS c8,
+         sum(CASE WHEN n = 9 THEN chars END) AS c9, sum(CASE WHEN n = 10 THEN chars END) AS c10
+  FROM hit JOIN sized USING (r, p) GROUP BY r
+),
+chars AS (SELECT r, sum(chars) AS word_chars FROM sized GROUP BY r),
+measured AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars,
+         coalesce(c5, 0)::BIGINT AS dup_chars_5, coalesce(c6, 0)::BIGINT AS dup_chars_6, coalesce(c7, 0)::BIGINT AS dup_chars_7,
+         coalesce(c8, 0)::BIGINT AS dup_chars_8, coalesce(c9, 0)::BIGINT AS dup_chars_9, coalesce(c10, 0)::BIGINT AS dup_chars_10
+  FROM texts LEFT JOIN chars USING (r) LEFT JOIN repeats USING (r) LEFT JOIN covered USING (r)
+),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND 100 * dup_line_chars <= 30 * word_chars AND 100 * n_symbols <= 10 * word_chars
+  AND 100 * dup_chars_5 <= 40 * word_chars AND 100 * dup_chars_6 <= 38 * word_chars AND 100 * dup_chars_7 <= 36 * word_chars
+  AND 100 * dup_chars_8 <= 34 * word_chars AND 100 * dup_chars_9 <= 32 * word_chars AND 100 * dup_chars_10 <= 30 * word_chars AS kept
+FROM based
+"""
+
+#: ``w``, the words of a text for comparison with the benchmark.
+_TEST_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+DECONTAMINATION = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TEST_WORDS} AS w FROM documents),
+tests AS (SELECT row_number() OVER () AS t, item_id, {_TEST_WORDS} AS w FROM benchmark),
+test_starts AS (
+  SELECT t, item_id, least(13, len(w)) AS n, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS q FROM tests WHERE len(w) > 0
+),
+test_windows AS (SELECT t, item_id, n, q, md5(array_to_string(w[q:q + n - 1], ' ')) AS name FROM test_starts),
+lengths AS (SELECT DISTINCT n FROM test_windows),
+doc_starts AS (
+  SELECT r, n, w, unnest(generate_series(1, len(w) - n + 1)) AS p FROM docs, lengths WHERE len(w) >= n
+),
+doc_windows AS (SELECT r, n, p, md5(array_to_string(w[p:p + n - 1], ' ')) AS name FROM doc_starts),
+found AS (SELECT r, n, p, t, item_id, q FROM doc_windows JOIN test_windows USING (n, name)),
+hits AS (
+  SELECT r, count(*) AS n_hit FROM (
+    SELECT DISTINCT r, unnest(generate_series(p, p + n - 1)) AS p FROM (SELECT DISTINCT r, n, p FROM found)
+  ) GROUP BY r
+),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, 'null') AS id FROM found) GROUP BY r
+),
+runs AS (
+  SELECT r, n, p, p - row_number() OVER (PARTITION BY r, t, n, p - q ORDER BY p) AS run, t, p - q AS line FROM found
+),
+longest AS (
+  SELECT r, max(size) AS longest_match FROM (SELECT r, count(*) + n - 1 AS size FROM runs GROUP BY r, t, n, line, run) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated,
+       coalesce(longest_match, 0)::BIGINT AS longest_match
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN items USING (r) LEFT JOIN longest USING (r)
+"""
+
+SUBSTRING_DEDUP = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS p FROM docs WHERE len(w) >= 35),
+windows AS (SELECT r, p, md5(array_to_string(w[p:p + 34], ' ')) AS name FROM starts),
+repeated AS (SELECT r, p AS start FROM windows QUALIFY count(*) OVER (PARTITION BY name) > 1),
+words AS (SELECT r, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM docs),
+judged AS (
+  SELECT w.r, w.p, word, coalesce(max(start) OVER (PARTITION BY w.r ORDER BY w.p) > w.p - 35, false) AS gone
+  FROM words w LEFT JOIN repeated s ON s.r = w.r AND s.start = w.p
+),
+kept AS (
+  SELECT r, count(CASE WHEN gone THEN 1 END) AS n_removed, string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY p) AS rest
+  FROM judged GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+WARC = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS size FROM pages),
+tops AS (SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS top FROM payloads)
+SELECT page_id, size AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN top IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to, NULL::VARCHAR AS problem
+FROM tops
+"""
+
 EXPECTED: dict[str, str] = {
+    "op2_quality_rules": QUALITY_RULES,
+    "op3_decontamination": DECONTAMINATION,
+    "op5_substring_dedup": SUBSTRING_DEDUP,
+    "op10_warc": WARC,
     "op6_url_filters": URL_FILTERS,
     "op7_tool_chat": TOOL_CHAT,
 }
