@@ -120,6 +120,35 @@ SELECT conv_id, turn, 'message', NULL, NULL, NULL, 'ok', NULL, NULL,
 FROM turns WHERE role NOT IN ('user', 'assistant')
 """
 
+def _joined(name: str, steps: range) -> str:
+    """The strings ``name`` at this place and so many places on, one after the other."""
+    return " || ".join(f"lead({name}, {n}) OVER w" if n else name for n in steps)
+
+
+#: Strings of 8, 64 and 200 bytes, the longer ones put together from shorter ones.
+SUFFIX_DEDUP = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(hex(coalesce(text, '')), '..') AS b FROM documents),
+bytes AS (SELECT r, unnest(generate_series(1, len(b))) AS p, unnest(b) AS b FROM docs),
+eights AS (SELECT r, p, b, {_joined("b", range(8))} AS g FROM bytes WINDOW w AS (PARTITION BY r ORDER BY p)),
+blocks AS (SELECT r, p, b, g, md5({_joined("g", range(0, 64, 8))}) AS h FROM eights WINDOW w AS (PARTITION BY r ORDER BY p)),
+strings AS (
+  SELECT r, p, b, md5({_joined("h", range(0, 192, 64))} || lead(g, 192) OVER w) AS name FROM blocks WINDOW w AS (PARTITION BY r ORDER BY p)
+),
+repeated AS (SELECT r, p, b, CASE WHEN name IS NOT NULL AND count(*) OVER (PARTITION BY name) > 1 THEN p END AS start FROM strings),
+judged AS (
+  SELECT r, p, b, coalesce(max(start) OVER (PARTITION BY r ORDER BY p) > p - 200, false) AS gone FROM repeated
+),
+edged AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS first FROM judged),
+kept AS (
+  SELECT r, count(CASE WHEN gone THEN 1 END) AS n_removed, count(CASE WHEN first THEN 1 END) AS n_spans,
+         string_agg(CASE WHEN NOT gone THEN b END, '' ORDER BY p) AS rest
+  FROM edged GROUP BY r
+)
+SELECT doc_id, len(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
 QUALITY_RULES = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 texts AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
@@ -232,6 +261,7 @@ FROM tops
 """
 
 EXPECTED: dict[str, str] = {
+    "op1_suffix_dedup": SUFFIX_DEDUP,
     "op2_quality_rules": QUALITY_RULES,
     "op3_decontamination": DECONTAMINATION,
     "op5_substring_dedup": SUBSTRING_DEDUP,
