@@ -260,12 +260,51 @@ SELECT page_id, size AS payload_bytes, sha1(html) AS payload_digest,
 FROM tops
 """
 
+
+
+def _vector_round(n: int) -> str:
+    """Assignment ``near{n}`` to the entries ``books{n}``, and the entries after it."""
+    return f"""
+distances{n} AS (
+  SELECT r, part, entry, sum((c.v - b.v) * (c.v - b.v))::BIGINT AS d FROM cells c JOIN books{n} b USING (part, place) GROUP BY r, part, entry
+),
+near{n} AS (
+  SELECT r, part, entry, d FROM distances{n} QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, entry) = 1
+),
+means{n} AS (
+  SELECT part, entry, place, floor(sum(v) / count(*)::DOUBLE)::BIGINT AS v FROM near{n} JOIN cells USING (r, part) GROUP BY part, entry, place
+),
+books{n + 1} AS (
+  SELECT part, entry, place, coalesce(m.v, b.v) AS v FROM books{n} b LEFT JOIN means{n} m USING (part, entry, place)
+),"""
+
+
+VECTOR_CODES = f"""
+WITH finite AS (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) AS r,
+         len(embedding) = first_value(len(embedding)) OVER (ORDER BY vec_id) AS fits
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND isfinite(coalesce(list_sum(embedding::DOUBLE[]), 0))
+),
+spread AS (
+  SELECT r, len(embedding) // 16 AS size, unnest(generate_series(0, len(embedding) - 1)) AS j, unnest(embedding)::DOUBLE AS x FROM finite WHERE fits
+),
+cells AS (SELECT r, j // size AS part, j % size AS place, floor(256 * x)::BIGINT AS v FROM spread),
+books0 AS (SELECT part, dense_rank() OVER (ORDER BY r) - 1 AS entry, place, v FROM cells QUALIFY dense_rank() OVER (ORDER BY r) <= 64),
+{"".join(_vector_round(n) for n in range(3))}
+coded AS (SELECT r, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY r),
+digest AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM books2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN finite USING (r) CROSS JOIN digest
+"""
+
 EXPECTED: dict[str, str] = {
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op2_quality_rules": QUALITY_RULES,
     "op3_decontamination": DECONTAMINATION,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op10_warc": WARC,
+    "op11_vector_codes": VECTOR_CODES,
     "op6_url_filters": URL_FILTERS,
     "op7_tool_chat": TOOL_CHAT,
 }
