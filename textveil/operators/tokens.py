@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from textveil.functions.batches import pieces
 from textveil.functions.sqltext import ident, let, lit
 from textveil.functions.workers import new_identity, once_per_worker
 from textveil.operators.messages import eos_sql
@@ -90,18 +90,20 @@ def tokenize(text: str, codec: Codec = Codec(), limit: int | None = None) -> Col
 def tokenize_with(
     text: str | Column, factory: Callable[[], Callable[[list[str]], list[list[int]]]]
 ) -> Column:
-    """Token ids by a Python tokeniser, in Arrow batches. ``factory`` builds the
+    """Token ids by a Python tokeniser, in pieces of Arrow batches. ``factory`` builds the
     encoder once per Python worker. A null text has null ids."""
     own = new_identity()
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = once_per_worker(own, factory)
         for batch in batches:
-            given = batch.notna()
-            ids = pd.Series([None] * len(batch), dtype=object)
-            ids[given.to_numpy()] = pd.Series(encoder(list(batch[given])), dtype=object).to_numpy()
-            yield ids
+            parts = [pa.array([], pa.list_(pa.int32()))]
+            for piece in pieces(batch):
+                given = iter(encoder(piece.drop_null().to_pylist()))
+                rows = [next(given) if there else None for there in piece.is_valid().to_pylist()]
+                parts.append(pa.array(rows, pa.list_(pa.int32())))
+            yield pa.concat_arrays(parts)
 
     return encode(F.col(ident(text)) if isinstance(text, str) else text)
 

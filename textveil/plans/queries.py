@@ -8,9 +8,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textveil.functions.batches import lists, pieces
 from textveil.functions.rules import CATALOGUE, select_rules, source_generators
 from textveil.functions.sqltext import held, lit, running_sum
 from textveil.operators.actions import clean_control_whitespace
@@ -705,13 +707,18 @@ def tokenize_with_library(spark, sf_dir):
         model = Tokenizer.from_file(path)
         return lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
-    @F.pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        for ids in batches:
-            yield pd.Series(model.decode_batch([list(map(int, x)) for x in ids], skip_special_tokens=False))
+        for batch in batches:
+            parts = [pa.array([], pa.string())]
+            for piece in pieces(batch):
+                texts = iter(model.decode_batch(lists(piece.drop_null()), skip_special_tokens=False))
+                rows = [next(texts) if there else None for there in piece.is_valid().to_pylist()]
+                parts.append(pa.array(rows, pa.string()))
+            yield pa.concat_arrays(parts)
 
     rows = documents(spark, sf_dir).select("doc_id", tokenize_with("text", encoder).alias("input_ids"))
     return rows.select("doc_id", F.md5(decoded("input_ids")).alias("text_md5"))
