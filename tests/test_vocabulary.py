@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 import public_tokenizers
+from textveil.functions.batches import PIECE, lists, pieces
 from textveil.operators.tokens import tokenize_with
 from textveil.operators.vocabulary import Vocabulary, read_vocabulary, vocabulary_ids, vocabulary_text
 from textveil.plans.prepare import prepare
@@ -79,3 +80,26 @@ def test_public_vocabulary(spark):
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, rows.collect()))
     parts = prepare(spark, data=df.select("text"), max_length=16, encoder=vocabulary.encoder())
     assert all(len(r.input_ids) == 16 for r in parts["train"].collect())
+
+
+def test_an_encoder_gets_pieces_of_batches(spark):
+    texts = [None, "x" * 100, "", "é" * (PIECE // 4), "y" * (2 * PIECE), None, *["z" * (PIECE // 5)] * 12]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+
+    def factory():
+        def encode(given):
+            assert len(given) < 2 or sum(len(t.encode()) for t in given) <= PIECE
+            return [[len(t), 7] for t in given]
+
+        return encode
+
+    got = dict(df.select("id", tokenize_with("text", factory)).collect())
+    assert got == {i: None if t is None else [len(t), 7] for i, t in enumerate(texts)}
+
+
+def test_pieces_and_lists():
+    rows = [[1, 2], None, [], [3], [4, 5, 6, 7], [8]]
+    column = pa.array([[0], *rows], pa.list_(pa.int32())).slice(1)
+    assert [p.to_pylist() for p in pieces(column, 3)] == [[[1, 2], None, [], [3]], [[4, 5, 6, 7]], [[8]]]
+    assert lists(column) == rows
+    assert lists(column.slice(1, 1)) == [None] and list(pieces(column.slice(0, 0))) == []
