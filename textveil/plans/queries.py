@@ -66,6 +66,7 @@ from textveil.plans.sanitize import (
     with_category,
 )
 from textveil.sources.readers import (
+    by_rows,
     load,
     read_csv,
     read_json,
@@ -82,6 +83,8 @@ from textveil.streaming.sanitizing import sanitize_stream
 # What the stand-in for an entity model finds.
 ENTITY = r"[A-Z][a-z]+ [A-Z][a-z]+|[A-Za-z0-9.@_-]*[0-9@][A-Za-z0-9.@_-]* [a-z]+"
 MINIMAL_RULES = ["email", "ip_ipv4", "gcp_private_key_id"]
+#: Rows that a task draws values for. A table of few columns is one split for millions of rows.
+GENERATED_ROWS = 4000
 KINDS = "name organization email phone address ssn uri license passport api_token".split()
 
 
@@ -481,7 +484,7 @@ def pseudonym_shapes(spark, sf_dir):
 
 def pseudonym_kinds(spark, sf_dir):
     """A value of every generator for every customer."""
-    customers = table(spark, sf_dir, "customer").select(
+    customers = by_rows(table(spark, sf_dir, "customer").select("c_custkey"), GENERATED_ROWS).select(
         "c_custkey", F.col("c_custkey").cast("string").alias("k")
     )
     return customers.select("c_custkey", *[generated(k, "k", "demo").alias(k) for k in KINDS])

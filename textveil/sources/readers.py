@@ -222,3 +222,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     tasks = df.sparkSession.conf.get("textveil.read.tasks", None)
     return df.repartition(int(tasks)) if tasks else df
+
+
+def by_rows(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """Deal the rows out to tasks of about ``rows`` rows, by ``columns`` if any are named: for
+    heavy work on narrow rows, of which a split of the input holds any number."""
+    return df.repartition(max(1, -(-df.count() // rows)), *columns)
