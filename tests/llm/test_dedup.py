@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from textveil.llm import near_dedup, prob_minhash, recompress_dedup, suffix_dedup
+from textveil.llm.shared import PIECE, slices
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string"
@@ -294,3 +295,29 @@ def test_repeats_leave_a_bucket_in_common():
     made = near_dedup._sketch(near_dedup.SHINGLE, near_dedup.BANDS, near_dedup.ROWS)([batch])
     keys = {n: set(k) for part in made for n, k in zip(part["node"].to_pylist(), part["keys"].to_pylist(), strict=True)}
     assert all(keys[bytes([i])] & keys[bytes([i + 1])] for i in range(0, 40, 2))
+
+
+def test_pairs_are_cut_by_both_texts():
+    a, b = ["x" * (PIECE // 4)] * 40, ["y"] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["text_a", "text_b"])
+    parts = list(slices([batch], "text_a", "text_b"))
+    assert sum(p.num_rows for p in parts) == 40 and max(p.num_rows for p in parts) <= 4
+
+
+def test_short_texts_are_sketched_in_blocks(monkeypatch):
+    texts = [f"word {i} of {i % 7} short ones {i % 90}" for i in range(2500)] + ["", "  "]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"%d" % i for i in range(len(texts))]), pa.array(texts)], names=["node", "text"])
+    seen, real = [], near_dedup.sketch
+
+    def watched(name, text, weight, n, registers):
+        seen.append(n)
+        return real(name, text, weight, n, registers)
+
+    monkeypatch.setattr(near_dedup, "sketch", watched)
+    parts = list(near_dedup._sketch(5, 32, 5)([batch]))
+    assert max(seen) <= near_dedup.SKETCHED
+    got = dict(zip(*(pa.concat_arrays([p.column(c) for p in parts]).to_pylist() for c in ("node", "keys")), strict=True))
+    assert len(got) == 2500
+    for i in (0, 999, 1000, 2499):
+        (alone,) = near_dedup._sketch(5, 32, 5)([batch.slice(i, 1)])
+        assert alone.column("keys").to_pylist() == [got[b"%d" % i]]

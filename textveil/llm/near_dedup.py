@@ -53,6 +53,8 @@ from textveil.llm.shared import discard, flat, numbered, slices, stored
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
+#: Texts that are sketched at a time.
+SKETCHED = 1000
 #: Places for the shingles of a text, by which pairs that can't be similar are told.
 MARKS = 2048
 #: Places on which shingles are counted to order them by rarity.
@@ -77,7 +79,8 @@ def row_key(id_: Column, text: Column) -> Column:
 
 def _sketch(size: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        # A short text takes as many arrivals as a long one to fill its registers.
+        for batch in (part.slice(row, SKETCHED) for part in slices(batches) for row in range(0, part.num_rows, SKETCHED)):
             name, text, count = shingles(*flat(batch.column("text")), size)
             n = batch.num_rows
             full = np.flatnonzero(np.bincount(text, minlength=n) > 0)
@@ -104,7 +107,7 @@ def _sketch(size: int, bands: int, rows: int):
 
 def _similar(size: int, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_b"):
+        for batch in slices(batches, "text_a", "text_b"):
             sides = []
             for column in ("text_a", "text_b"):
                 name, pair, _ = shingles(*flat(batch.column(column)), size)
