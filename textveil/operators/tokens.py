@@ -98,12 +98,10 @@ def tokenize_with(
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = once_per_worker(own, factory)
         for batch in batches:
-            parts = [pa.array([], pa.list_(pa.int32()))]
             for piece in pieces(batch):
                 given = iter(encoder(piece.drop_null().to_pylist()))
                 rows = [next(given) if there else None for there in piece.is_valid().to_pylist()]
-                parts.append(pa.array(rows, pa.list_(pa.int32())))
-            yield pa.concat_arrays(parts)
+                yield pa.array(rows, pa.list_(pa.int32()))
 
     return encode(F.col(ident(text)) if isinstance(text, str) else text)
 
