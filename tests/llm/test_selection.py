@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textveil.llm import importance, queries, shard_packing, vector_codes
 
@@ -302,6 +303,13 @@ def test_crc_of_joined_strings():
     assert joined.tolist() == [zlib.crc32(a + b) for a, b in pairs]
 
 
+def test_crc_at_the_length_of_the_tables():
+    parts = [b"ab"] * 6, [b"x" * n for n in (0, 1, 62, 63, 64, 65)]
+    one, two = (np.array([zlib.crc32(p) for p in side], np.uint32) for side in parts)
+    joined = importance.composed(one, two, np.array([len(p) for p in parts[1]]))
+    assert joined.tolist() == [zlib.crc32(a + b) for a, b in zip(*parts, strict=True)]
+
+
 def test_resampling_equals_brute_force(spark):
     draw = random.Random(12)
     vocabulary = ["Ab", "ab", "b1", "Zürich", "naïve", "日本", "x", "long" * 30, "don't", "\x80\x85", "tab\there", "é"]
@@ -321,6 +329,51 @@ def test_resampling_equals_brute_force(spark):
     assert drawn.columns == df.columns and drawn.count() == found.where("rank is not null").count()
 
 
+def test_resampling_reads_texts_once(spark, tmp_path, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    def stored(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    monkeypatch.setattr(importance, "stored", stored)
+    docs = [(i, f"word{i % 7} " * 30 + str(i)) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    target = ["word1 word2"]
+    found = importance.resample(df.withColumn("text", seen("text")), spark.createDataFrame([(t,) for t in target], "text string"))
+    assert collected(found.drop("n_words")) == sorted(plain_sample(docs, target), key=repr)
+    assert read.value == len(docs)
+    # What stands for the texts is gone once it has been weighed.
+    assert not list(tmp_path.glob("buckets/*.parquet")) and list(tmp_path.glob("scores/*.parquet"))
+
+
+@pytest.mark.parametrize(("longest", "buckets"), [(1, 1), (4, 65_536), (3, 65_537), (2, 1 << 20)])
+def test_buckets_of_any_number(spark, longest, buckets):
+    draw = random.Random(longest)
+    texts = ["".join(draw.choice(["a", "É", "w" * 70, "x" * 63, "日本"]) + " " for _ in range(draw.randint(0, 9))) for _ in range(60)]
+    expected, weights = Counter(), Counter()
+    gains = np.arange(buckets) % 1000 - 400
+    rows = [(i, t) for i, t in enumerate([*texts, None, ""])]
+    for i, t in rows:
+        words = plain_features(t)[0]
+        for n in range(1, longest + 1):
+            for k in range(len(words) - n + 1):
+                at = zlib.crc32(" ".join(words[k : k + n]).encode()) % buckets
+                expected[at] += 1
+                weights[i] += int(gains[at])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = importance.bucket_counts(importance.hashed(df, "text", longest, buckets), buckets)
+    assert {int(b): int(counts[b]) for b in np.flatnonzero(counts)} == expected
+    scored = importance.score_rows(df, importance.Model(gains, longest)).collect()
+    assert {r.doc_id: r.weight for r in scored} == {i: weights[i] for i, _ in rows}
+    assert sum(r.n_features for r in scored) == sum(expected.values())
+
+
 def test_resampling_of_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
